@@ -69,7 +69,8 @@ def measure(docs: DataFrame) -> DataFrame:
         F.aggregate("__q_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("__q_word_chars"),
         _symbols(F.col("__q_text")).alias("__q_n_symbols"),
         (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long").alias("__q_n_dup_lines"),
-        covered.alias("__q_n_repeat_words"),
+        # An expression that isn't deterministic keeps filters above this select; pushed down, they would copy all of it into one expression.
+        F.when(F.spark_partition_id() >= 0, covered).alias("__q_n_repeat_words"),
         F.aggregate(failed, F.lit(0).cast("long"), lambda a, l: a + word_count(l)).alias("__q_n_lost"),
     )
 
@@ -83,7 +84,6 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents with the lines that passed, in docs' columns. Lines without words stay as they are."""
-    # A filter that isn't deterministic stays above the measures; pushed down, it would copy them into one expression.
-    kept = judge(docs).filter(F.when(F.spark_partition_id() >= 0, F.col("__q_kept")))
+    kept = judge(docs).filter("__q_kept")
     passed = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda l: ~l.rlike(r"[^\x20\x09-\x0D]") | ~line_fails(l))
     return kept.select(*[F.array_join(passed, "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

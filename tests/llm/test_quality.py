@@ -40,9 +40,9 @@ def test_lines(spark):
     cases = {prose: False, "Home | About | Contact | Help": True, "All rights reserved.": True, "#### $$$$ &&&& %%%%": True, "Menu": True, "A long line without any mark that goes on for more than eight words": False, "Done.": False}
     df = spark.createDataFrame([(k, v) for k, v in cases.items()], "l string, want boolean")
     assert {r.l: r.got for r in df.select("l", quality.line_fails(F.col("l")).alias("got")).collect()} == cases
-    doc = "\n".join([prose + " " + str(i) for i in range(9)] + ["Home | About | Contact | Help", ""])
+    doc = "\n".join([" ".join(f"w{i}{j}" for j in range(9)) + f" {i}." for i in range(9)] + ["Home | About | Contact | Help", ""])
     out = quality.clean(spark.createDataFrame([(1, doc, "s"), (2, "Home | About | Contact | Help\n" * 30, "s")], SCHEMA)).collect()
-    assert [r.doc_id for r in out] == [1] and "Home" not in out[0].text and out[0].text.endswith("8\n")
+    assert [r.doc_id for r in out] == [1] and "Home" not in out[0].text and out[0].text.endswith("8.\n")
 
 
 def test_native(spark):
