@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, neardup, packing, quality, substrings
+from lodestone.llm import fingerprints, mixing, neardup, packing, quality, substrings
 from lodestone.llm.cluster import cut
 from lodestone.llm.words import word_count
 
@@ -26,6 +26,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
+def op3_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = fingerprints.edited(fingerprints.fingerprints(docs, {"text": "fingerprint"}), ("fingerprint",), ids=docs)
+    out = fingerprints.fingerprints(out.drop("text", "next_text"), {"edited": "edited_fingerprint"})
+    near = {n: fingerprints.likeness(F.col("fingerprint"), F.col(f"{c}_fingerprint")) for n, c in (("near_edited", "edited"), ("near_next", "next"))}
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", *[c.alias(n) for n, c in near.items()])
+
+
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -44,6 +52,7 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_piecewise_fingerprints": op3_piecewise_fingerprints,
     "op6_minhash_neardup": op6_minhash_neardup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_quality": op10_line_quality,
