@@ -15,13 +15,13 @@ from lodestone.llm.cluster import cut
 def _large_star(links: DataFrame) -> DataFrame:
     """Each larger neighbour of u gets a link to the least of u and its neighbours."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))  # written out, so that AQE can split hot keys of the join
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """u and its smaller neighbours get a link to the least of them. links: a > b."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(links.groupBy("a").agg(F.min("b").alias("m")))
     moved = links.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
 
@@ -39,6 +39,6 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-        links = cut(_small_star(_large_star(links).filter("a > b").distinct()).distinct())
+        links = cut(_small_star(cut(_large_star(links).filter("a > b").distinct())).distinct())
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

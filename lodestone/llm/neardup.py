@@ -124,7 +124,7 @@ def link(docs: DataFrame, threshold: int = 85) -> DataFrame:
     classes = cut(classes)
     firsts = rows.join(classes, ["set_a", "set_b"]).filter("doc_id = node").select("node", "bands").dropDuplicates(["node", "bands"])
     banded = cut(firsts.select("node", F.explode("bands").alias("bucket")))
-    full = banded.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("bucket")
+    full = cut(banded.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("bucket"))  # written out, so that AQE can split hot keys of the join
     members = cut(banded.join(full, "bucket").distinct())
     nodes = cut(members.select("node").distinct())
     few = nodes.count() <= BROADCAST_ROWS
@@ -153,7 +153,7 @@ def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
 
 def _open(labelled: DataFrame) -> DataFrame:
     """Members of the buckets that still hold more than one component."""
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
+    mixed = cut(labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket"))
     return labelled.join(mixed, "bucket")
 
 
@@ -163,7 +163,7 @@ def _rounds(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     while round_ < MAX_LEADER_ROUNDS:
         left = cut(_open(_labelled(members, links)))
         leader: Column = F.struct(F.lit(0), F.col("node")) if round_ == 0 else F.struct(F.xxhash64("node", F.lit(round_)), F.col("node"))
-        leaders = left.groupBy("bucket").agg(F.min(F.struct(leader.alias("o"), "node", "component")).alias("l")).select("bucket", F.col("l.node").alias("b"), F.col("l.component").alias("c"))
+        leaders = cut(left.groupBy("bucket").agg(F.min(F.struct(leader.alias("o"), "node", "component")).alias("l")).select("bucket", F.col("l.node").alias("b"), F.col("l.component").alias("c")))
         met = left.join(leaders, "bucket").filter("component <> c").groupBy("node", "b").agg(F.count("*").alias("n"))
         # Each node meets the leader that it shares most buckets with.
         pairs = met.groupBy("node").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select(F.greatest("node", -F.col("m.b")).alias("a"), F.least("node", -F.col("m.b")).alias("b")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprints, mixing, neardup, packing, quality, substrings
+from lodestone.llm import fingerprints, mixing, neardup, packing, quality, substrings, toxicity
 from lodestone.llm.cluster import cut
 from lodestone.llm.words import word_count
 
@@ -38,6 +38,13 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.pack(packing.pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -54,6 +61,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_piecewise_fingerprints": op3_piecewise_fingerprints,
     "op6_minhash_neardup": op6_minhash_neardup,
+    "op7_toxicity_fm": op7_toxicity_fm,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_quality": op10_line_quality,
 }

@@ -140,16 +140,17 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     occurrences = cut(_windows(docs.join(wanted, "__id"), window).join(shared, "anchor"))
     # The first occurrence in the smallest document leads; it has each window that it anchors, in order of their starts.
     leads = occurrences.filter("__id = least").groupBy("anchor").agg(F.min_by(F.struct("__id", "__key", "at", F.col("hashes").alias("theirs")), F.struct("at", "__key")).alias("lead")).select("anchor", "lead.*")
-    leads = leads.withColumnsRenamed({"__id": "l_id", "__key": "l_key", "at": "l_at"})
+    # Written out first, as are all grouped minima that are joined back: AQE splits a hot key of a join only if no grouping shares its stage.
+    leads = cut(leads.withColumnsRenamed({"__id": "l_id", "__key": "l_key", "at": "l_at"}))
     lead = (F.col("__id") == F.col("l_id")) & (F.col("__key") == F.col("l_key")) & (F.col("at") == F.col("l_at"))
     met = occurrences.join(leads, "anchor").filter(~lead)
-    met = met.withColumn("w", F.expr("transform(hashes, (h, i) -> struct(start + i AS s, h AS h, array_contains(theirs, h) AS same))")).select("__id", "__key", "anchor", "l_id", "w")
-    met = cut(met)
-    first = met.filter("__id > l_id").select("__id", "__key", F.expr("filter(w, x -> x.same)").alias("m")).filter("size(m) > 0")
-    # Windows around one anchor that repeat elsewhere follow one another.
-    first = first.select("__id", "__key", F.col("m")[0]["s"].alias("lo"), F.element_at("m", -1)["s"].alias("hi"))
-    rest = met.select("__id", "__key", "anchor", F.explode(F.expr("filter(w, x -> NOT x.same)")).alias("x")).select("__id", "__key", "anchor", F.col("x.s").alias("s"), F.col("x.h").alias("h"))
-    least = rest.groupBy("anchor", "h").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).filter("least < most").select("anchor", "h", "least")
+    met = met.withColumn("w", F.expr("transform(hashes, (h, i) -> struct(start + i AS s, h AS h, array_contains(theirs, h) AS same))"))
+    # Windows around one anchor that repeat in one place follow one another, so their first and last start tell them all.
+    same, others = F.expr("filter(w, x -> x.same).s"), F.expr("transform(filter(w, x -> NOT x.same), x -> struct(x.s AS s, x.h AS h))")
+    met = cut(met.select("__id", "__key", "anchor", "l_id", F.array_min(same).alias("lo"), F.array_max(same).alias("hi"), others.alias("others")))
+    first = met.filter("__id > l_id AND lo IS NOT NULL").select("__id", "__key", "lo", "hi")
+    rest = met.select("__id", "__key", "anchor", F.explode("others").alias("x")).select("__id", "__key", "anchor", F.col("x.s").alias("s"), F.col("x.h").alias("h"))
+    least = cut(rest.groupBy("anchor", "h").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).filter("least < most").select("anchor", "h", "least"))
     second = rest.join(least, ["anchor", "h"]).filter("__id > least").select("__id", "__key", F.col("s").alias("lo"), F.col("s").alias("hi"))
     return first.union(second)
 

@@ -75,6 +75,7 @@ class Words:
     starts: np.ndarray  # of each word, in data
     ends: np.ndarray
     hashes: np.ndarray  # 64 bits of each word
+    sums: np.ndarray  # of hashed bytes before each place
     first: np.ndarray  # index of each text's first word; one more entry at the end
 
     def grams(self, k: int, base: int = 1) -> np.ndarray:
@@ -86,6 +87,12 @@ class Words:
         sums = np.concatenate([[_U(0)], np.cumsum(self.hashes * p[:n], dtype=_U)])
         return mix((sums[k:] - sums[: n - k + 1]) * inv[: n - k + 1])
 
+    def heads(self, size: int) -> np.ndarray:
+        """Hash of each word's first bytes, unlike that of a word of just these bytes."""
+        p, inv = _powers(0, len(self.data) + 1)
+        ends = np.minimum(self.ends, self.starts + size)
+        return mix((self.sums[ends] - self.sums[self.starts]) * inv[self.starts] + _U(1))
+
     def text_hash(self, base: int = 1) -> np.ndarray:
         """Hash of each text's whole word sequence."""
         n = len(self.hashes)
@@ -120,7 +127,7 @@ def words_of(column: pa.Array, fold: bool = False, separators: np.ndarray = SPAC
     p, inv = _powers(0, n + 1)
     sums = np.concatenate([[_U(0)], np.cumsum((_FOLDED if fold else _BYTE)[raw] * p[:n], dtype=_U)])
     hashes = mix((sums[ends] - sums[starts]) * inv[starts])
-    return Words(raw, starts, ends, hashes, np.searchsorted(starts, at))
+    return Words(raw, starts, ends, hashes, sums, np.searchsorted(starts, at))
 
 
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
