@@ -30,5 +30,14 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def apart(grouped: DataFrame, by: str) -> DataFrame:
+    """A grouped table dealt by another of its columns, before it is joined back by its key.
+
+    The join then shuffles both sides itself, which is what lets AQE split a hot key; straight after the grouping it
+    would stay in the grouping's partitions.
+    """
+    return grouped.repartition(by)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.cluster import BROADCAST_ROWS, cut
+from lodestone.llm.cluster import BROADCAST_ROWS, apart, cut
 from lodestone.llm.components import components
 from lodestone.llm.words import chunks, mix, signed, words_of
 
 SHINGLE = 5
 BANDS, ROWS = 20, 6
-MAX_LEADER_ROUNDS = 2
+LEADER_ROUNDS = 2
 #: Of what the leaders leave, buckets of so many nodes are compared in pairs, larger ones in blocks of about BLOCK nodes.
 PAIRED, BLOCK, COLUMNS = 32, 256, 4096
 #: A signature may lie this far below the threshold: five standard errors of 120 minima at 0.85.
@@ -146,39 +146,32 @@ def link(docs: DataFrame, threshold: int = 85) -> DataFrame:
     return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.coalesce(F.col("doc_id") == own_id, F.lit(True)).alias("kept"))
 
 
-def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return members.withColumn("component", F.col("node"))
-    found = components(links)
-    return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
-def _open(labelled: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold more than one component."""
-    mixed = cut(labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket"))
-    return labelled.join(mixed, "bucket")
+def _open(members: DataFrame, stars: DataFrame | None) -> DataFrame:
+    """(bucket, node, component) of the buckets that still hold more than one component. stars: components so far."""
+    labelled = members.withColumn("component", F.col("node")) if stars is None else members.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    return cut(labelled.join(apart(mixed, "x").select("bucket"), "bucket"))
 
 
 def _rounds(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) that connect all components of verified pairs within the buckets."""
-    links, seen, round_ = None, None, 0
-    while round_ < MAX_LEADER_ROUNDS:
-        left = cut(_open(_labelled(members, links)))
-        leader: Column = F.struct(F.lit(0), F.col("node")) if round_ == 0 else F.struct(F.xxhash64("node", F.lit(round_)), F.col("node"))
-        leaders = cut(left.groupBy("bucket").agg(F.min(F.struct(leader.alias("o"), "node", "component")).alias("l")).select("bucket", F.col("l.node").alias("b"), F.col("l.component").alias("c")))
-        met = left.join(leaders, "bucket").filter("component <> c").groupBy("node", "b").agg(F.count("*").alias("n"))
+    stars, links, seen = None, None, None
+    for round_ in range(LEADER_ROUNDS):
+        left = _open(members, stars)
+        order: Column = F.struct(F.lit(0).cast("long").alias("h"), "node") if round_ == 0 else F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node")
+        leaders = left.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "component")).alias("l")).select("bucket", F.col("l.o.node").alias("b"), F.col("l.component").alias("c"))
+        met = left.join(apart(leaders, "b"), "bucket").filter("component <> c").groupBy("node", "b").agg(F.count("*").alias("n"))
         # Each node meets the leader that it shares most buckets with.
         pairs = met.groupBy("node").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select(F.greatest("node", -F.col("m.b")).alias("a"), F.least("node", -F.col("m.b")).alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         new = cut(_verified(pairs, sets, threshold))
-        links = cut(links.union(new)) if links is not None else new
-        seen = cut(seen.union(pairs)) if seen is not None else pairs
-        round_ += 1
-        if new.isEmpty():
-            break
-    left = cut(_open(_labelled(members, links)))
+        seen = pairs if seen is None else seen.union(pairs)
+        links = new if links is None else links.union(new)
+        so_far = new if stars is None else new.union(stars.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        stars = cut(components(so_far))
+    left = _open(members, stars)
     sizes = cut(left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")))
     few, many = sizes.filter(F.col("n") <= PAIRED), sizes.filter(F.col("n") > PAIRED)
     side = left.join(few.select("bucket"), "bucket")

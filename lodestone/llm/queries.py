@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprints, mixing, neardup, packing, quality, substrings, toxicity
+from lodestone.llm import fingerprints, licenses, mixing, neardup, packing, quality, substrings, toxicity, urls, warc
 from lodestone.llm.cluster import cut
 from lodestone.llm.words import word_count
 
@@ -34,6 +34,47 @@ def op3_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", *[c.alias(n) for n, c in near.items()])
 
 
+#: The rules of op4, by host and path.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    ruled = urls.parsed(pages, URL_RULES).filter("__rule IS NOT NULL")
+    blocked = [r for r, v in URL_RULES.items() if v == "block"]
+    model = urls.train(ruled.select("url", F.col("__rule").isin(blocked).cast("int").alias("label")))
+    out = urls.judge(pages, URL_RULES, model)
+    return out.select("page_id", *[F.col(f"__{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
+def _records(pages: DataFrame) -> DataFrame:
+    """A crawl's records from pages: each page once as a full response and later as a revisit, by another form of its URL and with other validators now and then."""
+    base = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("tag"), F.length("html").cast("string").alias("size"))
+    text = lambda s, c: F.concat(F.lit(s), F.col(c).cast("string"))
+    first = base.select(
+        (F.col("page_id") * 2).alias("record_id"), "url", F.col("page_id").alias("at"), F.lit("response").alias("kind"),
+        F.when(F.col("page_id") % 5 > 0, F.col("tag")).alias("etag"), F.when(F.col("page_id") % 3 > 0, text("day ", "page_id")).alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        F.create_map(F.lit("content-length"), F.coalesce("size", F.lit("0")), F.lit("date"), text("day ", "page_id"), F.lit("server"), F.lit("a")).alias("headers"),
+    )
+    again = base.select(
+        (F.col("page_id") * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), (F.col("page_id") + 400).alias("at"), F.lit("revisit").alias("kind"),
+        F.when(F.col("page_id") % 7 == 0, F.lit("other")).when(F.col("page_id") % 7 > 1, F.col("tag")).alias("etag"), F.when(F.col("page_id") % 4 > 0, text("day ", "page_id")).alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), text("later than ", "page_id"), F.lit("cache-control"), F.lit("no-cache")).alias("headers"),
+    )
+    return first.union(again)
+
+
+def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve(_records(_table(spark, sf_dir, "pages")))
+    pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return out.select("record_id", "url_key", "source_id", "status", F.array_join(pairs, ";").alias("headers"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.array_join(F.array_distinct("__matches.license"), ",").alias("licenses"), F.size("__matches").cast("long").alias("n_matches"), F.array_max("__matches.containment").alias("containment"))
+
+
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,8 +101,11 @@ QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_piecewise_fingerprints": op3_piecewise_fingerprints,
+    "op4_url_filter": op4_url_filter,
+    "op5_revisit_resolution": op5_revisit_resolution,
     "op6_minhash_neardup": op6_minhash_neardup,
     "op7_toxicity_fm": op7_toxicity_fm,
+    "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_quality": op10_line_quality,
 }
@@ -90,5 +134,35 @@ WITH sized AS (
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM rated
+""",
+    "op5_revisit_resolution": """
+WITH base AS (
+  SELECT page_id, url, md5(coalesce(html, '')) AS tag, CAST(length(html) AS VARCHAR) AS size FROM pages
+), records AS (
+  SELECT page_id * 2 AS record_id, url, page_id AS "at", 'response' AS kind, CASE WHEN page_id % 5 > 0 THEN tag END AS etag, CASE WHEN page_id % 3 > 0 THEN 'day ' || page_id END AS last_modified,
+    ['content-length=' || coalesce(size, '0'), 'date=day ' || page_id, 'server=a'] AS headers FROM base
+  UNION ALL
+  SELECT page_id * 2 + 1, url || '#again', page_id + 400, 'revisit', CASE WHEN page_id % 7 = 0 THEN 'other' WHEN page_id % 7 > 1 THEN tag END, CASE WHEN page_id % 4 > 0 THEN 'day ' || page_id END,
+    ['cache-control=no-cache', 'content-length=0', 'date=later than ' || page_id] FROM base
+), bare AS (
+  SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM records
+), parts AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(b, '^[^/?]*', 0)), ':(80|443)$', ''), '^(www|m)[.]', '') AS h,
+    regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS p,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') AS q
+  FROM bare
+), keyed AS (
+  SELECT record_id, "at", kind, etag, last_modified, headers, h || p || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url_key FROM parts
+), carried AS (
+  SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'etag': etag, 'lm': last_modified, 'headers': headers} END IGNORE NULLS)
+    OVER (PARTITION BY url_key ORDER BY "at" NULLS FIRST, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM keyed
+), judged AS (
+  SELECT *, CASE WHEN s IS NULL OR url_key IS NULL THEN 'no_response' WHEN etag <> s.etag OR last_modified <> s.lm THEN 'changed'
+    WHEN etag = s.etag OR last_modified = s.lm THEN 'resolved' ELSE 'unproven' END AS status
+  FROM carried WHERE kind = 'revisit'
+)
+SELECT record_id, url_key, s.id AS source_id, status,
+  array_to_string(list_sort(CASE WHEN status = 'resolved' THEN list_concat(['cache-control=no-cache', headers[3]], list_filter(s.headers, lambda x: NOT starts_with(x, 'date=') AND NOT starts_with(x, 'cache-control='))) ELSE headers END), ';') AS headers
+FROM judged
 """,
 }
