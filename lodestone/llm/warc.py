@@ -48,7 +48,7 @@ def resolve(records: DataFrame, renewed: list[str] = RENEWED) -> DataFrame:
     blocks = max(MIN_BLOCKS, 4 * partitions(spark))
     low, high = records.agg(F.min(F.col("at").cast("double")), F.max(F.col("at").cast("double"))).first()
     place = F.col("at").cast("double") - F.lit(low or 0.0)
-    keyed = keyed.withColumn("block", F.coalesce(F.least(F.floor(place / F.lit(((high or 0.0) - (low or 0.0)) / blocks or 1.0)), F.lit(blocks - 1)), F.lit(-1)).cast("int"))
+    keyed = keyed.withColumn("block", F.when(F.col("at").isNull(), -1).otherwise(F.least(F.floor(place / F.lit(((high or 0.0) - (low or 0.0)) / blocks or 1.0)), F.lit(blocks - 1))).cast("int"))
     when = F.struct(F.coalesce(F.col("at").cast("double"), F.lit(float("-inf"))), "record_id", F.coalesce("digest", F.lit("")))
     # What a later revisit needs; null on revisits.
     full = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified", "digest", "headers"))
