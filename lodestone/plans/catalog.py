@@ -1,10 +1,557 @@
-"""Registered queries of the reference's operators over the given tables, and their SQL."""
+"""Registered queries over the given tables and the SQL that tells the same.
+
+The tables play the parts of an index: documents are chunks (source is the file, lang the language), pages are source
+files (the URL's path is the file, links are imports, name( is a call), embeddings are vectors, conversations are hits
+and replies, events are blame lines, lineitem makes diffs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import blame, chunking, diff, graph, ranking
+from lodestone.sources import files
 
+QUERY = "the and tion that with the"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (read -> DataFrame) under its name, with its SQL."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Views that several queries share, in both languages.
+def _files(read) -> DataFrame:
+    """Pages as source files, one per path: the least page_id of each."""
+    path = F.regexp_replace(F.regexp_extract("url", "://[^/]*/([^?#]*)", 1), "/$", "")
+    return read("pages").withColumn("file_path", F.concat(path, F.lit(".js"))).groupBy("file_path").agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("p")).select("file_path", "p.page_id", F.col("p.html").alias("text"))
+
+
+FILES = """files AS (
+  SELECT file_path, min(page_id) AS page_id, arg_min(html, page_id) AS text
+  FROM (SELECT *, regexp_replace(regexp_extract(url, '://[^/]*/([^?#]*)', 1), '/$', '') || '.js' AS file_path FROM pages) GROUP BY file_path
+)"""
+
+
+def _imports(read) -> DataFrame:
+    links = F.regexp_extract_all("text", F.lit('href="/([^"]+)"'), F.lit(1))
+    return graph.imports(_files(read).select("file_path", links.alias("imports")))
+
+
+IMPORTS = f"""{FILES}, imports AS (
+  SELECT DISTINCT file_path, unnest(regexp_extract_all(text, 'href="/([^"]+)"', 1)) AS module FROM files
+)"""
+
+
+def _symbols(read) -> DataFrame:
+    """Documents as symbols of their sources: name from the first word."""
+    name = F.regexp_extract("text", r"^\s*(\S+)", 1)
+    return read("documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_path"), F.when(F.col("doc_id") % 11 == 0, "<module>").otherwise(name).alias("name"), F.col("lang").alias("kind"), (F.col("doc_id") % 997).cast("int").alias("start_line"), (F.col("doc_id") % 997 + F.size(F.split("text", "\n"))).cast("int").alias("end_line"))
+
+
+SYMBOLS = r"""symbols AS (
+  SELECT doc_id AS chunk_id, source AS file_path, CASE WHEN doc_id % 11 = 0 THEN '<module>' ELSE regexp_extract(text, '^\s*(\S+)', 1) END AS name, lang AS kind,
+    CAST(doc_id % 997 AS INTEGER) AS start_line, CAST(doc_id % 997 + len(string_split(text, chr(10))) AS INTEGER) AS end_line
+  FROM documents
+)"""
+
+
+def _calls(read) -> DataFrame:
+    """Conversations as calls: a role's first words call the words after them."""
+    words = F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))
+    return read("conversations").select(F.concat(F.lit("conv"), F.col("conv_id") % 50).alias("file_path"), F.when(F.col("turn") == 0, "<module>").otherwise(F.col("role")).alias("symbol_name"), F.slice(words, 1, 5).alias("calls"))
+
+
+CALLS = """calls AS (
+  SELECT DISTINCT file_path, caller, unnest(callees) AS callee FROM (
+    SELECT 'conv' || (conv_id % 50) AS file_path, CASE WHEN turn = 0 THEN '<module>' ELSE role END AS caller, regexp_extract_all(text, '[a-z]{3,}')[1:5] AS callees FROM conversations
+  ) WHERE NOT starts_with(caller, '<')
+)"""
+TOKENS = """tokens AS (
+  SELECT doc_id, flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]+'), lambda w:
+    list_concat([lower(w)], list_concat(list_transform(list_filter(string_split(w, '_'), lambda p: p <> ''), lambda p: lower(p)),
+    list_transform(regexp_extract_all(w, '[A-Z]+[a-z0-9]*|[a-z0-9]+'), lambda p: lower(p)))))) AS t
+  FROM documents
+)"""
+BM25 = f"""{TOKENS}, q AS (
+  SELECT w AS term, CAST(sum(n) AS DOUBLE) AS weight FROM (VALUES ('the', 6), ('and', 3), ('tion', 3), ('that', 3), ('with', 3)) v(w, n) GROUP BY w
+), counted AS (
+  SELECT doc_id, len(t) AS dl, t FROM tokens
+), tf AS (
+  SELECT doc_id, dl, term, weight, len(list_filter(t, lambda x: x = term)) AS f FROM counted, q
+), df AS (
+  SELECT term, count(*) FILTER (WHERE f > 0) AS n_t FROM tf GROUP BY term
+), st AS (
+  SELECT count(*) AS n, avg(dl) AS avg_dl FROM counted
+), bm25 AS (
+  SELECT doc_id, sum(CASE WHEN f > 0 THEN weight * ln((n - n_t + 0.5) / (n_t + 0.5) + 1.0) * (f * 2.5) / (f + 1.5 * (0.25 + 0.75 * dl / greatest(avg_dl, 1.0))) ELSE 0.0 END) AS score
+  FROM tf JOIN df USING (term), st GROUP BY doc_id
+)"""
+COSINE = """qv AS (
+  SELECT embedding AS qe FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)
+), cosine AS (
+  SELECT vec_id, list_sum(list_transform(list_zip(embedding, qe), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) AS score FROM embeddings, qv
+)"""
+
+
+def _query_vector(read) -> DataFrame:
+    return read("embeddings").orderBy("vec_id").limit(1)
+
+
+def _chunks(read) -> DataFrame:
+    """Documents with the vector of their number, where there is one."""
+    return read("documents").select("doc_id", "text").join(read("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tokens) GROUP BY doc_id, term")
+def tokenize_terms(read):
+    return read("documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+@query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm25")
+def bm25_scores(read):
+    return ranking.bm25(read("documents"), QUERY, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25 QUALIFY rank <= 20")
+def bm25_topk(read):
+    scores = ranking.bm25(read("documents"), QUERY, "doc_id").withColumn("score", F.round("score", 9))
+    return ranking.top(scores, 20, "doc_id").select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {COSINE} SELECT vec_id, round(score, 5) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id) AS rank FROM cosine QUALIFY rank <= 20")
+def cosine_topk(read):
+    scores = ranking.cosine(read("embeddings"), _query_vector(read), "vec_id").withColumn("score", F.round("score", 9))
+    return ranking.top(scores, 20, "vec_id").select("vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+RANKED = f"""{BM25}, {COSINE}, rc AS (
+  SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM cosine WHERE vec_id IN (SELECT doc_id FROM documents) QUALIFY r <= 80
+), rb AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm25 QUALIFY r <= 80
+), fused AS (
+  SELECT doc_id, rc.r AS rc, rb.r AS rb, coalesce(1.0::DOUBLE / (60 + rc.r), 0) + coalesce(1.0::DOUBLE / (60 + rb.r), 0) AS score FROM rc FULL JOIN rb USING (doc_id)
+)"""
+
+
+@query(f"WITH {RANKED} SELECT doc_id, rc AS first_rank, rb AS second_rank, round(score, 6) AS score FROM fused")
+def rrf_fuse(read):
+    chunks = _chunks(read)
+    first = ranking.top(ranking.cosine(chunks, _query_vector(read), "doc_id"), 80, "doc_id")
+    second = ranking.top(ranking.bm25(chunks, QUERY, "doc_id"), 80, "doc_id")
+    fused = ranking.rrf(first, second, "doc_id")
+    return fused.select("doc_id", F.col("first_rank").cast("long").alias("first_rank"), F.col("second_rank").cast("long").alias("second_rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {RANKED}, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, rc NULLS LAST, rb NULLS LAST) AS rank FROM fused) SELECT doc_id, rank, round(1.0::DOUBLE / rank, 6) AS score, round(score, 6) AS raw_score FROM ranked WHERE rank <= 20")
+def retrieve_hybrid(read):
+    found = ranking.retrieve(_chunks(read), QUERY, _query_vector(read), "doc_id")
+    return found.select("doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), F.round("raw_score", 6).alias("raw_score"))
+
+
+@query(f"WITH {BM25}, r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm25 QUALIFY rank <= 20) SELECT doc_id, rank FROM r")
+def rerank_identity(read):
+    return ranking.retrieve(_chunks(read), QUERY, None, "doc_id", mode="bm25", rerank=lambda hits: hits.select("doc_id", "raw_score")).select("doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH hits AS (SELECT 'conv' || (conv_id % 20) AS file_path, role AS symbol_name, conv_id * 100 + turn AS start_line, row_number() OVER (ORDER BY conv_id, turn) AS rank FROM conversations QUALIFY rank <= 200)
+SELECT file_path, min(rank) AS first_rank, round(max(1.0::DOUBLE / rank), 6) AS top_score, count(*) AS n_hits, string_agg(symbol_name, ', ' ORDER BY start_line, symbol_name) AS symbols FROM hits GROUP BY file_path""")
+def group_hits_by_file(read):
+    hits = read("conversations").orderBy("conv_id", "turn").limit(200).withColumn("rank", F.row_number().over(Window.orderBy("conv_id", "turn")).cast("long"))
+    hits = hits.select(F.concat(F.lit("conv"), F.col("conv_id") % 20).alias("file_path"), F.col("role").alias("symbol_name"), (F.col("conv_id") * 100 + F.col("turn")).alias("start_line"), "rank", (1.0 / F.col("rank")).cast("double").alias("score"))
+    return ranking.group_by_file(hits).withColumn("top_score", F.round("top_score", 6))
+
+
+@query(f"WITH {SYMBOLS} SELECT * FROM symbols WHERE name = 'The'")
+def find_symbol(read):
+    return graph.find_symbol(_symbols(read), "The")
+
+
+@query(f"WITH {SYMBOLS} SELECT * FROM symbols WHERE name ILIKE '%th%t%' ORDER BY chunk_id LIMIT 50")
+def grep_symbol(read):
+    return graph.grep_symbol(_symbols(read), "th%t", "chunk_id")
+
+
+@query(f"WITH {SYMBOLS} SELECT * FROM symbols WHERE NOT starts_with(name, '<')")
+def derive_symbols(read):
+    return graph.symbols(_symbols(read).withColumnRenamed("name", "symbol_name")).withColumnRenamed("symbol_name", "name")
+
+
+@query("SELECT doc_id, source, lang FROM documents WHERE source = 'src3' AND lang = 'de' ORDER BY doc_id LIMIT 1")
+def get_chunk(read):
+    chunks = read("documents").select("doc_id", F.col("source").alias("file_path"), F.col("lang").alias("symbol_name"))
+    return graph.get_chunk(chunks, "src3", "de", "doc_id").select("doc_id", F.col("file_path").alias("source"), F.col("symbol_name").alias("lang"))
+
+
+@query(f"WITH {IMPORTS} SELECT file_path, module FROM imports")
+def imports_of(read):
+    return _imports(read)
+
+
+@query(f"WITH {IMPORTS} SELECT file_path, module FROM imports WHERE module = 'the' OR module ILIKE 'the.%'")
+def files_importing(read):
+    return graph.files_importing(_imports(read), "the")
+
+
+@query(f"WITH {CALLS} SELECT file_path, caller, callee FROM calls")
+def derive_calls(read):
+    return graph.calls(_calls(read))
+
+
+@query(f"WITH {CALLS} SELECT DISTINCT file_path, caller FROM calls WHERE callee = 'the' ORDER BY file_path, caller LIMIT 200")
+def callers_of(read):
+    return graph.callers_of(graph.calls(_calls(read)), "the")
+
+
+NAMES = "SELECT part.p_partkey, replace(p_name, ' ', '/') || '/x.' || (['py', 'JS', 'tsx', 'go', 'rs', 'cs', 'c++', 'h', 'txt', 'inl'])[p_partkey % 10 + 1] AS path FROM part"
+
+
+def _paths(read) -> DataFrame:
+    ends = F.element_at(F.array(*map(F.lit, ["py", "JS", "tsx", "go", "rs", "cs", "c++", "h", "txt", "inl"])), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return read("part").select("p_partkey", F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("/")), F.lit("/x."), ends).alias("path"))
+
+
+@query(f"""WITH p AS ({NAMES}) SELECT p_partkey, path, CASE lower(regexp_extract(path, '[.]([^./]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'tsx' THEN 'typescript' WHEN 'go' THEN 'go'
+  WHEN 'rs' THEN 'rust' WHEN 'cs' THEN 'csharp' WHEN 'c++' THEN 'cpp' WHEN 'h' THEN 'cpp' WHEN 'inl' THEN 'cpp' END AS language FROM p""")
+def language_dispatch(read):
+    return _paths(read).withColumn("language", T.language_of(F.col("path")))
+
+
+@query("""WITH p AS (SELECT p_partkey, (['src', 'build', 'build-x', 'node_modules', 'building', '.git', 'lib', 'out', 'cmake-build-y', 'outer'])[p_partkey % 10 + 1] || '/' || p_brand AS path FROM part)
+SELECT p_partkey, path FROM p WHERE NOT regexp_matches(path, '(^|/)(build|node_modules|[.]git|out|build[.-][^/]*|cmake-build-[^/]*)(/|$)')""")
+def ignore_filter(read):
+    heads = F.element_at(F.array(*map(F.lit, ["src", "build", "build-x", "node_modules", "building", ".git", "lib", "out", "cmake-build-y", "outer"])), (F.col("p_partkey") % 10 + 1).cast("int"))
+    paths = read("part").select("p_partkey", F.concat(heads, F.lit("/"), "p_brand").alias("path"))
+    return paths.filter(~T.is_ignored(F.col("path")))
+
+
+@query(f"WITH {FILES} SELECT file_path, sha1(text) AS sha1 FROM files")
+def file_sha1(read):
+    return _files(read).select("file_path", F.sha1("text").alias("sha1"))
+
+
+DELTA = f"""{FILES}, stored AS (
+  SELECT file_path, CASE WHEN page_id % 7 = 0 THEN 'old' ELSE sha1(text) END AS sha1 FROM files WHERE page_id % 5 > 0
+), seen AS (
+  SELECT file_path, CASE WHEN page_id % 13 = 0 THEN NULL ELSE sha1(text) END AS sha1 FROM files WHERE page_id % 6 > 0
+), actions AS (
+  SELECT file_path, CASE WHEN n.file_path IS NULL THEN 'removed' WHEN n.sha1 IS NULL THEN 'skipped' WHEN s.sha1 = n.sha1 THEN 'unchanged' ELSE 'rebuilt' END AS action
+  FROM stored s FULL JOIN seen n USING (file_path)
+)"""
+
+
+def _delta(read) -> tuple[DataFrame, DataFrame]:
+    all_ = _files(read).select("file_path", "page_id", F.sha1("text").alias("sha1"))
+    stored = all_.filter("page_id % 5 > 0").withColumn("sha1", F.when(F.col("page_id") % 7 == 0, "old").otherwise(F.col("sha1")))
+    seen = all_.filter("page_id % 6 > 0").withColumn("sha1", F.when(F.col("page_id") % 13 > 0, F.col("sha1")))
+    return stored, seen
+
+
+@query(f"WITH {DELTA} SELECT file_path, action FROM actions")
+def index_delta(read):
+    return files.delta(*_delta(read))
+
+
+@query(f"WITH {DELTA} SELECT action, count(*) AS n FROM actions GROUP BY action")
+def index_summary(read):
+    return files.delta(*_delta(read)).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {DELTA} SELECT file_path, sha1 FROM stored WHERE file_path NOT IN (SELECT file_path FROM actions WHERE action IN ('rebuilt', 'removed'))
+UNION ALL SELECT file_path, sha1 FROM seen WHERE file_path IN (SELECT file_path FROM actions WHERE action = 'rebuilt')""")
+def apply_snapshot(read):
+    stored, seen = _delta(read)
+    actions = files.delta(stored, seen)
+    fresh = seen.join(actions.filter("action = 'rebuilt'"), "file_path", "left_semi").select("file_path", "sha1")
+    return files.apply(stored.select("file_path", "sha1"), actions, fresh)
+
+
+RESOLVED = """modules AS (
+  SELECT DISTINCT replace(p_name, ' ', '.') || CASE p_partkey % 4 WHEN 0 THEN '.thing' WHEN 1 THEN '' WHEN 2 THEN '.h' ELSE '/a.h' END AS module FROM part
+), files AS (
+  SELECT DISTINCT replace(p_name, ' ', '/') || CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '/__init__.py' ELSE '/a.h' END AS file_path FROM part WHERE p_partkey % 2 = 0
+), begun AS (
+  SELECT module, array_to_string(string_split(module, '.')[1:n], '/') AS key, len(string_split(module, '.')) - n AS loss FROM modules, unnest(range(1, len(string_split(module, '.')) + 1)) u(n)
+), keys AS (
+  SELECT file_path, array_to_string(string_split(file_path, '/')[1:n], '/') AS key FROM files, unnest(range(1, len(string_split(file_path, '/')))) u(n)
+  UNION SELECT file_path, regexp_replace(file_path, '[.]py$', '') FROM files WHERE ends_with(file_path, '.py')
+), found AS (
+  SELECT module, 0 AS way, 0 AS loss, file_path FROM modules JOIN files ON module = file_path
+  UNION ALL SELECT module, 1, loss, file_path FROM begun JOIN keys USING (key)
+  UNION ALL SELECT module, 2, 0, file_path FROM modules JOIN files ON regexp_extract(module, '[^/]*$') = regexp_extract(file_path, '[^/]*$') WHERE contains(module, '/') OR regexp_matches(module, '[.](h|hpp|hh|hxx)$')
+), resolved AS (
+  SELECT m.module, min(f.file_path) AS file_path FROM modules m
+  LEFT JOIN (SELECT *, rank() OVER (PARTITION BY module ORDER BY way, loss) AS r FROM found) f ON m.module = f.module AND f.r = 1 GROUP BY m.module
+)"""
+
+
+def _modules(read) -> tuple[DataFrame, DataFrame]:
+    part = read("part")
+    tail = F.element_at(F.array(*map(F.lit, [".thing", "", ".h", "/a.h"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    end = F.element_at(F.array(*map(F.lit, [".py", "/__init__.py", "/a.h"])), (F.col("p_partkey") % 3 + 1).cast("int"))
+    modules = part.select(F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit(".")), tail).alias("module"))
+    return modules, part.filter("p_partkey % 2 = 0").select(F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("/")), end).alias("file_path"))
+
+
+@query(f"WITH {RESOLVED} SELECT module, file_path FROM resolved")
+def module_resolve(read):
+    return graph.resolve_modules(*_modules(read))
+
+
+GRAPH = f"""{RESOLVED}, imports AS (
+  SELECT DISTINCT f.file_path, m.module FROM files f JOIN modules m ON ascii(m.module) % 5 = ascii(reverse(f.file_path[1:3])) % 5 AND length(m.module) % 7 = length(f.file_path) % 7
+), edges AS (
+  SELECT split_part(i.file_path, '/', 1) AS src, CASE WHEN r.file_path IS NULL THEN '<ext>' || regexp_extract(i.module, '^[^./]*') ELSE split_part(r.file_path, '/', 1) END AS dst
+  FROM imports i JOIN resolved r USING (module)
+), weighed AS (
+  SELECT src, dst, count(*) AS weight FROM edges WHERE src <> dst GROUP BY src, dst
+), nodes AS (
+  SELECT CASE WHEN contains(file_path, '/') THEN split_part(file_path, '/', 1) ELSE 'root' END AS node, CAST(sum(n) AS BIGINT) AS chunks, count(*) AS files FROM (
+    SELECT replace(p_name, ' ', '/') AS file_path, count(*) AS n FROM part GROUP BY p_name) GROUP BY 1
+)"""
+
+
+def _graph(read) -> tuple[DataFrame, DataFrame]:
+    modules, paths = (d.distinct() for d in _modules(read))
+    alike = (F.ascii("module") % 5 == F.ascii(F.reverse(F.substring("file_path", 1, 3))) % 5) & (F.length("module") % 7 == F.length("file_path") % 7)
+    imports = paths.join(modules, alike).distinct()
+    chunks = read("part").select(F.replace(F.col("p_name"), F.lit(" "), F.lit("/")).alias("file_path"))
+    return graph.nodes(chunks), graph.edges(imports, paths, external=True)
+
+
+@query(f"WITH {GRAPH} SELECT node, chunks, files FROM nodes")
+def package_nodes(read):
+    return _graph(read)[0]
+
+
+@query(f"WITH {GRAPH} SELECT src, dst, weight FROM weighed")
+def graph_edges(read):
+    return _graph(read)[1]
+
+
+@query(f"WITH {GRAPH} SELECT (SELECT count(*) FROM nodes) AS nodes, CAST((SELECT coalesce(sum(weight), 0) FROM weighed) AS BIGINT) AS edges")
+def graph_stats(read):
+    return graph.stats(*_graph(read))
+
+
+@query(f"""WITH {GRAPH}, most AS (SELECT max(chunks) AS m FROM nodes), shaded AS (
+  SELECT *, lpad(lower(hex(CAST(floor(255 - 255 * 0.6::DOUBLE * least(0.85::DOUBLE, 0.2::DOUBLE + 0.65::DOUBLE * (CAST(chunks AS DOUBLE) / m))) AS INTEGER))), 2, '0') AS grey FROM nodes, most
+)
+SELECT 0 AS part, node AS name, printf('  "%s" [label="%s\\n%df / %dc", fillcolor="#%s%sf0", penwidth=%.2f];', node, node, files, chunks, grey, grey, 1 + 2 * (CAST(chunks AS DOUBLE) / m)) AS line FROM shaded
+UNION ALL SELECT 1, src || chr(9) || dst, printf('  "%s" -> "%s" [label="%s", penwidth=%.2f];', src, dst, CASE WHEN weight > 1 THEN CAST(weight AS VARCHAR) ELSE '' END, 1 + least(4.0::DOUBLE, CAST(weight AS DOUBLE) / 2)) FROM weighed""")
+def dot_lines(read):
+    return graph.dot_lines(*_graph(read))
+
+
+DIFFS = """items AS (
+  SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY l_orderkey, l_linenumber
+), lines AS (
+  SELECT l_orderkey % 50 AS diff_id, l_orderkey * 100 AS pos, 'diff --git a/f' || l_orderkey % 20 || ' b/f' || l_orderkey % 20 AS line FROM items GROUP BY l_orderkey
+  UNION ALL SELECT l_orderkey % 50, l_orderkey * 100 + 1, CASE WHEN l_orderkey % 9 = 0 THEN '+++ /dev/null' ELSE '+++ b/f' || l_orderkey % 20 END FROM items GROUP BY l_orderkey
+  UNION ALL SELECT l_orderkey % 50, l_orderkey * 100 + 10 * l_linenumber, '@@ -1,3 +' || CAST(l_quantity AS INTEGER) * 10 || ',3 @@ f' FROM items
+  UNION ALL SELECT l_orderkey % 50, l_orderkey * 100 + 10 * l_linenumber + 1, CASE l_returnflag WHEN 'R' THEN '-' WHEN 'A' THEN '+' ELSE ' ' END || l_linestatus FROM items
+  UNION ALL SELECT l_orderkey % 50, l_orderkey * 100 + 10 * l_linenumber + 2, CASE l_linestatus WHEN 'F' THEN '+' ELSE '---' END || l_returnflag FROM items
+), marked AS (
+  SELECT *, sum(CASE WHEN starts_with(line, 'diff --git ') THEN 1 ELSE 0 END) OVER w AS section, sum(CASE WHEN starts_with(line, '@@ ') THEN 1 ELSE 0 END) OVER w AS hunk
+  FROM lines WINDOW w AS (PARTITION BY diff_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+), pathed AS (
+  SELECT *, max(CASE WHEN starts_with(line, '+++ b/') THEN line[7:] END) OVER (PARTITION BY diff_id, section) AS file_path,
+    max(CASE WHEN starts_with(line, '@@ ') THEN CAST(regexp_extract(line, '[+]([0-9]+)', 1) AS INTEGER) END) OVER (PARTITION BY diff_id, section, hunk) AS start,
+    coalesce(sum(CASE WHEN starts_with(line, '-') AND NOT starts_with(line, '---') THEN 0 ELSE 1 END) OVER (PARTITION BY diff_id, section, hunk ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM marked
+), added AS (
+  SELECT diff_id, file_path, CAST(hunk AS BIGINT) AS hunk, CAST(start + before AS INTEGER) AS line_no FROM pathed
+  WHERE file_path IS NOT NULL AND start IS NOT NULL AND starts_with(line, '+') AND NOT starts_with(line, '+++')
+)"""
+
+
+def _diffs(read) -> DataFrame:
+    """Each order as a file's section, each line of it as a hunk."""
+    item = read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_returnflag", "l_linestatus")])
+    name, at = F.col("l_orderkey") % 20, F.col("l_orderkey") * 100
+    first = item.select("l_orderkey").distinct()
+    heads = [(0, F.concat(F.lit("diff --git a/f"), name, F.lit(" b/f"), name)), (1, F.when(F.col("l_orderkey") % 9 == 0, "+++ /dev/null").otherwise(F.concat(F.lit("+++ b/f"), name)))]
+    flag = F.col("l_returnflag")
+    rows = [
+        (0, F.concat(F.lit("@@ -1,3 +"), F.col("l_quantity").cast("int") * 10, F.lit(",3 @@ f"))),
+        (1, F.concat(F.when(flag == "R", "-").when(flag == "A", "+").otherwise(" "), "l_linestatus")),
+        (2, F.concat(F.when(F.col("l_linestatus") == "F", "+").otherwise("---"), flag)),
+    ]
+    place = at + F.col("l_linenumber") * 10
+    diff_id = (F.col("l_orderkey") % 50).alias("diff_id")
+    head = first.select(diff_id, F.explode(F.array(*[F.struct((at + i).alias("pos"), line.alias("line")) for i, line in heads])).alias("x"))
+    body = item.select(diff_id, F.explode(F.array(*[F.struct((place + i).alias("pos"), line.alias("line")) for i, line in rows])).alias("x"))
+    return head.union(body).select("diff_id", "x.*")
+
+
+def _touched(read) -> DataFrame:
+    """Suppliers as symbols of the files that the diffs change."""
+    return read("supplier").select(F.concat(F.lit("f"), F.col("s_suppkey") % 20).alias("file_path"), F.col("s_name").alias("name"), F.lit("function").alias("kind"), (F.col("s_suppkey") * 3 % 400).cast("int").alias("start_line"), (F.col("s_suppkey") * 3 % 400 + 5).cast("int").alias("end_line"))
+
+
+TOUCHED = """syms AS (
+  SELECT 'f' || s_suppkey % 20 AS file_path, s_name AS name, 'function' AS kind, CAST(s_suppkey * 3 % 400 AS INTEGER) AS start_line, CAST(s_suppkey * 3 % 400 + 5 AS INTEGER) AS end_line FROM supplier
+), changed AS (
+  SELECT * FROM syms s WHERE EXISTS (SELECT 1 FROM added a WHERE a.file_path = s.file_path AND a.line_no BETWEEN s.start_line AND s.end_line)
+)"""
+
+
+@query(f"WITH {DIFFS} SELECT diff_id, file_path, hunk, line_no FROM added")
+def diff_parse(read):
+    return diff.added_lines(_diffs(read))
+
+
+@query(f"WITH {DIFFS} SELECT diff_id, file_path, hunk, line_no - 1 AS line_no FROM added")
+def diff_parse_strict(read):
+    return diff.added_lines(_diffs(read), strict_lines=True)
+
+
+@query(f"WITH {DIFFS}, {TOUCHED} SELECT * FROM changed")
+def diff_overlap(read):
+    return diff.changed_symbols(_touched(read), diff.added_lines(_diffs(read)))
+
+
+@query(f"""WITH {DIFFS}, {TOUCHED} SELECT file_path, name, start_line, diff_id, hunk FROM (
+  SELECT s.file_path, s.name, s.start_line, a.diff_id, a.hunk, row_number() OVER (PARTITION BY s.file_path, s.name, s.start_line ORDER BY a.diff_id, a.hunk) AS r
+  FROM syms s JOIN added a ON a.file_path = s.file_path AND a.line_no BETWEEN s.start_line AND s.end_line) WHERE r = 1""")
+def diff_first_hunk(read):
+    return diff.first_hunks(_touched(read), diff.added_lines(_diffs(read)))
+
+
+@query(f"""WITH {DIFFS}, {TOUCHED} SELECT DISTINCT c.name, 'part' || ps.p_partkey AS file_path, ps.p_brand AS caller FROM changed c
+JOIN (SELECT p_partkey, p_brand, 'Supplier#' || lpad(CAST(p_partkey % 200 AS VARCHAR), 9, '0') AS callee FROM part) ps ON ps.callee = c.name""")
+def diff_callers(read):
+    changed = diff.changed_symbols(_touched(read), diff.added_lines(_diffs(read)))
+    calls = read("part").select(F.concat(F.lit("part"), "p_partkey").alias("file_path"), F.col("p_brand").alias("caller"), F.concat(F.lit("Supplier#"), F.lpad((F.col("p_partkey") % 200).cast("string"), 9, "0")).alias("callee"))
+    return diff.callers(changed, calls)
+
+
+def _lines(read) -> DataFrame:
+    return chunking.lines_of(_files(read).select("file_path", F.replace(F.replace(F.col("text"), F.lit(">"), F.lit(">\n")), F.lit(";"), F.lit(";\n")).alias("text")))
+
+
+LINES = f"""{FILES}, lines AS (
+  SELECT file_path, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS pos, unnest(l) AS line FROM (SELECT file_path, string_split(replace(replace(text, '>', '>' || chr(10)), ';', ';' || chr(10)), chr(10)) AS l FROM files)
+)"""
+
+
+@query(f"""WITH {LINES}, chars AS (
+  SELECT file_path, pos, unnest(range(1, length(line) + 1)) AS i, unnest(string_split(line, '')) AS c FROM lines WHERE regexp_matches(line, '[{{}}]')
+), braces AS (
+  SELECT *, sum(CASE c WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY file_path ORDER BY pos, i ROWS UNBOUNDED PRECEDING) AS depth FROM chars WHERE c IN ('{{', '}}')
+), openers AS (
+  SELECT o.file_path, o.pos, o.i, (SELECT min(c.pos * 1000000 + c.i) FROM braces c WHERE c.file_path = o.file_path AND c.c = '}}' AND (c.pos, c.i) > (o.pos, o.i) AND c.depth = o.depth - 1) // 1000000 AS close FROM braces o WHERE o.c = '{{'
+), sized AS (SELECT file_path, max(pos) AS last FROM lines GROUP BY file_path)
+SELECT l.file_path, l.pos, CAST(coalesce((SELECT arg_min(o.close, o.pos * 1000000 + o.i) FILTER (WHERE true) FROM openers o WHERE o.file_path = l.file_path AND o.pos >= l.pos), s.last) AS INTEGER) AS end_line
+FROM lines l JOIN sized s USING (file_path)""")
+def brace_block_end(read):
+    return chunking.block_ends(_lines(read))
+
+
+@query()
+def line_chunks_regex(read):
+    code = F.concat(F.lit("import x from '"), "source", F.lit("';\nfunction f"), "doc_id", F.lit("(a) {\n  if (a) {\n    "), "lang", F.lit("(a);\n  }\n}\nclass C"), "doc_id", F.lit(" {\n  go() { }\n}\nconst "), "lang", F.lit(" = 1;"))
+    return chunking.brace_chunks(read("documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".js")).alias("file_path"), code.alias("text")), "javascript")
+
+
+@query()
+def python_ast_chunks(read):
+    code = F.concat(F.lit("from ."), "lang", F.lit(" import thing\n\nclass C"), "doc_id", F.lit(":\n    def run(self):\n        return self."), "lang", F.lit("(len('"), F.col("n_chars").cast("string"), F.lit("'))\n\nasync def g():\n    pass\n"), F.when(F.col("doc_id") % 10 == 0, "broken(").otherwise("print(g)"))
+    return chunking.python_chunks(read("documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".py")).alias("file_path"), code.alias("text")))
+
+
+BLAME = "SELECT CAST(user_id AS VARCHAR) AS author, event_type AS rev, ts FROM events"
+
+
+def _blame(read) -> DataFrame:
+    return read("events").select(F.col("user_id").cast("string").alias("author"), F.col("event_type").alias("rev"), "ts")
+
+
+def _seconds(c: str) -> Column:
+    return F.unix_timestamp(c).alias(c)
+
+
+@query(f"""WITH b AS ({BLAME}) SELECT what, value, lines, CAST(epoch(date_trunc('second', f)) AS BIGINT) AS first_ts, CAST(epoch(date_trunc('second', l)) AS BIGINT) AS last_ts FROM (
+  SELECT * FROM (SELECT 'author' AS what, author AS value, count(*) AS lines, min(ts) AS f, max(ts) AS l FROM b GROUP BY author ORDER BY lines DESC, value LIMIT 5)
+  UNION ALL SELECT * FROM (SELECT 'rev', rev, count(*) AS lines, min(ts), max(ts) FROM b GROUP BY rev ORDER BY lines DESC, rev LIMIT 5)
+  UNION ALL SELECT 'all', '', count(*), min(ts), max(ts) FROM b)""")
+def blame_summary(read):
+    return blame.summary(_blame(read)).select("what", "value", "lines", _seconds("first_ts"), _seconds("last_ts"))
+
+
+@query("""SELECT event_id, user_id, last_value(CASE WHEN event_id % 3 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS event_type FROM events""")
+def blame_carry_forward(read):
+    lines = read("events").select("event_id", "user_id", "ts", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("event_type"))
+    return blame.carry_forward(lines, "user_id", ["ts", "event_id"], ["event_type"]).drop("ts")
+
+
+@query("""SELECT e.event_id, CASE WHEN c.c_custkey IS NULL THEN CAST(e.user_id AS VARCHAR) ELSE c.c_name END AS author FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id AND c.c_custkey % 2 = 0""")
+def blame_left_join(read):
+    lines = read("events").select("event_id", F.col("user_id").alias("rev"), F.col("user_id").cast("string").alias("author"), "ts")
+    changes = read("customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("rev"), F.col("c_name").alias("author"), F.lit(None).cast("timestamp_ntz").alias("ts"))
+    return blame.with_changes(lines, changes).select("event_id", "author")
+
+
+@query("""SELECT user_id, event_id, round(total, 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM (
+  SELECT user_id, event_id, ts, sum(abs(value)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM events) WHERE total > 100) WHERE r = 1""")
+def token_budget_crossing(read):
+    calls = read("events").select("user_id", "event_id", "ts", F.abs("value").alias("value"))
+    return blame.crossing(calls, "user_id", ["ts", "event_id"], "value", 100).select("user_id", "event_id", F.round("total", 6).alias("total"))
+
+
+REPLY = """CASE conv_id % 5 WHEN 0 THEN 'NOT_RELEVANT ' || text WHEN 1 THEN '```json' || chr(10) || '{"severity": "' || CASE turn % 3 WHEN 0 THEN 'Major' WHEN 1 THEN ' ok ' ELSE 'bad' END || '", "n": ' || turn || '}' || chr(10) || '```'
+  WHEN 2 THEN '{"n": ' || turn || '}' WHEN 3 THEN 'This is wrong: ' || role ELSE 'NOT_RELEVANTLY ' || role END"""
+
+
+def _replies(read) -> DataFrame:
+    kind, turn = F.col("conv_id") % 5, F.col("turn")
+    level = F.when(turn % 3 == 0, "Major").when(turn % 3 == 1, " ok ").otherwise("bad")
+    fenced = F.concat(F.lit('```json\n{"severity": "'), level, F.lit('", "n": '), turn, F.lit("}\n```"))
+    reply = F.when(kind == 0, F.concat(F.lit("NOT_RELEVANT "), "text")).when(kind == 1, fenced).when(kind == 2, F.concat(F.lit('{"n": '), turn, F.lit("}"))).when(kind == 3, F.concat(F.lit("This is wrong: "), "role")).otherwise(F.concat(F.lit("NOT_RELEVANTLY "), "role"))
+    return read("conversations").select("conv_id", "turn", reply.alias("reply"))
+
+
+@query(f"SELECT conv_id, turn FROM (SELECT conv_id, turn, {REPLY} AS reply FROM conversations) WHERE regexp_extract(reply, '^\\s*(\\S+)', 1) <> 'NOT_RELEVANT'")
+def not_relevant_filter(read):
+    return _replies(read).filter(T.is_relevant(F.col("reply"))).select("conv_id", "turn")
+
+
+@query("SELECT conv_id, turn, CASE WHEN conv_id % 5 IN (1, 2) THEN CAST(turn AS VARCHAR) END AS n FROM conversations")
+def parse_action_json(read):
+    return _replies(read).select("conv_id", "turn", F.get_json_object(T.reply_json(F.col("reply")), "$.n").alias("n"))
+
+
+@query(f"""SELECT conv_id, turn, CASE conv_id % 5 WHEN 1 THEN CASE turn % 3 WHEN 0 THEN 'major' WHEN 1 THEN 'ok' ELSE 'minor' END WHEN 2 THEN 'minor'
+  ELSE CASE WHEN regexp_matches(lower({REPLY}), 'major|incorrect|wrong|factually') THEN 'major' ELSE 'minor' END END AS severity FROM conversations""")
+def review_severity(read):
+    return _replies(read).select("conv_id", "turn", T.severity(F.col("reply")).alias("severity"))
+
+
+@query("""SELECT source AS file_path, string_agg('### chunk ' || n || ': ' || lang || ' `d' || doc_id || '`', chr(10) ORDER BY n) AS prompt
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) GROUP BY source""")
+def prompt_per_file(read):
+    docs = read("documents").select("source", "doc_id", "lang")
+    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "lang")))
+    block = F.transform(F.col("c"), lambda x, i: F.format_string("### chunk %d: %s `d%d`", i + 1, x["lang"], x["doc_id"]))
+    return docs.groupBy(F.col("source").alias("file_path")).agg(ordered.alias("c")).select("file_path", F.array_join(block, "\n").alias("prompt"))
+
+
+@query("SELECT count(*) AS chunks, count(DISTINCT source) AS files FROM documents")
+def index_stats(read):
+    return read("documents").agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("files"))
