@@ -34,3 +34,54 @@ def crossing(calls: DataFrame, key: str, order: list[str], tokens: str, limit: f
     run = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     total = calls.withColumn("total", F.sum(tokens).over(run)).filter(F.col("total") > limit)
     return total.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
+
+
+SHA = r"^([0-9a-f]{40}) \d+ (\d+)(?: \d+)?$"
+
+
+def parse_porcelain(lines: DataFrame) -> DataFrame:
+    """(file_path, line_no, rev, author, ts, summary) from porcelain lines (file_path, pos, line).
+
+    A block runs from its revision line to its tab line. What a revision tells once holds for its later blocks of the
+    same file; the mail address stands in where no author is named.
+    """
+    run = Window.partitionBy("file_path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("file_path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    closed = F.coalesce(F.sum(F.col("line").startswith("\t").cast("int")).over(before), F.lit(0))
+    marked = lines.withColumn("block", closed).withColumn("any", F.sum(F.col("line").rlike(SHA).cast("int")).over(run)).filter("any > 0")
+
+    def value(field: str):
+        return F.max(F.when(F.col("line").startswith(f"{field} "), F.substring("line", len(field) + 2, 1 << 30)))
+
+    header = F.col("line").rlike(SHA)
+    blocks = marked.groupBy("file_path", "block").agg(
+        F.min_by(F.regexp_extract("line", SHA, 1), F.when(header, F.col("pos"))).alias("rev"),
+        F.min_by(F.regexp_extract("line", SHA, 2), F.when(header, F.col("pos"))).cast("int").alias("line_no"),
+        F.coalesce(value("author"), F.regexp_replace(value("author-mail"), "^<|>$", "")).alias("author"),
+        F.timestamp_seconds(F.expr("try_cast(max(CASE WHEN line LIKE 'author-time %' THEN substring(line, 13) END) AS bigint)")).alias("ts"),
+        value("summary").alias("summary"),
+        F.max(F.col("line").startswith("\t")).alias("whole"),
+    )
+    told = blocks.filter("whole AND rev IS NOT NULL").withColumn("key", F.concat_ws(" ", "rev", "file_path"))
+    filled = carry_forward(told, "key", ["block"], ["author", "ts", "summary"])
+    return filled.select("file_path", "line_no", "rev", F.coalesce("author", F.lit("")).alias("author"), "ts", F.coalesce("summary", F.lit("")).alias("summary"))
+
+
+def parse_annotate(lines: DataFrame, start_line: int, end_line: int) -> DataFrame:
+    """(file_path, line_no, rev) from "change: text" lines (file_path, pos, line), numbered from 1 and sliced; path headers don't count."""
+    pattern = r"^(\d+):"
+    told = lines.filter(F.col("line").rlike(pattern) & ~(F.col("line").startswith("//") & F.col("line").contains("#")))
+    numbered = told.withColumn("line_no", F.row_number().over(Window.partitionBy("file_path").orderBy("pos")))
+    return numbered.filter(F.col("line_no").between(start_line, end_line)).select("file_path", "line_no", F.regexp_extract("line", pattern, 1).alias("rev"))
+
+
+def parse_changes(lines: DataFrame) -> DataFrame:
+    """(rev, author, ts, summary) from tagged description lines (pos, line) of one command's output, "... field value".
+
+    Lines are numbered into changes by a running count; one output describes the few changes that were asked for.
+    """
+    run = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumn("n", F.sum(F.col("line").startswith("... change ").cast("int")).over(run)).filter("n > 0")
+    value = lambda field: F.max(F.when(F.col("line").startswith(f"... {field} "), F.trim(F.substring("line", len(field) + 6, 1 << 30))))
+    per = marked.groupBy("n").agg(value("change").alias("rev"), value("user").alias("author"), F.timestamp_seconds(F.expr("try_cast(max(CASE WHEN line LIKE '... time %' THEN trim(substring(line, 10)) END) AS bigint)")).alias("ts"), value("desc").alias("summary"))
+    return per.groupBy("rev").agg(*[F.max_by(c, "n").alias(c) for c in ("author", "ts", "summary")])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import blame, chunking, diff, graph, ranking
+from lodestone.operators import answering, blame, chunking, diff, embedding, graph, ranking
 from lodestone.sources import files
 
 QUERY = "the and tion that with the"
@@ -555,3 +555,30 @@ def prompt_per_file(read):
 @query("SELECT count(*) AS chunks, count(DISTINCT source) AS files FROM documents")
 def index_stats(read):
     return read("documents").agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("files"))
+
+
+@query("""SELECT 'f' || user_id % 9 AS file_path, CAST(event_id AS INTEGER) AS line_no, sha1('r' || user_id) AS rev, 'u' || user_id AS author, CAST(1700000000 + user_id AS BIGINT) AS ts, 's' || user_id AS summary FROM events""")
+def blame_porcelain(read):
+    rev = F.sha1(F.concat(F.lit("r"), "user_id"))
+    first = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) == 1
+    told = [F.concat(rev, F.lit(" 1 "), "event_id", F.lit(" 1"))]
+    told += [F.when(F.col("first"), F.concat(F.lit(f"{field} "), value)) for field, value in (("author", F.concat(F.lit("u"), "user_id")), ("author-mail", F.lit("<m>")), ("author-time", (F.col("user_id") + 1700000000).cast("string")), ("summary", F.concat(F.lit("s"), "user_id")))]
+    told.append(F.concat(F.lit("\t"), "event_type"))
+    rows = read("events").withColumn("first", first).select(F.concat(F.lit("f"), F.col("user_id") % 9).alias("file_path"), "event_id", F.posexplode(F.array(*told)).alias("i", "line"))
+    lines = rows.filter("line IS NOT NULL").select("file_path", (F.col("event_id") * 10 + F.col("i")).alias("pos"), "line")
+    return blame.parse_porcelain(lines).withColumn("ts", F.unix_timestamp("ts"))
+
+
+@query()
+def embed_hash(read):
+    return embedding.embed(read("documents").select("doc_id", "text"), "doc_id")
+
+
+@query("""WITH hits AS (SELECT source, doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE doc_id < 60), replies AS (
+  SELECT source, min(rank) AS r, string_agg('`d' || doc_id || '`', ', ' ORDER BY doc_id) AS symbols, max(1.0::DOUBLE / (rank + 0.37::DOUBLE)) AS top FROM hits GROUP BY source)
+SELECT source AS file_path, '### `' || source || '` - ' || symbols || ' (top score=' || printf('%.3f', top) || ')' || chr(10) || 'about ' || source AS block FROM replies WHERE source <> 'src3'""")
+def prompt_aggregate(read):
+    hits = read("documents").filter("doc_id < 60").select(F.col("source").alias("file_path"), F.concat(F.lit("d"), "doc_id").alias("symbol_name"), F.col("doc_id").alias("start_line"), F.row_number().over(Window.orderBy("doc_id")).alias("rank"))
+    groups = ranking.group_by_file(hits.withColumn("score", 1.0 / (F.col("rank") + 0.37)))
+    reply = F.when(F.col("file_path") == "src3", "NOT_RELEVANT").otherwise(F.concat(F.lit("about "), "file_path"))
+    return answering.evidence(groups.withColumn("reply", reply)).select("file_path", "block")

@@ -170,3 +170,60 @@ def test_replies(spark):
     for reply, want in {'{"severity": "ok"}': "ok", '{"severity": "huge"}': "minor", "factually off": "major", "fine": "minor", fenced: "minor"}.items():
         assert one(spark, T.severity, reply) == want
     assert one(spark, T.is_relevant, "  NOT_RELEVANT x") is False and one(spark, T.is_relevant, "") is True
+
+
+PORCELAIN = """{a} 1 1 2
+author Ann
+author-time 1700000000
+summary first
+\tx = 1
+{b} 2 2 1
+author-mail <bob@x>
+author-time bad
+\ty = 2
+{a} 3 3
+\tz = 3""".format(a="a" * 40, b="b" * 40)
+
+
+def test_blame_formats(spark):
+    from lodestone.operators import blame
+
+    def lines(text):
+        return spark.createDataFrame([("f", i, x) for i, x in enumerate(text.split("\n"))], "file_path string, pos int, line string")
+
+    got = {r.line_no: (r.rev[0], r.author, r.summary, r.ts is None) for r in blame.parse_porcelain(lines(PORCELAIN)).collect()}
+    assert got == {1: ("a", "Ann", "first", False), 2: ("b", "bob@x", "", True), 3: ("a", "Ann", "first", False)}
+    annotate = "//depot/f#3 - edit\n12: a\n14: b\nnoise\n12: c"
+    assert [(r.line_no, r.rev) for r in blame.parse_annotate(lines(annotate), 2, 3).collect()] == [(2, "14"), (3, "12")]
+    tagged = "... change 12\n... user ann\n... time 1700000000\n... desc first line\nsecond\n... change 14\n... user bob\n... time x"
+    assert sorted((r.rev, r.author, r.summary) for r in blame.parse_changes(lines(tagged)).collect()) == [("12", "ann", "first line"), ("14", "bob", None)]
+
+
+def test_answering(spark):
+    from lodestone.operators import answering
+
+    hits = spark.createDataFrame([("b.py", "python", "function", "g", 5, 6, 0.5, 2, "g()"), ("b.py", "python", "function", "f", 1, 2, 1.0, 1, "f()"), ("c.py", "python", "class", "K", 1, 9, 0.3, 3, "K")], "file_path string, language string, symbol_kind string, symbol_name string, start_line int, end_line int, score double, rank int, text string")
+    prompts = answering.file_prompts(hits, "what?")
+    text = {r.file_path: r.prompt for r in prompts.collect()}
+    assert text["b.py"].index("`f` (lines 1-2, score=1.000)") < text["b.py"].index("chunk 2: function `g`")
+    budget = answering.Budget(limit=4)
+    replies = answering.ask(prompts, lambda ps: ["NOT_RELEVANT" if "c.py" in p else "sums" for p in ps], budget)
+    groups = ranking.group_by_file(hits).join(replies.select("file_path", "reply"), "file_path")
+    assert "`b.py` - `f`, `g` (top score=1.000)\nsums" in answering.answer(groups, "what?", lambda ps: ps, budget)
+    assert budget.calls == 3
+    with pytest.raises(answering.BudgetExceeded):
+        answering.ask(prompts, lambda ps: ps, budget)
+    said = iter(['{"severity": "minor"}', "better", '{"severity": "ok"}'])
+    assert answering.reviewed("draft", "q", lambda ps: [next(said)], answering.Budget(), spark, rounds=3) == ("better", ["minor", "ok"])
+
+
+def test_embedding(spark):
+    from lodestone.operators import embedding
+
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha beta"), (3, ""), (4, None)], "id long, text string")
+    got = {r.id: r.embedding for r in embedding.embed(docs, "id").collect()}
+    assert got[1] == got[2] and sum(x * x for x in got[1]) == pytest.approx(1, abs=1e-5) and set(got[3]) == {0.0} == set(got[4])
+    assert {r.id: r.embedding for r in embedding.embed_with(docs, "id", lambda: lambda t: [[float(len(x))] for x in t]).collect()}[1] == [10.0]
+    step = embedding.rerank_with(docs, "q", "id", lambda: lambda pairs: [float(len(t)) for _, t in pairs])
+    found = ranking.retrieve(docs, "alpha", None, "id", mode="bm25", rerank=step).collect()
+    assert found[0].id == 1 and found[0].raw_score == 10.0
