@@ -165,4 +165,49 @@ SELECT record_id, url_key, s.id AS source_id, status,
   array_to_string(list_sort(CASE WHEN status = 'resolved' THEN list_concat(['cache-control=no-cache', headers[3]], list_filter(s.headers, lambda x: NOT starts_with(x, 'date=') AND NOT starts_with(x, 'cache-control='))) ELSE headers END), ';') AS headers
 FROM judged
 """,
+    "op2_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM w, unnest(range(1, len(ws) - 48)) u(i)
+), least AS (
+  SELECT h, min(doc_id) AS m FROM win GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM win JOIN least USING (h), range(0, 50) r(k) WHERE doc_id > m
+), placed AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op10_line_quality": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), placed AS (
+  SELECT doc_id, unnest(ws) AS a, unnest(range(1, len(ws) + 1)) AS i FROM d
+), followed AS (
+  SELECT *, lead(a) OVER w AS b, lead(a, 2) OVER w AS c FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), grams AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM followed WHERE c IS NOT NULL
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM grams, range(0, 3) r(k) WHERE n > 1 GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, unnest(ls) AS l FROM d
+), sized AS (
+  SELECT *, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n, length(l) - length(translate(l, '|»›•', '')) AS bars, length(l) - length(translate(l, '#*$%&|<>', '')) AS symbols FROM lines
+), lost AS (
+  SELECT doc_id, sum(n) AS n FROM sized
+  WHERE (NOT regexp_matches(l, '[.!?…。:;]') AND n < 8) OR symbols > n * 0.3::DOUBLE OR (bars >= 2 AND bars * 8 >= n) OR (n <= 25 AND regexp_matches(lower(l), 'BOILERPLATE'))
+  GROUP BY doc_id
+), out AS (
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, coalesce(x.n, 0) AS n_lost
+  FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN lost x USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_lost * 100 <= n_words * 50 AS kept FROM out
+""".replace("BOILERPLATE", "|".join(quality.BOILERPLATE)),
 }
