@@ -6,7 +6,8 @@ components, and a second round compares only nodes of different components. What
 but no component) is compared in full, large buckets block by block inside the tasks, so no link between two
 components is missed that any band has brought together.
 
-A pair of similarity 0.85 misses all 20 bands of 6 minima with probability 8e-5, one of 0.9 with 3e-7.
+A pair of similarity 0.85 misses all 20 bands of 6 minima with probability 8e-5, one of 0.9 with 3e-7; one of 0.8
+misses all 24 bands of 5, which serve thresholds under 0.85, with 7e-5.
 """
 
 from __future__ import annotations
@@ -23,16 +24,17 @@ from lodestone.llm.components import components
 from lodestone.llm.words import chunks, mix, signed, words_of
 
 SHINGLE = 5
-BANDS, ROWS = 20, 6
+#: One set of minima, cut into bands by the threshold (percent): 20 of 6 from 85 on, 24 of 5 below.
+MINIMA = 120
 LEADER_ROUNDS = 2
 #: Of what the leaders leave, buckets of so many nodes are compared in pairs, larger ones in blocks of about BLOCK nodes.
 PAIRED, BLOCK, COLUMNS = 32, 256, 4096
-#: A signature may lie this far below the threshold: five standard errors of 120 minima at 0.85.
-SLACK = 0.17
+#: A signature may lie this far below the threshold: five standard errors of 120 minima at 0.8.
+SLACK = 0.19
 _U = np.uint64
 _RNG = np.random.default_rng(77)
-_A = _RNG.integers(1, 2**64, BANDS * ROWS, dtype=_U) | _U(1)
-_B = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=_U)
+_A = _RNG.integers(1, 2**64, MINIMA, dtype=_U) | _U(1)
+_B = _RNG.integers(0, 2**64, MINIMA, dtype=_U)
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -45,14 +47,15 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
 
 def minima(shingles: np.ndarray) -> np.ndarray:
     """One minimum per universal hash (a * x + b modulo 2**64), its upper 32 bits."""
-    out = np.full(BANDS * ROWS, ~_U(0))
+    out = np.full(MINIMA, ~_U(0))
     for at in range(0, len(shingles), 2048):
         np.minimum(out, (shingles[at : at + 2048, None] * _A + _B).min(axis=0), out=out)
     return (out >> _U(32)).astype(np.uint32)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands) of every row; set_a and set_b stand for the shingle set (128 bits), bands has a hash per band."""
+def signatures(docs: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, n_shingles, set_a, set_b, bands) of every row; set_a and set_b stand for the shingle set (128 bits), bands has a hash per band of so many minima."""
+    n_bands = MINIMA // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,13 +65,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                     n.append(len(s))
                     a.append(np.sum(mix(s), dtype=_U))
                     b.append(np.sum(mix(s ^ _U(0x5851F42D4C957F2D)), dtype=_U))
-                    m = minima(s).astype(_U).reshape(BANDS, ROWS)
-                    h = np.arange(BANDS, dtype=_U)
+                    m = minima(s).astype(_U).reshape(n_bands, rows)
+                    h = np.arange(n_bands, dtype=_U)
                     for column in m.T:
                         h = mix(h * _U(0x9E3779B97F4A7C15) + column)
                     bands.append(h)
                 flat = signed(np.concatenate(bands)) if bands else np.empty(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(flat))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * n_bands, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(signed(np.array(a, _U))), pa.array(signed(np.array(b, _U))), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
@@ -121,7 +124,7 @@ def link(docs: DataFrame, threshold: int = 85) -> DataFrame:
     count as one document and stay separate rows. A row without doc_id links with nothing: component_id is null and
     it is kept. An empty table gives an empty one.
     """
-    rows = cut(signatures(docs))
+    rows = cut(signatures(docs, 6 if threshold >= 85 else 5))
     classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
     classes = cut(classes)
     firsts = rows.join(classes, ["set_a", "set_b"]).filter("doc_id = node").select("node", "bands").dropDuplicates(["node", "bands"])

@@ -69,3 +69,11 @@ def test_components(spark):
     got_ = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got_ == {i: 0 for i in range(41)} | {i: 50 for i in [*range(50, 80), 100]}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lower_threshold(spark):
+    base = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join(w if (j * 31 + i) % 41 or j % 97 != i % 97 else f"x{i}" for j, w in enumerate(base)), "s") for i in range(60)]
+    docs += [(100 + i, " ".join(base[: 300 - 2 * i]), "s") for i in range(60)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    assert got(neardup.link(df, 80)) == brute(df.collect(), 80)
