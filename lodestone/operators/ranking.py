@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_tokens, tokens
-from lodestone.plans.lineage import cut
+from lodestone.plans.lineage import cut, spread
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -19,7 +19,7 @@ MODES = ("hybrid", "cosine", "bm25")
 
 def term_counts(docs: DataFrame, terms: list[str], id_col: str, text_col: str = "text") -> DataFrame:
     """(id, dl, tf array) in one pass: only the query's terms are counted, and no postings are shuffled."""
-    each = docs.select(id_col, tokens(F.col(text_col)).alias("__t"))
+    each = spread(docs.select(id_col, text_col)).select(id_col, tokens(F.col(text_col)).alias("__t"))
 
     def of(term: str) -> Column:
         return F.size(F.filter("__t", lambda x: x == term))

@@ -1,4 +1,4 @@
-"""Cutting lineage where two consumers share an expensive input."""
+"""Cutting lineage and spreading small inputs."""
 
 from __future__ import annotations
 
@@ -13,3 +13,9 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out before work that is heavy per row, where the input has fewer partitions than the cluster has cores; larger inputs are left as they were read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
