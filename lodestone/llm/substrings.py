@@ -5,8 +5,8 @@ words have equal anchors at equal places. Documents meet on shared anchors only,
 
 Extend: every occurrence of an anchor is compared with one occurrence in the smallest document that has it, window by
 window to the left and right of the anchor, which gives the maximal repeat around it in one run of windows. What does
-not repeat there (the text differs nearby, but may equal a third document's) is then compared exactly among itself by
-window hash. Both steps grow with the number of occurrences: no pairs within a group are made, and a passage that very
+not repeat there (the text differs nearby, but may equal a third document's) meets further leads, and what is open
+after that is compared exactly among itself by window hash. Both steps grow with the number of occurrences: no pairs within a group are made, and a passage that very
 many documents share is a minimum per task and a join that AQE may split.
 """
 
@@ -128,7 +128,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(__id, __key, lo, hi): runs of window starts of a row whose words also start in a row with a smaller __id.
+    """(__id, __key, lo, hi, starts): windows of a row (a run of starts, or a list) whose words also start in a row with a smaller __id.
 
     docs has __id (bigint, never null) and text (never null).
     """
@@ -147,12 +147,37 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     met = met.withColumn("w", F.expr("transform(hashes, (h, i) -> struct(start + i AS s, h AS h, array_contains(theirs, h) AS same))"))
     # Windows around one anchor that repeat in one place follow one another, so their first and last start tell them all.
     same, others = F.expr("filter(w, x -> x.same).s"), F.expr("transform(filter(w, x -> NOT x.same), x -> struct(x.s AS s, x.h AS h))")
-    met = cut(met.select("__id", "__key", "anchor", "l_id", F.array_min(same).alias("lo"), F.array_max(same).alias("hi"), others.alias("others")))
-    first = met.filter("__id > l_id AND lo IS NOT NULL").select("__id", "__key", "lo", "hi")
-    rest = met.select("__id", "__key", "anchor", F.explode("others").alias("x")).select("__id", "__key", "anchor", F.col("x.s").alias("s"), F.col("x.h").alias("h"))
+    met = cut(met.select("__id", "__key", "anchor", "at", "l_id", F.array_min(same).alias("lo"), F.array_max(same).alias("hi"), others.alias("others")))
+    none = F.lit(None).cast("array<int>").alias("starts")
+    found = met.filter("__id > l_id AND lo IS NOT NULL").select("__id", "__key", "lo", "hi", none)
+    rest = met.select("__id", "__key", "anchor", "at", "others")
+    # Twice more with further leads, those of occurrences whose first (then last) open window is the same, ...
+    for place in (1, -1):
+        rest = _met_again(rest.filter("size(others) > 0"), place)
+        nothing = F.lit(None).cast("int")
+        found = found.union(rest.filter("size(gone) > 0").select("__id", "__key", nothing.alias("lo"), nothing.alias("hi"), F.col("gone").alias("starts")))
+    # ... and what is open then, the leads among it, window by window.
+    rest = cut(rest.select("__id", "__key", "anchor", F.explode("others").alias("x")).select("__id", "__key", "anchor", F.col("x.s").alias("s"), F.col("x.h").alias("h")))
     least = cut(rest.groupBy("anchor", "h").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).filter("least < most").select("anchor", "h", "least"))
-    second = rest.join(least, ["anchor", "h"]).filter("__id > least").select("__id", "__key", F.col("s").alias("lo"), F.col("s").alias("hi"))
-    return first.union(second)
+    last = rest.join(least, ["anchor", "h"]).filter("__id > least").select("__id", "__key", F.col("s").alias("lo"), F.col("s").alias("hi"), none)
+    return found.union(last)
+
+
+def _met_again(rest: DataFrame, place: int) -> DataFrame:
+    """rest (__id, __key, anchor, at, others) with gone: starts of the windows that a lead with a smaller __id has too; others keeps what is still open.
+
+    The lead of an anchor and an edge window keeps all its own windows, so dropping those of later rows loses no
+    provider: whoever has the same window still finds the lead's.
+    """
+    keyed = rest.withColumn("edge", F.element_at("others", place)["h"])
+    mine = F.struct("__id", "at", "__key")
+    leads = keyed.groupBy("anchor", "edge").agg(F.min_by(F.struct(F.col("__id").alias("l_id"), F.expr("transform(others, x -> x.h)").alias("theirs")), mine).alias("lead"), F.max("__id").alias("most"))
+    leads = cut(leads.filter("lead.l_id < most").select("anchor", "edge", "lead.l_id", "lead.theirs"))
+    joined = keyed.join(leads, ["anchor", "edge"], "left")
+    later = "l_id IS NOT NULL AND __id > l_id"
+    gone = F.expr(f"IF({later}, transform(filter(others, x -> array_contains(theirs, x.h)), x -> x.s), CAST(array() AS array<int>))")
+    open_ = F.expr(f"IF({later}, filter(others, x -> NOT array_contains(theirs, x.h)), others)")
+    return cut(joined.select("__id", "__key", "anchor", "at", gone.alias("gone"), open_.alias("others")))
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -164,7 +189,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     plain = named.select("__id", F.col("__text").alias("text"))
-    runs = repeats(plain, window).groupBy("__id").agg(F.collect_list(F.struct("__key", "lo", "hi")).alias("__runs"))
+    runs = repeats(plain, window).groupBy("__id").agg(F.collect_list(F.struct("__key", "lo", "hi", "starts")).alias("__runs"))
     joined = named.join(runs, "__id", "left").drop("__id")
     at_text, at_runs = joined.columns.index("__text"), joined.columns.index("__runs")
 
@@ -179,8 +204,8 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     gone = np.zeros(b - a + 1, np.int64)
                     for r in found.as_py() or []:
                         if r["__key"] == key[i]:
-                            gone[r["lo"]] += 1
-                            gone[r["hi"] + window] -= 1
+                            np.add.at(gone, r["starts"] or [r["lo"]], 1)
+                            np.add.at(gone, np.add(r["starts"] or [r["hi"]], window), -1)
                     stays = np.cumsum(gone[:-1]) == 0
                     at = np.flatnonzero(stays) + a
                     n.append(b - a)
