@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.words import SPACE, word_count, word_list
+from lodestone.llm.words import SPACE, word_count
 
 MIN_WORDS = 50
 #: Percent of the words that may lie in repeated 3-word windows, and that failed lines may take with them.
@@ -47,7 +47,7 @@ def line_fails(line: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Adds __q_n_words, __q_word_chars, __q_n_symbols, __q_n_dup_lines, __q_n_repeat_words, __q_n_lost (words of failed lines) and __q_clean.
+    """Adds __q_n_words, __q_word_chars, __q_n_symbols, __q_n_dup_lines, __q_n_repeat_words and __q_n_lost (words of failed lines).
 
     Null and empty texts measure 0. Columns of docs keep their names and values; docs must have text and no column
     that begins with __q_. Words in 3-word windows found twice or more are counted so: the windows' hashes are sorted
