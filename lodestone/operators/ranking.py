@@ -93,3 +93,12 @@ def group_by_file(hits: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("start_line", "symbol_name")))
     grouped = hits.groupBy("file_path").agg(F.min("rank").alias("first_rank"), F.max("score").alias("top_score"), F.count("*").alias("n_hits"), ordered.alias("__s"))
     return grouped.select("file_path", "first_rank", "top_score", "n_hits", F.array_join("__s.symbol_name", ", ").alias("symbols"))
+
+
+def numbered(rows: DataFrame, block: Column, *order: Column) -> DataFrame:
+    """Adds rank from 1 over all rows, without a window over them: rows are counted in blocks whose values rise with the order, and one row per block is summed up."""
+    rows = rows.withColumn("__b", block)
+    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("__b").agg(F.count("*").alias("__n")).select("__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
+    return rows.join(before, "__b").withColumn("rank", F.col("__before") + within).drop("__b", "__before")

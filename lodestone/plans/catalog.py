@@ -166,6 +166,18 @@ def retrieve_hybrid(read):
     return found.select("doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), F.round("raw_score", 6).alias("raw_score"))
 
 
+HITS = f"""{RANKED}, hits AS (
+  SELECT doc_id, source, lang, text, rank, 1.0::DOUBLE / rank AS score FROM documents
+  JOIN (SELECT doc_id, row_number() OVER (ORDER BY score DESC, rc NULLS LAST, rb NULLS LAST) AS rank FROM fused QUALIFY rank <= 20) USING (doc_id)
+)"""
+
+
+def _hits(read) -> DataFrame:
+    """The retrieval's best documents, ranked over all of them."""
+    found = ranking.retrieve(_chunks(read), QUERY, _query_vector(read), "doc_id")
+    return read("documents").select("doc_id", "source", "lang", "text").join(F.broadcast(found), "doc_id")
+
+
 @query(f"WITH {BM25}, r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm25 QUALIFY rank <= 20) SELECT doc_id, rank FROM r")
 def rerank_identity(read):
     return ranking.retrieve(_chunks(read), QUERY, None, "doc_id", mode="bm25", rerank=lambda hits: hits.select("doc_id", "raw_score")).select("doc_id", F.col("rank").cast("long").alias("rank"))
@@ -179,6 +191,15 @@ def group_hits_by_file(read):
     return ranking.group_by_file(hits).withColumn("top_score", F.round("top_score", 6))
 
 
+@query("""WITH hits AS (SELECT 'conv' || (conv_id // 20) AS file_path, role AS symbol_name, conv_id * 100 + turn AS start_line, row_number() OVER (ORDER BY conv_id, turn) AS rank FROM conversations)
+SELECT file_path, min(rank) AS first_rank, round(max(1.0::DOUBLE / rank), 6) AS top_score, count(*) AS n_hits, string_agg(symbol_name, ', ' ORDER BY start_line, symbol_name) AS symbols FROM hits GROUP BY file_path""")
+def group_hits_by_file_whole(read):
+    """All turns as hits, twenty conversations a file."""
+    turns = ranking.numbered(read("conversations").select("conv_id", "turn", "role"), F.floor(F.col("conv_id") / 1000), F.col("conv_id"), F.col("turn"))
+    hits = turns.select(F.concat(F.lit("conv"), F.floor(F.col("conv_id") / 20)).alias("file_path"), F.col("role").alias("symbol_name"), (F.col("conv_id") * 100 + F.col("turn")).alias("start_line"), "rank", (1.0 / F.col("rank")).cast("double").alias("score"))
+    return ranking.group_by_file(hits).withColumn("top_score", F.round("top_score", 6))
+
+
 @query(f"WITH {SYMBOLS} SELECT * FROM symbols WHERE name = 'The'")
 def find_symbol(read):
     return graph.find_symbol(_symbols(read), "The")
@@ -583,3 +604,12 @@ def prompt_aggregate(read):
     groups = ranking.group_by_file(hits.withColumn("score", 1.0 / (F.col("rank") + 0.37)))
     reply = F.when(F.col("file_path") == "src3", "NOT_RELEVANT").otherwise(F.concat(F.lit("about "), "file_path"))
     return answering.evidence(groups.withColumn("reply", reply)).select("file_path", "block")
+
+
+# Both format halves upwards, as Spark does: DuckDB's printf takes the even digit.
+@query(f"""WITH {HITS}, replies AS (SELECT source, string_agg('`d' || doc_id || '`', ', ' ORDER BY doc_id) AS symbols, max(score) AS top FROM hits GROUP BY source)
+SELECT source AS file_path, '### `' || source || '` - ' || symbols || ' (top score=' || printf('%.3f', floor(top * 1000 + 0.5) / 1000) || ')' || chr(10) || 'about ' || source AS block FROM replies WHERE source <> 'src3'""")
+def prompt_aggregate_whole(read):
+    hits = _hits(read).select(F.col("source").alias("file_path"), F.concat(F.lit("d"), "doc_id").alias("symbol_name"), F.col("doc_id").alias("start_line"), "rank", "score")
+    reply = F.when(F.col("file_path") == "src3", "NOT_RELEVANT").otherwise(F.concat(F.lit("about "), "file_path"))
+    return answering.evidence(ranking.group_by_file(hits).withColumn("reply", reply)).select("file_path", "block")
