@@ -73,10 +73,10 @@ SYMBOLS = r"""symbols AS (
 )"""
 
 
-def _calls(read) -> DataFrame:
-    """Conversations as calls: a role's first words call the words after them."""
-    words = F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))
-    return read("conversations").select(F.concat(F.lit("conv"), F.col("conv_id") % 50).alias("file_path"), F.when(F.col("turn") == 0, "<module>").otherwise(F.col("role")).alias("symbol_name"), F.slice(words, 1, 5).alias("calls"))
+def _calls(read, words: int | None = 5) -> DataFrame:
+    """Conversations as calls: a role calls the first words of its text, or all with None."""
+    called = F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))
+    return read("conversations").select(F.concat(F.lit("conv"), F.col("conv_id") % 50).alias("file_path"), F.when(F.col("turn") == 0, "<module>").otherwise(F.col("role")).alias("symbol_name"), (F.slice(called, 1, words) if words else called).alias("calls"))
 
 
 CALLS = """calls AS (
@@ -84,6 +84,7 @@ CALLS = """calls AS (
     SELECT 'conv' || (conv_id % 50) AS file_path, CASE WHEN turn = 0 THEN '<module>' ELSE role END AS caller, regexp_extract_all(text, '[a-z]{3,}')[1:5] AS callees FROM conversations
   ) WHERE NOT starts_with(caller, '<')
 )"""
+ALL_CALLS = CALLS.replace("[1:5]", "")
 TOKENS = """tokens AS (
   SELECT doc_id, flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]+'), lambda w:
     list_concat([lower(w)], list_concat(list_transform(list_filter(string_split(w, '_'), lambda p: p <> ''), lambda p: lower(p)),
@@ -241,6 +242,16 @@ def callers_of(read):
     return graph.callers_of(graph.calls(_calls(read)), "the")
 
 
+@query(f"WITH {ALL_CALLS} SELECT file_path, caller, callee FROM calls")
+def derive_calls_whole(read):
+    return graph.calls(_calls(read, None))
+
+
+@query(f"WITH {ALL_CALLS} SELECT DISTINCT file_path, caller FROM calls WHERE callee = 'the' ORDER BY file_path, caller LIMIT 200")
+def callers_of_whole(read):
+    return graph.callers_of(graph.calls(_calls(read, None)), "the")
+
+
 NAMES = "SELECT part.p_partkey, replace(p_name, ' ', '/') || '/x.' || (['py', 'JS', 'tsx', 'go', 'rs', 'cs', 'c++', 'h', 'txt', 'inl'])[p_partkey % 10 + 1] AS path FROM part"
 
 

@@ -22,3 +22,11 @@ def test_aggregate_ranks_all_documents(spark, tmp_path):
     vectors = [(i, [1.0, 0.0]) for i in range(5)]
     d = write(spark, tmp_path, documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"), embeddings=(vectors, "vec_id long, embedding array<float>"))
     assert any("`d500`" in r.block for r in catalog.QUERIES["prompt_aggregate_whole"](spark, d).collect())
+
+
+def test_calls_name_every_word(spark, tmp_path):
+    turns = [(1, 0, "user", "one two"), (1, 1, "assistant", "alpha beta gamma delta epsilon the last alpha"), (2, 1, "user", None)]
+    d = write(spark, tmp_path, conversations=(turns, "conv_id long, turn long, role string, text string"))
+    want = {("conv1", "assistant", w) for w in "alpha beta gamma delta epsilon the last".split()}
+    assert {tuple(r) for r in catalog.QUERIES["derive_calls_whole"](spark, d).collect()} == want
+    assert [tuple(r) for r in catalog.QUERIES["callers_of_whole"](spark, d).collect()] == [("conv1", "assistant")]
