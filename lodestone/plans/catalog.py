@@ -50,9 +50,20 @@ FILES = """files AS (
 )"""
 
 
-def _imports(read) -> DataFrame:
+def _all_files(read) -> DataFrame:
+    """Every page as a source file of its own: host, path and page_id tell them apart."""
+    path = F.regexp_replace(F.regexp_extract("url", "://([^?#]*)", 1), "/$", "")
+    return read("pages").select(F.concat(path, F.lit("@"), "page_id", F.lit(".js")).alias("file_path"), "page_id", F.col("html").alias("text"))
+
+
+ALL_FILES = """files AS (
+  SELECT regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/$', '') || '@' || page_id || '.js' AS file_path, page_id, html AS text FROM pages
+)"""
+
+
+def _imports(read, pages=_files) -> DataFrame:
     links = F.regexp_extract_all("text", F.lit('href="/([^"]+)"'), F.lit(1))
-    return graph.imports(_files(read).select("file_path", links.alias("imports")))
+    return graph.imports(pages(read).select("file_path", links.alias("imports")))
 
 
 IMPORTS = f"""{FILES}, imports AS (
@@ -232,6 +243,16 @@ def files_importing(read):
     return graph.files_importing(_imports(read), "the")
 
 
+@query(ORACLES["imports_of"].replace(FILES, ALL_FILES))
+def imports_of_whole(read):
+    return _imports(read, _all_files)
+
+
+@query(ORACLES["files_importing"].replace(FILES, ALL_FILES))
+def files_importing_whole(read):
+    return graph.files_importing(_imports(read, _all_files), "the")
+
+
 @query(f"WITH {CALLS} SELECT file_path, caller, callee FROM calls")
 def derive_calls(read):
     return graph.calls(_calls(read))
@@ -289,8 +310,8 @@ DELTA = f"""{FILES}, stored AS (
 )"""
 
 
-def _delta(read) -> tuple[DataFrame, DataFrame]:
-    all_ = _files(read).select("file_path", "page_id", F.sha1("text").alias("sha1"))
+def _delta(read, pages=_files) -> tuple[DataFrame, DataFrame]:
+    all_ = pages(read).select("file_path", "page_id", F.sha1("text").alias("sha1"))
     stored = all_.filter("page_id % 5 > 0").withColumn("sha1", F.when(F.col("page_id") % 7 == 0, "old").otherwise(F.col("sha1")))
     seen = all_.filter("page_id % 6 > 0").withColumn("sha1", F.when(F.col("page_id") % 13 > 0, F.col("sha1")))
     return stored, seen
@@ -308,13 +329,33 @@ def index_summary(read):
 
 @query(f"""WITH {DELTA} SELECT file_path, sha1 FROM stored WHERE file_path NOT IN (SELECT file_path FROM actions WHERE action IN ('rebuilt', 'removed'))
 UNION ALL SELECT file_path, sha1 FROM seen WHERE file_path IN (SELECT file_path FROM actions WHERE action = 'rebuilt')""")
-def apply_snapshot(read):
-    stored, seen = _delta(read)
+def apply_snapshot(read, pages=_files):
+    stored, seen = _delta(read, pages)
     actions = files.delta(stored, seen)
     fresh = seen.join(actions.filter("action = 'rebuilt'"), "file_path", "left_semi").select("file_path", "sha1")
     return files.apply(stored.select("file_path", "sha1"), actions, fresh)
 
 
+@query(ORACLES["file_sha1"].replace(FILES, ALL_FILES))
+def file_sha1_whole(read):
+    return _all_files(read).select("file_path", F.sha1("text").alias("sha1"))
+
+
+@query(ORACLES["index_delta"].replace(FILES, ALL_FILES))
+def index_delta_whole(read):
+    return files.delta(*_delta(read, _all_files))
+
+
+@query(ORACLES["index_summary"].replace(FILES, ALL_FILES))
+def index_summary_whole(read):
+    return files.delta(*_delta(read, _all_files)).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query(ORACLES["apply_snapshot"].replace(FILES, ALL_FILES))
+def apply_snapshot_whole(read):
+    return apply_snapshot(read, _all_files)
+
+
 RESOLVED = """modules AS (
   SELECT DISTINCT replace(p_name, ' ', '.') || CASE p_partkey % 4 WHEN 0 THEN '.thing' WHEN 1 THEN '' WHEN 2 THEN '.h' ELSE '/a.h' END AS module FROM part
 ), files AS (
@@ -475,8 +516,8 @@ def diff_callers(read):
     return diff.callers(changed, calls)
 
 
-def _lines(read) -> DataFrame:
-    return chunking.lines_of(_files(read).select("file_path", F.replace(F.replace(F.col("text"), F.lit(">"), F.lit(">\n")), F.lit(";"), F.lit(";\n")).alias("text")))
+def _lines(read, pages=_files) -> DataFrame:
+    return chunking.lines_of(pages(read).select("file_path", F.replace(F.replace(F.col("text"), F.lit(">"), F.lit(">\n")), F.lit(";"), F.lit(";\n")).alias("text")))
 
 
 LINES = f"""{FILES}, lines AS (
@@ -497,6 +538,11 @@ def brace_block_end(read):
     return chunking.block_ends(_lines(read))
 
 
+@query(ORACLES["brace_block_end"].replace(FILES, ALL_FILES))
+def brace_block_end_whole(read):
+    return chunking.block_ends(_lines(read, _all_files))
+
+
 @query()
 def line_chunks_regex(read):
     code = F.concat(F.lit("import x from '"), "source", F.lit("';\nfunction f"), "doc_id", F.lit("(a) {\n  if (a) {\n    "), "lang", F.lit("(a);\n  }\n}\nclass C"), "doc_id", F.lit(" {\n  go() { }\n}\nconst "), "lang", F.lit(" = 1;"))

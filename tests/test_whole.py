@@ -1,5 +1,7 @@
 """The catalog's _whole queries lose no row, word or page."""
 
+import hashlib
+
 from lodestone.plans import catalog
 
 
@@ -30,3 +32,18 @@ def test_calls_name_every_word(spark, tmp_path):
     want = {("conv1", "assistant", w) for w in "alpha beta gamma delta epsilon the last".split()}
     assert {tuple(r) for r in catalog.QUERIES["derive_calls_whole"](spark, d).collect()} == want
     assert [tuple(r) for r in catalog.QUERIES["callers_of_whole"](spark, d).collect()] == [("conv1", "assistant")]
+
+
+def test_every_page_is_a_file(spark, tmp_path):
+    html = ['<a href="/the.one">{', '<a href="/two">}', "three", "three"]
+    urls = ["http://a.org/x/1", "http://b.org/x/1", "http://b.org/x/1?page=2", "http://b.org/x/1/#top"]
+    d = write(spark, tmp_path, pages=(list(zip(range(4), urls, html)), "page_id long, url string, html string"))
+    names = ["a.org/x/1@0.js", "b.org/x/1@1.js", "b.org/x/1@2.js", "b.org/x/1@3.js"]
+    got = {name: [tuple(r) for r in catalog.QUERIES[f"{name}_whole"](spark, d).collect()] for name in ("file_sha1", "imports_of", "files_importing", "index_delta", "index_summary", "apply_snapshot", "brace_block_end")}
+    assert sorted(got["file_sha1"]) == [(n, hashlib.sha1(h.encode()).hexdigest()) for n, h in zip(names, html)]
+    assert sorted(got["imports_of"]) == [(names[0], "the.one"), (names[1], "two")]
+    assert got["files_importing"] == [(names[0], "the.one")]
+    assert sorted(got["index_delta"]) == [(n, "unchanged") for n in names[1:]]  # page 0 is in neither state
+    assert got["index_summary"] == [("unchanged", 3)]
+    assert sorted(got["apply_snapshot"]) == sorted(got["file_sha1"])[1:]
+    assert {r[0] for r in got["brace_block_end"]} == set(names)
