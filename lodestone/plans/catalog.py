@@ -631,6 +631,22 @@ def prompt_per_file(read):
     return docs.groupBy(F.col("source").alias("file_path")).agg(ordered.alias("c")).select("file_path", F.array_join(block, "\n").alias("prompt"))
 
 
+@query(f"""WITH {HITS}, placed AS (
+  SELECT *, source || '/' || lang AS file_path, CAST(doc_id % 997 AS INTEGER) AS a, CAST(doc_id % 997 + len(string_split(text, chr(10))) AS INTEGER) AS b FROM hits
+), blocks AS (
+  SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY a, b, 'd' || doc_id) AS n FROM placed
+)
+SELECT file_path, min(rank) AS first_rank, 'Question:' || chr(10) || '{QUERY}' || chr(10) || chr(10) || 'File: `' || file_path || '` (' || lang || ')' || chr(10) || 'Retrieved chunks (in source order):' || chr(10) || chr(10)
+  || string_agg('### chunk ' || n || ': text `d' || doc_id || '` (lines ' || a || '-' || b || ', score=' || printf('%.3f', floor(score * 1000 + 0.5) / 1000) || ')' || chr(10) || chr(10) || '```' || chr(10) || text || chr(10) || '```', chr(10) ORDER BY n)
+  || chr(10) || chr(10) || 'Apply the rules in the system message.' AS prompt FROM blocks GROUP BY file_path, lang""")
+def prompt_per_file_whole(read):
+    """A prompt for each file of the retrieval's hits: lines, scores and texts included."""
+    start, lines = F.col("doc_id") % 997, F.size(F.split("text", "\n"))
+    place = [start.cast("int").alias("start_line"), (start + lines).cast("int").alias("end_line")]
+    hits = _hits(read).select(F.concat("source", F.lit("/"), "lang").alias("file_path"), F.col("lang").alias("language"), F.lit("text").alias("symbol_kind"), F.concat(F.lit("d"), "doc_id").alias("symbol_name"), *place, "score", "rank", "text")
+    return answering.file_prompts(hits, QUERY)
+
+
 @query("SELECT count(*) AS chunks, count(DISTINCT source) AS files FROM documents")
 def index_stats(read):
     return read("documents").agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("files"))

@@ -47,3 +47,11 @@ def test_every_page_is_a_file(spark, tmp_path):
     assert got["index_summary"] == [("unchanged", 3)]
     assert sorted(got["apply_snapshot"]) == sorted(got["file_sha1"])[1:]
     assert {r[0] for r in got["brace_block_end"]} == set(names)
+
+
+def test_prompts_hold_the_texts(spark, tmp_path):
+    docs = [(i, f"zzz {i}", "en", f"src{i % 3}", 20) for i in range(100)] + [(500, "the and\nthat with", "en", "last", 17)]
+    d = write(spark, tmp_path, documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"), embeddings=([(0, [1.0, 0.0])], "vec_id long, embedding array<float>"))
+    got = {r.file_path: r for r in catalog.QUERIES["prompt_per_file_whole"](spark, d).collect()}
+    assert got["last/en"].first_rank == 2 and "### chunk 1: text `d500` (lines 500-502, score=0.500)\n\n```\nthe and\nthat with\n```" in got["last/en"].prompt
+    assert sum(r.prompt.count("### chunk") for r in got.values()) == 20
