@@ -543,16 +543,26 @@ def brace_block_end_whole(read):
     return chunking.block_ends(_lines(read, _all_files))
 
 
+def _sources(read, end: str, code: Column, pages: Column, texts: Column) -> DataFrame:
+    """All pages and documents as (file_path, text): their whole texts in a form, the documents' followed by code."""
+    docs = read("documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(end)).alias("file_path"), F.concat(texts, F.lit("\n"), code).alias("text"))
+    page = F.concat(F.lit("pages/"), "page_id", F.lit(end)).alias("file_path")
+    return docs.union(read("pages").select(page, pages.alias("text")))
+
+
 @query()
 def line_chunks_regex(read):
     code = F.concat(F.lit("import x from '"), "source", F.lit("';\nfunction f"), "doc_id", F.lit("(a) {\n  if (a) {\n    "), "lang", F.lit("(a);\n  }\n}\nclass C"), "doc_id", F.lit(" {\n  go() { }\n}\nconst "), "lang", F.lit(" = 1;"))
-    return chunking.brace_chunks(read("documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".js")).alias("file_path"), code.alias("text")), "javascript")
+    tags = F.replace(F.replace(F.coalesce("html", F.lit("")), F.lit(">"), F.lit(">\n")), F.lit(";"), F.lit(";\n"))
+    return chunking.brace_chunks(_sources(read, ".js", code, tags, F.coalesce("text", F.lit(""))), "javascript")
 
 
 @query()
 def python_ast_chunks(read):
+    """Documents as comments above code, so that most parse; pages as they are, which don't."""
     code = F.concat(F.lit("from ."), "lang", F.lit(" import thing\n\nclass C"), "doc_id", F.lit(":\n    def run(self):\n        return self."), "lang", F.lit("(len('"), F.col("n_chars").cast("string"), F.lit("'))\n\nasync def g():\n    pass\n"), F.when(F.col("doc_id") % 10 == 0, "broken(").otherwise("print(g)"))
-    return chunking.python_chunks(read("documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".py")).alias("file_path"), code.alias("text")))
+    remarks = F.concat(F.lit("# "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n# ")))
+    return chunking.python_chunks(_sources(read, ".py", code, F.coalesce("html", F.lit("")), remarks))
 
 
 BLAME = "SELECT CAST(user_id AS VARCHAR) AS author, event_type AS rev, ts FROM events"

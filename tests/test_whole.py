@@ -1,7 +1,9 @@
 """The catalog's _whole queries lose no row, word or page."""
 
 import hashlib
+import re
 
+from lodestone.operators import chunking
 from lodestone.plans import catalog
 
 
@@ -55,3 +57,47 @@ def test_prompts_hold_the_texts(spark, tmp_path):
     got = {r.file_path: r for r in catalog.QUERIES["prompt_per_file_whole"](spark, d).collect()}
     assert got["last/en"].first_rank == 2 and "### chunk 1: text `d500` (lines 500-502, score=0.500)\n\n```\nthe and\nthat with\n```" in got["last/en"].prompt
     assert sum(r.prompt.count("### chunk") for r in got.values()) == 20
+
+
+DOCS = [(1, "Ä long { text\n\nclass Größe {\n}}}\nfunction é(x) {\nopen(", "de", "s", 9), (10, "x\ty\n", "en", "s", 3), (3, None, "en", "t", 0)]
+HTML = [(7, "<p>a;function g(){b;}<i>class K {if(q){;"), (8, "plain"), (9, None)]
+
+
+def brute_chunks(path, text):
+    """Line by line and character by character."""
+    lines, taken, out = text.split("\n"), set(), []
+    for i, line in enumerate(lines):
+        hit = next(((k, m[1]) for k, p in chunking.PATTERNS["javascript"] if (m := re.search(p, line))), None)
+        if hit is None:
+            continue
+        depth, end = 0, None
+        for j in range(i, len(lines)):
+            for c in lines[j]:
+                if c == "{":
+                    depth += 1
+                elif c == "}" and depth:
+                    depth -= 1
+                    if depth == 0 and end is None:
+                        end = j
+            if end is not None:
+                break
+        end = len(lines) - 1 if end is None else end
+        body = "\n".join(lines[i : end + 1])
+        out.append((path, hit[1], hit[0], i + 1, end + 1, body, tuple(sorted(set(re.findall(chunking.CALL, body))))))
+        taken |= set(range(i, end + 1))
+    rest = "\n".join(x for i, x in enumerate(lines) if i not in taken)
+    return out + ([(path, "<module>", "module", 1, len(lines), rest.strip(), ())] if rest.strip() else [])
+
+
+def test_chunkers_read_whole_texts(spark, tmp_path):
+    d = write(spark, tmp_path, documents=(DOCS, "doc_id long, text string, lang string, source string, n_chars long"), pages=(HTML, "page_id long, html string"))
+    tail = "import x from '{s}';\nfunction f{i}(a) {{\n  if (a) {{\n    {l}(a);\n  }}\n}}\nclass C{i} {{\n  go() {{ }}\n}}\nconst {l} = 1;"
+    files = {f"{s}/{i}.js": f"{t or ''}\n{tail.format(s=s, i=i, l=lang)}" for i, t, lang, s, _ in DOCS}
+    files |= {f"pages/{i}.js": (t or "").replace(">", ">\n").replace(";", ";\n") for i, t in HTML}
+    got = catalog.QUERIES["line_chunks_regex"](spark, d).collect()
+    assert sorted((r.file_path, r.symbol_name, r.symbol_kind, r.start_line, r.end_line, r.text, tuple(r.calls)) for r in got) == sorted(x for f in files.items() for x in brute_chunks(*f))
+
+    got = {(r.file_path, r.symbol_name): r for r in catalog.QUERIES["python_ast_chunks"](spark, d).collect()}
+    assert got["s/1.py", "<module>"].text.startswith("# " + DOCS[0][1].replace("\n", "\n# ") + "\nfrom .de import thing")
+    assert got["s/1.py", "C1.run"].start_line == 10 and got["s/10.py", "<file>"].text.startswith("# x\ty\n# \nfrom")
+    assert got["pages/7.py", "<file>"].text == HTML[0][1] and got["pages/8.py", "<module>"].text == "plain" and got["t/3.py", "g"].symbol_kind == "async_function"
