@@ -12,10 +12,13 @@ BROADCAST_ROWS = 200_000
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the cluster's shared spark.checkpoint.dir; a temporary folder serves only where that is unset, as in tests."""
+    """Checkpoints go to the cluster's shared spark.checkpoint.dir; where that is unset, local mode takes a temporary folder and a cluster is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

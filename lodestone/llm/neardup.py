@@ -2,8 +2,10 @@
 
 Texts with equal shingle sets become one node first. Bands of minima bring nodes into buckets; a bucket is never
 expanded into its pairs. Instead each node of a bucket is compared with one leader of it, links found so far make
-components, and a second round compares only nodes of different components. What remains (nodes that share a bucket
-but no component) is compared in full, large buckets block by block inside the tasks, so no link between two
+components, and a second round compares only nodes of different components. Of what remains (nodes that share a
+bucket but no component), those drop out that can't link at all, as too few of their shingles occur in any other open
+node. The others are compared in full inside the tasks: overlapping buckets together where they fit one block of
+bounded size, larger buckets block by block, so a node's set is not sent once per pair and no link between two
 components is missed that any band has brought together.
 
 A pair of similarity 0.85 misses all 20 bands of 6 minima with probability 8e-5, one of 0.9 with 3e-7; one of 0.8
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.cluster import BROADCAST_ROWS, apart, cut
+from lodestone.llm.cluster import apart, cut, small
 from lodestone.llm.components import components
 from lodestone.llm.words import chunks, mix, signed, words_of
 
@@ -27,8 +29,8 @@ SHINGLE = 5
 #: One set of minima, cut into bands by the threshold (percent): 20 of 6 from 85 on, 24 of 5 below.
 MINIMA = 120
 LEADER_ROUNDS = 2
-#: Of what the leaders leave, buckets of so many nodes are compared in pairs, larger ones in blocks of about BLOCK nodes.
-PAIRED, BLOCK, COLUMNS = 32, 256, 4096
+#: What the leaders leave is compared in blocks of about so many shingles (8 bytes each), COLUMNS at a time; a node counts as LEAST at least, which bounds a block's nodes.
+BLOCK, COLUMNS, LEAST = 500_000, 4096, 250
 #: A signature may lie this far below the threshold: five standard errors of 120 minima at 0.8.
 SLACK = 0.19
 _U = np.uint64
@@ -78,20 +80,27 @@ def signatures(docs: DataFrame, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(node, signature, shingles): minima as 4-byte and set as 8-byte binaries."""
+    """(node, signature, shingles): minima as 4-byte binaries, the sorted set as longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 sets = list(shingle_sets(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([minima(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "signature", "shingles"])
+                edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(signed(np.concatenate(sets))))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([minima(s).tobytes() for s in sets], pa.binary()), lists], ["node", "signature", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "node long, signature binary, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "node long, signature binary, shingles array<long>")
+
+
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    """The sets of a column, as views of its values."""
+    values, edges = column.flatten().to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(edges - edges[0], edges[1:] - edges[0], strict=False)]
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose exact similarity is at least threshold percent; their signatures are compared first."""
-    signed_ = sets.select("node", "signature")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,19 +110,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
+            for x, y in zip(_rows(batch.column(2)), _rows(batch.column(3)), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def beside(pairs: DataFrame, side: DataFrame, what: str) -> DataFrame:
-        left = side.select(F.col("node").alias("a"), F.col(what).alias("x"))
-        right = side.select(F.col("node").alias("b"), F.col(what).alias("y"))
+    def beside(pairs: DataFrame, what: str) -> DataFrame:
+        left = sets.select(F.col("node").alias("a"), F.col(what).alias("x"))
+        right = sets.select(F.col("node").alias("b"), F.col(what).alias("y"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
-    likely = beside(pairs, signed_, "signature").mapInArrow(near, "a long, b long").distinct()
-    return beside(likely, sets, "shingles").mapInArrow(exact, "a long, b long").distinct()
+    likely = beside(pairs, "signature").mapInArrow(near, "a long, b long").distinct()
+    return beside(likely, "shingles").mapInArrow(exact, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, threshold: int = 85) -> DataFrame:
@@ -121,85 +129,104 @@ def link(docs: DataFrame, threshold: int = 85) -> DataFrame:
 
     Links join documents whose sets of 5-word shingles have 100 * intersection >= threshold * union; component_id is
     the least doc_id reachable. Null, empty and blank texts have no shingles and no links. Rows that share a doc_id
-    count as one document and stay separate rows. A row without doc_id links with nothing: component_id is null and
-    it is kept. An empty table gives an empty one.
+    count as one document, whatever their texts, and stay separate rows. A row without doc_id links with nothing:
+    component_id is null and it is kept. An empty table gives an empty one.
     """
     rows = cut(signatures(docs, 6 if threshold >= 85 else 5))
-    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    classes = cut(classes)
-    firsts = rows.join(classes, ["set_a", "set_b"]).filter("doc_id = node").select("node", "bands").dropDuplicates(["node", "bands"])
-    banded = cut(firsts.select("node", F.explode("bands").alias("bucket")))
+    # A class per set; its node is the least doc_id that has it, so classes of one node are one document's.
+    classes = cut(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    banded = classes.select("node", F.explode("bands").alias("bucket"))
     full = cut(banded.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("bucket"))  # written out, so that AQE can split hot keys of the join
     members = cut(banded.join(full, "bucket").distinct())
     nodes = cut(members.select("node").distinct())
-    few = nodes.count() <= BROADCAST_ROWS
     ids = nodes.withColumnRenamed("node", "doc_id")
-    sets = cut(_sets(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")))
-    links = _rounds(members, sets, threshold)
-    # Rows that share a doc_id across classes: the doc_id holds their nodes together.
-    shared = rows.join(classes, ["set_a", "set_b"]).filter("doc_id IS NOT NULL AND n_shingles > 0").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
-    repeated = shared.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).filter("x < y")
-    tied = repeated.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    own = classes.join(shared.select(F.col("a").alias("node")).distinct(), "node", "left_semi")  # a doc_id that is a node and a copy of another
-    both = shared.join(own.select(F.col("node").alias("a")), "a", "left_semi")
-    found = components(links.union(tied).union(both))
-    named = classes.join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
-    out = rows.drop("bands").join(cut(named), ["set_a", "set_b"], "left")
-    own_id = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    sets = cut(_sets(docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")))
+    named = cut(rows.drop("bands").join(classes.drop("bands"), ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")))
+    # Rows that share a doc_id hold all nodes of their classes together.
+    spread = named.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("doc_id")
+    tied = named.join(apart(spread, "doc_id"), "doc_id").filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    found = cut(components(_links(members, sets, threshold).union(tied)))
+    out = named.join(found, "node", "left")
+    own_id = F.coalesce("component", "node", "doc_id")
     return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.coalesce(F.col("doc_id") == own_id, F.lit(True)).alias("kept"))
 
 
-def _open(members: DataFrame, stars: DataFrame | None) -> DataFrame:
-    """(bucket, node, component) of the buckets that still hold more than one component. stars: components so far."""
-    labelled = members.withColumn("component", F.col("node")) if stars is None else members.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, node, component) of the buckets that still hold more than one component. labels: (node, component) so far."""
+    labelled = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
     return cut(labelled.join(apart(mixed, "x").select("bucket"), "bucket"))
 
 
-def _rounds(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) that connect all components of verified pairs within the buckets."""
-    stars, links, seen = None, None, None
+def _links(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) that connect all components of verified pairs within the buckets of members (bucket, node)."""
+    labels = None
     for round_ in range(LEADER_ROUNDS):
-        left = _open(members, stars)
+        left = _open(members, labels)
         order: Column = F.struct(F.lit(0).cast("long").alias("h"), "node") if round_ == 0 else F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node")
         leaders = left.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "component")).alias("l")).select("bucket", F.col("l.o.node").alias("b"), F.col("l.component").alias("c"))
         met = left.join(apart(leaders, "b"), "bucket").filter("component <> c").groupBy("node", "b").agg(F.count("*").alias("n"))
         # Each node meets the leader that it shares most buckets with.
         pairs = met.groupBy("node").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select(F.greatest("node", -F.col("m.b")).alias("a"), F.least("node", -F.col("m.b")).alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        new = cut(_verified(pairs, sets, threshold))
-        seen = pairs if seen is None else seen.union(pairs)
-        links = new if links is None else links.union(new)
-        so_far = new if stars is None else new.union(stars.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        stars = cut(components(so_far))
-    left = _open(members, stars)
-    sizes = cut(left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")))
-    few, many = sizes.filter(F.col("n") <= PAIRED), sizes.filter(F.col("n") > PAIRED)
-    side = left.join(few.select("bucket"), "bucket")
-    x, y = side.select("bucket", F.col("node").alias("a"), F.col("component").alias("p")), side.select("bucket", F.col("node").alias("b"), F.col("component").alias("q"))
-    rest = x.join(y, "bucket").filter("a > b AND p <> q").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
-    return links.union(_verified(cut(rest), sets, threshold)).union(_by_blocks(left.join(many, "bucket"), sets, threshold))
-
-
-def _by_blocks(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links between different components of each bucket (bucket, node, component, blocks), exact.
-
-    A bucket is dealt by hash into blocks of about BLOCK nodes. A task gets two blocks with their sets and counts the
-    shingles that each two nodes share by matrix products; only links leave it.
+        links = _verified(cut(pairs), sets, threshold)
+        if labels is not None:
+            links = links.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = cut(components(links))
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return known.union(_by_blocks(*_linkable(_open(members, labels), sets, threshold), threshold))
+
+
+def _linkable(left: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Of left (bucket, node, component), the nodes that may link, with n shingles; and their sets.
+
+    A node that links has at least threshold percent of its shingles in common with one other open node, so one of
+    which more shingles are its own alone can't. A count per shingle and one per node tell; nothing is approximate.
+    """
+    held = cut(left.select("node").distinct().join(sets.select("node", "shingles"), "node"))
+    alone = held.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+    owned = alone.groupBy("node").agg(F.count("*").alias("owned"))
+    # Rows that share a node (a doc_id with several texts) are judged by the sum of their sets, and so dropped no sooner.
+    sizes = held.groupBy("node").agg(F.sum(F.size("shingles")).alias("n"), F.min(F.size("shingles")).alias("least"))
+    kept = cut(sizes.join(owned, "node", "left").filter(f"(n - coalesce(owned, 0)) * 100 >= least * {threshold}").select("node", F.greatest("n", F.lit(LEAST)).alias("n")))
+    left = left.join(kept, "node")
+    mixed = left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    return cut(left.join(apart(mixed, "x").select("bucket"), "bucket")), held
+
+
+def _groups(left: DataFrame) -> DataFrame:
+    """(key, node, component, blocks): the buckets of left (bucket, node, component, n), overlapping ones joined into one group where all of it fits a block.
+
+    A node's home is the least of its buckets, a bucket's group the least home of its nodes; nodes that share a bucket
+    share its group, so a group compares all pairs that its buckets would, and most nodes are in few groups.
+    """
+    home = left.groupBy("node").agg(F.min("bucket").alias("home"))
+    group = left.join(apart(home, "home"), "node").groupBy("bucket").agg(F.min("home").alias("group"), F.sum("n").alias("total"))
+    placed = cut(left.join(apart(group, "group"), "bucket"))
+    nodes = placed.select("group", "node", "component", "n").distinct()
+    sizes = cut(nodes.groupBy("group").agg(F.sum("n").alias("all")))
+    fits = nodes.join(sizes.filter(F.col("all") <= BLOCK), "group").select(F.col("group").alias("key"), "node", "component", F.lit(1).alias("blocks"))
+    large = placed.join(sizes.filter(F.col("all") > BLOCK), "group").select(F.col("bucket").alias("key"), "node", "component", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
+    return fits.union(large)
+
+
+def _by_blocks(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links that connect the components of left (bucket, node, component, n) as all verified pairs within its buckets would.
+
+    A group is dealt by hash into blocks. A task gets two blocks with their sets and counts the shingles that each two
+    nodes share by matrix products; only a spanning forest of the links found leaves it.
     """
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-    rows = dealt.join(sets.select("node", "shingles"), "node")
+    dealt = _groups(left).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
+    rows = cut(dealt).join(sets.select("node", "shingles"), "node")
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         own, node, component = (table.column(c).to_numpy() for c in ("own", "node", "component"))
-        lists = [np.frombuffer(x.as_py(), _U) for x in table.column("shingles")]
-        n = np.array([len(x) for x in lists])
-        _, code, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        lists = table.column("shingles").chunk(0)
+        n = np.diff(lists.offsets.to_numpy())
+        _, code, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(n)), n)
         common = count[code] > 1  # a shingle of one node is shared by none
         dense = np.cumsum(count > 1) - 1
@@ -207,16 +234,35 @@ def _by_blocks(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
         order = np.argsort(code, kind="stable")
         row, code = row[order], code[order]
         a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        width = int((count > 1).sum())
         both = np.zeros((len(a), len(b)), np.float32)
-        for at in range(0, int((count > 1).sum()), COLUMNS):
+        for at in range(0, width, COLUMNS):
             part = slice(*np.searchsorted(code, [at, at + COLUMNS]))
-            has = np.zeros((len(n), COLUMNS), np.float32)
+            has = np.zeros((len(n), min(COLUMNS, width - at)), np.float32)
             has[row[part], code[part] - at] = 1
             both += has[a] @ has[b].T
         union = n[a][:, None] + n[b][None, :] - both
         near = (100 * both >= threshold * union) & (component[a][:, None] != component[b][None, :])
-        x, y = np.nonzero(near)
+        x, y = _forest(near)
         x, y = node[a[x]], node[b[y]]
         return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
 
-    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def _forest(near: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of a matrix of links between rows and columns, as few as connect the same ones."""
+    new = [near.any(axis=1), near.any(axis=0)]
+    xs: list[int] = []
+    ys: list[int] = []
+    for start in np.flatnonzero(new[0]):
+        todo = [(0, start)] if new[0][start] else []
+        new[0][start] = False
+        while todo:
+            side, at = todo.pop()
+            met = np.flatnonzero((near[:, at] if side else near[at]) & new[1 - side])
+            new[1 - side][met] = False
+            todo += [(1 - side, k) for k in met]
+            xs += met.tolist() if side else [int(at)] * len(met)
+            ys += [int(at)] * len(met) if side else met.tolist()
+    return xs, ys

@@ -1,6 +1,8 @@
 import re
 from itertools import combinations
 
+import numpy as np
+
 from lodestone.llm import components, neardup, queries
 from tests.llm.helpers import SCHEMA, odd, words
 
@@ -77,3 +79,87 @@ def test_lower_threshold(spark):
     docs += [(100 + i, " ".join(base[: 300 - 2 * i]), "s") for i in range(60)]
     df = spark.createDataFrame(docs, SCHEMA)
     assert got(neardup.link(df, 80)) == brute(df.collect(), 80)
+
+
+def test_one_doc_id_over_many_texts(spark):
+    """A doc_id whose rows fall in three classes holds all of them together, at every place in the order."""
+    texts = ["a b c d e f g", "p q r s t u v", "k l m n o i j", "1 2 3 4 5 6 7"]
+    docs = [(i + 1, t, "s") for i, t in enumerate(texts[:3])] + [(5, t, "s") for t in texts[:3]] + [(9, texts[3], "s"), (9, "only here it is said", "s"), (9, texts[3], "s"), (8, texts[3], "s")]
+    got_ = {(r.doc_id, r.component_id, r.kept) for r in neardup.link(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got_ == {(1, 1, True), (2, 1, False), (3, 1, False), (5, 1, False), (9, 8, False), (8, 8, True)}
+
+
+def near_copies(n, words_, changed, seed=5):
+    """Copies of one text, each with some words changed for words of its own."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(words_)]
+    out = []
+    for k in range(n):
+        text = list(base)
+        for at in rng.choice(words_, changed(k), replace=False):
+            text[at] = f"x{k}y{at}"
+        out.append((k, " ".join(text), "s"))
+    return out
+
+
+def sparse_brute(rows, threshold):
+    """Components by exact counts over an inverted index, for groups that are too large for pairs in Python."""
+    sets = [shingles(t) for _, t, _ in rows]
+    ids = {}
+    coded = [np.array([ids.setdefault(x, len(ids)) for x in s]) for s in sets]
+    n = np.array([len(s) for s in sets])
+    has = np.zeros((len(rows), len(ids)), np.float32)
+    for i, c in enumerate(coded):
+        has[i, c] = 1
+    has = has[:, has.sum(axis=0) > 1]
+    both = has @ has.T
+    near = 100 * both >= threshold * (n[:, None] + n[None, :] - both)
+    label = np.arange(len(rows))
+    while True:
+        new = np.array([label[near[i]].min(initial=label[i]) for i in range(len(rows))])
+        new = new[new]
+        if (new == label).all():
+            return {rows[i][0]: rows[label[i]][0] for i in range(len(rows))}
+        label = new
+
+
+def test_large_group_just_under_the_threshold(spark, monkeypatch):
+    """3,000 near copies of which few link; compared in several blocks."""
+    rows = near_copies(3000, 150, lambda k: k % 9)
+    want = sparse_brute(rows, 85)
+    assert 300 < len(set(want.values())) < 2900
+    for block in (neardup.BLOCK, 60_000):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        got_ = {r.doc_id: r.component_id for r in neardup.link(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert got_ == want
+
+
+def test_forest():
+    rng = np.random.default_rng(8)
+    near = rng.random((60, 70)) < 0.02
+    x, y = neardup._forest(near)
+    assert near[x, y].all()
+
+    def parts(edges):
+        root = list(range(130))
+
+        def find(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for a, b in edges:
+            root[find(a)] = find(60 + b)
+        return [find(v) for v in range(130)]
+
+    a, b = parts(zip(*np.nonzero(near), strict=True)), parts(zip(x, y, strict=True))
+    assert len({*zip(a, b, strict=True)}) == len(set(a)) == len(set(b))
+
+
+def test_recall_over_all_pairs(spark):
+    """Every component of the larger tables that brute force finds, no fewer and no more."""
+    data = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text, "") for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    want = sparse_brute([r for r in rows if shingles(r[1])], 85)
+    got_ = {r.doc_id: r.component_id for r in queries.op6_minhash_neardup(spark, data).collect() if r.n_shingles}
+    assert got_ == want
