@@ -2,7 +2,8 @@
 
 Each term has a weight and a short vector; the score adds the weights of a text's terms and the dot products of all
 pairs of their vectors (in time linear in the number of terms), so pairs can tell what single terms can't. It learns
-from a bounded sample of labelled documents; scoring reads every whole text in the tasks, with the model broadcast.
+from a bounded sample of labelled documents, in one task: the driver sees the model alone, never a text or its terms.
+Scoring reads every whole text in the tasks, with the model broadcast.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from lodestone.llm.words import NO_LETTERS, chunks, words_of
 
 #: Terms share so many hashed slots; the model's size is fixed by it.
 BITS = 18
-#: About so many labelled documents are learnt from (all, if there are fewer), taken by a hash of doc_id.
+#: About so many labelled documents are learnt from (all, if there are fewer), taken by a hash of doc_id. One task holds their slots (4 bytes per distinct term).
 TRAIN_ROWS = 20_000
 #: A term counts whole and by so many first bytes, so that rare forms of a learnt stem count too.
 STEM = 4
@@ -58,23 +59,28 @@ def term_slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words = words_of(column, fold=True, separators=NO_LETTERS)
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first)).astype(_U) << _U(BITS)
     both = np.unique(np.concatenate([text | (words.hashes >> _U(64 - BITS)), text | (words.heads(STEM) >> _U(64 - BITS))]))
-    return (both & _U(2**BITS - 1)).astype(np.int64), np.searchsorted(both, np.arange(len(words.first), dtype=_U) << _U(BITS))
+    return (both & _U(2**BITS - 1)).astype(np.int32), np.searchsorted(both, np.arange(len(words.first), dtype=_U) << _U(BITS))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], seed: int = 1) -> Model:
-    """Logistic loss by Adagrad over small batches; the classes weigh the same. Without both labels the score is constant."""
+def fit(rows: list[tuple[np.ndarray, int]], seed: int = 1, spread: float = 0.01) -> Model:
+    """Logistic loss by Adagrad over small batches; the classes weigh the same. Without both labels the score is constant.
+
+    Vectors start at random values of this spread; at 0 they stay 0, which leaves the linear score.
+    """
     y = np.array([r[1] for r in rows], float)
     model = Model(0.0, np.zeros(2**BITS, np.float32), np.zeros((2**BITS, FACTORS), np.float32))
     if not len(y) or y.min() == y.max():
         model.bias = -5.0 if not len(y) or y.max() == 0 else 5.0
         return model
-    seen = np.bincount(np.concatenate([r[0] for r in rows]), minlength=2**BITS)
+    seen = np.zeros(2**BITS, np.int64)
+    for slots, _ in rows:
+        seen[slots] += 1
     kept = np.flatnonzero(seen >= min(max(MIN_DOCS, MIN_SHARE * len(y)), len(y) // 10 + 1))
-    number = np.full(2**BITS, -1)
-    number[kept] = np.arange(len(kept))
+    number = np.full(2**BITS, -1, np.int32)
+    number[kept] = np.arange(len(kept), dtype=np.int32)
     ids = [n[n >= 0] for n in (number[r[0]] for r in rows)]
     rng = np.random.default_rng(seed)
-    w, v, b = np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)), 0.0
+    w, v, b = np.zeros(len(kept)), rng.normal(0, 1, (len(kept), FACTORS)) * spread, 0.0
     gw, gv, gb = np.full(len(kept), 1e-3), np.full((len(kept), FACTORS), 1e-3), 1e-3
     cost = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     steps = -(-len(y) // BATCH)
@@ -109,8 +115,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[np.ndarray, int]]:
-    """(slots, label) of about so many labelled documents outside the held-out fifth, in a fixed order. Null labels and doc_ids are left out."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, toxic, slots) of about so many labelled documents outside the held-out fifth; slots are 4-byte binaries. Null labels and doc_ids are left out."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     share = min(1.0, rows / max(1, usable.count()))
     usable = usable.filter(F.xxhash64("doc_id", F.lit("train")) <= F.lit(min(2**63 - 1, int(share * 2.0**64) - 2**63)))
@@ -123,14 +129,30 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[t
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.binary())], ["doc_id", "toxic", "slots"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    joined = texts.join(small(usable), "doc_id").select("doc_id", "toxic", "text")
-    found = joined.mapInArrow(run, "doc_id long, toxic int, slots binary").collect()
-    return [(np.frombuffer(r.slots, "<i4").astype(np.int64), r.toxic) for r in sorted(found, key=lambda r: (r.doc_id, bytes(r.slots)))]
+    return texts.join(small(usable), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, slots binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model of labels.toxic from the texts alone."""
-    return fit(sample(docs, labels, rows))
+    """A model of labels.toxic from the texts alone.
+
+    The sample meets sorted in one task, which its bound allows, so reruns and retried tasks give the same model; only
+    slots that were learnt travel to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(np.frombuffer(slots, "<i4"), toxic) for batch in batches for toxic, slots in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        m = fit(found)
+        used = np.flatnonzero(m.weights != 0)
+        yield pa.RecordBatch.from_arrays([pa.array([m.bias]), *(pa.array([x.tobytes()], pa.binary()) for x in (used, m.weights[used], m.vectors[used]))], ["bias", "used", "weights", "vectors"])
+
+    learnt = sample(docs, labels, rows).repartition(1).sortWithinPartitions("doc_id", "slots", "toxic")
+    row = learnt.mapInArrow(run, "bias double, used binary, weights binary, vectors binary").first()
+    model = Model(0.0, np.zeros(2**BITS, np.float32), np.zeros((2**BITS, FACTORS), np.float32))
+    if row is None:  # an empty partition runs no task
+        return fit([])
+    used = np.frombuffer(row.used, np.int64)
+    model.bias, model.weights[used], model.vectors[used] = row.bias, np.frombuffer(row.weights, np.float32), np.frombuffer(row.vectors, np.float32).reshape(-1, FACTORS)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
