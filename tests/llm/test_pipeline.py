@@ -1,9 +1,11 @@
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestone.llm import toxicity
 from tests.llm import test_neardup, test_substrings
-from tests.llm.helpers import words
+from tests.llm.helpers import odd, words
 
 DATA = "/root/testdata/sf0.001"
 
@@ -43,3 +45,29 @@ def test_stages_by_brute_force(spark, tmp_path):
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_odd_rows(spark, tmp_path):
+    """Each stage takes nulls, empty and blank texts, ties, repeated rows, a missing doc_id and an empty table."""
+    docs = odd(spark).select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"))
+    labels = tmp_path / "labels.parquet"
+    spark.createDataFrame([(5, 1), (6, 0), (4, None), (None, 1)], "doc_id long, toxic int").write.parquet(str(labels))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, docs, str(tmp_path)).collect()
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name != "packing":
+            assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        if name == "near_duplicates":
+            assert sorted((r.doc_id or -1, r.text or "") for r in rows) == sorted({(r.doc_id or -1, r.text or "") for r in docs.collect()})
+        if name == "repeated_passages":
+            assert len(rows) == docs.count()
+        if name == "packing":
+            assert sum(r.piece == 0 for r in rows) == docs.count()
+
+
+def test_repeated_rows_stay_once(spark):
+    texts = ["a b c d e f g h", "one two three four five six", "a b c d e f g h"]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[0]), (2, texts[0]), (3, texts[1]), (3, "quite another text is this"), (None, "x"), (None, "x")], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == [(-1, "x"), (-1, "x"), (1, texts[0]), (3, texts[1])]
