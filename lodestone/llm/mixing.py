@@ -47,11 +47,12 @@ def targets(sources: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
             F.coalesce(F.sum(F.when(~capped, F.col("weight"))), F.lit(0)),
         ).first()
         rest = total - held
+        shared = F.lit(rest).cast("long") if isinstance(rest, int) else F.lit(rest)  # as an int, weight times it could overflow
         if n == n_capped or not weights:
             break
         n_capped = n
-        capped = F.col("weight") * F.lit(rest) > cap * F.lit(weights)
-    share = F.col("weight") * F.lit(rest) / F.lit(weights or 1)
+        capped = F.col("weight") * shared > cap * F.lit(weights)
+    share = F.col("weight") * shared / F.lit(weights or 1)
     return sources.withColumn("target", F.when(capped, cap).otherwise(share).cast("double"))
 
 

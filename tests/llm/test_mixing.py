@@ -71,3 +71,14 @@ def test_given_weights(spark):
     weights = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, weight double")
     per = {r.source: r.n for r in mixing.emit(mixing.mix(docs, weights)).groupBy("source").agg(F.count("*").alias("n")).collect()}
     assert abs(per["a"] - 300) < 40 and abs(per["b"] - 100) < 40
+
+
+def test_large_sums(spark):
+    """Sums that an int can't hold once a weight multiplies them, and far larger ones."""
+    for scale in (1, 10**6):
+        sizes = [200_000_000 * scale, 300_000_000 * scale, 250_000_000 * scale]
+        docs = spark.createDataFrame([(i, "t", chr(97 + i), n) for i, n in enumerate(sizes)], "doc_id long, text string, source string, n long")
+        got = {r.source: r["__target"] for r in mixing.mix(docs, size=F.col("n")).collect()}
+        total = sum(sizes)
+        want = {"a": total * 5 / 8, "b": total * 2 / 8, "c": total / 8}
+        assert want["a"] < 3 * sizes[0] and all(abs(got[k] - v) <= 1e-9 * v for k, v in want.items())
