@@ -7,7 +7,9 @@ levenshtein does in the JVM.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,10 @@ from lodestone.llm.words import CHUNK_BYTES, mix, texts_of
 CONTEXT = 7
 #: A block size is the least power of two that makes at most so many expected pieces.
 PIECES = 64
-MAX_BUCKETS = 10_000
+#: Stands for a null doc_id among the keys of ranges: after all others.
+NO_ID = 1e300
+#: Up to here a double tells whole numbers apart.
+EXACT = 2.0**53
 _U = np.uint64
 _TABLE = np.random.default_rng(404).integers(0, 2**64, 256, dtype=_U)
 _CONTEXT_BASE = [_U(pow(0x9E3779B97F4A7C15, i, 2**64)) for i in range(CONTEXT)]
@@ -30,6 +35,22 @@ _PIECE_BASE = 0xD1342543DE82EF95
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
 
+@lru_cache(maxsize=1)
+def _all_powers() -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_PIECE_BASE, pow(_PIECE_BASE, -1, 2**64)):
+        p = np.full(CHUNK_BYTES + 1, base, _U)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=_U))
+    return out[0], out[1]
+
+
+def _piece_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the piece hash's base and of its inverse, n of each; a slice needs no more."""
+    p, inv = _all_powers()
+    return p[:n], inv[:n]
+
+
 def block_size(n: int) -> int:
     """For a text of n bytes."""
     size = 1
@@ -38,55 +59,74 @@ def block_size(n: int) -> int:
     return size
 
 
-def _spaced(places: np.ndarray, least: int, end: int) -> np.ndarray:
-    """Piece ends: the places at least so far from the one before, and the end. Keeps signatures of monotonous texts short."""
-    if least > 1 and len(places):
-        gaps = np.diff(places, prepend=0)
-        if (gaps < least).any():
-            kept, last = [], 0
-            for p in places.tolist():
-                if p - last >= least:
-                    kept.append(p)
-                    last = p
-            places = np.array(kept, np.int64)
-    return places if len(places) and places[-1] == end else np.append(places, end)
+def _spaced(places: list[int], least: int, last: int) -> list[int]:
+    """Of these places, one after another, those at least so far from the one kept before."""
+    kept = []
+    for p in places:
+        if p - last >= least:
+            kept.append(p)
+            last = p
+    return kept
+
+
+class _Signature:
+    """Pieces of one text at one block size, from slices of it: an open piece's hash is carried from slice to slice."""
+
+    def __init__(self, size: int, n: int):
+        self.size, self.n, self.last, self.open, self.length, self.pieces = size, n, 0, 0, 0, []
+
+    def add(self, at: int, rolling: np.ndarray, sums: np.ndarray) -> None:
+        """A slice that begins at this place: rolling hash of each byte, sums of hashed bytes before each."""
+        places = np.flatnonzero((rolling & _U(self.size - 1)) == _U(self.size - 1)) + at + 1
+        least = self.size // 4  # keeps signatures of monotonous texts short
+        close = len(places) and least > 1 and np.diff(places, prepend=self.last).min() < least
+        ends = np.array(_spaced(places.tolist(), least, self.last) if close else places, np.int64)
+        end = at + len(rolling)
+        if end == self.n and (not len(ends) or ends[-1] != end):
+            ends = np.append(ends, end)
+        if len(ends):
+            self.last = int(ends[-1])
+        edges = np.unique(np.concatenate([[0], ends - at, [len(rolling)]])).astype(np.int64)
+        _, inv = _piece_powers(len(rolling) + 1)
+        parts = (sums[edges[1:]] - sums[edges[:-1]]) * inv[edges[:-1]]
+        if not len(parts):
+            return
+        parts[0] = _U((self.open + pow(_PIECE_BASE, self.length, 2**64) * int(parts[0])) % 2**64)
+        closed = len(ends)
+        self.pieces.append(ALPHABET[(mix(parts[:closed]) >> _U(58)).astype(np.int64)])
+        if closed < len(parts):
+            self.length = int(edges[-1] - edges[-2]) + (self.length if len(parts) == 1 else 0)
+            self.open = int(parts[-1])
+        else:
+            self.length = self.open = 0
+
+    def __str__(self) -> str:
+        return np.concatenate([*self.pieces, np.empty(0, np.uint8)]).tobytes().decode()
 
 
 def fingerprint_all(column: pa.Array) -> list[str]:
-    """block size:signature:signature at twice the size, of every whole text; an empty text gives "1::"."""
+    """block size:signature:signature at twice the size, of every whole text; an empty text gives "1::".
+
+    A long text is hashed in slices of CHUNK_BYTES, so it takes no more memory than they do beside itself.
+    """
     raw, at = texts_of(column)
-    n = len(raw)
-    value = _TABLE[raw]
-    rolling = np.zeros(n, _U)
-    for i, base in enumerate(_CONTEXT_BASE):
-        rolling[i:] += value[: n - i] * base
-    rolling = mix(rolling)
-    p = np.full(n + 1, _PIECE_BASE, _U)
-    p[0] = 1
-    p = np.cumprod(p, dtype=_U)
-    inv = np.full(n + 1, pow(_PIECE_BASE, -1, 2**64), _U)
-    inv[0] = 1
-    inv = np.cumprod(inv, dtype=_U)
-    sums = np.concatenate([[_U(0)], np.cumsum(value * p[:n], dtype=_U)])
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         size = block_size(b - a)
-        signs = []
-        h = rolling[a:b]
-        if b - a >= CONTEXT:
-            # The first six bytes of a text would see the text before it in the batch.
-            h = h.copy()
-            h[: CONTEXT - 1] = 0
-        else:
-            h = np.zeros(b - a, _U)
-        for s in (size, 2 * size):
-            if a == b:
-                signs.append("")
-                continue
-            ends = _spaced(np.flatnonzero((h & _U(s - 1)) == _U(s - 1)) + 1, s // 4, b - a)
-            starts = np.concatenate([[0], ends[:-1]])
-            piece = mix((sums[a + ends] - sums[a + starts]) * inv[a + starts])
-            signs.append(ALPHABET[(piece >> _U(58)).astype(np.int64)].tobytes().decode())
+        signs = _Signature(size, b - a), _Signature(2 * size, b - a)
+        for start in range(a, b, CHUNK_BYTES):
+            end = min(b, start + CHUNK_BYTES)
+            ahead = min(CONTEXT - 1, start - a)  # bytes of the slice before that the rolling hash still sees
+            value = _TABLE[raw[start - ahead : end]]
+            rolling = np.zeros(len(value), _U)
+            for i, base in enumerate(_CONTEXT_BASE):
+                rolling[i:] += value[: max(0, len(value) - i)] * base
+            rolling = mix(rolling)[ahead:]
+            rolling[: max(0, CONTEXT - 1 - (start - a))] = 0  # a text's first bytes have no full context
+            p, _ = _piece_powers(end - start + 1)
+            sums = np.concatenate([[_U(0)], np.cumsum(value[ahead:] * p[: end - start], dtype=_U)])
+            for s in signs:
+                s.add(start - a, rolling, sums)
         out.append(f"{size}:{signs[0]}:{signs[1]}")
     return out
 
@@ -127,32 +167,51 @@ def likeness(x: Column, y: Column) -> Column:
 def with_next(docs: DataFrame, carry: tuple[str, ...] = ("text",), ids: DataFrame | None = None) -> DataFrame:
     """docs (doc_id, text, others) with next_<column> of the next row by descending doc_id (after the last row: the first).
 
-    Null ids come last; ties go by text. doc_id is cut into ranges by its quantiles, each range is one window, and the
-    first row of each range is also put at the end of the range before, so texts are shuffled once and no window spans
-    the table. ids: a cheaper DataFrame with the same doc_id column, to find the ranges from.
+    Null ids come last; rows with one doc_id go by a hash of the text, then by the text. doc_id is cut into ranges by
+    its quantiles, each range is one window, and the first row of each range is also put at the end of the range
+    before, so texts are shuffled once and no window spans the table. A doc_id (or null) that fills several ranges is
+    cut by that hash instead. ids: a cheaper DataFrame with the same doc_id and text, to find the ranges from.
+    Columns next_<column> of docs are replaced; none may begin with __.
     """
     spark = docs.sparkSession
-    key = F.coalesce(-F.col("doc_id").cast("double"), F.lit(float("inf")))  # doubles keep the order; equal ones share a range
-    keys = (docs if ids is None else ids).select(key.alias("__key"))
-    n = keys.count()
-    buckets = max(1, min(MAX_BUCKETS, n // 200, 8 * partitions(spark)))
+    source = docs if ids is None else ids
+    key = F.coalesce(-F.col("doc_id").cast("double"), F.lit(NO_ID))  # doubles keep the order; equal ones share a range
+    tie = F.pmod(F.xxhash64("text"), F.lit(2**20)) / F.lit(2.0**20)
+    keys = source.select(key.alias("__key"))
+    buckets = max(1, min(keys.count() // 200, 8 * partitions(spark)))
     cuts = keys.agg(F.percentile_approx("__key", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] if buckets > 1 else []
-    ranges = Bucketizer(splits=[-float("inf"), *(sorted({c for c in cuts or [] if c != float("inf")}) or [0.0]), float("inf")], inputCol="__key", outputCol="__range")
-    first = sorted(tuple(r) for r in ranges.transform(keys).groupBy("__range").agg(F.min("__key")).collect())  # a row per range, MAX_BUCKETS at most
-    heads = F.broadcast(spark.createDataFrame([(r, k, first[i - 1][0]) for i, (r, k) in enumerate(first)], "__range double, __key double, __before double"))
-    marked = ranges.transform(docs.withColumn("__key", key)).join(heads, ["__range", "__key"], "left")
-    own = F.struct(F.col("__range").alias("range"), F.lit(0).alias("copy"))
-    again = F.struct(F.col("__before").alias("range"), F.lit(1).alias("copy"))
+    often = {c: k for c, k in Counter(cuts or []).items() if k > 1 and (abs(c) < EXACT or c == NO_ID)}
+    edges = sorted({*(cuts or [0.0]), *(float(np.nextafter(c, np.inf)) for c in often)})
+    ranges = Bucketizer(splits=[-float("inf"), *edges, float("inf")], inputCol="__key", outputCol="__range")
+    parts = F.broadcast(spark.createDataFrame([(float(edges.index(c) + 1), k) for c, k in often.items()], "__range double, __parts int"))  # at most a row per range
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = ranges.transform(df)
+        if not often:
+            return df.withColumn("__tie", F.lit(0.0)).withColumn("__part", F.lit(0))
+        out = df.join(parts, "__range", "left").withColumn("__tie", F.when(F.col("__parts").isNull(), 0.0).otherwise(tie))
+        return out.withColumn("__part", F.coalesce(F.floor(F.col("__tie") * F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+
+    spots = ["__range", "__part"]
+    first = placed(source.select("doc_id", "text").withColumn("__key", key)).groupBy(*spots).agg(F.min(F.struct("__key", "__tie")).alias("f")).select(*spots, "f.*")
+    first = sorted(tuple(r) for r in first.collect())  # a row per range and part
+    heads = [(*r, *first[i - 1][:2]) for i, r in enumerate(first)]
+    heads = F.broadcast(spark.createDataFrame(heads, "__range double, __part int, __key double, __tie double, __before double, __before_part int"))
+    marked = placed(docs.withColumn("__key", key)).join(heads, [*spots, "__key", "__tie"], "left")
+    own = F.struct(F.col("__range").alias("range"), F.col("__part").alias("part"), F.lit(0).alias("copy"))
+    again = F.struct(F.col("__before").alias("range"), F.col("__before_part").alias("part"), F.lit(1).alias("copy"))
     marked = marked.withColumn("__at", F.explode(F.when(F.col("__before").isNull(), F.array(own)).otherwise(F.array(own, again))))
-    order = Window.partitionBy("__at.range").orderBy("__at.copy", "__key", "text")
-    out = marked.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carry])
-    return out.filter("__at.copy = 0").drop("__at", "__range", "__key", "__before")
+    order = Window.partitionBy("__at.range", "__at.part").orderBy("__at.copy", F.col("doc_id").desc_nulls_last(), tie, "text")
+    out = marked.select("*", *[F.lead(c).over(order).alias(f"__next_{c}") for c in carry])
+    out = out.filter("__at.copy = 0").drop("__at", "__key", "__tie", "__before", "__before_part", *spots, *[f"next_{c}" for c in carry])
+    return out.withColumnsRenamed({f"__next_{c}": f"next_{c}" for c in carry})
 
 
 def edited(docs: DataFrame, carry: tuple[str, ...] = (), ids: DataFrame | None = None) -> DataFrame:
     """with_next() with n_chars and edited: the last n_chars div 2 code points of text replaced by the first as many (or all) of the next row's.
 
-    text must not be null. An empty table gives an empty one; a single row is its own next.
+    text must not be null. An empty table gives an empty one; a single row is its own next. Columns n_chars and edited
+    of docs are replaced.
     """
     n = F.length("text")
     half = F.floor(n / 2).cast("int")

@@ -56,9 +56,9 @@ class Model:
 
 def term_slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct slots of each text's terms (runs of letters, A-Z as a-z) and of their first STEM bytes, and where each text's begin."""
-    words = words_of(column, fold=True, separators=NO_LETTERS)
+    words = words_of(column, fold=True, separators=NO_LETTERS, head=STEM)
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first)).astype(_U) << _U(BITS)
-    both = np.unique(np.concatenate([text | (words.hashes >> _U(64 - BITS)), text | (words.heads(STEM) >> _U(64 - BITS))]))
+    both = np.unique(np.concatenate([text | (words.hashes >> _U(64 - BITS)), text | (words.heads >> _U(64 - BITS))]))
     return (both & _U(2**BITS - 1)).astype(np.int32), np.searchsorted(both, np.arange(len(words.first), dtype=_U) << _U(BITS))
 
 

@@ -1,6 +1,7 @@
 """Words and rolling hashes of whole Arrow batches with numpy, for operators whose hashes Spark's functions can't express.
 
-Every function takes whole texts; a batch is only sliced between rows, so that memory stays near CHUNK_BYTES plus the longest text.
+Every function takes whole texts. A batch is sliced between rows into chunks of about CHUNK_BYTES; of a longer text, bytes
+are hashed in slices that end between words, so what a text takes beside itself is some 40 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ class Words:
     starts: np.ndarray  # of each word, in data
     ends: np.ndarray
     hashes: np.ndarray  # 64 bits of each word
-    sums: np.ndarray  # of hashed bytes before each place
+    heads: np.ndarray  # of each word's first bytes if asked for, unlike that of a word of just these bytes
     first: np.ndarray  # index of each text's first word; one more entry at the end
 
     def grams(self, k: int, base: int = 1) -> np.ndarray:
@@ -87,12 +88,6 @@ class Words:
         sums = np.concatenate([[_U(0)], np.cumsum(self.hashes * p[:n], dtype=_U)])
         return mix((sums[k:] - sums[: n - k + 1]) * inv[: n - k + 1])
 
-    def heads(self, size: int) -> np.ndarray:
-        """Hash of each word's first bytes, unlike that of a word of just these bytes."""
-        p, inv = _powers(0, len(self.data) + 1)
-        ends = np.minimum(self.ends, self.starts + size)
-        return mix((self.sums[ends] - self.sums[self.starts]) * inv[self.starts] + _U(1))
-
     def text_hash(self, base: int = 1) -> np.ndarray:
         """Hash of each text's whole word sequence."""
         n = len(self.hashes)
@@ -111,23 +106,53 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words_of(column: pa.Array, fold: bool = False, separators: np.ndarray = SPACES) -> Words:
-    """Splits and hashes every text; fold takes A-Z as a-z."""
+def _slices(raw: np.ndarray, at: np.ndarray, separators: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ends of slices of about CHUNK_BYTES, each at a separator or the end of a text, so that no word is cut."""
+    a, n = 0, len(raw)
+    while a < n:
+        b = min(a + CHUNK_BYTES, n)
+        while b < n:
+            until = min(b + CHUNK_BYTES, n)
+            end = at[np.searchsorted(at, b)]  # the next text begins here
+            free = np.flatnonzero(separators[raw[b : min(until, end)]])
+            if len(free):
+                b += int(free[0])
+                break
+            b = min(until, int(end))
+            if b == end:
+                break
+        yield a, b
+        a = b
+
+
+def words_of(column: pa.Array, fold: bool = False, separators: np.ndarray = SPACES, head: int = 0) -> Words:
+    """Splits and hashes every text; fold takes A-Z as a-z; head: also hash each word's first so many bytes."""
     raw, at = texts_of(column)
-    n = len(raw)
-    inside = np.zeros(n + 1, bool)
-    inside[:n] = ~separators[raw]
-    before = np.zeros(n + 1, bool)
-    before[1:] = inside[:-1]
-    before[at] = False
-    starts = np.flatnonzero(inside & ~before)
-    cut = np.zeros(n + 1, bool)
-    cut[at] = True
-    ends = np.flatnonzero(inside[:n] & (~inside[1:] | cut[1:])) + 1
-    p, inv = _powers(0, n + 1)
-    sums = np.concatenate([[_U(0)], np.cumsum((_FOLDED if fold else _BYTE)[raw] * p[:n], dtype=_U)])
-    hashes = mix((sums[ends] - sums[starts]) * inv[starts])
-    return Words(raw, starts, ends, hashes, sums, np.searchsorted(starts, at))
+    table = _FOLDED if fold else _BYTE
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    for a, b in _slices(raw, at, separators):
+        n = b - a
+        inside = np.zeros(n + 1, bool)
+        inside[:n] = ~separators[raw[a:b]]
+        bounds = at[(at >= a) & (at <= b)] - a
+        before = np.zeros(n + 1, bool)
+        before[1:] = inside[:-1]
+        before[bounds] = False
+        starts = np.flatnonzero(inside & ~before)
+        cut = np.zeros(n + 1, bool)
+        cut[bounds] = True
+        cut[n] = True
+        ends = np.flatnonzero(inside[:n] & (~inside[1:] | cut[1:])) + 1
+        p, inv = _powers(0, n + 1)
+        sums = np.concatenate([[_U(0)], np.cumsum(table[raw[a:b]] * p[:n], dtype=_U)])
+        parts[0].append(starts + a)
+        parts[1].append(ends + a)
+        parts[2].append(mix((sums[ends] - sums[starts]) * inv[starts]))
+        if head:
+            parts[3].append(mix((sums[np.minimum(ends, starts + head)] - sums[starts]) * inv[starts] + _U(1)))
+    starts, ends = (np.concatenate(x) if x else np.empty(0, np.int64) for x in parts[:2])
+    hashes, heads = (np.concatenate(x) if x else np.empty(0, _U) for x in parts[2:])
+    return Words(raw, starts, ends, hashes, heads, np.searchsorted(starts, at))
 
 
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

@@ -10,12 +10,38 @@ from tests.llm.helpers import odd
 DATA = "/root/testdata/sf0.001"
 
 
-def next_of(rows):
-    """Rows by descending doc_id, null last, ties by text; each with the one after it."""
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+def next_of(rows, tie=lambda text: 0):
+    """Rows by descending doc_id, null last, ties by a hash of the text and the text; each with the one after it."""
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1]), r[1]))
     return [(r, order[(i + 1) % len(order)]) for i, r in enumerate(order)]
 
 
+def mixed(h):
+    for _ in range(2):
+        h = (h ^ (h >> 32)) * 0xD6E8FEB86659FD93 % 2**64
+    return h ^ (h >> 32)
+
+
+def slow(text):
+    """The fingerprint by its definition, byte by byte."""
+    data = (text or "").encode()
+    table, bases = [int(x) for x in fingerprints._TABLE], [int(x) for x in fingerprints._CONTEXT_BASE]
+    size = 1
+    while len(data) > 64 * size:
+        size *= 2
+    out = [str(size)]
+    for s in (size, 2 * size):
+        sign, start = "", 0
+        for i in range(len(data)):
+            rolling = mixed(sum(table[data[i - k]] * bases[k] for k in range(7)) % 2**64) if i >= 6 else 0
+            if (rolling % s == s - 1 and i + 1 - start >= s // 4) or i + 1 == len(data):
+                piece = mixed(sum(table[c] * pow(fingerprints._PIECE_BASE, k, 2**64) for k, c in enumerate(data[start : i + 1])) % 2**64)
+                sign += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[piece >> 58]
+                start = i + 1
+        out.append(sign)
+    return ":".join(out)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -51,6 +77,19 @@ def test_query_by_brute_force(spark):
     assert better > 0.95 * len(docs)
 
 
+def test_fingerprints_by_definition(spark, monkeypatch):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("text").limit(40).collect()
+    texts = [r.text for r in rows] + ["", None, "a", "abcdef", "abcdefg", "aaaaaaaa" * 40, "Ünï çödé wörds " * 30]
+    want = [slow(t) for t in texts]
+    assert fingerprints.fingerprint_all(pa.array(texts)) == want
+    for size in (5, 64, 777):  # long texts in slices
+        monkeypatch.setattr(fingerprints, "CHUNK_BYTES", size)
+        fingerprints._all_powers.cache_clear()
+        assert fingerprints.fingerprint_all(pa.array(texts)) == want
+    monkeypatch.undo()
+    fingerprints._all_powers.cache_clear()
+
+
 def test_boundaries_move_with_the_text():
     rng = random.Random(2)
     text = " ".join(f"w{rng.randrange(5000)}" for _ in range(4000))
@@ -63,9 +102,22 @@ def test_boundaries_move_with_the_text():
 
 def test_ranges_and_odd_rows(spark):
     docs = odd(spark).withColumn("text", F.coalesce("text", F.lit("")))
-    for df in (docs, spark.range(3000).select(((F.col("id") * 37) % 2500).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))):
-        rows = [(r.doc_id, r.text) for r in df.collect()]
+    text = F.concat(F.lit("t"), "id").alias("text")
+    tables = {
+        "odd": docs,
+        "ties": spark.range(3000).select(((F.col("id") * 37) % 2500).alias("doc_id"), text),
+        "large": spark.range(900).select((F.lit(2**60) + F.col("id")).alias("doc_id"), text),
+        "negative": spark.range(900).select((F.lit(-(2**62)) + F.col("id") * 1000).alias("doc_id"), text),
+        "null": spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), text),
+        "one": spark.range(5000).select(F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(F.lit(777)).alias("doc_id"), text),
+    }
+    for name, df in tables.items():
+        rows = df.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(2**20)).alias("h")).collect()
+        hashes = {r.text: r.h for r in rows}
         got = sorted((str(r.doc_id), r.text, r.next_text) for r in fingerprints.with_next(df).collect())
-        assert got == sorted((str(a[0]), a[1], b[1]) for a, b in next_of(rows))
+        want = next_of([(r.doc_id, r.text) for r in rows], hashes.get)
+        assert got == sorted((str(a[0]), a[1], b[1]) for a, b in want), name
     assert fingerprints.edited(docs.limit(0)).count() == 0
     assert fingerprints.fingerprints(docs, {"text": "f"}).columns == [*docs.columns, "f"]
+    clash = docs.select("doc_id", "text", F.lit("x").alias("next_text"), F.lit("y").alias("edited"))
+    assert sorted(fingerprints.edited(clash).columns) == ["doc_id", "edited", "n_chars", "next_text", "text"]
