@@ -27,7 +27,7 @@ def brute(rows, window=50):
 
 
 def got(df):
-    return sorted(((substrings.NO_ID if r.doc_id is None else r.doc_id), r["__n_words"], r["__n_removed"], substrings.sha256_hex(r["__kept"])) for r in df.collect())
+    return sorted(((substrings.NO_ID if r.doc_id is None else r.doc_id), r["__n_words"], r["__n_removed"], hashlib.sha256(r["__kept"].encode()).hexdigest()) for r in df.collect())
 
 
 def pairs(df):
@@ -65,3 +65,19 @@ def test_odd_rows(spark):
     assert substrings.remove(docs.limit(0)).count() == 0
     out = substrings.deduplicate(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
+
+
+def test_many_rows_without_an_id(spark):
+    """10,000 rows without doc_id, many of them equal, and one doc_id with many rows: none of it meets in one group."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(70))
+    own = lambda i: " ".join(f"{i}x{rng.randrange(9)}" for _ in range(5))
+    docs = [(None, f"{own(i)} {passage}" if i % 3 else passage, "s") for i in range(10_000)] + [(7, f"{passage} {own(i)}", "s") for i in range(300)] + [(3, f"a {passage}", "s")]
+    df = spark.createDataFrame(docs, SCHEMA)
+    assert got(substrings.remove(df)) == brute(pairs(df))
+
+
+def test_maximal_repeats(spark):
+    runs = [(1, 0, 9, 0, 4, 0, 3), (1, 0, 9, 0, 4, 3, 8), (1, 0, 9, 0, 4, 9, 9), (1, 0, 9, 0, 4, 11, 12), (1, 0, 9, 0, 5, 1, 2), (1, 0, 9, 1, 4, 4, 4), (2, 0, 9, 0, 4, 0, 20), (2, 0, 9, 0, 4, 3, 5)]
+    got_ = substrings.maximal(spark.createDataFrame(runs, "__id long, __key long, l_id long, l_key long, shift int, lo int, hi int")).collect()
+    assert sorted((r["__id"], r.lo, r.hi) for r in got_) == [(1, 0, 9), (1, 1, 2), (1, 4, 4), (1, 11, 12), (2, 0, 20)]
