@@ -42,5 +42,10 @@ def apart(grouped: DataFrame, by: str) -> DataFrame:
     return grouped.repartition(by)
 
 
+def beside(grouped: DataFrame, by: str, rows: int) -> DataFrame:
+    """A grouped table of at most so many rows (counted), to be joined back by its key: broadcast if that is few, else apart()."""
+    return F.broadcast(grouped) if rows <= BROADCAST_ROWS else apart(grouped, by)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

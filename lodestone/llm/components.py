@@ -9,20 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.cluster import apart, cut
+from lodestone.llm.cluster import beside, cut
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    """Each larger neighbour of u gets a link to the least of u and its neighbours."""
+def _large_star(links: DataFrame, rows: int) -> DataFrame:
+    """Each larger neighbour of u gets a link to the least of u and its neighbours. rows: links counted."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = apart(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "m")
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = beside(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "m", 2 * rows)
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a > b")
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    """u and its smaller neighbours get a link to the least of them. links: a > b."""
+def _small_star(links: DataFrame, rows: int) -> DataFrame:
+    """u and its smaller neighbours get a link to the least of them. links: a > b, at most so many rows."""
     least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(apart(least, "m"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = links.join(beside(least, "m", rows), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
@@ -40,6 +40,7 @@ def components(links: DataFrame) -> DataFrame:
     links = links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = cut(links)
     while not _are_stars(links):
-        links = cut(_small_star(_large_star(links).filter("a > b").distinct()).distinct())
+        rows = links.count()
+        links = cut(_small_star(_large_star(links, rows), rows).distinct())
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.cluster import apart, cut, small
+from lodestone.llm.cluster import apart, beside, cut, small
 from lodestone.llm.components import components
 from lodestone.llm.words import chunks, mix, signed, words_of
 
@@ -137,46 +137,53 @@ def link(docs: DataFrame, threshold: int = 85) -> DataFrame:
     classes = cut(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     full = cut(banded.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("bucket"))  # written out, so that AQE can split hot keys of the join
-    members = cut(banded.join(full, "bucket").distinct())
+    buckets = full.count()
+    members = cut(banded.join(small(full, buckets), "bucket").distinct())
     nodes = cut(members.select("node").distinct())
     ids = nodes.withColumnRenamed("node", "doc_id")
     sets = cut(_sets(docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")))
     named = cut(rows.drop("bands").join(classes.drop("bands"), ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")))
     # Rows that share a doc_id hold all nodes of their classes together.
-    spread = named.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("doc_id")
-    tied = named.join(apart(spread, "doc_id"), "doc_id").filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = cut(components(_links(members, sets, threshold).union(tied)))
-    out = named.join(found, "node", "left")
+    spread = cut(named.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("doc_id"))
+    tied = named.join(small(spread), "doc_id").filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    found = cut(components(_links(members, buckets, sets, threshold).union(tied)))
+    out = named.join(small(found), "node", "left")
     own_id = F.coalesce("component", "node", "doc_id")
     return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.coalesce(F.col("doc_id") == own_id, F.lit(True)).alias("kept"))
 
 
-def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open(members: DataFrame, buckets: int, labels: DataFrame | None) -> DataFrame:
     """(bucket, node, component) of the buckets that still hold more than one component. labels: (node, component) so far."""
-    labelled = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    return cut(labelled.join(apart(mixed, "x").select("bucket"), "bucket"))
+    labelled = members.withColumn("component", F.col("node")) if labels is None else members.join(small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return cut(_mixed(labelled, buckets))
 
 
-def _links(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) that connect all components of verified pairs within the buckets of members (bucket, node)."""
+def _mixed(members: DataFrame, buckets: int) -> DataFrame:
+    """The rows of members (bucket, component, others) whose bucket has more than one component."""
+    mixed = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    return members.join(beside(mixed, "x", buckets).select("bucket"), "bucket")
+
+
+def _links(members: DataFrame, buckets: int, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) that connect all components of verified pairs within the buckets of members (bucket, node), so many counted."""
     labels = None
     for round_ in range(LEADER_ROUNDS):
-        left = _open(members, labels)
+        left = _open(members, buckets, labels)
         order: Column = F.struct(F.lit(0).cast("long").alias("h"), "node") if round_ == 0 else F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node")
         leaders = left.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "component")).alias("l")).select("bucket", F.col("l.o.node").alias("b"), F.col("l.component").alias("c"))
-        met = left.join(apart(leaders, "b"), "bucket").filter("component <> c").groupBy("node", "b").agg(F.count("*").alias("n"))
+        met = left.join(beside(leaders, "b", buckets), "bucket").filter("component <> c").groupBy("node", "b").agg(F.count("*").alias("n"))
         # Each node meets the leader that it shares most buckets with.
-        pairs = met.groupBy("node").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select(F.greatest("node", -F.col("m.b")).alias("a"), F.least("node", -F.col("m.b")).alias("b")).distinct()
+        pairs = met.groupBy("node").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select(F.greatest("node", -F.col("m.b")).alias("a"), F.least("node", -F.col("m.b")).alias("b"))
         links = _verified(cut(pairs), sets, threshold)
         if labels is not None:
             links = links.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = cut(components(links))
+        labels = components(links)
+    labels = cut(labels)
     known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return known.union(_by_blocks(*_linkable(_open(members, labels), sets, threshold), threshold))
+    return known.union(_by_blocks(*_linkable(_open(members, buckets, labels), buckets, sets, threshold), buckets, threshold))
 
 
-def _linkable(left: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+def _linkable(left: DataFrame, buckets: int, sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Of left (bucket, node, component), the nodes that may link, with n shingles; and their sets.
 
     A node that links has at least threshold percent of its shingles in common with one other open node, so one of
@@ -188,12 +195,10 @@ def _linkable(left: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFra
     # Rows that share a node (a doc_id with several texts) are judged by the sum of their sets, and so dropped no sooner.
     sizes = held.groupBy("node").agg(F.sum(F.size("shingles")).alias("n"), F.min(F.size("shingles")).alias("least"))
     kept = cut(sizes.join(owned, "node", "left").filter(f"(n - coalesce(owned, 0)) * 100 >= least * {threshold}").select("node", F.greatest("n", F.lit(LEAST)).alias("n")))
-    left = left.join(kept, "node")
-    mixed = left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    return cut(left.join(apart(mixed, "x").select("bucket"), "bucket")), held
+    return cut(_mixed(left.join(small(kept), "node"), buckets)), held
 
 
-def _groups(left: DataFrame) -> DataFrame:
+def _groups(left: DataFrame, buckets: int) -> DataFrame:
     """(key, node, component, blocks): the buckets of left (bucket, node, component, n), overlapping ones joined into one group where all of it fits a block.
 
     A node's home is the least of its buckets, a bucket's group the least home of its nodes; nodes that share a bucket
@@ -201,22 +206,22 @@ def _groups(left: DataFrame) -> DataFrame:
     """
     home = left.groupBy("node").agg(F.min("bucket").alias("home"))
     group = left.join(apart(home, "home"), "node").groupBy("bucket").agg(F.min("home").alias("group"), F.sum("n").alias("total"))
-    placed = cut(left.join(apart(group, "group"), "bucket"))
+    placed = cut(left.join(beside(group, "group", buckets), "bucket"))
     nodes = placed.select("group", "node", "component", "n").distinct()
-    sizes = cut(nodes.groupBy("group").agg(F.sum("n").alias("all")))
+    sizes = small(cut(nodes.groupBy("group").agg(F.sum("n").alias("all"))), buckets)
     fits = nodes.join(sizes.filter(F.col("all") <= BLOCK), "group").select(F.col("group").alias("key"), "node", "component", F.lit(1).alias("blocks"))
     large = placed.join(sizes.filter(F.col("all") > BLOCK), "group").select(F.col("bucket").alias("key"), "node", "component", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
     return fits.union(large)
 
 
-def _by_blocks(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _by_blocks(left: DataFrame, sets: DataFrame, buckets: int, threshold: int) -> DataFrame:
     """Links that connect the components of left (bucket, node, component, n) as all verified pairs within its buckets would.
 
     A group is dealt by hash into blocks. A task gets two blocks with their sets and counts the shingles that each two
     nodes share by matrix products; only a spanning forest of the links found leaves it.
     """
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = _groups(left).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = _groups(left, buckets).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
     rows = cut(dealt).join(sets.select("node", "shingles"), "node")
 
