@@ -40,9 +40,7 @@ URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "b
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    ruled = urls.parsed(pages, URL_RULES).filter("__rule IS NOT NULL")
-    blocked = [r for r, v in URL_RULES.items() if v == "block"]
-    model = urls.train(ruled.select("url", F.col("__rule").isin(blocked).cast("int").alias("label")))
+    model = urls.train(urls.labelled_urls(spark))
     out = urls.judge(pages, URL_RULES, model)
     return out.select("page_id", *[F.col(f"__{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
 

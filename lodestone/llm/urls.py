@@ -2,33 +2,50 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Hashed slots of n-grams; the model's size is fixed by it.
 FEATURES = 2**14
 SIZES = (3, 4, 5)
+REGULARIZATION = 1e-4
 #: At most about so many labelled URLs are learnt from, taken by a hash of the URL.
 TRAIN_ROWS = 20_000
-#: A model is fitted only with so many URLs of each label; with fewer, the label of most is the verdict.
-MIN_LABELLED = 5
-#: A small labelled table of URLs, 1 = block, that the model learns from beside URLs that rules decide.
-SEEDS = [
-    ("http://casino-royal.example.info/en/1", 1), ("https://www.casino-online.example.biz/play/2", 1), ("http://win-casino.example.info/de/3.html", 1),
-    ("https://best-bets.example.biz/en/4", 1), ("http://free-bets-now.example.info/fr/5?ref=x", 1), ("https://m.sports-bets.example.biz/6", 1),
-    ("http://free-spins.example.info/en/7/", 1), ("https://poker-win.example.biz/es/8", 1), ("http://ads-server.example.info/track/9", 1),
-    ("https://track-clicks.example.biz/en/10", 1), ("http://click-ads.example.info/11", 1), ("https://cheap-pills.example.biz/en/12", 1),
-    ("http://lottery-win.example.info/en/13", 1), ("https://xxx-videos.example.biz/14", 1), ("http://ads-track-pixel.example.info/de/15", 1),
-    ("http://news.example.info/en/1", 0), ("https://www.library.example.biz/fr/2", 0), ("http://blog.travel.example.info/de/3.html", 0),
-    ("https://cooking.example.biz/en/4", 0), ("http://museum.example.info/fr/5?ref=x", 0), ("https://m.weather.example.biz/6", 0),
-    ("http://school.example.info/en/7/", 0), ("https://science.example.biz/es/8", 0), ("http://history.example.info/archive/9", 0),
-    ("https://garden.example.biz/en/10", 0), ("http://music.example.info/11", 0), ("https://health.example.biz/en/12", 0),
-    ("http://forum.example.info/en/13", 0), ("https://maps.example.biz/14", 0), ("http://recipes.example.info/de/15", 0),
-]
-#: The seeds together weigh so many times as much as all other labelled URLs, which are many but of few kinds.
-SEED_WEIGHT = 1.0
+#: Hosts of the labelled table, by label, without the last parts of a name.
+BLOCKED = """
+    casino-royal online-casino casinobonus lucky-slots slot-machines jackpot-city poker-room texas-poker royal-bets sports-betting
+    betting-tips best-bets lottery-winner win-lottery win-a-prize prizes-winner free-spins freegift-cards free-iphone roulette-live
+    cheap-meds online-pills diet-pills cheap-viagra viagra-shop cialis-store weight-loss-pills payday-loans quick-loans bad-credit-loans
+    adult-videos adult-dating xxx-tube xxx-cams porn-hub1 free-porn sex-chat hot-singles escort-girls nude-pics
+    adserver ads-network adclick click-ads popup-ads banner-ads track-clicks clicktrack tracker-pixel pixel-tracking
+    link-farm spam-links seo-spam buy-links get-rich-quick make-money-fast crypto-doubler warez-downloads keygen-cracks malware-site
+""".split()
+ALLOWED = """
+    news daily-news library city-library museum art-museum school primary-school university science science-notes
+    history local-history garden northern-gardens music concert-hall theatre cinema-club recipes home-cooking kitchen
+    weather weather-station travel train-station travel-notes health hospital clinic dentist forum open-forum
+    maps wiki encyclopedia dictionary translation languages literature poetry bookshop reading-room writers
+    football-club tennis athletics swimming mountain-hiking cycling fishing sailing photography drawing design
+    engineering software developers opensource database statistics mathematics physics chemistry biology astronomy
+    farm-shop bakery restaurant coffee-house tea-room hotel railway airport town-council parliament government
+    foundation charity volunteers church community neighbours family parenting children education teachers
+    winter-sports windows-doors window-cleaning thunder-river the-other-side rather-interesting another-nation the-nation
+    station-road information attention intention tradition addition edition condition relation creation
+    essex-county middlesex sussex-news classic-cars pharmacy-school betty-cakes alphabet addresses trackside-railway
+    download-manual freedom-press winery-tours windmill advice adventure adelaide linked-data farmers-market
+""".split()
+#: Frequent letter groups; names of two to four of them stand for the many hosts that are no words (allowed).
+GROUPS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ing tion ble ment sh wh ly".split()
+NAMES = 200
+#: What the labelled hosts and paths are completed by, alike for both labels, so that neither these nor the rules' places tell anything.
+BEFORE = ["", "www.", "m.", "blog."]
+AFTER = [".com", ".org", ".net", ".info", ".co.uk", ".de", ".example.com", ".io"]
+PATHS = ["/", "/en/1", "/de/2.html", "/fr/3/", "/es/4?page=2&ref=x", "/5#top", "/a/b/c", "/index.html?utm_source=feed"]
+FORMS = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,15 +70,22 @@ def rule(host_: Column, path_: Column, rules: dict[str, str]) -> Column:
 
 
 def grams(host_: Column, path_: Column) -> Column:
-    """Character n-grams of host and path, marked by where they come from; ends count as characters."""
+    """Character n-grams of the words in a host and of the path, marked by where they come from; ends of words and of the path count as characters.
+
+    Words stand between dots, hyphens, underscores and digits. The top-level domain and a language folder at the
+    path's beginning are left out, and numbers in the path count as one digit: these are ids and places, which rules
+    may decide by, not what a URL is about.
+    """
+
+    def of_size(whole: Column, mark: str, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - n + 1, F.lit(1))), lambda i: F.concat(F.lit(mark), F.substring(whole, i, F.lit(n))))
 
-    def cut(text: Column, mark: str) -> Column:
-        whole = F.concat(F.lit("^"), text, F.lit("$"))
-        parts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - n + 1, F.lit(1))), lambda i, n=F.lit(n): F.concat(F.lit(mark), F.substring(whole, i, n))) for n in SIZES]
-        return F.flatten(F.array(*parts))
+    def cut(whole: Column, mark: str) -> Column:
+        return F.flatten(F.array(*[of_size(whole, mark, n) for n in SIZES]))
 
-    # Numbers are ids: each counts as one digit.
-    return F.concat(cut(host_, "h"), cut(F.regexp_replace(path_, "[0-9]+", "0"), "p"))
+    words = F.filter(F.split(F.regexp_replace(host_, "[.][^.]*$", ""), "[._0-9-]+"), lambda x: x != "")
+    rest = F.regexp_replace(F.regexp_replace(path_, "^/[A-Za-z]{2}(?=/|$)", ""), "[0-9]+", "0")
+    return F.concat(F.flatten(F.transform(words, lambda x: cut(F.concat(F.lit("^"), x, F.lit("$")), "h"))), cut(F.concat(F.lit("^"), rest, F.lit("$")), "p"))
 
 
 def parsed(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -71,37 +95,51 @@ def parsed(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 
 def features(df: DataFrame) -> DataFrame:
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="__grams", outputCol="features").transform(df.withColumn("__grams", grams(F.col("__host"), F.col("__path"))))
+    """Adds features: hashed n-grams, of unit length, so that long URLs don't weigh more."""
+    counted = HashingTF(numFeatures=FEATURES, binary=True, inputCol="__grams", outputCol="__counts").transform(df.withColumn("__grams", grams(F.col("__host"), F.col("__path"))))
+    return Normalizer(inputCol="__counts", outputCol="features").transform(counted)
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The small labelled table (url, label 1 = block): every host in FORMS forms, each beginning, ending and path as often for either label."""
+    pick = random.Random(4)
+    names = ["".join(pick.choices(GROUPS, k=pick.randint(2, 4))) for _ in range(NAMES)]
+
+    def url(n: int, host_: str, k: int) -> str:
+        return f"http{'s' * (k % 2)}://{BEFORE[(n + k) % len(BEFORE)]}{host_}{AFTER[(n + 3 * k) % len(AFTER)]}{PATHS[(n * 5 + k) % len(PATHS)]}"
+
+    rows = [(url(n, h, k), label) for label, hosts in ((1, BLOCKED), (0, ALLOWED + names)) for n, h in enumerate(hosts) for k in range(FORMS)]
+    return spark.createDataFrame(rows, "url string, label int")
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS, seeds: list[tuple[str, int]] = SEEDS) -> LogisticRegressionModel | float:
-    """From (url, label 1 = block) and the seeds: a model, or the constant probability where one label is too rare to learn. Null URLs and labels are left out."""
-    usable = labelled.filter("url IS NOT NULL AND label IS NOT NULL").select("url", F.col("label").cast("double").alias("label"), F.lit(1.0).alias("weight"))
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> LogisticRegressionModel | None:
+    """From (url, label 1 = block); both labels weigh the same. Null URLs and labels are left out; without any others there is no model."""
+    usable = labelled.filter("url IS NOT NULL AND label IS NOT NULL").select("url", (F.col("label") > 0).cast("double").alias("label"))
     n = usable.count()
-    share = min(1.0, rows / max(1, n))
+    if not n:
+        return None
+    share = min(1.0, rows / n)
     taken = usable.filter(F.xxhash64("url", F.lit("train")) <= F.lit(min(2**63 - 1, int(share * 2.0**64) - 2**63)))
-    if seeds:
-        each = max(1.0, SEED_WEIGHT * min(n, rows) / len(seeds))
-        taken = taken.union(labelled.sparkSession.createDataFrame([(u, float(y), each) for u, y in seeds], "url string, label double, weight double"))
-    n, blocked = taken.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    if min(blocked, n - blocked) < MIN_LABELLED:
-        return 1.0 if blocked * 2 > n else 0.0
-    taken = features(taken.select(host(F.col("url")).alias("__host"), path(F.col("url")).alias("__path"), "url", "label", "weight"))
+    taken = features(taken.select(host(F.col("url")).alias("__host"), path(F.col("url")).alias("__path"), "url", "label"))
     # One sorted partition of a bounded sample: sums are added in one order, so reruns agree to the last bit.
-    fitted = taken.select("url", "features", "label", "weight").coalesce(1).sortWithinPartitions("url", "label").cache()
-    model = LogisticRegression(maxIter=40, regParam=0.002, standardization=False, weightCol="weight").fit(fitted)
+    fitted = taken.select("url", "features", "label").coalesce(1).sortWithinPartitions("url", "label")
+    count, blocked = fitted.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    weight = F.when(F.col("label") > 0, F.lit(0.5 * count / max(blocked, 1.0))).otherwise(F.lit(0.5 * count / max(count - blocked, 1.0)))
+    fitted = fitted.withColumn("weight", weight).cache()
+    model = LogisticRegression(maxIter=100, tol=1e-7, regParam=REGULARIZATION, standardization=False, weightCol="weight").fit(fitted)
     fitted.unpersist()
     return model
 
 
-def judge(pages: DataFrame, rules: dict[str, str], model: LogisticRegressionModel | float) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str], model: LogisticRegressionModel | None) -> DataFrame:
     """pages (url, others) with __host, __path, __rule and __verdict: allow or block, by the longest rule, else by the model.
 
-    Null URLs and those without :// have empty host and path and are judged by the model. Rows stay as they are.
+    Null URLs and those without :// have empty host and path and are judged by the model; without a model all that no
+    rule decides is allowed. Rows stay as they are.
     """
     df = parsed(pages, rules)
-    if isinstance(model, float):
-        blocked = F.lit(model >= 0.5)
+    if model is None:
+        blocked = F.lit(False)
     else:
         df = model.setPredictionCol("__prediction").setProbabilityCol("").setRawPredictionCol("").transform(features(df))
         blocked = F.col("__prediction") >= 0.5
