@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -10,39 +11,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import is_relevant, severity
+from lodestone.operators.ranking import group_by_file
+from lodestone.plans.lineage import cut
 
 #: A provider: a function of (prompts) that returns replies in the same order.
 Provider = Callable[[list[str]], list[str]]
 
 
+#: How a passage's prompt ends; a reply that begins with NOT_RELEVANT drops out.
+TRIAGE = "Answer from these passages; begin with NOT_RELEVANT if they say nothing of it."
+NOTHING = "No relevant code was found."
+
+
 class BudgetExceeded(RuntimeError):
     pass
 
 
 @dataclass
 class Budget:
-    """Calls are reserved before a job starts, since retried tasks can't be trusted to count."""
+    """Calls are reserved before a job starts, since retried tasks can't be trusted to count; tokens are counted from the replies kept."""
 
     limit: int = 100
     calls: int = 0
+    token_limit: int | None = None
+    token_warning: int | None = None
+    tokens: int = 0
+    warned: bool = False
 
     def reserve(self, n: int) -> None:
         if self.calls + n > self.limit:
             raise BudgetExceeded(f"{self.calls} of {self.limit} calls are used; {n} more were asked for")
+        if self.token_limit is not None and self.tokens >= self.token_limit:
+            raise BudgetExceeded(f"{self.tokens} tokens are used, of {self.token_limit}")
         self.calls += n
 
+    def record(self, tokens: int) -> None:
+        """Counts tokens of prompts and replies; warns once when the warning mark is reached."""
+        self.tokens += tokens
+        if self.token_warning is not None and self.tokens >= self.token_warning and not self.warned:
+            self.warned = True
+            warnings.warn(f"{self.tokens} tokens are used; the warning was set at {self.token_warning}", stacklevel=2)
+
 
 def chunk_block(number: Column, kind: Column, name: Column, start: Column, end: Column, score: Column, text: Column) -> Column:
-    return F.format_string("### chunk %d: %s `%s` (lines %d-%d, score=%.3f)\n\n```\n%s\n```", number, kind, name, start, end, score, text)
+    """One numbered passage of a prompt."""
+    return F.format_string("[%d] %s %s, lines %d to %d, relevance %.3f\n%s", number, kind, name, start, end, score, text)
+
+
+def chunk_prompts(hits: DataFrame, question: str) -> DataFrame:
+    """hits (see file_prompts) with prompt: one for each hit alone."""
+    block = chunk_block(F.col("rank"), F.col("symbol_kind"), F.col("symbol_name"), F.col("start_line"), F.col("end_line"), F.col("score"), F.col("text"))
+    return hits.withColumn("prompt", F.concat(F.lit(f"{question}\n\nFrom "), "file_path", F.lit(", "), "language", F.lit(":\n"), block, F.lit(f"\n\n{TRIAGE}")))
 
 
 def file_prompts(hits: DataFrame, question: str) -> DataFrame:
-    """(file_path, first_rank, prompt) of hits (file_path, language, symbol_kind, symbol_name, start_line, end_line, score, rank, text): a prompt per file, its chunks by line."""
+    """(file_path, first_rank, prompt) of hits (file_path, language, symbol_kind, symbol_name, start_line, end_line, score, rank, text): a prompt per file, its chunks by line.
+
+    hits are a retrieval's, so few; a file's are gathered in one row.
+    """
     fields = ["start_line", "end_line", "symbol_kind", "symbol_name", "score", "text"]
     grouped = hits.groupBy("file_path", "language").agg(F.min("rank").alias("first_rank"), F.array_sort(F.collect_list(F.struct(*fields))).alias("c"))
     blocks = F.transform("c", lambda x, i: chunk_block(i + 1, x["symbol_kind"], x["symbol_name"], x["start_line"], x["end_line"], x["score"], x["text"]))
-    head = F.format_string("Question:\n%s\n\nFile: `%s` (%s)\nRetrieved chunks (in source order):\n\n", F.lit(question), "file_path", "language")
-    return grouped.select("file_path", "first_rank", F.concat(head, F.array_join(blocks, "\n"), F.lit("\n\nApply the rules in the system message.")).alias("prompt"))
+    return grouped.select("file_path", "first_rank", F.concat(F.lit(f"{question}\n\nPassages of "), "file_path", F.lit(", "), "language", F.lit(":\n"), F.array_join(blocks, "\n"), F.lit(f"\n\n{TRIAGE}")).alias("prompt"))
+
+
+def impact_prompts(impacts: DataFrame) -> DataFrame:
+    """impacts (of diff.impact) with prompt: the change, the symbol and who calls it."""
+    callers = F.when(F.size("callers") > 0, F.array_join("callers", "\n")).otherwise("none is known")
+    head = F.format_string("The %s %s (%s, lines %d to %d) changes:\n%s\n\nIt is called, by name, from:\n", "kind", "name", "file_path", "start_line", "end_line", F.trim("body"))
+    return impacts.withColumn("prompt", F.concat(head, callers, F.lit("\n\nSay whether the change breaks a promise that callers rely on, which of them break and how, or that this can't be told.")))
+
+
+def impact_report(replies: DataFrame) -> str:
+    """The answer on a diff from impact_prompts() with reply: a paragraph per changed symbol, as many rows as a diff changes."""
+    rows = replies.select("file_path", "kind", "name", "start_line", "n_callers", F.trim("reply").alias("reply")).orderBy("file_path", "start_line", "name").collect()
+    return "\n\n".join(f"{r.file_path}: {r.kind} {r.name}, callers: {r.n_callers}\n{r.reply}" for r in rows) or "The diff touches no symbol of the index."
 
 
 def ask(prompts: DataFrame, provider: Provider, budget: Budget, prompt_col: str = "prompt") -> DataFrame:
@@ -58,8 +101,7 @@ def ask(prompts: DataFrame, provider: Provider, budget: Budget, prompt_col: str
 
 def evidence(groups: DataFrame) -> DataFrame:
     """Adds block to the relevant groups (file_path, symbols as a list joined by commas, top_score, reply): what the final prompt says of each file."""
-    names = F.array_join(F.transform(F.split("symbols", ", "), lambda s: F.concat(F.lit("`"), s, F.lit("`"))), ", ")
-    block = F.concat(F.lit("### `"), "file_path", F.lit("` - "), names, F.format_string(" (top score=%.3f)\n%s", "top_score", "reply"))
+    block = F.concat("file_path", F.lit(": "), "symbols", F.format_string(", relevance %.3f\n%s", "top_score", "reply"))
     return groups.filter(is_relevant(F.col("reply"))).withColumn("block", block)
 
 
@@ -67,9 +109,16 @@ def answer(groups: DataFrame, question: str, provider: Provider, budget: Budget)
     """One last call over the blocks of the relevant groups by their first rank: at most top_k rows reach the driver."""
     blocks = [r.block for r in evidence(groups).orderBy("first_rank").select("block").collect()]
     if not blocks:
-        return "No relevant code was found."
+        return NOTHING
     budget.reserve(1)
-    return provider(["Question:\n" + question + "\n\nRelevant code summaries (one block per file, ordered by retrieval score):\n\n" + "\n".join(blocks) + "\n\nCite files and symbols; say so if the evidence is incomplete."])[0]
+    return provider([f"{question}\n\nWhat was found, best file first:\n\n" + "\n\n".join(blocks) + "\n\nAnswer from this alone, name files and symbols, and say what is missing."])[0]
+
+
+def one_shot(chunks: DataFrame, hits: DataFrame, id_col: str, question: str, provider: Provider, budget: Budget) -> str:
+    """A question answered over hits (id, rank, score) of ranking.retrieve: their chunks (id, file_path, ...) grouped by file, one call a file, then one over the relevant replies."""
+    found = chunks.join(F.broadcast(hits.select(id_col, "rank", "score")), id_col)  # a retrieval's top_k rows
+    replies = cut(ask(file_prompts(found, question), provider, budget).select("file_path", "reply"))
+    return answer(group_by_file(found).join(replies, "file_path"), question, provider, budget)
 
 
 def reviewed(draft: str, question: str, provider: Provider, budget: Budget, spark, rounds: int = 1) -> tuple[str, list[str]]:

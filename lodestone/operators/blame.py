@@ -76,12 +76,15 @@ def parse_annotate(lines: DataFrame, start_line: int, end_line: int) -> DataFram
 
 
 def parse_changes(lines: DataFrame) -> DataFrame:
-    """(rev, author, ts, summary) from tagged description lines (pos, line) of one command's output, "... field value".
+    """(rev, author, ts, summary) from tagged description lines (output_id, pos, line), "... field value"; without output_id all are one command's output.
 
-    Lines are numbered into changes by a running count; one output describes the few changes that were asked for.
+    Lines are numbered into changes by a running count per output; one output describes the few changes that were
+    asked for. A change that several outputs describe counts as the last of them has it.
     """
-    run = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    if "output_id" not in lines.columns:
+        lines = lines.withColumn("output_id", F.lit(0))
+    run = Window.partitionBy("output_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("n", F.sum(F.col("line").startswith("... change ").cast("int")).over(run)).filter("n > 0")
     value = lambda field: F.max(F.when(F.col("line").startswith(f"... {field} "), F.trim(F.substring("line", len(field) + 6, 1 << 30))))
-    per = marked.groupBy("n").agg(value("change").alias("rev"), value("user").alias("author"), F.timestamp_seconds(F.expr("try_cast(max(CASE WHEN line LIKE '... time %' THEN trim(substring(line, 10)) END) AS bigint)")).alias("ts"), value("desc").alias("summary"))
-    return per.groupBy("rev").agg(*[F.max_by(c, "n").alias(c) for c in ("author", "ts", "summary")])
+    per = marked.groupBy("output_id", "n").agg(value("change").alias("rev"), value("user").alias("author"), F.timestamp_seconds(F.expr("try_cast(max(CASE WHEN line LIKE '... time %' THEN trim(substring(line, 10)) END) AS bigint)")).alias("ts"), value("desc").alias("summary"))
+    return per.groupBy("rev").agg(*[F.max_by(c, F.struct("output_id", "n")).alias(c) for c in ("author", "ts", "summary")])

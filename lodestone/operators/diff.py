@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SECTION, HUNK = r"^(diff --git |==== )", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+from lodestone.operators import spans
+
+#: Lines of a diff are counted in blocks of so many positions, so that a very long diff spreads over tasks.
+BLOCK = 65_536
+SALTS = 64
 
 
 def lines_of(diffs: DataFrame) -> DataFrame:
@@ -13,44 +17,83 @@ def lines_of(diffs: DataFrame) -> DataFrame:
     return diffs.select("diff_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def added_lines(lines: DataFrame, strict_lines: bool = False) -> DataFrame:
-    """(diff_id, file_path, hunk, line_no) of every added line of (diff_id, pos, line).
+def _field(n: int) -> Column:
+    """The nth word of a line, from 0; null if there are fewer."""
+    return F.get(F.split("line", " "), F.lit(n))
+
+
+def _depot_path() -> Column:
+    """Of a header "==== path#number ...": the path, else null."""
+    return F.when(F.col("line").startswith("==== ") & _field(1).rlike("[^#]#[0-9]"), F.substring_index(_field(1), "#", 1))
+
+
+def hunk_lines(lines: DataFrame) -> DataFrame:
+    """(diff_id, pos, line, section, file_path, hunk, line_no) of the lines of hunks of (diff_id, pos, line), headers included.
 
-    A section's path is its first "+++ b/" line, else its "==== path#n" header; sections without one (deleted files)
-    drop out. By default a hunk's header counts as its first line, so numbers are one too high, as users of such
-    indexes expect; strict_lines gives the true ones. Lines of one diff stay together, those of many spread.
+    A section begins with a "diff --git " or "==== " line; its path is its first "+++ b/" line, else its "==== path#n"
+    header; sections without one (deleted files) drop out. A hunk begins with "@@ -a,b +c,d @@" and ends with its
+    section. line_no counts from c at the header, so it is one more than the line's number in the new file. Sections
+    and hunks are numbered by counts per block of positions; a hunk's lines meet in one task, a diff's never must.
     """
-    run = Window.partitionBy("diff_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    count = lambda pattern: F.sum(F.col("line").rlike(pattern).cast("int")).over(run)
-    marked = lines.withColumn("section", count(SECTION)).withColumn("hunk", count(HUNK))
-    of = Window.partitionBy("diff_id", "section")
-    git = F.min_by(F.nullif(F.regexp_extract("line", r"^\+\+\+ b/(.+)$", 1), F.lit("")), F.when(F.col("line").rlike(r"^\+\+\+ b/."), F.col("pos"))).over(of)
-    depot = F.min_by(F.regexp_extract("line", r"^==== (\S+?)#\d+", 1), F.when(F.col("line").rlike(r"^==== \S+?#\d+"), F.col("pos"))).over(of)
-    marked = marked.withColumn("file_path", F.coalesce(git, depot)).filter("file_path IS NOT NULL AND hunk > 0")
-    # A hunk ends with its section: lines before the next section's first hunk carry the old count.
+    opens = F.col("line").startswith("diff --git ") | F.col("line").startswith("==== ")
+    begin = F.when((_field(0) == "@@") & _field(1).startswith("-") & _field(2).startswith("+") & (_field(3) == "@@"), F.expr("try_cast(split(substring(split(line, ' ')[2], 2), ',')[0] AS int)"))
+    counted = {"section": opens.cast("long"), "hunk": F.coalesce(begin >= 0, F.lit(False)).cast("long")}
+    marked = lines.withColumn("begin", F.when(F.col("line").startswith("@@ -"), begin)).withColumn("block", F.floor(F.col("pos") / BLOCK))
+    blocks = marked.groupBy("diff_id", "block").agg(*[F.sum(c).alias(n) for n, c in counted.items()])
+    earlier = Window.partitionBy("diff_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("diff_id", "block", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}s") for n in counted])  # over a row per block
+    run = Window.partitionBy("diff_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.join(blocks, ["diff_id", "block"]).select("diff_id", "pos", "line", "begin", *[(F.sum(c).over(run) + F.col(f"{n}s")).alias(n) for n, c in counted.items()])
+    git = F.when(F.col("line").startswith("+++ b/") & (F.length("line") > 6), F.substring("line", 7, 1 << 30))
+    named = marked.filter(F.col("line").startswith("+++ b/") | F.col("line").startswith("==== ")).groupBy("diff_id", "section")
+    first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("pos")))
+    named = named.agg(F.coalesce(first(git), first(_depot_path())).alias("file_path")).filter("file_path IS NOT NULL")
     inside = Window.partitionBy("diff_id", "section", "hunk")
-    header = F.regexp_extract("line", HUNK, 1)
-    marked = marked.withColumn("start", F.max(F.when(header != "", header.cast("int"))).over(inside)).filter("start IS NOT NULL")
-    is_added = F.col("line").startswith("+") & ~F.col("line").startswith("+++")
-    is_removed = F.col("line").startswith("-") & ~F.col("line").startswith("---")
-    before = F.coalesce(F.sum(F.when(is_removed, 0).otherwise(1)).over(inside.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = marked.withColumn("line_no", (F.col("start") + before - (1 if strict_lines else 0)).cast("int"))
-    return numbered.filter(is_added).select("diff_id", "file_path", "hunk", "line_no")
+    counts = F.when(F.col("line").startswith("-") & ~F.col("line").startswith("---"), 0).otherwise(1)
+    before = F.coalesce(F.sum(counts).over(inside.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Lines before a section's first hunk carry the number of the hunk before, but no begin of their own.
+    placed = marked.filter("hunk > 0").join(named, ["diff_id", "section"]).withColumn("start", F.max("begin").over(inside))
+    return placed.filter("start IS NOT NULL").select("diff_id", "pos", "line", "section", "file_path", "hunk", (F.col("start") + before).cast("int").alias("line_no"))
+
+
+def added_lines(lines: DataFrame, strict_lines: bool = False) -> DataFrame:
+    """(diff_id, file_path, hunk, line_no) of every added line of (diff_id, pos, line); see hunk_lines().
+
+    By default a hunk's header counts as its first line, so numbers are one too high, as users of such indexes expect;
+    strict_lines gives the true ones.
+    """
+    return _added(hunk_lines(lines)).select("diff_id", "file_path", "hunk", (F.col("line_no") - (1 if strict_lines else 0)).cast("int").alias("line_no"))
+
+
+def _added(placed: DataFrame) -> DataFrame:
+    return placed.filter(F.col("line").startswith("+") & ~F.col("line").startswith("+++"))
+
+
+def hunk_bodies(placed: DataFrame) -> DataFrame:
+    """(diff_id, file_path, hunk, body) of hunk_lines(): a hunk's lines after its header, in one text."""
+    body = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    grouped = placed.groupBy("diff_id", "file_path", "hunk").agg(body.alias("b"))
+    return grouped.select("diff_id", "file_path", "hunk", F.array_join(F.expr("slice(b.line, 2, size(b))"), "\n").alias("body"))
+
+
+def rewrite_paths(lines: DataFrame, paths: DataFrame) -> DataFrame:
+    """lines (diff_id, pos, line) with the paths of "==== path#n" headers replaced by those of paths (depot, local), where they have one; depot paths must be unique. Only headers are joined."""
+    is_header = F.coalesce(_depot_path().isNotNull(), F.lit(False))
+    headers = lines.filter(is_header).withColumn("__depot", _depot_path())
+    local = headers.join(paths.select(F.col("depot").alias("__depot"), F.col("local").alias("__local")), "__depot", "left")
+    changed = F.concat(F.lit("==== "), F.coalesce("__local", "__depot"), F.expr("substring(line, 6 + length(__depot))"))
+    return lines.filter(~is_header).select("diff_id", "pos", "line").union(local.select("diff_id", "pos", changed.alias("line")))
 
 
 def changed_symbols(symbols: DataFrame, added: DataFrame) -> DataFrame:
-    """Symbols (file_path, name, kind, start_line, end_line) that an added line lies in: a semi-join by file with the range on top."""
-    lines = added.select(F.col("file_path").alias("__f"), "line_no")
-    hit = (F.col("file_path") == F.col("__f")) & F.col("line_no").between(F.col("start_line"), F.col("end_line"))
-    return symbols.join(lines, hit, "left_semi").dropDuplicates(["file_path", "name", "start_line"])
+    """Symbols (file_path, name, kind, start_line, end_line) that an added line lies in: a semi-join by file and bin of lines."""
+    return spans.within(symbols, added.select("file_path", "line_no"), "line_no", "left_semi").dropDuplicates(["file_path", "name", "start_line"])
 
 
 def first_hunks(symbols: DataFrame, added: DataFrame) -> DataFrame:
     """(file_path, name, start_line, diff_id, hunk): the first hunk in which a changed symbol has an added line."""
-    lines = added.withColumnRenamed("file_path", "__f")
-    hit = (F.col("file_path") == F.col("__f")) & F.col("line_no").between(F.col("start_line"), F.col("end_line"))
-    met = symbols.join(lines, hit).groupBy("file_path", "name", "start_line").agg(F.min(F.struct("diff_id", "hunk")).alias("h"))
-    return met.select("file_path", "name", "start_line", "h.diff_id", "h.hunk")
+    met = spans.within(symbols.select("file_path", "name", "start_line", "end_line"), added, "line_no")
+    return met.groupBy("file_path", "name", "start_line").agg(F.min(F.struct("diff_id", "hunk")).alias("h")).select("file_path", "name", "start_line", "h.diff_id", "h.hunk")
 
 
 def callers(changed: DataFrame, calls: DataFrame, leaf_match: bool = False) -> DataFrame:
@@ -58,3 +101,25 @@ def callers(changed: DataFrame, calls: DataFrame, leaf_match: bool = False) -> D
     key = F.regexp_extract("name", "[^.]*$", 0) if leaf_match else F.col("name")
     wanted = changed.select("name", key.alias("callee")).distinct()
     return wanted.join(calls, "callee").select("name", "file_path", "caller").distinct()
+
+
+def impact(symbols: DataFrame, lines: DataFrame, calls: DataFrame, shown: int = 30) -> DataFrame:
+    """(file_path, name, kind, start_line, end_line, body, n_callers, callers) of every symbol (file_path, name, kind, start_line, end_line) that the diffs (diff_id, pos, line) change.
+
+    body is the first hunk that adds a line to it; callers are up to so many "file_path::caller" of calls (file_path,
+    caller, callee) to its name, the least ones, n_callers counts all. Of a name with very many callers each of SALTS
+    parts is cut to those shown first.
+    """
+    placed = hunk_lines(lines)
+    added = _added(placed).select("diff_id", "file_path", "hunk", "line_no")
+    changed = symbols.join(first_hunks(symbols, added), ["file_path", "name", "start_line"]).dropDuplicates(["file_path", "name", "start_line"])
+    bodies = hunk_bodies(placed.join(changed.select("diff_id", "file_path", "hunk").distinct(), ["diff_id", "file_path", "hunk"], "left_semi"))
+    found = calls.join(changed.select(F.col("name").alias("callee")).distinct(), "callee").select(F.col("callee").alias("name"), F.concat_ws("::", "file_path", "caller").alias("caller")).distinct()
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("caller"), F.lit(SALTS)))
+    part = F.row_number().over(Window.partitionBy("name", "salt").orderBy("caller"))
+    total = salted.groupBy("name", "salt").agg(F.count("*").alias("n")).groupBy("name").agg(F.sum("n").alias("n_callers"))
+    least = salted.withColumn("r", part).filter(F.col("r") <= shown).withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("caller"))).filter(F.col("r") <= shown)
+    listed = least.groupBy("name").agg(F.array_sort(F.collect_list("caller")).alias("callers")).join(total, "name")
+    out = changed.join(bodies, ["diff_id", "file_path", "hunk"]).join(listed, "name", "left")
+    none = F.array().cast("array<string>")
+    return out.select("file_path", "name", "kind", "start_line", "end_line", "body", F.coalesce("n_callers", F.lit(0)).alias("n_callers"), F.coalesce("callers", none).alias("callers"))

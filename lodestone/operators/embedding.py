@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
+from lodestone.plans.lineage import BROADCAST_ROWS, cut
 
 DIM = 64
 
@@ -37,7 +38,9 @@ def rerank_with(texts: DataFrame, query: str, id_col: str, load: Callable[[], Ca
     """A rerank step for ranking.retrieve: joins the pool's texts (id, text) and scores (query, text) pairs by a model."""
 
     def step(hits: DataFrame) -> DataFrame:
-        pool = texts.select(id_col, "text").join(F.broadcast(hits.select(id_col)), id_col)  # a pool has at most 4 * top_k rows
+        hits = cut(hits)  # ranked once: it is counted and joined
+        ids = hits.select(id_col)
+        pool = texts.select(id_col, "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, id_col)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = load()

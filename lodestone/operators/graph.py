@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import package_of
 
-
 def symbols(chunks: DataFrame) -> DataFrame:
     """Chunks that are symbols: names such as <module> are none."""
     return chunks.filter(~F.col("symbol_name").startswith("<"))
@@ -41,6 +40,11 @@ def callers_of(calls_: DataFrame, callee: str, limit: int = 200) -> DataFrame:
     return calls_.filter(F.col("callee") == callee).select("file_path", "caller").distinct().orderBy("file_path", "caller").limit(limit)
 
 
+def imports_of(imports_: DataFrame, file_path: str) -> DataFrame:
+    """What one file imports."""
+    return imports_.filter(F.col("file_path") == file_path).select("module").distinct().orderBy("module")
+
+
 def files_importing(imports_: DataFrame, module: str) -> DataFrame:
     """Files that import the module or something below it, once per such import."""
     return imports_.filter((F.col("module") == module) | F.col("module").ilike(f"{module}.%"))
@@ -68,19 +72,24 @@ def resolve_modules(modules: DataFrame, files: DataFrame) -> DataFrame:
     return modules.join(found, "module", "left").select("module", F.col("best.file_path").alias("file_path"))
 
 
-def nodes(chunks: DataFrame, depth: int = 1) -> DataFrame:
-    """(node, chunks, files) per package."""
+def _node(path: Column, depth: int | None) -> Column:
+    """A path's package of so many folders, or the file itself."""
+    return path if depth is None else package_of(path, depth)
+
+
+def nodes(chunks: DataFrame, depth: int | None = 1) -> DataFrame:
+    """(node, chunks, files) per package, or per file without a depth."""
     per = chunks.groupBy("file_path").agg(F.count("*").alias("n"))
-    return per.groupBy(package_of(F.col("file_path"), depth).alias("node")).agg(F.sum("n").alias("chunks"), F.count("*").alias("files"))
+    return per.groupBy(_node(F.col("file_path"), depth).alias("node")).agg(F.sum("n").alias("chunks"), F.count("*").alias("files"))
 
 
-def edges(imports_: DataFrame, files: DataFrame, depth: int = 1, external: bool = False) -> DataFrame:
+def edges(imports_: DataFrame, files: DataFrame, depth: int | None = 1, external: bool = False) -> DataFrame:
     """(src, dst, weight) between packages, without self edges; with external, unresolved modules go to <ext> and their first part."""
     to = resolve_modules(imports_, files)
-    dst = package_of(F.col("to.file_path"), depth)
+    dst = _node(F.col("to.file_path"), depth)
     outside = F.concat(F.lit("<ext>"), F.regexp_extract("to.module", "^[^./]*", 0))
     joined = imports_.alias("i").join(to.alias("to"), F.col("i.module") == F.col("to.module"))
-    pairs = joined.select(package_of(F.col("i.file_path"), depth).alias("src"), F.when(F.col("to.file_path").isNotNull(), dst).when(F.lit(external), outside).alias("dst"))
+    pairs = joined.select(_node(F.col("i.file_path"), depth).alias("src"), F.when(F.col("to.file_path").isNotNull(), dst).when(F.lit(external), outside).alias("dst"))
     return pairs.filter("dst IS NOT NULL AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
@@ -94,29 +103,31 @@ def quoted(id_: Column) -> Column:
 
 
 def dot_lines(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
-    """(part, name, line): a DOT statement per node and edge; darker and thicker with more chunks, thicker with more imports."""
+    """(part, name, line): a DOT statement per node and edge; bluer with more chunks, wider with more imports."""
     most = nodes_.agg(F.max("chunks").alias("__most"))
     share = F.col("chunks") / F.col("__most")
-    grey = F.lpad(F.lower(F.hex(F.floor(255 - 255 * 0.6 * F.least(F.lit(0.85), 0.2 + 0.65 * share)).cast("int"))), 2, "0")
-    label = F.concat("node", F.lit("\\n"), "files", F.lit("f / "), "chunks", F.lit("c"))
-    node = F.format_string('  %s [label="%s", fillcolor="#%s%sf0", penwidth=%.2f];', quoted(F.col("node")), label, grey, grey, 1 + 2 * share)
-    shown = F.when(F.col("weight") > 1, F.col("weight").cast("string")).otherwise("")
-    edge = F.format_string('  %s -> %s [label="%s", penwidth=%.2f];', quoted(F.col("src")), quoted(F.col("dst")), shown, 1 + F.least(F.lit(4.0), F.col("weight") / 2))
+    shade = F.floor(240 - 110 * share).cast("int")
+    label = F.format_string("%s\\n%d files, %d chunks", F.replace(F.col("node"), F.lit('"'), F.lit('\\"')), "files", "chunks")
+    node = F.format_string('  %s [label="%s", fillcolor="#%02x%02xff"];', quoted(F.col("node")), label, shade, shade)
+    edge = F.format_string('  %s -> %s [label="%d", weight=%d];', quoted(F.col("src")), quoted(F.col("dst")), "weight", F.least(F.lit(20), F.col("weight").cast("int")))
     first = nodes_.crossJoin(F.broadcast(most)).select(F.lit(0).alias("part"), F.col("node").alias("name"), node.alias("line"))
     return first.union(edges_.select(F.lit(1), F.concat("src", F.lit("\t"), "dst"), edge))
 
 
 def write_dot(lines: DataFrame, path: str, title: str) -> None:
     """One ordered text file: the graph's statements, a node per package, so it is as long as the folder list."""
-    head = f'digraph dependencies {{\n  label="{title}";\n  rankdir=LR;\n  node [shape=box, style=filled];\n'
     with open(path, "w") as f:
-        f.write(head)
-        empty = True
+        f.write(f"digraph modules {{\n  graph [label={_text(title)}];\n  node [style=filled];\n")
         for row in lines.orderBy("part", "name").toLocalIterator():
-            empty = False
             f.write(row.line + "\n")
-        f.write(('  empty [label="(no indexed files)", shape=plaintext];\n' if empty else "") + "}\n")
+        f.write("}\n")
+
+
+def _text(title: str) -> str:
+    return '"' + title.replace('"', '\\"') + '"'
 
 
-def rank_within(by: str, *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(by).orderBy(*order))
+def export(chunks: DataFrame, path: str, title: str, depth: int | None = 1, external: bool = False) -> None:
+    """The import graph of chunks (file_path, imports) as a DOT file: packages of so many folders, or files with None. Without chunks the graph is empty."""
+    files = chunks.select("file_path").distinct()
+    write_dot(dot_lines(nodes(chunks, depth), edges(imports(chunks), files, depth, external)), path, title)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from lodestone.plans.lineage import cut, spread
 K1, B = 1.5, 0.75
 RRF_K = 60
 OVER_FETCH = 4
+#: Vectors of a block in a search of many queries.
+SLICE = 4_096
 MODES = ("hybrid", "cosine", "bm25")
 
 
@@ -62,6 +66,41 @@ def top(scores: DataFrame, k: int, id_col: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
 
 
+def cosine_batch(chunks: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int) -> DataFrame:
+    """(query, id, score, rank): the k best chunks (id, embedding) for each of queries (query, embedding), all against all in blocks, exact.
+
+    Both sides are dealt by hash into blocks of about SLICE vectors; each two blocks meet in one task as one matrix
+    product, which passes on its own k best per query only. Null vectors are left out, ties go by id.
+    """
+    sides = []
+    for df, id_ in ((chunks, id_col), (queries, query_col)):
+        df = df.filter(F.col("embedding").isNotNull()).select(F.col(id_).alias("id"), "embedding")
+        n = max(1, -(-df.count() // SLICE))
+        sides.append((df.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n))
+    (vectors, n), (asked, m) = sides
+    left = vectors.select(F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"), F.lit(0).alias("side"), "id", "embedding")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "id", "embedding")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
+        v, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        v = v[np.argsort(ids[v], kind="stable")]
+        if not len(v) or not len(q):
+            return pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        vectors = table.column("embedding").chunk(0)
+        matrix = vectors.flatten().to_numpy().reshape(len(ids), -1).astype(np.float64)
+        scores = matrix[q] @ matrix[v].T
+        order = np.argsort(-np.round(scores, 6), axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(q)), order.shape[1])
+        return pa.table({"q": ids[q][row], "id": ids[v][order.ravel()], "score": scores[row, order.ravel()]})
+
+    found = left.union(right).groupBy("i", "j").applyInArrow(run, "q long, id long, score double")
+    best = Window.partitionBy("q").orderBy(F.round("score", 6).desc(), "id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score", "rank")
+
+
 def rrf(first: DataFrame, second: DataFrame, id_col: str, k: int = RRF_K) -> DataFrame:
     """(id, score, first_rank, second_rank) of two rankings: the sum of 1 / (k + rank)."""
     both = first.select(id_col, F.col("rank").alias("first_rank")).join(second.select(id_col, F.col("rank").alias("second_rank")), id_col, "full_outer")

@@ -39,31 +39,19 @@ def query(sql: str | None = None):
 
 # Views that several queries share, in both languages.
 def _files(read) -> DataFrame:
-    """Pages as source files, one per path: the least page_id of each."""
-    path = F.regexp_replace(F.regexp_extract("url", "://[^/]*/([^?#]*)", 1), "/$", "")
-    return read("pages").withColumn("file_path", F.concat(path, F.lit(".js"))).groupBy("file_path").agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("p")).select("file_path", "p.page_id", F.col("p.html").alias("text"))
-
-
-FILES = """files AS (
-  SELECT file_path, min(page_id) AS page_id, arg_min(html, page_id) AS text
-  FROM (SELECT *, regexp_replace(regexp_extract(url, '://[^/]*/([^?#]*)', 1), '/$', '') || '.js' AS file_path FROM pages) GROUP BY file_path
-)"""
-
-
-def _all_files(read) -> DataFrame:
     """Every page as a source file of its own: host, path and page_id tell them apart."""
     path = F.regexp_replace(F.regexp_extract("url", "://([^?#]*)", 1), "/$", "")
     return read("pages").select(F.concat(path, F.lit("@"), "page_id", F.lit(".js")).alias("file_path"), "page_id", F.col("html").alias("text"))
 
 
-ALL_FILES = """files AS (
+FILES = """files AS (
   SELECT regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/$', '') || '@' || page_id || '.js' AS file_path, page_id, html AS text FROM pages
 )"""
 
 
-def _imports(read, pages=_files) -> DataFrame:
+def _imports(read) -> DataFrame:
     links = F.regexp_extract_all("text", F.lit('href="/([^"]+)"'), F.lit(1))
-    return graph.imports(pages(read).select("file_path", links.alias("imports")))
+    return graph.imports(_files(read).select("file_path", links.alias("imports")))
 
 
 IMPORTS = f"""{FILES}, imports AS (
@@ -84,18 +72,17 @@ SYMBOLS = r"""symbols AS (
 )"""
 
 
-def _calls(read, words: int | None = 5) -> DataFrame:
-    """Conversations as calls: a role calls the first words of its text, or all with None."""
+def _calls(read) -> DataFrame:
+    """Conversations as calls: a role calls every word of its text."""
     called = F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))
-    return read("conversations").select(F.concat(F.lit("conv"), F.col("conv_id") % 50).alias("file_path"), F.when(F.col("turn") == 0, "<module>").otherwise(F.col("role")).alias("symbol_name"), (F.slice(called, 1, words) if words else called).alias("calls"))
+    return read("conversations").select(F.concat(F.lit("conv"), F.col("conv_id") % 50).alias("file_path"), F.when(F.col("turn") == 0, "<module>").otherwise(F.col("role")).alias("symbol_name"), called.alias("calls"))
 
 
 CALLS = """calls AS (
   SELECT DISTINCT file_path, caller, unnest(callees) AS callee FROM (
-    SELECT 'conv' || (conv_id % 50) AS file_path, CASE WHEN turn = 0 THEN '<module>' ELSE role END AS caller, regexp_extract_all(text, '[a-z]{3,}')[1:5] AS callees FROM conversations
+    SELECT 'conv' || (conv_id % 50) AS file_path, CASE WHEN turn = 0 THEN '<module>' ELSE role END AS caller, regexp_extract_all(text, '[a-z]{3,}') AS callees FROM conversations
   ) WHERE NOT starts_with(caller, '<')
 )"""
-ALL_CALLS = CALLS.replace("[1:5]", "")
 TOKENS = """tokens AS (
   SELECT doc_id, flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]+'), lambda w:
     list_concat([lower(w)], list_concat(list_transform(list_filter(string_split(w, '_'), lambda p: p <> ''), lambda p: lower(p)),
@@ -195,17 +182,9 @@ def rerank_identity(read):
     return ranking.retrieve(_chunks(read), QUERY, None, "doc_id", mode="bm25", rerank=lambda hits: hits.select("doc_id", "raw_score")).select("doc_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""WITH hits AS (SELECT 'conv' || (conv_id % 20) AS file_path, role AS symbol_name, conv_id * 100 + turn AS start_line, row_number() OVER (ORDER BY conv_id, turn) AS rank FROM conversations QUALIFY rank <= 200)
-SELECT file_path, min(rank) AS first_rank, round(max(1.0::DOUBLE / rank), 6) AS top_score, count(*) AS n_hits, string_agg(symbol_name, ', ' ORDER BY start_line, symbol_name) AS symbols FROM hits GROUP BY file_path""")
-def group_hits_by_file(read):
-    hits = read("conversations").orderBy("conv_id", "turn").limit(200).withColumn("rank", F.row_number().over(Window.orderBy("conv_id", "turn")).cast("long"))
-    hits = hits.select(F.concat(F.lit("conv"), F.col("conv_id") % 20).alias("file_path"), F.col("role").alias("symbol_name"), (F.col("conv_id") * 100 + F.col("turn")).alias("start_line"), "rank", (1.0 / F.col("rank")).cast("double").alias("score"))
-    return ranking.group_by_file(hits).withColumn("top_score", F.round("top_score", 6))
-
-
 @query("""WITH hits AS (SELECT 'conv' || (conv_id // 20) AS file_path, role AS symbol_name, conv_id * 100 + turn AS start_line, row_number() OVER (ORDER BY conv_id, turn) AS rank FROM conversations)
 SELECT file_path, min(rank) AS first_rank, round(max(1.0::DOUBLE / rank), 6) AS top_score, count(*) AS n_hits, string_agg(symbol_name, ', ' ORDER BY start_line, symbol_name) AS symbols FROM hits GROUP BY file_path""")
-def group_hits_by_file_whole(read):
+def group_hits_by_file(read):
     """All turns as hits, twenty conversations a file."""
     turns = ranking.numbered(read("conversations").select("conv_id", "turn", "role"), F.floor(F.col("conv_id") / 1000), F.col("conv_id"), F.col("turn"))
     hits = turns.select(F.concat(F.lit("conv"), F.floor(F.col("conv_id") / 20)).alias("file_path"), F.col("role").alias("symbol_name"), (F.col("conv_id") * 100 + F.col("turn")).alias("start_line"), "rank", (1.0 / F.col("rank")).cast("double").alias("score"))
@@ -243,16 +222,6 @@ def files_importing(read):
     return graph.files_importing(_imports(read), "the")
 
 
-@query(ORACLES["imports_of"].replace(FILES, ALL_FILES))
-def imports_of_whole(read):
-    return _imports(read, _all_files)
-
-
-@query(ORACLES["files_importing"].replace(FILES, ALL_FILES))
-def files_importing_whole(read):
-    return graph.files_importing(_imports(read, _all_files), "the")
-
-
 @query(f"WITH {CALLS} SELECT file_path, caller, callee FROM calls")
 def derive_calls(read):
     return graph.calls(_calls(read))
@@ -263,16 +232,6 @@ def callers_of(read):
     return graph.callers_of(graph.calls(_calls(read)), "the")
 
 
-@query(f"WITH {ALL_CALLS} SELECT file_path, caller, callee FROM calls")
-def derive_calls_whole(read):
-    return graph.calls(_calls(read, None))
-
-
-@query(f"WITH {ALL_CALLS} SELECT DISTINCT file_path, caller FROM calls WHERE callee = 'the' ORDER BY file_path, caller LIMIT 200")
-def callers_of_whole(read):
-    return graph.callers_of(graph.calls(_calls(read, None)), "the")
-
-
 NAMES = "SELECT part.p_partkey, replace(p_name, ' ', '/') || '/x.' || (['py', 'JS', 'tsx', 'go', 'rs', 'cs', 'c++', 'h', 'txt', 'inl'])[p_partkey % 10 + 1] AS path FROM part"
 
 
@@ -310,8 +269,8 @@ DELTA = f"""{FILES}, stored AS (
 )"""
 
 
-def _delta(read, pages=_files) -> tuple[DataFrame, DataFrame]:
-    all_ = pages(read).select("file_path", "page_id", F.sha1("text").alias("sha1"))
+def _delta(read) -> tuple[DataFrame, DataFrame]:
+    all_ = _files(read).select("file_path", "page_id", F.sha1("text").alias("sha1"))
     stored = all_.filter("page_id % 5 > 0").withColumn("sha1", F.when(F.col("page_id") % 7 == 0, "old").otherwise(F.col("sha1")))
     seen = all_.filter("page_id % 6 > 0").withColumn("sha1", F.when(F.col("page_id") % 13 > 0, F.col("sha1")))
     return stored, seen
@@ -329,37 +288,21 @@ def index_summary(read):
 
 @query(f"""WITH {DELTA} SELECT file_path, sha1 FROM stored WHERE file_path NOT IN (SELECT file_path FROM actions WHERE action IN ('rebuilt', 'removed'))
 UNION ALL SELECT file_path, sha1 FROM seen WHERE file_path IN (SELECT file_path FROM actions WHERE action = 'rebuilt')""")
-def apply_snapshot(read, pages=_files):
-    stored, seen = _delta(read, pages)
+def apply_snapshot(read):
+    stored, seen = _delta(read)
     actions = files.delta(stored, seen)
     fresh = seen.join(actions.filter("action = 'rebuilt'"), "file_path", "left_semi").select("file_path", "sha1")
     return files.apply(stored.select("file_path", "sha1"), actions, fresh)
 
 
-@query(ORACLES["file_sha1"].replace(FILES, ALL_FILES))
-def file_sha1_whole(read):
-    return _all_files(read).select("file_path", F.sha1("text").alias("sha1"))
-
-
-@query(ORACLES["index_delta"].replace(FILES, ALL_FILES))
-def index_delta_whole(read):
-    return files.delta(*_delta(read, _all_files))
-
-
-@query(ORACLES["index_summary"].replace(FILES, ALL_FILES))
-def index_summary_whole(read):
-    return files.delta(*_delta(read, _all_files)).groupBy("action").agg(F.count("*").alias("n"))
-
-
-@query(ORACLES["apply_snapshot"].replace(FILES, ALL_FILES))
-def apply_snapshot_whole(read):
-    return apply_snapshot(read, _all_files)
-
-
-RESOLVED = """modules AS (
-  SELECT DISTINCT replace(p_name, ' ', '.') || CASE p_partkey % 4 WHEN 0 THEN '.thing' WHEN 1 THEN '' WHEN 2 THEN '.h' ELSE '/a.h' END AS module FROM part
+RESOLVED = """part_modules AS (
+  SELECT p_partkey, replace(p_name, ' ', '.') || CASE p_partkey % 4 WHEN 0 THEN '.thing' WHEN 1 THEN '' WHEN 2 THEN '.h' ELSE '/a.h' END AS module FROM part
+), part_files AS (
+  SELECT p_partkey, replace(p_name, ' ', '/') || CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '/__init__.py' ELSE '/a.h' END AS file_path FROM part WHERE p_partkey % 2 = 0
+), modules AS (
+  SELECT DISTINCT module FROM part_modules
 ), files AS (
-  SELECT DISTINCT replace(p_name, ' ', '/') || CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '/__init__.py' ELSE '/a.h' END AS file_path FROM part WHERE p_partkey % 2 = 0
+  SELECT DISTINCT file_path FROM part_files
 ), begun AS (
   SELECT module, array_to_string(string_split(module, '.')[1:n], '/') AS key, len(string_split(module, '.')) - n AS loss FROM modules, unnest(range(1, len(string_split(module, '.')) + 1)) u(n)
 ), keys AS (
@@ -379,8 +322,8 @@ def _modules(read) -> tuple[DataFrame, DataFrame]:
     part = read("part")
     tail = F.element_at(F.array(*map(F.lit, [".thing", "", ".h", "/a.h"])), (F.col("p_partkey") % 4 + 1).cast("int"))
     end = F.element_at(F.array(*map(F.lit, [".py", "/__init__.py", "/a.h"])), (F.col("p_partkey") % 3 + 1).cast("int"))
-    modules = part.select(F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit(".")), tail).alias("module"))
-    return modules, part.filter("p_partkey % 2 = 0").select(F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("/")), end).alias("file_path"))
+    modules = part.select("p_partkey", F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit(".")), tail).alias("module"))
+    return modules, part.filter("p_partkey % 2 = 0").select("p_partkey", F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("/")), end).alias("file_path"))
 
 
 @query(f"WITH {RESOLVED} SELECT module, file_path FROM resolved")
@@ -389,7 +332,7 @@ def module_resolve(read):
 
 
 GRAPH = f"""{RESOLVED}, imports AS (
-  SELECT DISTINCT f.file_path, m.module FROM files f JOIN modules m ON ascii(m.module) % 5 = ascii(reverse(f.file_path[1:3])) % 5 AND length(m.module) % 7 = length(f.file_path) % 7
+  SELECT DISTINCT f.file_path, m.module FROM part_files f, (VALUES (1), (2), (12), (35)) v(step) JOIN part_modules m ON m.p_partkey = f.p_partkey + step
 ), edges AS (
   SELECT split_part(i.file_path, '/', 1) AS src, CASE WHEN r.file_path IS NULL THEN '<ext>' || regexp_extract(i.module, '^[^./]*') ELSE split_part(r.file_path, '/', 1) END AS dst
   FROM imports i JOIN resolved r USING (module)
@@ -402,11 +345,11 @@ GRAPH = f"""{RESOLVED}, imports AS (
 
 
 def _graph(read) -> tuple[DataFrame, DataFrame]:
-    modules, paths = (d.distinct() for d in _modules(read))
-    alike = (F.ascii("module") % 5 == F.ascii(F.reverse(F.substring("file_path", 1, 3))) % 5) & (F.length("module") % 7 == F.length("file_path") % 7)
-    imports = paths.join(modules, alike).distinct()
+    modules, paths = _modules(read)
+    steps = paths.select("file_path", F.explode(F.array(*[F.col("p_partkey") + n for n in (1, 2, 12, 35)])).alias("p_partkey"))
+    imports = steps.join(modules, "p_partkey").select("file_path", "module").distinct()
     chunks = read("part").select(F.replace(F.col("p_name"), F.lit(" "), F.lit("/")).alias("file_path"))
-    return graph.nodes(chunks), graph.edges(imports, paths, external=True)
+    return graph.nodes(chunks), graph.edges(imports, paths.select("file_path").distinct(), external=True)
 
 
 @query(f"WITH {GRAPH} SELECT node, chunks, files FROM nodes")
@@ -425,10 +368,10 @@ def graph_stats(read):
 
 
 @query(f"""WITH {GRAPH}, most AS (SELECT max(chunks) AS m FROM nodes), shaded AS (
-  SELECT *, lpad(lower(hex(CAST(floor(255 - 255 * 0.6::DOUBLE * least(0.85::DOUBLE, 0.2::DOUBLE + 0.65::DOUBLE * (CAST(chunks AS DOUBLE) / m))) AS INTEGER))), 2, '0') AS grey FROM nodes, most
+  SELECT *, lpad(lower(hex(CAST(floor(240 - 110 * (CAST(chunks AS DOUBLE) / m)) AS INTEGER))), 2, '0') AS shade FROM nodes, most
 )
-SELECT 0 AS part, node AS name, printf('  "%s" [label="%s\\n%df / %dc", fillcolor="#%s%sf0", penwidth=%.2f];', node, node, files, chunks, grey, grey, 1 + 2 * (CAST(chunks AS DOUBLE) / m)) AS line FROM shaded
-UNION ALL SELECT 1, src || chr(9) || dst, printf('  "%s" -> "%s" [label="%s", penwidth=%.2f];', src, dst, CASE WHEN weight > 1 THEN CAST(weight AS VARCHAR) ELSE '' END, 1 + least(4.0::DOUBLE, CAST(weight AS DOUBLE) / 2)) FROM weighed""")
+SELECT 0 AS part, node AS name, printf('  "%s" [label="%s\\n%d files, %d chunks", fillcolor="#%s%sff"];', node, node, files, chunks, shade, shade) AS line FROM shaded
+UNION ALL SELECT 1, src || chr(9) || dst, printf('  "%s" -> "%s" [label="%d", weight=%d];', src, dst, weight, least(20, weight)) FROM weighed""")
 def dot_lines(read):
     return graph.dot_lines(*_graph(read))
 
@@ -436,11 +379,11 @@ def dot_lines(read):
 DIFFS = """items AS (
   SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY l_orderkey, l_linenumber
 ), lines AS (
-  SELECT l_orderkey % 50 AS diff_id, l_orderkey * 100 AS pos, 'diff --git a/f' || l_orderkey % 20 || ' b/f' || l_orderkey % 20 AS line FROM items GROUP BY l_orderkey
-  UNION ALL SELECT l_orderkey % 50, l_orderkey * 100 + 1, CASE WHEN l_orderkey % 9 = 0 THEN '+++ /dev/null' ELSE '+++ b/f' || l_orderkey % 20 END FROM items GROUP BY l_orderkey
-  UNION ALL SELECT l_orderkey % 50, l_orderkey * 100 + 10 * l_linenumber, '@@ -1,3 +' || CAST(l_quantity AS INTEGER) * 10 || ',3 @@ f' FROM items
-  UNION ALL SELECT l_orderkey % 50, l_orderkey * 100 + 10 * l_linenumber + 1, CASE l_returnflag WHEN 'R' THEN '-' WHEN 'A' THEN '+' ELSE ' ' END || l_linestatus FROM items
-  UNION ALL SELECT l_orderkey % 50, l_orderkey * 100 + 10 * l_linenumber + 2, CASE l_linestatus WHEN 'F' THEN '+' ELSE '---' END || l_returnflag FROM items
+  SELECT l_orderkey // 100 AS diff_id, l_orderkey * 100 AS pos, 'diff --git a/f' || l_orderkey // 32 || ' b/f' || l_orderkey // 32 AS line FROM items GROUP BY l_orderkey
+  UNION ALL SELECT l_orderkey // 100, l_orderkey * 100 + 1, CASE WHEN l_orderkey % 9 = 0 THEN '+++ /dev/null' ELSE '+++ b/f' || l_orderkey // 32 END FROM items GROUP BY l_orderkey
+  UNION ALL SELECT l_orderkey // 100, l_orderkey * 100 + 10 * l_linenumber, '@@ -1,3 +' || CAST(l_quantity AS INTEGER) * 10 || ',3 @@ f' FROM items
+  UNION ALL SELECT l_orderkey // 100, l_orderkey * 100 + 10 * l_linenumber + 1, CASE l_returnflag WHEN 'R' THEN '-' WHEN 'A' THEN '+' ELSE ' ' END || l_linestatus FROM items
+  UNION ALL SELECT l_orderkey // 100, l_orderkey * 100 + 10 * l_linenumber + 2, CASE l_linestatus WHEN 'F' THEN '+' ELSE '---' END || l_returnflag FROM items
 ), marked AS (
   SELECT *, sum(CASE WHEN starts_with(line, 'diff --git ') THEN 1 ELSE 0 END) OVER w AS section, sum(CASE WHEN starts_with(line, '@@ ') THEN 1 ELSE 0 END) OVER w AS hunk
   FROM lines WINDOW w AS (PARTITION BY diff_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
@@ -458,7 +401,7 @@ DIFFS = """items AS (
 def _diffs(read) -> DataFrame:
     """Each order as a file's section, each line of it as a hunk."""
     item = read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_returnflag", "l_linestatus")])
-    name, at = F.col("l_orderkey") % 20, F.col("l_orderkey") * 100
+    name, at = F.floor(F.col("l_orderkey") / 32), F.col("l_orderkey") * 100
     first = item.select("l_orderkey").distinct()
     heads = [(0, F.concat(F.lit("diff --git a/f"), name, F.lit(" b/f"), name)), (1, F.when(F.col("l_orderkey") % 9 == 0, "+++ /dev/null").otherwise(F.concat(F.lit("+++ b/f"), name)))]
     flag = F.col("l_returnflag")
@@ -468,22 +411,30 @@ def _diffs(read) -> DataFrame:
         (2, F.concat(F.when(F.col("l_linestatus") == "F", "+").otherwise("---"), flag)),
     ]
     place = at + F.col("l_linenumber") * 10
-    diff_id = (F.col("l_orderkey") % 50).alias("diff_id")
+    diff_id = F.floor(F.col("l_orderkey") / 100).alias("diff_id")
     head = first.select(diff_id, F.explode(F.array(*[F.struct((at + i).alias("pos"), line.alias("line")) for i, line in heads])).alias("x"))
     body = item.select(diff_id, F.explode(F.array(*[F.struct((place + i).alias("pos"), line.alias("line")) for i, line in rows])).alias("x"))
     return head.union(body).select("diff_id", "x.*")
 
 
 def _touched(read) -> DataFrame:
-    """Suppliers as symbols of the files that the diffs change."""
-    return read("supplier").select(F.concat(F.lit("f"), F.col("s_suppkey") % 20).alias("file_path"), F.col("s_name").alias("name"), F.lit("function").alias("kind"), (F.col("s_suppkey") * 3 % 400).cast("int").alias("start_line"), (F.col("s_suppkey") * 3 % 400 + 5).cast("int").alias("end_line"))
+    """Orders as symbols of the files that the diffs change."""
+    key = F.col("o_orderkey")
+    start = key % 32 * 15
+    return read("orders").select(F.concat(F.lit("f"), F.floor(key / 32)).alias("file_path"), F.concat(F.lit("Order"), key).alias("name"), F.lit("function").alias("kind"), start.cast("int").alias("start_line"), (start + 20).cast("int").alias("end_line"))
 
 
 TOUCHED = """syms AS (
-  SELECT 'f' || s_suppkey % 20 AS file_path, s_name AS name, 'function' AS kind, CAST(s_suppkey * 3 % 400 AS INTEGER) AS start_line, CAST(s_suppkey * 3 % 400 + 5 AS INTEGER) AS end_line FROM supplier
+  SELECT 'f' || o_orderkey // 32 AS file_path, 'Order' || o_orderkey AS name, 'function' AS kind, CAST(o_orderkey % 32 * 15 AS INTEGER) AS start_line, CAST(o_orderkey % 32 * 15 + 20 AS INTEGER) AS end_line FROM orders
 ), changed AS (
   SELECT * FROM syms s WHERE EXISTS (SELECT 1 FROM added a WHERE a.file_path = s.file_path AND a.line_no BETWEEN s.start_line AND s.end_line)
 )"""
+CALLEES = "SELECT 'part' || p_partkey AS file_path, p_brand AS caller, 'Order' || p_partkey * 3 // 2 AS callee FROM part"
+
+
+def _callees(read) -> DataFrame:
+    """Parts as callers of orders."""
+    return read("part").select(F.concat(F.lit("part"), "p_partkey").alias("file_path"), F.col("p_brand").alias("caller"), F.concat(F.lit("Order"), F.floor(F.col("p_partkey") * 3 / 2)).alias("callee"))
 
 
 @query(f"WITH {DIFFS} SELECT diff_id, file_path, hunk, line_no FROM added")
@@ -508,16 +459,45 @@ def diff_first_hunk(read):
     return diff.first_hunks(_touched(read), diff.added_lines(_diffs(read)))
 
 
-@query(f"""WITH {DIFFS}, {TOUCHED} SELECT DISTINCT c.name, 'part' || ps.p_partkey AS file_path, ps.p_brand AS caller FROM changed c
-JOIN (SELECT p_partkey, p_brand, 'Supplier#' || lpad(CAST(p_partkey % 200 AS VARCHAR), 9, '0') AS callee FROM part) ps ON ps.callee = c.name""")
+@query(f"""WITH {DIFFS}, {TOUCHED} SELECT DISTINCT c.name, p.file_path, p.caller FROM changed c JOIN ({CALLEES}) p ON p.callee = c.name""")
 def diff_callers(read):
     changed = diff.changed_symbols(_touched(read), diff.added_lines(_diffs(read)))
-    calls = read("part").select(F.concat(F.lit("part"), "p_partkey").alias("file_path"), F.col("p_brand").alias("caller"), F.concat(F.lit("Supplier#"), F.lpad((F.col("p_partkey") % 200).cast("string"), 9, "0")).alias("callee"))
-    return diff.callers(changed, calls)
+    return diff.callers(changed, _callees(read))
+
+
+@query(f"""WITH {DIFFS}, {TOUCHED}, firsts AS (
+  SELECT s.*, a.diff_id, a.hunk, row_number() OVER (PARTITION BY s.file_path, s.name, s.start_line ORDER BY a.diff_id, a.hunk) AS r FROM syms s JOIN added a ON a.file_path = s.file_path AND a.line_no BETWEEN s.start_line AND s.end_line
+), bodies AS (
+  SELECT diff_id, file_path, CAST(hunk AS BIGINT) AS hunk, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT starts_with(line, '@@ ')), '') AS body FROM pathed WHERE file_path IS NOT NULL AND start IS NOT NULL GROUP BY diff_id, file_path, hunk
+), called AS (
+  SELECT callee, file_path || '::' || caller AS c, row_number() OVER (PARTITION BY callee ORDER BY file_path || '::' || caller) AS r FROM (SELECT DISTINCT * FROM ({CALLEES}))
+), listed AS (
+  SELECT callee, string_agg(c, chr(10) ORDER BY c) FILTER (WHERE r <= 30) AS cs, count(*) AS n FROM called GROUP BY callee
+)
+SELECT f.file_path, f.name, f.start_line, 'The function ' || f.name || ' (' || f.file_path || ', lines ' || f.start_line || ' to ' || f.end_line || ') changes:' || chr(10) || trim(b.body) || chr(10) || chr(10) || 'It is called, by name, from:' || chr(10)
+  || coalesce(l.cs, 'none is known') || chr(10) || chr(10)
+  || 'Say whether the change breaks a promise that callers rely on, which of them break and how, or that this can''t be told.' AS prompt, coalesce(l.n, 0) AS n_callers
+FROM firsts f JOIN bodies b ON b.diff_id = f.diff_id AND b.file_path = f.file_path AND b.hunk = f.hunk LEFT JOIN listed l ON l.callee = f.name WHERE f.r = 1""")
+def diff_impact(read):
+    """A prompt for every symbol that the diffs change."""
+    found = diff.impact(_touched(read), _diffs(read), _callees(read))
+    return answering.impact_prompts(found).select("file_path", "name", "start_line", "prompt", "n_callers")
+
+
+@query("""WITH headers AS (SELECT o_orderkey // 100 AS diff_id, o_orderkey AS pos, '==== //depot/c' || o_custkey || '#' || o_orderkey % 9 || ' (text) ====' AS line, o_custkey FROM orders)
+SELECT diff_id, pos, CASE WHEN pos % 7 = 0 THEN '=== ' || pos WHEN c_custkey IS NULL THEN line ELSE replace(line, '//depot/c' || o_custkey, 'src/' || c_name) END AS line
+FROM headers LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 > 0""")
+def depot_paths(read):
+    """Orders as headers of depot files, two thirds of which the customers' map names anew."""
+    key = F.col("o_orderkey")
+    header = F.concat(F.lit("==== //depot/c"), "o_custkey", F.lit("#"), key % 9, F.lit(" (text) ===="))
+    lines = read("orders").select(F.floor(key / 100).alias("diff_id"), key.alias("pos"), F.when(key % 7 == 0, F.concat(F.lit("=== "), key)).otherwise(header).alias("line"))
+    paths = read("customer").filter("c_custkey % 3 > 0").select(F.concat(F.lit("//depot/c"), "c_custkey").alias("depot"), F.concat(F.lit("src/"), "c_name").alias("local"))
+    return diff.rewrite_paths(lines, paths)
 
 
-def _lines(read, pages=_files) -> DataFrame:
-    return chunking.lines_of(pages(read).select("file_path", F.replace(F.replace(F.col("text"), F.lit(">"), F.lit(">\n")), F.lit(";"), F.lit(";\n")).alias("text")))
+def _lines(read) -> DataFrame:
+    return chunking.lines_of(_files(read).select("file_path", F.replace(F.replace(F.col("text"), F.lit(">"), F.lit(">\n")), F.lit(";"), F.lit(";\n")).alias("text")))
 
 
 LINES = f"""{FILES}, lines AS (
@@ -538,11 +518,6 @@ def brace_block_end(read):
     return chunking.block_ends(_lines(read))
 
 
-@query(ORACLES["brace_block_end"].replace(FILES, ALL_FILES))
-def brace_block_end_whole(read):
-    return chunking.block_ends(_lines(read, _all_files))
-
-
 def _sources(read, end: str, code: Column, pages: Column, texts: Column) -> DataFrame:
     """All pages and documents as (file_path, text): their whole texts in a form, the documents' followed by code."""
     docs = read("documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(end)).alias("file_path"), F.concat(texts, F.lit("\n"), code).alias("text"))
@@ -627,34 +602,39 @@ def parse_action_json(read):
 
 
 @query(f"""SELECT conv_id, turn, CASE conv_id % 5 WHEN 1 THEN CASE turn % 3 WHEN 0 THEN 'major' WHEN 1 THEN 'ok' ELSE 'minor' END WHEN 2 THEN 'minor'
-  ELSE CASE WHEN regexp_matches(lower({REPLY}), 'major|incorrect|wrong|factually') THEN 'major' ELSE 'minor' END END AS severity FROM conversations""")
+  ELSE CASE WHEN regexp_matches(lower({REPLY}), '{"|".join(T.MAJOR)}') THEN 'major' ELSE 'minor' END END AS severity FROM conversations""")
 def review_severity(read):
     return _replies(read).select("conv_id", "turn", T.severity(F.col("reply")).alias("severity"))
 
 
-@query("""SELECT source AS file_path, string_agg('### chunk ' || n || ': ' || lang || ' `d' || doc_id || '`', chr(10) ORDER BY n) AS prompt
-FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) GROUP BY source""")
-def prompt_per_file(read):
-    docs = read("documents").select("source", "doc_id", "lang")
-    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "lang")))
-    block = F.transform(F.col("c"), lambda x, i: F.format_string("### chunk %d: %s `d%d`", i + 1, x["lang"], x["doc_id"]))
-    return docs.groupBy(F.col("source").alias("file_path")).agg(ordered.alias("c")).select("file_path", F.array_join(block, "\n").alias("prompt"))
-
-
-@query(f"""WITH {HITS}, placed AS (
+PROMPTS = f"""WITH {HITS}, placed AS (
   SELECT *, source || '/' || lang AS file_path, CAST(doc_id % 997 AS INTEGER) AS a, CAST(doc_id % 997 + len(string_split(text, chr(10))) AS INTEGER) AS b FROM hits
 ), blocks AS (
-  SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY a, b, 'd' || doc_id) AS n FROM placed
+  SELECT *, row_number() OVER (PARTITION BY file_path, lang ORDER BY a, b, 'd' || doc_id) AS n FROM placed
 )
-SELECT file_path, min(rank) AS first_rank, 'Question:' || chr(10) || '{QUERY}' || chr(10) || chr(10) || 'File: `' || file_path || '` (' || lang || ')' || chr(10) || 'Retrieved chunks (in source order):' || chr(10) || chr(10)
-  || string_agg('### chunk ' || n || ': text `d' || doc_id || '` (lines ' || a || '-' || b || ', score=' || printf('%.3f', floor(score * 1000 + 0.5) / 1000) || ')' || chr(10) || chr(10) || '```' || chr(10) || text || chr(10) || '```', chr(10) ORDER BY n)
-  || chr(10) || chr(10) || 'Apply the rules in the system message.' AS prompt FROM blocks GROUP BY file_path, lang""")
-def prompt_per_file_whole(read):
-    """A prompt for each file of the retrieval's hits: lines, scores and texts included."""
+SELECT file_path, min(rank) AS first_rank, '{QUERY}' || chr(10) || chr(10) || 'Passages of ' || file_path || ', ' || lang || ':' || chr(10)
+  || string_agg('[' || n || '] text d' || doc_id || ', lines ' || a || ' to ' || b || ', relevance ' || printf('%.3f', floor(score * 1000 + 0.5) / 1000) || chr(10) || text, chr(10) ORDER BY n)
+  || chr(10) || chr(10) || '{answering.TRIAGE}' AS prompt FROM blocks GROUP BY file_path, lang"""
+
+
+def _prompt_hits(read, file_path: Column) -> DataFrame:
+    """The retrieval's hits with lines, scores and texts."""
     start, lines = F.col("doc_id") % 997, F.size(F.split("text", "\n"))
     place = [start.cast("int").alias("start_line"), (start + lines).cast("int").alias("end_line")]
-    hits = _hits(read).select(F.concat("source", F.lit("/"), "lang").alias("file_path"), F.col("lang").alias("language"), F.lit("text").alias("symbol_kind"), F.concat(F.lit("d"), "doc_id").alias("symbol_name"), *place, "score", "rank", "text")
-    return answering.file_prompts(hits, QUERY)
+    return _hits(read).select(file_path.alias("file_path"), F.col("lang").alias("language"), F.lit("text").alias("symbol_kind"), F.concat(F.lit("d"), "doc_id").alias("symbol_name"), *place, "score", "rank", "text")
+
+
+@query(PROMPTS)
+def prompt_per_file(read):
+    """A prompt for each file of the retrieval's hits."""
+    return answering.file_prompts(_prompt_hits(read, F.concat("source", F.lit("/"), "lang")), QUERY)
+
+
+@query(f"""WITH {HITS} SELECT doc_id, '{QUERY}' || chr(10) || chr(10) || 'From ' || source || ', ' || lang || ':' || chr(10) || '[' || rank || '] text d' || doc_id || ', lines ' || CAST(doc_id % 997 AS INTEGER)
+  || ' to ' || CAST(doc_id % 997 + len(string_split(text, chr(10))) AS INTEGER) || ', relevance ' || printf('%.3f', floor(score * 1000 + 0.5) / 1000) || chr(10) || text || chr(10) || chr(10) || '{answering.TRIAGE}' AS prompt FROM hits""")
+def prompt_per_chunk(read):
+    hits = _prompt_hits(read, F.col("source"))
+    return answering.chunk_prompts(hits, QUERY).select(F.substring("symbol_name", 2, 20).cast("long").alias("doc_id"), "prompt")
 
 
 @query("SELECT count(*) AS chunks, count(DISTINCT source) AS files FROM documents")
@@ -662,14 +642,14 @@ def index_stats(read):
     return read("documents").agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("files"))
 
 
-@query("""SELECT 'f' || user_id % 9 AS file_path, CAST(event_id AS INTEGER) AS line_no, sha1('r' || user_id) AS rev, 'u' || user_id AS author, CAST(1700000000 + user_id AS BIGINT) AS ts, 's' || user_id AS summary FROM events""")
+@query("""SELECT 'f' || user_id // 4 AS file_path, CAST(event_id AS INTEGER) AS line_no, sha1('r' || user_id) AS rev, 'u' || user_id AS author, CAST(1700000000 + user_id AS BIGINT) AS ts, 's' || user_id AS summary FROM events""")
 def blame_porcelain(read):
     rev = F.sha1(F.concat(F.lit("r"), "user_id"))
     first = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) == 1
     told = [F.concat(rev, F.lit(" 1 "), "event_id", F.lit(" 1"))]
     told += [F.when(F.col("first"), F.concat(F.lit(f"{field} "), value)) for field, value in (("author", F.concat(F.lit("u"), "user_id")), ("author-mail", F.lit("<m>")), ("author-time", (F.col("user_id") + 1700000000).cast("string")), ("summary", F.concat(F.lit("s"), "user_id")))]
     told.append(F.concat(F.lit("\t"), "event_type"))
-    rows = read("events").withColumn("first", first).select(F.concat(F.lit("f"), F.col("user_id") % 9).alias("file_path"), "event_id", F.posexplode(F.array(*told)).alias("i", "line"))
+    rows = read("events").withColumn("first", first).select(F.concat(F.lit("f"), F.floor(F.col("user_id") / 4)).alias("file_path"), "event_id", F.posexplode(F.array(*told)).alias("i", "line"))
     lines = rows.filter("line IS NOT NULL").select("file_path", (F.col("event_id") * 10 + F.col("i")).alias("pos"), "line")
     return blame.parse_porcelain(lines).withColumn("ts", F.unix_timestamp("ts"))
 
@@ -679,20 +659,70 @@ def embed_hash(read):
     return embedding.embed(read("documents").select("doc_id", "text"), "doc_id")
 
 
-@query("""WITH hits AS (SELECT source, doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE doc_id < 60), replies AS (
-  SELECT source, min(rank) AS r, string_agg('`d' || doc_id || '`', ', ' ORDER BY doc_id) AS symbols, max(1.0::DOUBLE / (rank + 0.37::DOUBLE)) AS top FROM hits GROUP BY source)
-SELECT source AS file_path, '### `' || source || '` - ' || symbols || ' (top score=' || printf('%.3f', top) || ')' || chr(10) || 'about ' || source AS block FROM replies WHERE source <> 'src3'""")
-def prompt_aggregate(read):
-    hits = read("documents").filter("doc_id < 60").select(F.col("source").alias("file_path"), F.concat(F.lit("d"), "doc_id").alias("symbol_name"), F.col("doc_id").alias("start_line"), F.row_number().over(Window.orderBy("doc_id")).alias("rank"))
-    groups = ranking.group_by_file(hits.withColumn("score", 1.0 / (F.col("rank") + 0.37)))
-    reply = F.when(F.col("file_path") == "src3", "NOT_RELEVANT").otherwise(F.concat(F.lit("about "), "file_path"))
-    return answering.evidence(groups.withColumn("reply", reply)).select("file_path", "block")
-
-
 # Both format halves upwards, as Spark does: DuckDB's printf takes the even digit.
-@query(f"""WITH {HITS}, replies AS (SELECT source, string_agg('`d' || doc_id || '`', ', ' ORDER BY doc_id) AS symbols, max(score) AS top FROM hits GROUP BY source)
-SELECT source AS file_path, '### `' || source || '` - ' || symbols || ' (top score=' || printf('%.3f', floor(top * 1000 + 0.5) / 1000) || ')' || chr(10) || 'about ' || source AS block FROM replies WHERE source <> 'src3'""")
-def prompt_aggregate_whole(read):
+@query(f"""WITH {HITS}, replies AS (SELECT source, string_agg('d' || doc_id, ', ' ORDER BY doc_id) AS symbols, max(score) AS top FROM hits GROUP BY source)
+SELECT source AS file_path, source || ': ' || symbols || ', relevance ' || printf('%.3f', floor(top * 1000 + 0.5) / 1000) || chr(10) || 'about ' || source AS block FROM replies WHERE source <> 'src3'""")
+def prompt_aggregate(read):
     hits = _hits(read).select(F.col("source").alias("file_path"), F.concat(F.lit("d"), "doc_id").alias("symbol_name"), F.col("doc_id").alias("start_line"), "rank", "score")
     reply = F.when(F.col("file_path") == "src3", "NOT_RELEVANT").otherwise(F.concat(F.lit("about "), "file_path"))
     return answering.evidence(ranking.group_by_file(hits).withColumn("reply", reply)).select("file_path", "block")
+
+
+@query(f"""WITH {COSINE} SELECT vec_id, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id) AS rank, round(score, 5) AS raw_score FROM cosine QUALIFY rank <= 20""")
+def retrieve_cosine(read):
+    vectors = read("embeddings").select("vec_id", F.lit("").alias("text"), "embedding")
+    found = ranking.retrieve(vectors, "", _query_vector(read), "vec_id", mode="cosine")
+    return found.select("vec_id", F.col("rank").cast("long").alias("rank"), F.round("raw_score", 5).alias("raw_score"))
+
+
+@query("""WITH scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM scored)
+SELECT query_id, vec_id, rank, round(score, 5) AS score FROM ranked WHERE rank <= 10""")
+def cosine_topk_batch(read):
+    """The ten best vectors for each vector whose id is divisible by 20, against all."""
+    vectors = read("embeddings").select("vec_id", "embedding")
+    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return ranking.cosine_batch(vectors, queries, "vec_id", "query_id", 10).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {IMPORTS}, one AS (SELECT file_path FROM files ORDER BY page_id LIMIT 1) SELECT DISTINCT module FROM imports WHERE file_path = (SELECT file_path FROM one)")
+def imports_of_file(read):
+    first = _files(read).orderBy("page_id").limit(1).select("file_path")
+    return _imports(read).join(F.broadcast(first), "file_path").select("module").distinct()
+
+
+@query("""SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN role || ' is vague, turn ' || turn ELSE '' END AS issues, CASE WHEN conv_id % 3 = 0 AND conv_id % 2 = 0 THEN 1 ELSE 0 END AS n_missing FROM conversations""")
+def review_lists(read):
+    """Reviews of every turn: the lists in their JSON; those of odd conversations are prose."""
+    turns = read("conversations")
+    said = F.to_json(F.struct(F.array(F.concat("role", F.lit(" is vague")), F.concat(F.lit("turn "), "turn")).alias("issues"), F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("sources"))).alias("missing")))
+    reply = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), said, F.lit("\n```"))).otherwise(F.concat(F.lit("no list, "), "role"))
+    return turns.select("conv_id", "turn", F.array_join(T.review_list(reply, "issues"), ", ").alias("issues"), F.size(T.review_list(reply, "missing")).alias("n_missing"))
+
+
+CODE = r"""code AS (
+  SELECT source || '/' || doc_id || '.js' AS file_path, i, ws[i] AS w FROM (
+    SELECT doc_id, source, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_extract_all(l, '[A-Za-z]{2,}')), lambda w: len(w) > 0) AS ws FROM documents
+  ), unnest(range(1, len(ws) + 1)) u(i)
+)"""
+
+
+def _code(read) -> DataFrame:
+    """Documents as sources: each line is a function named by its first word that calls its last word and quotes all."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda l: F.regexp_extract_all(l, F.lit("[A-Za-z]{2,}"), F.lit(0))), lambda w: F.size(w) > 0)
+    body = F.transform(lines, lambda w: F.concat(F.lit("function "), F.get(w, F.lit(0)), F.lit("(a) {\n  "), F.element_at(w, -1), F.lit("(a, '"), F.array_join(w, " "), F.lit("');\n}")))
+    text = F.concat(F.lit("import s from '"), "source", F.lit("';\n"), F.array_join(body, "\n"))
+    return read("documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".js")).alias("file_path"), F.lit("javascript").alias("language"), text.alias("text")).withColumn("sha1", F.sha1("text"))
+
+
+@query(f"""WITH {CODE} SELECT 'symbols' AS kind, file_path, w[1] AS name, CAST(3 * i - 1 AS INTEGER) AS start_line, CAST(3 * i + 1 AS INTEGER) AS end_line FROM code
+UNION ALL SELECT DISTINCT 'calls', file_path, w[1] || ' ' || c, 0, 0 FROM (SELECT file_path, w, unnest([w[1], w[-1]]) AS c FROM code)
+UNION ALL SELECT 'imports', source || '/' || doc_id || '.js', source, 0, 0 FROM documents""")
+def index_build(read):
+    """Symbols, calls and imports of an index built from every document's lines."""
+    index = files.build(_code(read))
+    none = F.lit(0)
+    symbols = index["symbols"].select(F.lit("symbols").alias("kind"), "file_path", "name", "start_line", "end_line")
+    calls = index["calls"].select(F.lit("calls"), "file_path", F.concat_ws(" ", "caller", "callee"), none, none)
+    return symbols.union(calls).union(index["imports"].select(F.lit("imports"), "file_path", "module", none, none))

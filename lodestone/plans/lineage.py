@@ -6,12 +6,18 @@ import tempfile
 
 from pyspark.sql import DataFrame
 
+#: A table is broadcast only when a count showed that it has no more rows than this.
+BROADCAST_ROWS = 200_000
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder (a temporary one only where spark.checkpoint.dir is unset)."""
+    """Reliable checkpoint in the cluster's shared folder; where spark.checkpoint.dir is unset, local mode takes a temporary one and a cluster is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint(eager=True)
 
 

@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
+import re
 import time
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import is_ignored, language_of
+from lodestone.functions.text import EXTENSIONS, is_ignored, language_of
+from lodestone.operators import graph
+from lodestone.operators.chunking import chunk
+from lodestone.plans.lineage import cut
+
+TABLES = ("chunks", "symbols", "imports", "calls")
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, language, text, sha1) of a tree's source files, by path relative to root; ignored folders and unknown extensions drop out before any file is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
-    path = F.regexp_replace("path", "^.*?" + base.replace(".", "[.]") + "/", "")
-    files = files.withColumn("file_path", path).withColumn("language", language_of(path)).filter(F.col("language").isNotNull() & ~is_ignored(F.col("file_path")))
+    """(file_path, language, text, sha1) of a tree's source files, by path relative to root; ignored folders and unknown extensions drop out before any file is opened.
+
+    A first scan takes paths alone, of files with a known extension; the folders that hold wanted ones are then read
+    without those below them. The driver sees folder names, which it lists for any file source.
+    """
+    known = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for all_ in EXTENSIONS.values() for x in all_) + "}"
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", known)
+    top = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+
+    def relative(path: Column) -> Column:
+        return F.substring(path, F.instr(path, f"{top}/") + F.lit(len(top) + 1), F.lit(1 << 30))
+
+    paths = reader.option("recursiveFileLookup", True).load(root).select("path")
+    kept = paths.filter(language_of(relative(F.col("path"))).isNotNull() & ~is_ignored(relative(F.col("path"))))
+    folders = [r.folder for r in kept.select(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).distinct().toLocalIterator()]
+    if not folders:
+        return spark.createDataFrame([], "file_path string, language string, text string, sha1 string")
+    files = reader.option("recursiveFileLookup", False).load([_escaped(f) for f in folders])
+    files = files.withColumn("file_path", relative(F.col("path"))).withColumn("language", language_of(F.col("file_path"))).filter("language IS NOT NULL")
     text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n")
     return files.select("file_path", "language", text.alias("text")).withColumn("sha1", F.sha1("text"))
 
 
+def _escaped(path: str) -> str:
+    """A path whose characters that mean something in a glob stand for themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def delta(stored: DataFrame, seen: DataFrame) -> DataFrame:
     """(file_path, action) of stored and seen (file_path, sha1; seen.sha1 is null for unreadable files): rebuilt, unchanged, removed or skipped."""
     both = stored.select("file_path", F.col("sha1").alias("old"), F.lit(True).alias("had")).join(seen.select("file_path", F.col("sha1").alias("new"), F.lit(True).alias("has")), "file_path", "full_outer")
@@ -27,14 +53,43 @@ def delta(stored: DataFrame, seen: DataFrame) -> DataFrame:
     return both.select("file_path", action.alias("action"))
 
 
-def apply(chunks: DataFrame, actions: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The next snapshot's chunks: those of rebuilt and removed files go, fresh ones come."""
+def apply(table: DataFrame, actions: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The next snapshot of any table with file_path: rows of rebuilt and removed files go, fresh ones come."""
     gone = actions.filter(F.col("action").isin("rebuilt", "removed")).select("file_path")
-    return chunks.join(gone, "file_path", "left_anti").unionByName(fresh)
+    return table.join(gone, "file_path", "left_anti").unionByName(fresh)
+
+
+def tables(chunks: DataFrame) -> dict[str, DataFrame]:
+    """The tables of an index of chunks (as chunking.chunk() gives them, with file_sha1 and others): chunks, symbols, imports and calls."""
+    symbols = graph.symbols(chunks).select("file_path", F.col("symbol_name").alias("name"), F.col("symbol_kind").alias("kind"), "language", "start_line", "end_line")
+    return {"chunks": chunks, "symbols": symbols, "imports": graph.imports(chunks), "calls": graph.calls(chunks)}
+
+
+def build(files: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The index of files (file_path, language, text, sha1): its tables, chunks with file_sha1 and, given embed (chunks to chunks with embedding), vectors. Blank files and unknown languages give nothing."""
+    chunks = chunk(files).join(files.select("file_path", F.col("sha1").alias("file_sha1")), "file_path")
+    return tables(chunks if embed is None else embed(chunks))
+
+
+def update(index: dict[str, DataFrame], files: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The index after files (all of them, as they are now): only rebuilt files are chunked, and all of their rows are replaced in every table; removed files go."""
+    stored = index["chunks"].select("file_path", F.col("file_sha1").alias("sha1")).distinct()
+    actions = cut(delta(stored, files.select("file_path", "sha1")))
+    fresh = build(files.join(actions.filter("action = 'rebuilt'"), "file_path", "left_semi"), embed)
+    return {name: apply(table, actions, fresh[name]) for name, table in index.items()}
+
+
+def write_index(index: dict[str, DataFrame], path: str) -> int:
+    """Writes a new snapshot of all tables beside the old ones; its number enters the list of snapshots last, so that readers see whole ones only."""
+    spark = index["chunks"].sparkSession
+    number = time.time_ns()
+    for name, table in index.items():
+        table.write.parquet(f"{path}/{name}/snapshot={number}")
+    spark.createDataFrame([(number,)], "snapshot long").write.mode("append").parquet(f"{path}/snapshots")
+    return number
 
 
-def write_snapshot(chunks: DataFrame, index: str) -> str:
-    """Writes a new snapshot folder beside the old ones; a snapshot is complete when Spark's _SUCCESS is there."""
-    path = f"{index}/chunks-{time.time_ns()}"
-    chunks.write.parquet(path)
-    return path
+def read_index(spark: SparkSession, path: str, snapshot: int | None = None) -> dict[str, DataFrame]:
+    """The tables of a snapshot, the newest complete one by default."""
+    number = snapshot or spark.read.parquet(f"{path}/snapshots").agg(F.max("snapshot")).first()[0]
+    return {name: spark.read.parquet(f"{path}/{name}/snapshot={number}") for name in TABLES}

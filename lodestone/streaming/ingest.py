@@ -12,10 +12,22 @@ SCHEMA = "file_path string, text string"
 
 
 def stream_chunks(spark: SparkSession, landing: str, index: str, checkpoint: str):
-    """Starts a query over Parquet files (file_path, text); each micro-batch is chunked and appended under its batch number, so a replayed batch overwrites itself."""
+    """Starts a query over Parquet files (file_path, text); each micro-batch is chunked and written under its batch number, so a replayed batch overwrites itself.
+
+    Of a file that comes twice in a batch the greatest text counts. A batch also lists its files, those without any
+    chunks included: current() shows each file as of its last batch.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
-        files = batch.withColumn("language", language_of(F.col("file_path"))).filter("language IS NOT NULL")
-        chunk(files).write.mode("overwrite").parquet(f"{index}/batch={number}")
+        once = batch.groupBy("file_path").agg(F.max("text").alias("text"))
+        files = once.withColumn("language", language_of(F.col("file_path"))).filter("language IS NOT NULL")
+        files.select("file_path").write.mode("overwrite").parquet(f"{index}/files/batch={number}")
+        chunk(files).write.mode("overwrite").parquet(f"{index}/chunks/batch={number}")
 
     return spark.readStream.schema(SCHEMA).parquet(landing).writeStream.option("checkpointLocation", checkpoint).foreachBatch(one).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, index: str) -> DataFrame:
+    """The chunks of the streamed index, each file's of its last batch alone."""
+    last = spark.read.parquet(f"{index}/files").groupBy("file_path").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{index}/chunks").join(last, ["file_path", "batch"], "left_semi").drop("batch")

@@ -118,6 +118,111 @@ def test_diff(spark):
     assert sorted(r.caller for r in diff.callers(changed, calls, leaf_match=True).collect()) == ["k", "k2"]
 
 
+def test_long_diffs_are_counted_in_blocks(spark, monkeypatch):
+    want = sorted(map(tuple, diff.added_lines(diff.lines_of(spark.createDataFrame([(1, GIT), (2, GIT)], "diff_id long, text string"))).collect()))
+    monkeypatch.setattr(diff, "BLOCK", 3)
+    assert sorted(map(tuple, diff.added_lines(diff.lines_of(spark.createDataFrame([(1, GIT), (2, GIT)], "diff_id long, text string"))).collect())) == want
+
+
+def test_impact(spark):
+    from lodestone.operators import answering
+
+    lines = diff.lines_of(spark.createDataFrame([(1, GIT)], "diff_id long, text string"))
+    symbols = spark.createDataFrame([("src/a.py", "f", "function", 5, 12), ("src/a.py", "g", "function", 20, 3000), ("src/b.py", "h", "function", 1, 9)], "file_path string, name string, kind string, start_line int, end_line int")
+    calls = spark.createDataFrame([(f"x{i:03}.py", "k", "h") for i in range(70)] + [("x001.py", "k", "h")], "file_path string, caller string, callee string")
+    got = {r.name: r for r in diff.impact(symbols, lines, calls).collect()}
+    assert set(got) == {"f", "h"}
+    assert (got["f"].n_callers, got["f"].callers, got["f"].body) == (0, [], " keep\n-gone\n+new one\n+new two\n keep")
+    assert got["h"].n_callers == 70 and got["h"].callers == [f"x{i:03}.py::k" for i in range(30)]
+    prompts = answering.impact_prompts(diff.impact(symbols, lines, calls))
+    report = answering.impact_report(answering.ask(prompts, lambda ps: [f" seen {p.count('::')} " for p in ps], answering.Budget()))
+    assert report == "src/a.py: function f, callers: 0\nseen 0\n\nsrc/b.py: function h, callers: 70\nseen 30"
+    assert answering.impact_report(prompts.limit(0).withColumn("reply", F.lit(""))) == "The diff touches no symbol of the index."
+    paths = spark.createDataFrame([("src/b.py", "lib/b.py"), ("other", "x")], "depot string, local string")
+    moved = diff.added_lines(diff.rewrite_paths(lines, paths)).collect()
+    assert {r.file_path for r in moved} == {"src/a.py", "lib/b.py"}
+
+
+FORMS = {
+    "javascript": [("export default async function* gen(x) {", "function", "gen"), ("  export abstract class Öl {", "class", "Öl"), ("const f: Fn = async (x) => {", "function", "f"), ("let g = function(y) {", "function", "g"), ("export type T = string;", "type", "T"), ("interface I {", "type", "I"), ("var n = 3;", None, None), ("type = 3", None, None), ("return class_name(x)", None, None), ("constant(x)", None, None)],
+    "go": [("func (s *Set[K]) Add(k K) {", "function", "Add"), ("func Map[T any](x T) {", "function", "Map"), ("type Pair[K any] struct {", "type", "Pair"), ("type R interface {", "type", "R"), ("type N int", None, None), ("functional(x)", None, None)],
+    "rust": [("pub(crate) async unsafe fn go<T>(x: T) {", "function", "go"), ("extern \"C\" fn c(x: i32) {", "function", "c"), ("pub enum E {", "type", "E"), ("unsafe impl<T: A<B>, U> Send for S {", "impl", "Send"), ("impl S {", "impl", "S"), ("implement(x)", None, None), ("let fn_name = 3;", None, None)],
+    "csharp": [("public sealed partial class A<T> : B {", "class", "A"), ("internal record struct P(int X);", "record", "P"), ("namespace A.B.C;", "namespace", "A.B.C"), ("public static Dictionary<string, int> Go(int x) {", "method", "Go"), ("protected override async Task<List<int>> Run<T>(T x)", "method", "Run"), ("private A(int x) : base(x) {", "constructor", "A"), ("var x = new Foo(1);", None, None), ("public int N = Make(3);", None, None), ("return Go(3);", None, None)],
+    "cpp": [("template <typename T> class V {", "class", "V"), ("struct S final : B {", "class", "S"), ("class F;", None, None), ("inline namespace a::b {", "namespace", "a::b"), ("enum class E : int {", "enum", "E"), ("std::vector<int> W::all(int x) const {", "function", "W::all"), ("foo(x);", None, None)],
+}
+
+
+@pytest.mark.parametrize("language", sorted(FORMS))
+def test_declarations(spark, language):
+    rows = spark.createDataFrame([(i, line) for i, (line, _, _) in enumerate(FORMS[language])], "i int, line string")
+    got = [r.s for r in rows.orderBy("i").select(chunking._symbol(language).alias("s")).collect()]
+    assert [(s.kind, s.name) if s else (None, None) for s in got] == [(k, n) for _, k, n in FORMS[language]]
+
+
+def test_imports_by_language(spark):
+    said = {"javascript": ("import a, {b} from \"x/y\";\nexport * from './z';\nimport 'side';\nconst c = require('r');\nlet d = await import(`dyn`);", ["./z", "dyn", "r", "side", "x/y"]), "go": ('import f "fmt"\nimport (\n\t"a/b"\n)\nx := []string{"no", "none"}', ["a/b", "fmt"]), "rust": ("pub use a::b::{c, d};\n use ::std::io;", ["a::b", "std::io"]), "csharp": ("global using static A.B;\nusing X = C.D;", ["A.B", "C.D"]), "cpp": ('#include <vector>\n  # include "../a/b.hpp"', ["../a/b.hpp", "vector"])}
+    files_ = spark.createDataFrame([(lang, lang, text + "\nend") for lang, (text, _) in said.items()], "file_path string, language string, text string")
+    got = {r.file_path: r.imports for r in chunking.brace_chunks(files_).collect()}
+    assert got == {lang: want for lang, (_, want) in said.items()}
+
+
+def test_spans(spark):
+    from lodestone.operators import spans
+
+    ranges = [("a", i, s, e) for i, (s, e) in enumerate([(1, 1), (200, 1200), (255, 256), (256, 256), (5, 4), (700, 5000)])] + [("b", 9, 1, 9), ("b", 10, None, 3)]
+    lines = [("a", n) for n in (1, 2, 255, 256, 257, 1200, 1201, 5000)] + [("c", 1), (None, 1)]
+    got = spans.within(spark.createDataFrame(ranges, "file_path string, id int, start_line int, end_line int"), spark.createDataFrame(lines, "file_path string, n int"), "n").collect()
+    assert sorted((r.id, r.n) for r in got) == sorted((i, n) for f, i, s, e in ranges for g, n in lines if f == g and s is not None and s <= n <= e)
+
+
+def test_index(spark, tmp_path):
+    """Every table follows a changed file; a snapshot is seen whole or not at all."""
+    from lodestone.operators import actions
+
+    def tree(rows):
+        return spark.createDataFrame(rows, "file_path string, text string").withColumn("language", T.language_of(F.col("file_path"))).withColumn("sha1", F.sha1("text"))
+
+    path = str(tmp_path)
+    first = tree([("a.py", "import os\ndef f():\n    g()\n"), ("b.js", "function h() {\n  f();\n}"), ("c.py", "def old():\n    pass")])
+    files.write_index(files.build(first), path)
+    index = files.read_index(spark, path)
+    assert {(r.name, r.file_path) for r in index["symbols"].collect()} == {("f", "a.py"), ("h", "b.js"), ("old", "c.py")}
+    assert [r.module for r in actions.act(index, "imports", file="a.py").collect()] == ["os"]
+    second = tree([("a.py", "import re\ndef f2():\n    h()\n"), ("b.js", "function h() {\n  f();\n}")])
+    number = files.write_index(files.update(index, second), path)
+    index = files.read_index(spark, path)
+    assert files.read_index(spark, path, number)["chunks"].count() == index["chunks"].count()
+    assert {(r.name, r.file_path) for r in index["symbols"].collect()} == {("f2", "a.py"), ("h", "b.js")}
+    assert {tuple(r) for r in index["imports"].collect()} == {("a.py", "re")}
+    assert ("a.py", "f2", "h") in {tuple(r) for r in index["calls"].collect()} and not index["calls"].filter("callee = 'g'").count()
+    assert [r.caller for r in actions.act(index, "callers", symbol="h").collect()] == ["f2", "h"]
+    assert [r.name for r in actions.act(index, "find", name=" h ").collect()] == ["h"] and [r.name for r in actions.act(index, "grep", pattern="F").collect()] == ["f2"]
+    assert [r.file_path for r in actions.act(index, "files_importing", module="re").collect()] == ["a.py"]
+    assert [(r.text, r.more) for r in actions.act(index, "fetch", file="a.py", symbol="f2").collect()] == [("def f2():\n    h()", 0)]
+    with pytest.raises(ValueError):
+        actions.act(index, "run", name="x")
+    with pytest.raises(ValueError):
+        actions.act(index, "find", name=" ")
+
+
+def test_cosine_batch(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(300, 8)).astype("float32")
+    rows = [(i, v[i].tolist()) for i in range(300)] + [(900, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = df.filter("id % 20 = 0").withColumnRenamed("id", "q")
+    want = {q: sorted(range(300), key=lambda i: (-round(float(v[q].astype(float) @ v[i].astype(float)), 6), i))[:7] for q in range(0, 300, 20)}
+    for size in (4096, 70):
+        monkeypatch.setattr(ranking, "SLICE", size)
+        got = {}
+        for r in ranking.cosine_batch(df, asked, "id", "q", 7).orderBy("q", "rank").collect():
+            got.setdefault(r.q, []).append(r.id)
+        assert got == want
+    assert ranking.cosine_batch(df.limit(0), asked, "id", "q", 7).count() == 0
+
+
 def test_modules_and_graph(spark):
     paths = ["app/ui/w.py", "app/__init__.py", "lib/core.py", "inc/Foo.h", "main.py"]
     modules = {"app.ui.w": "app/ui/w.py", "app.ui.w.Klass": "app/ui/w.py", "lib.core.f": "lib/core.py", "inc/Foo.h": "inc/Foo.h", "Foo.h": "inc/Foo.h", "main": "main.py", "numpy.linalg": None}
@@ -134,9 +239,14 @@ def test_dot_file(spark, tmp_path):
     edges = spark.createDataFrame([("a", 'b"', 3)], "src string, dst string, weight long")
     graph.write_dot(graph.dot_lines(graph.nodes(chunks), edges), str(tmp_path / "g.dot"), "t")
     text = (tmp_path / "g.dot").read_text()
-    assert '"a" -> "b\\"" [label="3", penwidth=2.50];' in text and text.endswith("}\n")
+    assert '"a" -> "b\\"" [label="3", weight=3];' in text and '"a" [label="a\\n1 files, 2 chunks", fillcolor="#8282ff"];' in text and text.endswith("}\n")
     graph.write_dot(graph.dot_lines(graph.nodes(chunks.limit(0)), edges.limit(0)), str(tmp_path / "e.dot"), "t")
-    assert "no indexed files" in (tmp_path / "e.dot").read_text()
+    assert (tmp_path / "e.dot").read_text().count("\n") == 4
+    code = spark.createDataFrame([("a/x.py", ["b.y", "os"]), ("b/y.py", []), ("top.py", ["a.x"])], "file_path string, imports array<string>")
+    for depth, want in ((1, {'"a" -> "b"', '"root" -> "a"'}), (None, {'"a/x.py" -> "b/y.py"', '"top.py" -> "a/x.py"'})):
+        graph.export(code, str(tmp_path / f"{depth}.dot"), 'the "t"', depth)
+        text = (tmp_path / f"{depth}.dot").read_text()
+        assert all(w in text for w in want) and text.count("->") == 2 and 'label="the \\"t\\""' in text
 
 
 def test_tree_and_index(spark, tmp_path):
@@ -159,8 +269,11 @@ def test_streaming(spark, tmp_path):
     spark.createDataFrame(rows, ingest.SCHEMA).write.parquet(str(tmp_path / "in"))
     q = ingest.stream_chunks(spark, str(tmp_path / "in"), str(tmp_path / "index"), str(tmp_path / "cp"))
     q.awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "index"))
-    assert {r.symbol_name for r in got.collect()} == {"f", "g"}
+    index = str(tmp_path / "index")
+    assert {r.symbol_name for r in ingest.current(spark, index).collect()} == {"f", "g"}
+    spark.createDataFrame([("a.py", "def h():\n    pass"), ("b.js", " ")], ingest.SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest.stream_chunks(spark, str(tmp_path / "in"), index, str(tmp_path / "cp")).awaitTermination(120)
+    assert [(r.file_path, r.symbol_name) for r in ingest.current(spark, index).collect()] == [("a.py", "h")]
 
 
 def test_replies(spark):
@@ -205,14 +318,27 @@ def test_answering(spark):
     hits = spark.createDataFrame([("b.py", "python", "function", "g", 5, 6, 0.5, 2, "g()"), ("b.py", "python", "function", "f", 1, 2, 1.0, 1, "f()"), ("c.py", "python", "class", "K", 1, 9, 0.3, 3, "K")], "file_path string, language string, symbol_kind string, symbol_name string, start_line int, end_line int, score double, rank int, text string")
     prompts = answering.file_prompts(hits, "what?")
     text = {r.file_path: r.prompt for r in prompts.collect()}
-    assert text["b.py"].index("`f` (lines 1-2, score=1.000)") < text["b.py"].index("chunk 2: function `g`")
+    assert text["b.py"].index("[1] function f, lines 1 to 2, relevance 1.000") < text["b.py"].index("[2] function g")
+    alone = {r.symbol_name: r.prompt for r in answering.chunk_prompts(hits, "what?").collect()}
+    assert len(alone) == 3 and alone["K"].startswith("what?\n\nFrom c.py, python:\n[3] class K, lines 1 to 9, relevance 0.300\nK\n")
     budget = answering.Budget(limit=4)
     replies = answering.ask(prompts, lambda ps: ["NOT_RELEVANT" if "c.py" in p else "sums" for p in ps], budget)
     groups = ranking.group_by_file(hits).join(replies.select("file_path", "reply"), "file_path")
-    assert "`b.py` - `f`, `g` (top score=1.000)\nsums" in answering.answer(groups, "what?", lambda ps: ps, budget)
+    assert "b.py: f, g, relevance 1.000\nsums" in answering.answer(groups, "what?", lambda ps: ps, budget)
     assert budget.calls == 3
     with pytest.raises(answering.BudgetExceeded):
         answering.ask(prompts, lambda ps: ps, budget)
+    found = ranking.retrieve(hits.withColumn("id", F.col("rank").cast("long")), "f g", None, "id", mode="bm25")
+    chunks = hits.drop("rank", "score").withColumn("id", F.when(F.col("symbol_name") == "f", 1).when(F.col("symbol_name") == "g", 2).otherwise(3).cast("long"))
+    asked = answering.Budget()
+    assert answering.one_shot(chunks, found, "id", "what?", lambda ps: ["NOT_RELEVANT" if "c.py" in p else f"<{p[:5]}>" for p in ps], asked) == "<what?>" and asked.calls == 3
+    assert answering.one_shot(chunks, found, "id", "what?", lambda ps: ["NOT_RELEVANT"] * len(ps), answering.Budget()) == answering.NOTHING
+    spent = answering.Budget(token_limit=10, token_warning=5)
+    with pytest.warns(UserWarning, match="6 tokens"):
+        spent.record(6)
+    spent.record(6)
+    with pytest.raises(answering.BudgetExceeded):
+        spent.reserve(1)
     said = iter(['{"severity": "minor"}', "better", '{"severity": "ok"}'])
     assert answering.reviewed("draft", "q", lambda ps: [next(said)], answering.Budget(), spark, rounds=3) == ("better", ["minor", "ok"])
 
