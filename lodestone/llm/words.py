@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: What separates words: space and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240131)

@@ -2,6 +2,7 @@ import random
 import re
 
 import pyarrow as pa
+import pytest
 
 from lodestone.llm import licenses, queries
 from tests.llm.helpers import odd
@@ -46,7 +47,7 @@ def test_edited_notices():
         noise = [f"n{rng.randrange(99)}" for _ in range(rng.randrange(80))]
         texts.append(" ".join([*noise, *w, *noise]))
     got = [set() for _ in texts]
-    for i, name, first, n, c in licenses.find(pa.array(texts), licenses.prepare(licenses.TEMPLATES)):
+    for i, name, first, n, c in licenses.find(pa.array(texts), licenses.classes(licenses.prepare(licenses.TEMPLATES))):
         got[i].add(name)
         assert 0.8 <= c <= 1 and n > 0 and first >= 0
     assert got == [brute(t, licenses.TEMPLATES) for t in texts]
@@ -58,4 +59,32 @@ def test_odd_rows(spark):
     assert out.columns == [*docs.columns, "__matches"] and out.count() == docs.count()
     assert all(r["__matches"] == [] for r in out.collect())
     assert licenses.scan(docs.limit(0)).count() == 0
-    assert licenses.find(pa.array(["All rights reserved."]), licenses.prepare({"x": "All rights reserved", "y": "!!"})) == [(0, "x", 0, 3, 1.0)]
+    assert licenses.find(pa.array(["All rights reserved."]), licenses.classes(licenses.prepare({"x": "All rights reserved", "y": "!!"}))) == [(0, "x", 0, 3, 1.0)]
+
+
+def test_full_texts_amid_prose(spark):
+    """Long templates with a changed word in twenty and prose around them; places and sizes are those of the notice."""
+    rng = random.Random(9)
+    names = [n for n in licenses.TEMPLATES if n.startswith("full/")]
+    docs = []
+    for i in range(60):
+        name = names[i % len(names)]
+        w = licenses.TEMPLATES[name].split()
+        for at in range(10, len(w), 60):
+            w[at] = "changed"
+        before = [f"n{rng.randrange(99)}" for _ in range(rng.randrange(300))]
+        docs.append((i, " ".join([*before, *w, "and", "more", *before]), name, len(before)))
+    rows = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string, name string, n long")).collect()
+    for r in rows:
+        hit = [m for m in r["__matches"] if m.license == r.name]
+        assert len(hit) == 1 and hit[0].first_word == r.n and 0.8 <= hit[0].containment < 1
+        assert {m.license for m in r["__matches"]} == brute(r.text, licenses.TEMPLATES)
+
+
+def test_templates_of_a_table(spark, monkeypatch):
+    table = spark.createDataFrame([("b", "z z z"), ("b", "a a a"), ("c", None), (None, "x")], "name string, text string")
+    assert licenses.from_table(table) == {"b": "a a a"}
+    assert licenses.from_table(table.limit(0)) == {} and licenses.find(pa.array(["a a a"]), licenses.classes(licenses.prepare({}))) == []
+    monkeypatch.setattr(licenses, "TEMPLATE_BYTES", 3)
+    with pytest.raises(ValueError):
+        licenses.from_table(table)
