@@ -110,7 +110,7 @@ def seeds(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """(__id, __key, anchor, at, start, hashes) of the wanted anchors of (__id, __key, __text, wanted): the windows that each occurrence anchors, as hashes of the words around it."""
+    """(__id, __key, anchor, least, at, start, hashes) of the wanted (anchor, least) of (__id, __key, __text, wanted): the windows that each occurrence anchors, as hashes of the words around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _parts(batches, "__text"):
@@ -121,7 +121,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 continue
             ids, key = part.column(0).to_numpy(), part.column(1).to_numpy()
             wanted = part.column(3)
-            lists, values = np.diff(wanted.offsets.to_numpy()), wanted.flatten().to_numpy()
+            lists, (values, leasts) = np.diff(wanted.offsets.to_numpy()), (x.to_numpy() for x in wanted.flatten().flatten())
             # Is the anchor wanted in its row? Both as (row, hash) in one sorted list.
             have = np.stack([text.astype(np.int64), signed(grams[at])], 1)
             asked = np.stack([np.repeat(np.arange(len(lists)), lists), values], 1)
@@ -132,10 +132,10 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
             change[1:] = (runs[1:] != runs[:-1]).any(axis=1)
             group = np.empty(len(runs), np.int64)
             group[order] = np.cumsum(change) - 1
-            hit = np.zeros(change.sum() + 1, bool)
-            hit[group[: len(asked)]] = True
+            hit, least = np.zeros(change.sum() + 1, bool), np.zeros(change.sum() + 1, np.int64)
+            hit[group[: len(asked)]], least[group[: len(asked)]] = True, leasts
             ok = hit[group[len(asked) :]]
-            starts, text, at = starts[ok], text[ok], at[ok]
+            starts, text, at, least = starts[ok], text[ok], at[ok], least[group[len(asked) :]][ok]
             if not len(at):
                 continue
             hashes = signed(mix(words.grams(window, base=0)[starts] ^ _U(0x2545F4914F6CDD1D)))
@@ -146,13 +146,13 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
             begin = words.first[:-1]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[row]), pa.array(key[row]), pa.array(signed(grams[at[new]])), pa.array((at[new] - begin[row]).astype(np.int32)),
+                    pa.array(ids[row]), pa.array(key[row]), pa.array(signed(grams[at[new]])), pa.array(least[new]), pa.array((at[new] - begin[row]).astype(np.int32)),
                     pa.array((starts[new] - begin[row]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(edges), pa.array(hashes)),
                 ],
-                ["__id", "__key", "anchor", "at", "start", "hashes"],
+                ["__id", "__key", "anchor", "least", "at", "start", "hashes"],
             )
 
-    return docs.select("__id", "__key", "__text", "wanted").mapInArrow(run, "__id long, __key long, anchor long, at int, start int, hashes array<long>")
+    return docs.select("__id", "__key", "__text", "wanted").mapInArrow(run, "__id long, __key long, anchor long, least long, at int, start int, hashes array<long>")
 
 
 def maximal(runs: DataFrame) -> DataFrame:
@@ -174,9 +174,9 @@ def repeats(docs: DataFrame, packed: DataFrame, window: int = WINDOW) -> DataFra
     anchors = found.select("__id", "__key", F.explode(F.array_distinct("anchors")).alias("anchor"))
     # Only anchors of different documents matter; a grouped minimum and maximum, summed in the tasks first.
     shared = cut(anchors.groupBy("anchor").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).filter("least < most").select("anchor", "least"))
-    wanted = anchors.join(shared, "anchor").groupBy("__id", "__key").agg(F.collect_set("anchor").alias("wanted"))
+    wanted = anchors.join(shared, "anchor").groupBy("__id", "__key").agg(F.collect_set(F.struct("anchor", "least")).alias("wanted"))
     wanted = wanted.repartition("wanted")  # the join shuffles both sides itself, so AQE can split rows that are all equal
-    occurrences = cut(_windows(packed.select("__id", "__key", "__text").join(wanted, ["__id", "__key"]), window).join(shared, "anchor"))
+    occurrences = cut(_windows(packed.select("__id", "__key", "__text").join(wanted, ["__id", "__key"]), window))
     # The first occurrence in the smallest document leads; it has each window that it anchors, in order of their starts.
     leads = occurrences.filter("__id = least").groupBy("anchor").agg(F.min_by(F.struct("__id", "__key", "at", F.col("hashes").alias("theirs")), F.struct("at", "__key")).alias("lead")).select("anchor", "lead.*")
     # Written out first, as are all grouped minima that are joined back: AQE splits a hot key of a join only if no grouping shares its stage.
