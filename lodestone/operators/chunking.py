@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import spans
 
-NAME, WORD, PATH = r"[\p{L}_$][\w$]*", r"[\p{L}_]\w*", r"[\p{L}_][\w.:]*"
+NAME, WORD, PATH = r"(?:[^\W\d]|[$])[\w$]*", r"[^\W\d]\w*", r"[^\W\d][\w.:]*"
 SPACES, EMPTY = r"\s+", ""
 
 
@@ -55,7 +55,7 @@ FORMS = {
     "rust": [
         Form({"fn": "function"}, _RUST, after=r"\s*[<(]"),
         Form({"struct|enum|trait|union": "type"}, _RUST),
-        Form({r"impl(?:\s*<[^{]*?>(?=\s+[\p{L}_]))?": "impl"}, ("unsafe",)),
+        Form({r"impl(?:\s*<[^{]*?>(?=\s+[^\W\d]))?": "impl"}, ("unsafe",)),
     ],
     "csharp": [
         Form({w: w for w in ("class", "interface", "struct", "enum")} | {r"record(?:\s+(?:class|struct))?": "record"}, _SHARP),
@@ -67,7 +67,7 @@ FORMS = {
         Form({r"(?:template\s*<[^>]*>\s*)?(?:class|struct)": "class"}, after=r"\s*(?:final\s*)?(?:[:{]|$)"),
         Form({"namespace": "namespace"}, ("inline",), name=PATH),
         Form({r"enum(?:\s+(?:class|struct))?": "enum"}),
-        Form({r"(?:[\w:<>,~*&]+\s+)+[*&]?": "function"}, between=EMPTY, name=r"[\p{L}_~][\w:~]*", after=r"\s*[(][^;]*$"),
+        Form({r"(?:[\w:<>,~*&]+\s+)+[*&]?": "function"}, between=EMPTY, name=r"(?:[^\W\d]|~)[\w:~]*", after=r"\s*[(][^;]*$"),
     ],
 }
 FORMS["typescript"] = FORMS["javascript"]
@@ -76,7 +76,7 @@ IMPORTS = {
     "javascript": r"\b(?:from|import|require)\b[\s(]*[\"'`]([^\"'`\n]+)[\"'`]",
     "go": r'(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"\s]+)"\s*$',
     "rust": r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+(?:::)?(\w+(?:::\w+)*)",
-    "csharp": r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\p{L}_][\w.]*)\s*;",
+    "csharp": r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([^\W\d][\w.]*)\s*;",
     "cpp": r"(?m)^\s*#\s*include[\s<\"]*([^\s<>\"]+)",
 }
 IMPORTS["typescript"] = IMPORTS["javascript"]
