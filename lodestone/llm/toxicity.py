@@ -23,16 +23,17 @@ from lodestone.llm.words import NO_LETTERS, chunks, words_of
 BITS = 18
 #: About so many labelled documents are learnt from (all, if there are fewer), taken by a hash of doc_id. One task holds their slots (4 bytes per distinct term).
 TRAIN_ROWS = 20_000
-#: A term counts whole and by so many first bytes, so that rare forms of a learnt stem count too.
-STEM = 4
-#: A slot that a smaller share of the labelled documents has (or fewer than MIN_DOCS) is not learnt.
-MIN_SHARE = 0.0018
-MIN_DOCS = 3
+#: A term counts whole and by its first so many bytes if it is longer, so that rare forms of a learnt stem count too, but the bare stem doesn't.
+STEMS = (4, 5, 6, 7, 8)
+#: Slots are learnt that so many labelled documents have, and that are common (in such a share of them) or go with one label beyond chance (by so many standard errors).
+MIN_DOCS = 4
+COMMON = 0.05
+MIN_FAR = 4.0
 FACTORS = 4
 BATCH = 128
 STEPS = 900
-RATE = 0.05
-L2 = 5e-3
+RATE = 0.1
+L2 = 1e-3
 _U = np.uint64
 
 
@@ -55,10 +56,11 @@ class Model:
 
 
 def term_slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct slots of each text's terms (runs of letters, A-Z as a-z) and of their first STEM bytes, and where each text's begin."""
-    words = words_of(column, fold=True, separators=NO_LETTERS, head=STEM)
+    """Distinct slots of each text's terms (runs of letters, A-Z as a-z) and of the beginnings of longer ones, and where each text's begin."""
+    words = words_of(column, fold=True, separators=NO_LETTERS, heads=STEMS)
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first)).astype(_U) << _U(BITS)
-    both = np.unique(np.concatenate([text | (words.hashes >> _U(64 - BITS)), text | (words.heads >> _U(64 - BITS))]))
+    slots = [text | (words.hashes >> _U(64 - BITS)), *(text[at] | (h >> _U(64 - BITS)) for h, at in zip(words.heads, words.longer, strict=True))]
+    both = np.unique(np.concatenate(slots))
     return (both & _U(2**BITS - 1)).astype(np.int32), np.searchsorted(both, np.arange(len(words.first), dtype=_U) << _U(BITS))
 
 
@@ -72,10 +74,13 @@ def fit(rows: list[tuple[np.ndarray, int]], seed: int = 1, spread: float = 0.01)
     if not len(y) or y.min() == y.max():
         model.bias = -5.0 if not len(y) or y.max() == 0 else 5.0
         return model
-    seen = np.zeros(2**BITS, np.int64)
-    for slots, _ in rows:
+    seen, labelled = np.zeros((2, 2**BITS))
+    for slots, label in rows:
         seen[slots] += 1
-    kept = np.flatnonzero(seen >= min(max(MIN_DOCS, MIN_SHARE * len(y)), len(y) // 10 + 1))
+        labelled[slots] += label
+    # How many standard errors a slot's share of label 1 lies from the whole's: rare slots are learnt only if that is far.
+    far = np.abs(labelled - seen * y.mean()) / np.sqrt(np.maximum(seen, 1) * y.mean() * (1 - y.mean()))
+    kept = np.flatnonzero((seen >= min(MIN_DOCS, len(y) // 10 + 1)) & ((far >= MIN_FAR) | (seen >= COMMON * len(y))))
     number = np.full(2**BITS, -1, np.int32)
     number[kept] = np.arange(len(kept), dtype=np.int32)
     ids = [n[n >= 0] for n in (number[r[0]] for r in rows)]

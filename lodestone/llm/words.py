@@ -76,7 +76,8 @@ class Words:
     starts: np.ndarray  # of each word, in data
     ends: np.ndarray
     hashes: np.ndarray  # 64 bits of each word
-    heads: np.ndarray  # of each word's first bytes if asked for, unlike that of a word of just these bytes
+    heads: list[np.ndarray]  # for each size asked for: of the first bytes of words longer than that, unlike that of a word of just these bytes
+    longer: list[np.ndarray]  # and the places of these words
     first: np.ndarray  # index of each text's first word; one more entry at the end
 
     def grams(self, k: int, base: int = 1) -> np.ndarray:
@@ -125,11 +126,14 @@ def _slices(raw: np.ndarray, at: np.ndarray, separators: np.ndarray) -> Iterator
         a = b
 
 
-def words_of(column: pa.Array, fold: bool = False, separators: np.ndarray = SPACES, head: int = 0) -> Words:
-    """Splits and hashes every text; fold takes A-Z as a-z; head: also hash each word's first so many bytes."""
+def words_of(column: pa.Array, fold: bool = False, separators: np.ndarray = SPACES, heads: tuple[int, ...] = ()) -> Words:
+    """Splits and hashes every text; fold takes A-Z as a-z; heads: also hash the first so many bytes of longer words."""
     raw, at = texts_of(column)
     table = _FOLDED if fold else _BYTE
-    parts: list[list[np.ndarray]] = [[], [], [], []]
+    parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, _U)]]
+    firsts: list[list[np.ndarray]] = [[np.empty(0, _U)] for _ in heads]
+    places: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in heads]
+    done = 0
     for a, b in _slices(raw, at, separators):
         n = b - a
         inside = np.zeros(n + 1, bool)
@@ -148,11 +152,14 @@ def words_of(column: pa.Array, fold: bool = False, separators: np.ndarray = SPAC
         parts[0].append(starts + a)
         parts[1].append(ends + a)
         parts[2].append(mix((sums[ends] - sums[starts]) * inv[starts]))
-        if head:
-            parts[3].append(mix((sums[np.minimum(ends, starts + head)] - sums[starts]) * inv[starts] + _U(1)))
-    starts, ends = (np.concatenate(x) if x else np.empty(0, np.int64) for x in parts[:2])
-    hashes, heads = (np.concatenate(x) if x else np.empty(0, _U) for x in parts[2:])
-    return Words(raw, starts, ends, hashes, heads, np.searchsorted(starts, at))
+        for k, size in enumerate(heads):
+            long = np.flatnonzero(ends - starts > size)
+            at_ = starts[long]
+            firsts[k].append(mix((sums[at_ + size] - sums[at_]) * inv[at_] + _U(size)))
+            places[k].append(long + done)
+        done += len(starts)
+    starts, ends, hashes = (np.concatenate(x) for x in parts)
+    return Words(raw, starts, ends, hashes, [np.concatenate(x) for x in firsts], [np.concatenate(x) for x in places], np.searchsorted(starts, at))
 
 
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
