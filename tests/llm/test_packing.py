@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -69,3 +70,15 @@ def test_plan_keeps_every_capacity():
                 for l, n in b.holds:
                     seen[l] += n * b.count
             assert seen == lengths
+
+
+def test_ids_by_both_libraries_on_odd_characters():
+    """Seeded texts over many scripts, runs of spaces, digits, contractions, emoji, controls and broken surroundings of them."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing._encoder(None)
+    rng = random.Random(11)
+    pieces = ["'s", "'LL", "I'm", "don't", " ", "  ", "\n", "\r\n", "\t", "\x00", "\x1f", "\x7f", " ", " ", "‍", "　", "007", "3.14", "1,000", "é", "é", "ß", "ſ", "İ", "ñ", "я", "Ж", "汉", "字", "かな", "한글", "العربية", "हिन्दी", "ไทย", "👍", "👩‍👩‍👧", "🇩🇪", "—", "…", "﻿", "�", "<|endoftext|>", "<|", "|>", "_", "__init__", "https://a.b/c?d=e", "#", "$$", "٣", "²", "Ⅷ", "a", "B", "word", "Word", "WORD"]
+    letters = [chr(c) for c in (*range(32, 127), *range(0xA0, 0x250), *range(0x370, 0x400), *range(0x400, 0x460), *range(0x4E00, 0x4E40), *range(0x1F600, 0x1F640))]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) if rng.random() < 0.6 else "".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(rng.randrange(30)))
+        assert encoder.encode_to_numpy(text, allowed_special="all").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
