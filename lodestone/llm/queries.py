@@ -46,20 +46,27 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(pages: DataFrame) -> DataFrame:
-    """A crawl's records from pages: each page once as a full response and later as a revisit, by another form of its URL and with other validators now and then."""
+    """A crawl's records from pages: each page as a full response, every fourth once more in another version, and later as a revisit by another form of its URL, with other validators now and then."""
     base = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("tag"), F.length("html").cast("string").alias("size"))
+    page = F.col("page_id")
     text = lambda s, c: F.concat(F.lit(s), F.col(c).cast("string"))
     first = base.select(
-        (F.col("page_id") * 2).alias("record_id"), "url", F.col("page_id").alias("at"), F.lit("response").alias("kind"),
-        F.when(F.col("page_id") % 5 > 0, F.col("tag")).alias("etag"), F.when(F.col("page_id") % 3 > 0, text("day ", "page_id")).alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        (page * 3).alias("record_id"), "url", page.alias("at"), F.lit("response").alias("kind"),
+        F.when(page % 5 > 0, F.col("tag")).alias("etag"), F.when(page % 3 > 0, text("day ", "page_id")).alias("last_modified"), F.when(page % 6 > 0, text("d", "tag")).alias("digest"),
         F.create_map(F.lit("content-length"), F.coalesce("size", F.lit("0")), F.lit("date"), text("day ", "page_id"), F.lit("server"), F.lit("a")).alias("headers"),
     )
+    second = base.filter("page_id % 4 = 0").select(
+        (page * 3 + 1).alias("record_id"), "url", (page + 200).alias("at"), F.lit("response").alias("kind"),
+        F.when(page % 8 > 0, text("W/", "tag")).alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.when(page % 12 > 0, text("e", "tag")).alias("digest"),
+        F.create_map(F.lit("content-length"), F.coalesce("size", F.lit("0")), F.lit("date"), text("new ", "page_id"), F.lit("server"), F.lit("b")).alias("headers"),
+    )
     again = base.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), (F.col("page_id") + 400).alias("at"), F.lit("revisit").alias("kind"),
-        F.when(F.col("page_id") % 7 == 0, F.lit("other")).when(F.col("page_id") % 7 > 1, F.col("tag")).alias("etag"), F.when(F.col("page_id") % 4 > 0, text("day ", "page_id")).alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        (page * 3 + 2).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), (page + 400).alias("at"), F.lit("revisit").alias("kind"),
+        F.when(page % 7 == 0, F.lit("other")).when(page % 7 > 1, F.col("tag")).alias("etag"), F.when(page % 4 > 0, text("day ", "page_id")).alias("last_modified"),
+        F.when(page % 16 == 0, text("e", "tag")).when(page % 10 > 7, text("d", "tag")).alias("digest"),
         F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), text("later than ", "page_id"), F.lit("cache-control"), F.lit("no-cache")).alias("headers"),
     )
-    return first.union(again)
+    return first.union(second).union(again)
 
 
 def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,11 +144,14 @@ SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN dr
 WITH base AS (
   SELECT page_id, url, md5(coalesce(html, '')) AS tag, CAST(length(html) AS VARCHAR) AS size FROM pages
 ), records AS (
-  SELECT page_id * 2 AS record_id, url, page_id AS "at", 'response' AS kind, CASE WHEN page_id % 5 > 0 THEN tag END AS etag, CASE WHEN page_id % 3 > 0 THEN 'day ' || page_id END AS last_modified,
-    ['content-length=' || coalesce(size, '0'), 'date=day ' || page_id, 'server=a'] AS headers FROM base
+  SELECT page_id * 3 AS record_id, url, page_id AS "at", 'response' AS kind, CASE WHEN page_id % 5 > 0 THEN tag END AS etag, CASE WHEN page_id % 3 > 0 THEN 'day ' || page_id END AS last_modified,
+    CASE WHEN page_id % 6 > 0 THEN 'd' || tag END AS digest, ['content-length=' || coalesce(size, '0'), 'date=day ' || page_id, 'server=a'] AS headers FROM base
+  UNION ALL
+  SELECT page_id * 3 + 1, url, page_id + 200, 'response', CASE WHEN page_id % 8 > 0 THEN 'W/' || tag END, NULL, CASE WHEN page_id % 12 > 0 THEN 'e' || tag END,
+    ['content-length=' || coalesce(size, '0'), 'date=new ' || page_id, 'server=b'] FROM base WHERE page_id % 4 = 0
   UNION ALL
-  SELECT page_id * 2 + 1, url || '#again', page_id + 400, 'revisit', CASE WHEN page_id % 7 = 0 THEN 'other' WHEN page_id % 7 > 1 THEN tag END, CASE WHEN page_id % 4 > 0 THEN 'day ' || page_id END,
-    ['cache-control=no-cache', 'content-length=0', 'date=later than ' || page_id] FROM base
+  SELECT page_id * 3 + 2, url || '#again', page_id + 400, 'revisit', CASE WHEN page_id % 7 = 0 THEN 'other' WHEN page_id % 7 > 1 THEN tag END, CASE WHEN page_id % 4 > 0 THEN 'day ' || page_id END,
+    CASE WHEN page_id % 16 = 0 THEN 'e' || tag WHEN page_id % 10 > 7 THEN 'd' || tag END, ['cache-control=no-cache', 'content-length=0', 'date=later than ' || page_id] FROM base
 ), bare AS (
   SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM records
 ), parts AS (
@@ -150,13 +160,13 @@ WITH base AS (
     array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') AS q
   FROM bare
 ), keyed AS (
-  SELECT record_id, "at", kind, etag, last_modified, headers, h || p || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url_key FROM parts
+  SELECT record_id, "at", kind, regexp_replace(etag, '^W/', '') AS etag, last_modified, digest, headers, h || p || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url_key FROM parts
 ), carried AS (
-  SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'etag': etag, 'lm': last_modified, 'headers': headers} END IGNORE NULLS)
+  SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'etag': etag, 'lm': last_modified, 'digest': digest, 'headers': headers} END IGNORE NULLS)
     OVER (PARTITION BY url_key ORDER BY "at" NULLS FIRST, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM keyed
 ), judged AS (
-  SELECT *, CASE WHEN s IS NULL OR url_key IS NULL THEN 'no_response' WHEN etag <> s.etag OR last_modified <> s.lm THEN 'changed'
-    WHEN etag = s.etag OR last_modified = s.lm THEN 'resolved' ELSE 'unproven' END AS status
+  SELECT *, CASE WHEN s IS NULL OR url_key IS NULL THEN 'no_response' WHEN etag <> s.etag OR last_modified <> s.lm OR digest <> s.digest THEN 'changed'
+    WHEN etag = s.etag OR last_modified = s.lm OR digest = s.digest THEN 'resolved' ELSE 'unproven' END AS status
   FROM carried WHERE kind = 'revisit'
 )
 SELECT record_id, url_key, s.id AS source_id, status,

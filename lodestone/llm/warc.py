@@ -2,12 +2,17 @@
 
 A revisit record tells that a server answered "not modified": it has new headers but no payload. It is joined to the
 latest earlier full response of the same canonical URL; if the validators agree, that response's payload is taken and
-the headers that a 304 may renew are merged. A URL fetched very often is split by time: each (URL, time block) carries
-only its last full response to the later blocks, so no URL's records meet in one task.
+the headers that a 304 may renew are merged. Records are cut into blocks by quantiles of their time, and those of one
+time (or of none) by record_id; each (URL, block) carries only its last full response to the later blocks, so no URL's
+records meet in one task, however they are spread over time.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,26 +35,76 @@ def canonical(url: Column) -> Column:
     return F.concat(host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
+def parsed(records: DataFrame) -> DataFrame:
+    """records (record: text of one WARC record) with record_id, url, at, kind, etag, last_modified, digest and headers.
+
+    Header blocks end with an empty line; names are lower-cased, repeated headers joined by ", ", folded lines belong to
+    the header before. etag, last_modified and headers are those of the HTTP response inside. kind is "response",
+    "revisit" or null for any other record; what a record lacks is null.
+    """
+    parts = F.split(F.col("record"), "\r?\n\r?\n", 3)
+    out = records.withColumn("__warc", _fields(F.get(parts, F.lit(0)))).withColumn("__http", _fields(F.get(parts, F.lit(1))))
+    kind = F.lower(F.col("__warc")["warc-type"])
+    out = out.withColumns({
+        "record_id": F.col("__warc")["warc-record-id"],
+        "url": F.btrim(F.col("__warc")["warc-target-uri"], F.lit("<>")),
+        "at": F.try_to_timestamp(F.col("__warc")["warc-date"]),
+        "kind": F.when(kind.isin("response", "revisit"), kind),
+        "etag": F.col("__http")["etag"],
+        "last_modified": F.col("__http")["last-modified"],
+        "digest": F.col("__warc")["warc-payload-digest"],
+        "headers": F.col("__http"),
+    })
+    return out.drop("__warc", "__http")
+
+
+def _fields(block: Column) -> Column:
+    """Header lines after the first as a map."""
+    lines = F.split(F.regexp_replace(block, "\r?\n[ \t]+", " "), "\r?\n")
+    pairs = F.transform(F.filter(lines, lambda x, i: (i > 0) & x.contains(":")), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.lit(1 << 30))).alias("v")))
+    names = F.array_distinct(pairs["k"])
+    values = F.transform(names, lambda name: F.array_join(F.filter(pairs, lambda p: p["k"] == name)["v"], ", "))
+    return F.map_from_arrays(F.coalesce(names, F.array().cast("array<string>")), F.coalesce(values, F.array().cast("array<string>")))
+
+
+#: Stands for a null time: before all others.
+NO_TIME = -1e300
+
+
+def _blocks(keyed: DataFrame, blocks: int) -> DataFrame:
+    """keyed (at, record_id) with block (range, part), which rises with at, then record_id: about so many blocks of like size."""
+    spark = keyed.sparkSession
+    time = F.coalesce(F.col("at").cast("double"), F.lit(NO_TIME))
+    cuts = keyed.agg(F.percentile_approx(time, [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0] or [0.0]
+    often = {c: k for c, k in Counter(cuts).items() if k > 1}
+    edges = sorted({*cuts, *(float(np.nextafter(c, np.inf)) for c in often)})
+    out = Bucketizer(splits=[-float("inf"), *edges, float("inf")], inputCol="__time", outputCol="__range").transform(keyed.withColumn("__time", time))
+    part = F.lit(0)
+    if often and dict(keyed.dtypes)["record_id"] != "string":  # a string has no place between two others
+        order = F.col("record_id").cast("double")
+        held = spark.createDataFrame([(float(edges.index(c) + 1), k) for c, k in often.items()], "__range double, __parts int")
+        spans = out.join(F.broadcast(held), "__range").groupBy("__range", "__parts").agg(F.min(order).alias("__low"), F.max(order).alias("__high"))  # a row per range at most
+        out = out.join(F.broadcast(spans), "__range", "left")
+        part = F.coalesce(F.least(F.floor((order - F.col("__low")) / (F.col("__high") - F.col("__low") + 1) * F.col("__parts")), F.col("__parts") - 1), F.lit(0))
+    return out.withColumn("block", F.struct("__range", part.cast("int").alias("part"))).drop("__time", "__range", "__parts", "__low", "__high")
+
+
 def resolve(records: DataFrame, renewed: list[str] = RENEWED) -> DataFrame:
     """Every revisit of records with what it resolves to.
 
-    records: record_id long, url string, at (orderable), kind "response" or "revisit", etag, last_modified, digest
-    string (null: unknown) and headers map<string,string> with lower-case names. Returns record_id, url_key, source_id
-    (the latest response with the same canonical URL before it by at, then record_id), status and headers. status:
-    "resolved"; "no_response" if there is none (also for a null URL); "changed" if a validator that both sides give
-    differs; "unproven" if they share none. headers of a resolved revisit are the response's, with the revisit's where
-    a 304 may renew them; else the revisit's own. Rows with the same url, at and record_id go by their digest. Null
-    at comes first. Empty in, empty out.
+    records: record_id long, url string, at (orderable as a number), kind "response" or "revisit", etag, last_modified,
+    digest string (null: unknown) and headers map<string,string> with lower-case names. Returns record_id, url_key,
+    source_id (the latest response with the same canonical URL before it by at, then record_id), status and headers.
+    status: "resolved"; "no_response" if there is none (also for a null URL); "changed" if a validator that both sides
+    give differs; "unproven" if they share none; a weak ETag counts as the strong one. headers of a resolved revisit are
+    the response's, with the revisit's where a 304 may renew them; else the revisit's own. Rows with the same url, at
+    and record_id go by their digest. Null at comes first. Empty in, empty out.
     """
     spark = records.sparkSession
     keyed = records.withColumn("url_key", canonical(F.col("url")))
     lost = keyed.filter((F.col("kind") == "revisit") & F.col("url_key").isNull())
-    keyed = keyed.filter("url_key IS NOT NULL")
-    blocks = max(MIN_BLOCKS, 4 * partitions(spark))
-    low, high = records.agg(F.min(F.col("at").cast("double")), F.max(F.col("at").cast("double"))).first()
-    place = F.col("at").cast("double") - F.lit(low or 0.0)
-    keyed = keyed.withColumn("block", F.when(F.col("at").isNull(), -1).otherwise(F.least(F.floor(place / F.lit(((high or 0.0) - (low or 0.0)) / blocks or 1.0)), F.lit(blocks - 1))).cast("int"))
-    when = F.struct(F.coalesce(F.col("at").cast("double"), F.lit(float("-inf"))), "record_id", F.coalesce("digest", F.lit("")))
+    keyed = _blocks(keyed.filter("url_key IS NOT NULL"), max(MIN_BLOCKS, 4 * partitions(spark)))
+    when = F.struct(F.coalesce(F.col("at").cast("double"), F.lit(NO_TIME)), "record_id", F.coalesce("digest", F.lit("")))
     # What a later revisit needs; null on revisits.
     full = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified", "digest", "headers"))
     keyed = keyed.withColumn("full", full)
@@ -66,7 +121,8 @@ def resolve(records: DataFrame, renewed: list[str] = RENEWED) -> DataFrame:
 
 
 def _status() -> Column:
-    same = [F.col(c) == F.col(f"source.{c}") for c in ("etag", "last_modified", "digest")]
+    plain = lambda c, name: F.regexp_replace(c, "^W/", "") if name == "etag" else c
+    same = [plain(F.col(c), c) == plain(F.col(f"source.{c}"), c) for c in ("etag", "last_modified", "digest")]
     differs = F.coalesce(same[0] == F.lit(False), F.lit(False)) | F.coalesce(same[1] == F.lit(False), F.lit(False)) | F.coalesce(same[2] == F.lit(False), F.lit(False))
     return F.when(F.col("source").isNull(), "no_response").when(differs, "changed").when(F.coalesce(*same).isNull(), "unproven").otherwise("resolved")
 
