@@ -701,28 +701,42 @@ def review_lists(read):
     return turns.select("conv_id", "turn", F.array_join(T.review_list(reply, "issues"), ", ").alias("issues"), F.size(T.review_list(reply, "missing")).alias("n_missing"))
 
 
+#: Languages by turns of doc_id: ending, what it imports a source by, how a function begins and ends, and its kind.
+CODED = {
+    "javascript": (".js", "import s from '%s';", "function %s(a) {", "}", "function"),
+    "go": (".go", 'import "%s"', "func %s(a int) {", "}", "function"),
+    "rust": (".rs", "use %s;", "pub fn %s(a: i32) {", "}", "function"),
+    "csharp": (".cs", "using %s;", "public static List<int> %s(int a) {", "}", "method"),
+    "cpp": (".cpp", '#include "%s"', "static int %s(int a) {", "}", "function"),
+    "python": (".py", "import %s", "def %s(a):", "", "function"),
+}
 CODE = r"""code AS (
-  SELECT source || '/' || doc_id || '.js' AS file_path, i, ws[i] AS w FROM (
+  SELECT source || '/' || doc_id || list_extract(ENDINGS, doc_id % 6 + 1) AS file_path, list_extract(KINDS, doc_id % 6 + 1) AS kind, doc_id % 6 = 5 AS python, i, 'f_' || ws[i][1] AS name, 'f_' || ws[i][-1] AS called FROM (
     SELECT doc_id, source, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_extract_all(l, '[A-Za-z]{2,}')), lambda w: len(w) > 0) AS ws FROM documents
   ), unnest(range(1, len(ws) + 1)) u(i)
-)"""
+)""".replace("ENDINGS", str([x[0] for x in CODED.values()])).replace("KINDS", str([x[4] for x in CODED.values()]))
 
 
 def _code(read) -> DataFrame:
-    """Documents as sources: each line is a function named by its first word that calls its last word and quotes all."""
+    """Documents as sources of six languages: each line is a function named by its first word that calls its last word and quotes all."""
+    turn = F.col("doc_id") % len(CODED)
+    pick = lambda n: F.element_at(F.array(*[F.lit(x[n]) for x in CODED.values()]), (turn + 1).cast("int"))
+    named = lambda form, name: F.replace(form, F.lit("%s"), name)
+    docs = read("documents").select("doc_id", "source", "text", *[pick(n).alias(c) for n, c in enumerate(("end", "import", "open", "close"))])
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda l: F.regexp_extract_all(l, F.lit("[A-Za-z]{2,}"), F.lit(0))), lambda w: F.size(w) > 0)
-    body = F.transform(lines, lambda w: F.concat(F.lit("function "), F.get(w, F.lit(0)), F.lit("(a) {\n  "), F.element_at(w, -1), F.lit("(a, '"), F.array_join(w, " "), F.lit("');\n}")))
-    text = F.concat(F.lit("import s from '"), "source", F.lit("';\n"), F.array_join(body, "\n"))
-    return read("documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".js")).alias("file_path"), F.lit("javascript").alias("language"), text.alias("text")).withColumn("sha1", F.sha1("text"))
+    body = F.transform(lines, lambda w: F.concat(named(F.col("open"), F.concat(F.lit("f_"), F.get(w, F.lit(0)))), F.lit("\n  f_"), F.element_at(w, -1), F.lit("(a, '"), F.array_join(w, " "), F.lit("')\n"), F.col("close")))
+    text = F.concat(named(F.col("import"), F.col("source")), F.lit("\n"), F.array_join(body, "\n"))
+    path = F.concat("source", F.lit("/"), "doc_id", "end")
+    return docs.select(path.alias("file_path"), T.language_of(path).alias("language"), text.alias("text")).withColumn("sha1", F.sha1("text"))
 
 
-@query(f"""WITH {CODE} SELECT 'symbols' AS kind, file_path, w[1] AS name, CAST(3 * i - 1 AS INTEGER) AS start_line, CAST(3 * i + 1 AS INTEGER) AS end_line FROM code
-UNION ALL SELECT DISTINCT 'calls', file_path, w[1] || ' ' || c, 0, 0 FROM (SELECT file_path, w, unnest([w[1], w[-1]]) AS c FROM code)
-UNION ALL SELECT 'imports', source || '/' || doc_id || '.js', source, 0, 0 FROM documents""")
+@query(f"""WITH {CODE} SELECT kind, file_path, name, CAST(3 * i - 1 AS INTEGER) AS start_line, CAST(CASE WHEN python THEN 3 * i ELSE 3 * i + 1 END AS INTEGER) AS end_line FROM code
+UNION ALL SELECT DISTINCT 'call', file_path, name || ' ' || c, 0, 0 FROM (SELECT file_path, name, unnest(CASE WHEN python THEN [called] ELSE [name, called] END) AS c FROM code)
+UNION ALL SELECT 'import', source || '/' || doc_id || list_extract({[x[0] for x in CODED.values()]}, doc_id % 6 + 1), source, 0, 0 FROM documents""")
 def index_build(read):
-    """Symbols, calls and imports of an index built from every document's lines."""
+    """Symbols, calls and imports of an index built from every document's lines, in six languages."""
     index = files.build(_code(read))
     none = F.lit(0)
-    symbols = index["symbols"].select(F.lit("symbols").alias("kind"), "file_path", "name", "start_line", "end_line")
-    calls = index["calls"].select(F.lit("calls"), "file_path", F.concat_ws(" ", "caller", "callee"), none, none)
-    return symbols.union(calls).union(index["imports"].select(F.lit("imports"), "file_path", "module", none, none))
+    symbols = index["symbols"].select("kind", "file_path", "name", "start_line", "end_line")
+    calls = index["calls"].select(F.lit("call"), "file_path", F.concat_ws(" ", "caller", "callee"), none, none)
+    return symbols.union(calls).union(index["imports"].select(F.lit("import"), "file_path", "module", none, none))
