@@ -10,6 +10,8 @@ from lodestone.llm import mixing, neardup, packing, substrings, toxicity
 from lodestone.llm.cluster import cut, small
 
 THRESHOLD = 80
+#: Of a training sequence: tokens are at most packing.CAPACITY; besides, so many documents, and attention cost (the sum of squared lengths).
+MAX_DOCUMENTS, MAX_ATTENTION = 64, 0.75 * packing.CAPACITY**2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +56,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes: sequences of at most 2048 tokens.
+    """Where each piece of each document goes: sequences of at most 2048 tokens, MAX_DOCUMENTS pieces and MAX_ATTENTION cost; a piece over that cost is alone.
 
     Null and empty texts are the end token alone; repeated rows are documents of their own.
     """
-    return packing.pack(packing.pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack(packing.pieces(docs), max_documents=MAX_DOCUMENTS, max_attention=MAX_ATTENTION).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [
