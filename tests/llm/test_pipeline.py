@@ -39,7 +39,8 @@ def test_stages_by_brute_force(spark, tmp_path):
             for r in after:
                 per[r.sequence_id].append(r)
             assert {r.doc_id for r in after} == {r.doc_id for r in before} and sum(r.piece == 0 for r in after) == len(before)
-            assert all(sum(r.length for r in p) <= 2048 for p in per.values())
+            assert all(sum(r.length for r in p) <= 2048 and len(p) <= 64 for p in per.values())
+            assert all(sum(r.length**2 for r in p) <= 0.75 * 2048**2 or len(p) == 1 for p in per.values())
 
 
 def test_run(spark):
@@ -71,3 +72,16 @@ def test_repeated_rows_stay_once(spark):
     docs = spark.createDataFrame([(1, texts[0]), (1, texts[0]), (2, texts[0]), (3, texts[1]), (3, "quite another text is this"), (None, "x"), (None, "x")], "doc_id long, text string")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted((r.doc_id or -1, r.text) for r in kept) == [(-1, "x"), (-1, "x"), (1, texts[0]), (3, texts[1])]
+
+
+def test_capacities_bind(spark):
+    """Short documents fill a sequence by number, long ones by attention cost, before their tokens do."""
+    docs = spark.createDataFrame([(i, "word " * 3) for i in range(300)] + [(1000 + i, "word " * 1800) for i in range(10)], "doc_id long, text string")
+    per = defaultdict(list)
+    for r in corpus_pipeline.pack(spark, docs, "").collect():
+        per[r.sequence_id].append(r)
+    sizes = sorted(len(p) for p in per.values() if max(r.length for r in p) < 1000)
+    assert sizes and max(sizes) <= 64 and sum(len(p) for p in per.values()) == 310
+    assert sum(max(r.length for r in p) > 1700 for p in per.values()) == 10
+    assert all(len(p) == 1 for p in per.values() if max(r.length for r in p) ** 2 > 0.75 * 2048**2)
+    assert all(sum(r.length for r in p) < 2048 for p in per.values())
