@@ -21,11 +21,13 @@ SYMBOLS = "#*$%&|<>"
 MAX_SYMBOLS = 0.3
 #: A line without any sentence mark fails below so many words (headings, menu entries).
 MIN_OPEN_LINE = 8
-#: Phrases of boilerplate lines, lower case.
+#: Phrases of boilerplate lines, lower case; a corpus in other languages brings its own as a parameter.
 BOILERPLATE = [
-    "all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of service", "terms of use",
-    "click here", "read more", "sign up", "log in", "subscribe to", "enable javascript", "share this", "follow us",
-    "is licensed under", "licensed under the", "licensed under cc", "released under the", "skip to content", "back to top",
+    "all rights reserved", "copyright ©", "licensed under", "released under", "terms of service", "terms of use", "terms and conditions",
+    "privacy policy", "cookie policy", "accept cookies", "accept all", "we use cookies", "enable javascript", "javascript is disabled",
+    "click here", "read more", "learn more", "show more", "sign up", "sign in", "log in", "forgot password", "create an account",
+    "subscribe to", "unsubscribe", "newsletter", "share this", "share on", "follow us", "contact us", "about us", "site map",
+    "skip to content", "back to top", "previous page", "next page", "related articles", "leave a comment", "powered by", "add to cart",
 ]
 #: Boilerplate is a short line; a phrase inside a paragraph is prose.
 MAX_BOILERPLATE_WORDS = 25
@@ -35,18 +37,18 @@ def _symbols(text: Column) -> Column:
     return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line with words that is no prose: see the rules of this module."""
+def line_fails(line: Column, phrases: list[str] = BOILERPLATE) -> Column:
+    """True for a line with words that is no prose: see the rules of this module. phrases stand for themselves, in lower case."""
     n = word_count(line)
     bars = F.length(line) - F.length(F.translate(line, "|»›•", ""))
     open_line = ~line.rlike("[.!?…。:;]")
     punctuation = (open_line & (n < MIN_OPEN_LINE)) | (_symbols(line) > n * MAX_SYMBOLS)
     navigation = (bars >= 2) & (bars * 8 >= n)
-    boilerplate = (n <= MAX_BOILERPLATE_WORDS) & F.lower(line).rlike("|".join(BOILERPLATE))
+    boilerplate = (n <= MAX_BOILERPLATE_WORDS) & F.lower(line).rlike("|".join(f"\\Q{x}\\E" for x in phrases) or "(?!)")
     return punctuation | navigation | boilerplate
 
 
-def measure(docs: DataFrame) -> DataFrame:
+def measure(docs: DataFrame, phrases: list[str] = BOILERPLATE) -> DataFrame:
     """Adds __q_n_words, __q_word_chars, __q_n_symbols, __q_n_dup_lines, __q_n_repeat_words and __q_n_lost (words of failed lines).
 
     Null and empty texts measure 0. Columns of docs keep their names and values; docs must have text and no column
@@ -62,7 +64,7 @@ def measure(docs: DataFrame) -> DataFrame:
     twice = "get(__q_windows, j - 1).h <=> x.h OR get(__q_windows, j + 1).h <=> x.h"
     out = out.withColumn("__q_places", F.expr(f"sort_array(filter(transform(__q_windows, (x, j) -> IF({twice}, x.i, NULL)), i -> i IS NOT NULL))"))
     covered = F.expr("aggregate(transform(__q_places, (p, j) -> coalesce(least(3, get(__q_places, j + 1) - p), 3)), 0L, (a, n) -> a + n)")
-    failed = F.filter("__q_lines", line_fails)
+    failed = F.filter("__q_lines", lambda l: line_fails(l, phrases))
     return out.select(
         *keep,
         F.size("__q_words").cast("long").alias("__q_n_words"),
@@ -75,15 +77,15 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, phrases: list[str] = BOILERPLATE) -> DataFrame:
     """measure() with __q_base_failed (rules on the whole text) and __q_kept (neither those failed nor too much text lost)."""
     n = F.col("__q_n_words")
     base = (n < MIN_WORDS) | (F.col("__q_n_repeat_words") * 100 > n * MAX_REPEATED)
-    return measure(docs).withColumn("__q_base_failed", base).withColumn("__q_kept", ~base & (F.col("__q_n_lost") * 100 <= n * MAX_LOST))
+    return measure(docs, phrases).withColumn("__q_base_failed", base).withColumn("__q_kept", ~base & (F.col("__q_n_lost") * 100 <= n * MAX_LOST))
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, phrases: list[str] = BOILERPLATE) -> DataFrame:
     """The kept documents with the lines that passed, in docs' columns. Lines without words stay as they are."""
-    kept = judge(docs).filter("__q_kept")
-    passed = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda l: ~l.rlike(r"[^\x20\x09-\x0D]") | ~line_fails(l))
+    kept = judge(docs, phrases).filter("__q_kept")
+    passed = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda l: ~l.rlike(r"[^\x20\x09-\x0D]") | ~line_fails(l, phrases))
     return kept.select(*[F.array_join(passed, "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
