@@ -30,7 +30,7 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     def relative(path: Column) -> Column:
         return F.substring(path, F.instr(path, f"{top}/") + F.lit(len(top) + 1), F.lit(1 << 30))
 
-    paths = reader.option("recursiveFileLookup", True).load(root).select("path")
+    paths = reader.option("recursiveFileLookup", True).load(_escaped(root)).select("path")
     kept = paths.filter(language_of(relative(F.col("path"))).isNotNull() & ~is_ignored(relative(F.col("path"))))
     folders = [r.folder for r in kept.select(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).distinct().toLocalIterator()]
     if not folders:

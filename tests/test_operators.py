@@ -257,6 +257,14 @@ def test_tree_and_index(spark, tmp_path):
     seen = files.read_tree(spark, str(root))
     got = {r.file_path: r for r in seen.collect()}
     assert set(got) == {"src/a.py", "src/d.GO"} and got["src/a.py"].text == "def f():\n    pass\n" and got["src/d.GO"].language == "go"
+    assert {f.rsplit("/", 1)[1] for f in seen.inputFiles()} == {"a.py", "d.GO"}  # nothing else is opened
+    odd = tmp_path / "o d{d}" / "x[1]"
+    odd.mkdir(parents=True)
+    (odd / "e.rs").write_text("fn f() {}")
+    (odd / "sub.py").mkdir()
+    (odd / "sub.py" / "g.py").write_text("x = 1")
+    assert {r.file_path for r in files.read_tree(spark, str(tmp_path / "o d{d}")).collect()} == {"x[1]/e.rs", "x[1]/sub.py/g.py"}
+    assert files.read_tree(spark, str(odd / "sub.py")).count() == 1
     stored = spark.createDataFrame([("src/a.py", got["src/a.py"].sha1), ("gone.py", "x"), ("src/d.GO", "old")], "file_path string, sha1 string")
     assert {r.file_path: r.action for r in files.delta(stored, seen).collect()} == {"src/a.py": "unchanged", "gone.py": "removed", "src/d.GO": "rebuilt"}
     again = seen.select("file_path", "sha1")
