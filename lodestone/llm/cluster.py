@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,22 +27,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like cut(), as a Parquet table in the same shared folder: compressed, and only the columns that are asked for are read again."""
-    use_checkpoints(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(table: DataFrame) -> None:
-    """Deletes the files of a table of written() through Spark's file system, once nothing reads it any more."""
-    jvm = table.sparkSession._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Marks a table for broadcast if its counted rows allow it; else Spark joins it as it sees fit (AQE splits hot keys)."""
     n = df.count() if rows is None else rows

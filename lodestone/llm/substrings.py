@@ -21,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.cluster import cut, dropped, written
+from lodestone.llm.cluster import apart, cut
 from lodestone.llm.words import CHUNK_BYTES, chunks, mix, signed, words_of
 
 WINDOW = 50
@@ -170,24 +171,25 @@ def repeats(docs: DataFrame, packed: DataFrame, window: int = WINDOW) -> DataFra
 
     docs has __id, __key and text, packed the same rows as keyed() gives them.
     """
-    found = cut(seeds(docs, window).filter("n_words >= %d" % window))
-    anchors = found.select("__id", "__key", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    # Kept while it is read twice; a lost part is computed anew.
+    seeded = seeds(docs, window).filter("n_words >= %d" % window).persist(StorageLevel.MEMORY_AND_DISK)
+    anchors = seeded.select("__id", "__key", F.explode(F.array_distinct("anchors")).alias("anchor"))
     # Only anchors of different documents matter; a grouped minimum and maximum, summed in the tasks first.
-    shared = cut(anchors.groupBy("anchor").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).filter("least < most").select("anchor", "least"))
+    shared = apart(anchors.groupBy("anchor").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).filter("least < most").select("anchor", "least"), "least")
     wanted = anchors.join(shared, "anchor").groupBy("__id", "__key").agg(F.collect_set(F.struct("anchor", "least")).alias("wanted"))
     wanted = wanted.repartition("wanted")  # the join shuffles both sides itself, so AQE can split rows that are all equal
-    occurrences = written(_windows(packed.select("__id", "__key", "__text").join(wanted, ["__id", "__key"]), window))
+    occurrences = _windows(packed.select("__id", "__key", "__text").join(wanted, ["__id", "__key"]), window).persist(StorageLevel.MEMORY_AND_DISK)
     # The first occurrence in the smallest document leads; it has each window that it anchors, in order of their starts.
     leads = occurrences.filter("__id = least").groupBy("anchor").agg(F.min_by(F.struct("__id", "__key", "at", F.col("hashes").alias("theirs")), F.struct("at", "__key")).alias("lead")).select("anchor", "lead.*")
-    # Written out first, as are all grouped minima that are joined back: AQE splits a hot key of a join only if no grouping shares its stage.
-    leads = cut(leads.withColumnsRenamed({"__id": "l_id", "__key": "l_key", "at": "l_at"}))
+    leads = apart(leads.withColumnsRenamed({"__id": "l_id", "__key": "l_key", "at": "l_at"}), "l_id")
     lead = (F.col("__id") == F.col("l_id")) & (F.col("__key") == F.col("l_key")) & (F.col("at") == F.col("l_at"))
     met = occurrences.join(leads, "anchor").filter(~lead)
     met = met.withColumn("w", F.expr("transform(hashes, (h, i) -> struct(start + i AS s, h AS h, array_contains(theirs, h) AS same))"))
     # Windows around one anchor that repeat in one place follow one another, so their first and last start tell them all.
     same, others = F.expr("filter(w, x -> x.same).s"), F.expr("transform(filter(w, x -> NOT x.same), x -> struct(x.s AS s, x.h AS h))")
     met = cut(met.select("__id", "__key", "anchor", "at", "l_id", F.array_min(same).alias("lo"), F.array_max(same).alias("hi"), others.alias("others"), "l_key", (F.col("at") - F.col("l_at")).alias("shift")))
-    dropped(occurrences)  # the largest table of all
+    occurrences.unpersist()
+    seeded.unpersist()
     none = F.lit(None).cast("array<int>").alias("starts")
     found = maximal(met.filter("__id > l_id AND lo IS NOT NULL").select("__id", "__key", "l_id", "l_key", "shift", "lo", "hi")).select("__id", "__key", "lo", "hi", none)
     rest = met.select("__id", "__key", "anchor", "at", "others")
@@ -212,7 +214,7 @@ def _met_again(rest: DataFrame, place: int) -> DataFrame:
     keyed = rest.withColumn("edge", F.element_at("others", place)["h"])
     mine = F.struct("__id", "at", "__key")
     leads = keyed.groupBy("anchor", "edge").agg(F.min_by(F.struct(F.col("__id").alias("l_id"), F.expr("transform(others, x -> x.h)").alias("theirs")), mine).alias("lead"), F.max("__id").alias("most"))
-    leads = cut(leads.filter("lead.l_id < most").select("anchor", "edge", "lead.l_id", "lead.theirs"))
+    leads = apart(leads.filter("lead.l_id < most").select("anchor", "edge", "lead.l_id", "lead.theirs"), "l_id")
     joined = keyed.join(leads, ["anchor", "edge"], "left")
     later = "l_id IS NOT NULL AND __id > l_id"
     gone = F.expr(f"IF({later}, transform(filter(others, x -> array_contains(theirs, x.h)), x -> x.s), CAST(array() AS array<int>))")
