@@ -25,7 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.cluster import apart, cut
+from lodestone.llm.cluster import apart, cut, dropped, written
 from lodestone.llm.words import CHUNK_BYTES, chunks, mix, signed, words_of
 
 WINDOW = 50
@@ -178,7 +178,8 @@ def repeats(docs: DataFrame, packed: DataFrame, window: int = WINDOW) -> DataFra
     shared = apart(anchors.groupBy("anchor").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).filter("least < most").select("anchor", "least"), "least")
     wanted = anchors.join(shared, "anchor").groupBy("__id", "__key").agg(F.collect_set(F.struct("anchor", "least")).alias("wanted"))
     wanted = wanted.repartition("wanted")  # the join shuffles both sides itself, so AQE can split rows that are all equal
-    occurrences = _windows(packed.select("__id", "__key", "__text").join(wanted, ["__id", "__key"]), window).persist(StorageLevel.MEMORY_AND_DISK)
+    occurrences = written(_windows(packed.select("__id", "__key", "__text").join(wanted, ["__id", "__key"]), window))
+    seeded.unpersist()
     # The first occurrence in the smallest document leads; it has each window that it anchors, in order of their starts.
     leads = occurrences.filter("__id = least").groupBy("anchor").agg(F.min_by(F.struct("__id", "__key", "at", F.col("hashes").alias("theirs")), F.struct("at", "__key")).alias("lead")).select("anchor", "lead.*")
     leads = apart(leads.withColumnsRenamed({"__id": "l_id", "__key": "l_key", "at": "l_at"}), "l_id")
@@ -188,8 +189,7 @@ def repeats(docs: DataFrame, packed: DataFrame, window: int = WINDOW) -> DataFra
     # Windows around one anchor that repeat in one place follow one another, so their first and last start tell them all.
     same, others = F.expr("filter(w, x -> x.same).s"), F.expr("transform(filter(w, x -> NOT x.same), x -> struct(x.s AS s, x.h AS h))")
     met = cut(met.select("__id", "__key", "anchor", "at", "l_id", F.array_min(same).alias("lo"), F.array_max(same).alias("hi"), others.alias("others"), "l_key", (F.col("at") - F.col("l_at")).alias("shift")))
-    occurrences.unpersist()
-    seeded.unpersist()
+    dropped(occurrences)  # the largest table of all
     none = F.lit(None).cast("array<int>").alias("starts")
     found = maximal(met.filter("__id > l_id AND lo IS NOT NULL").select("__id", "__key", "l_id", "l_key", "shift", "lo", "hi")).select("__id", "__key", "lo", "hi", none)
     rest = met.select("__id", "__key", "anchor", "at", "others")
