@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph
+from lodestone.operators import blame, graph, ranking
 
 #: How many rows an action shows, and how many characters of a text.
 SHOWN = {"find": 30, "grep": 30, "callers": 50, "imports": 200, "files_importing": 50, "fetch": 1}
@@ -48,13 +48,29 @@ def fetch(index: dict[str, DataFrame], file: str, symbol: str) -> DataFrame:
     return chunk.select("file_path", "symbol_name", "symbol_kind", "start_line", "end_line", F.substring("text", 1, FETCHED).alias("text"), F.greatest(F.length("text") - FETCHED, F.lit(0)).alias("more"))
 
 
-ACTIONS: dict[str, Action] = {"find": find, "grep": grep, "callers": callers, "imports": imports, "files_importing": files_importing, "fetch": fetch}
+def search(index: dict[str, DataFrame], query: str, top_k: int = 10, query_vector: DataFrame | None = None) -> DataFrame:
+    """The best chunks for a query, by words, or by words and vectors where a query vector is given (one row with embedding)."""
+    chunks = index["chunks"].withColumn("chunk_id", F.concat_ws(":", "file_path", F.lpad(F.col("start_line").cast("string"), 9, "0"), "symbol_name"))
+    found = ranking.retrieve(chunks, query, query_vector, "chunk_id", top_k, "bm25" if query_vector is None else "hybrid")
+    shown = chunks.select("chunk_id", "file_path", "start_line", "symbol_kind", "symbol_name")
+    return shown.join(F.broadcast(found), "chunk_id").drop("chunk_id").orderBy("rank")  # at most top_k rows are broadcast
 
 
-def act(index: dict[str, DataFrame], action: str, **arguments: str) -> DataFrame:
+def blamed(index: dict[str, DataFrame], file: str, symbol: str, lines: DataFrame) -> DataFrame:
+    """Who wrote a symbol's lines: blame.summary of lines (file_path, line_no, author, rev, ts) within it."""
+    place = index["symbols"].filter((F.col("file_path") == file) & (F.col("name") == symbol)).orderBy("start_line").limit(1).select("start_line", "end_line")
+    own = lines.filter(F.col("file_path") == file).crossJoin(F.broadcast(place)).filter("line_no BETWEEN start_line AND end_line")  # one row
+    return blame.summary(own)
+
+
+ACTIONS: dict[str, Action] = {"search": search, "blame": blamed, "find": find, "grep": grep, "callers": callers, "imports": imports, "files_importing": files_importing, "fetch": fetch}
+
+
+def act(index: dict[str, DataFrame], action: str, **arguments) -> DataFrame:
     """The rows of an action; an unknown one, or blank arguments, are errors."""
     if action not in ACTIONS:
         raise ValueError(f"actions are {sorted(ACTIONS)}, not {action!r}")
-    if not all(v.strip() for v in arguments.values()):
+    arguments = {k: v.strip() if isinstance(v, str) else v for k, v in arguments.items()}
+    if "" in [v for v in arguments.values() if isinstance(v, str)]:
         raise ValueError(f"{action} needs all of its arguments")
-    return ACTIONS[action](index, **{k: v.strip() for k, v in arguments.items()})
+    return ACTIONS[action](index, **arguments)

@@ -176,8 +176,24 @@ class _Names(ast.NodeVisitor):
         self.imports |= {f"{module}.{a.name}" if module else a.name for a in node.names}
 
 
-def python_rows(path: str, text: str) -> Iterator[tuple]:
-    """Chunk rows of one Python source: functions, classes and their methods, the lines outside as <module>; a source that doesn't parse or holds nothing is one <file>."""
+def packages(files: DataFrame) -> DataFrame:
+    """(file_path, package) of files (file_path): of a relative path all its folders; of an absolute one the last folders that, one in the other, hold an __init__.py of the table."""
+    folders = F.slice(F.split("file_path", "/"), F.lit(1), F.size(F.split("file_path", "/")) - 1)
+    files = files.select("file_path", folders.alias("folders")).distinct()
+    relative = files.filter(~F.col("file_path").startswith("/")).select("file_path", F.col("folders").alias("package"))
+    inits = files.filter(F.col("file_path").endswith("/__init__.py")).select(F.array_join("folders", "/").alias("folder"), F.lit(True).alias("has")).distinct()
+    levels = files.filter(F.col("file_path").startswith("/")).select("file_path", "folders", F.explode(F.sequence(F.lit(1), F.size("folders"))).alias("level"))
+    levels = levels.withColumn("folder", F.array_join(F.slice("folders", F.lit(1), F.col("level")), "/")).join(inits, "folder", "left")
+    lacks = levels.groupBy("file_path", "folders").agg(F.max(F.when(F.col("has").isNull(), F.col("level"))).alias("lacks"))
+    absolute = lacks.select("file_path", F.slice("folders", F.coalesce("lacks", F.lit(0)) + 1, F.size("folders")).alias("package"))
+    return relative.union(absolute)
+
+
+def python_rows(path: str, text: str, package: list[str] | None = None) -> Iterator[tuple]:
+    """Chunk rows of one Python source: functions, classes and their methods, the lines outside as <module>; a source that doesn't parse or holds nothing is one <file>.
+
+    package: what relative imports start from, by default the path's folders.
+    """
     lines = text.split("\n")
     whole = (path, "<file>", "module", "python", 1, len(lines), text, [])
     try:
@@ -185,7 +201,7 @@ def python_rows(path: str, text: str) -> Iterator[tuple]:
     except (SyntaxError, ValueError, RecursionError):
         yield (*whole, [])
         return
-    names = _Names(path.split("/")[:-1])
+    names = _Names(path.split("/")[:-1] if package is None else package)
     names.visit(tree)
     imports = sorted(names.imports)
     kinds = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "async_function", ast.ClassDef: "class"}
@@ -210,9 +226,13 @@ def python_chunks(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([row for path, text in zip(batch["file_path"], batch["text"], strict=True) for row in python_rows(path, text)], columns=columns)
+            rows = zip(batch["file_path"], batch["text"], batch["package"], strict=True)
+            yield pd.DataFrame([row for path, text, package in rows for row in python_rows(path, text, None if package is None else list(package))], columns=columns)
 
-    return files.select("file_path", "text").mapInPandas(run, CHUNK)
+    relative = files.filter(~F.col("file_path").startswith("/")).select("file_path", "text", F.lit(None).cast("array<string>").alias("package"))
+    absolute = files.filter(F.col("file_path").startswith("/"))
+    placed = absolute.select("file_path", "text").join(packages(absolute), "file_path").select("file_path", "text", "package")
+    return relative.union(placed).mapInPandas(run, CHUNK)
 
 
 def chunk(files: DataFrame) -> DataFrame:

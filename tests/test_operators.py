@@ -159,6 +159,15 @@ def test_declarations(spark, language):
     assert [(s.kind, s.name) if s else (None, None) for s in got] == [(k, n) for _, k, n in FORMS[language]]
 
 
+def test_package_context(spark):
+    """Absolute paths: folders count from the topmost that holds an __init__.py without a gap below; relative ones: all folders."""
+    paths = ["/r/app/__init__.py", "/r/app/ui/__init__.py", "/r/app/ui/w.py", "/r/app/gap/deep/__init__.py", "/r/app/gap/deep/x.py", "/r/alone.py", "pkg/sub/y.py", "top.py"]
+    df = spark.createDataFrame([(p, "from ..core import x\nfrom . import y\ndef f():\n    pass") for p in paths], "file_path string, text string")
+    assert {r.file_path: list(r.package) for r in chunking.packages(df).collect()} == {"/r/app/__init__.py": ["app"], "/r/app/ui/__init__.py": ["app", "ui"], "/r/app/ui/w.py": ["app", "ui"], "/r/app/gap/deep/__init__.py": ["deep"], "/r/app/gap/deep/x.py": ["deep"], "/r/alone.py": [], "pkg/sub/y.py": ["pkg", "sub"], "top.py": []}
+    got = {r.file_path: r.imports for r in chunking.python_chunks(df).collect()}
+    assert got["/r/app/ui/w.py"] == ["app.core.x", "app.ui.y"] and got["pkg/sub/y.py"] == ["pkg.core.x", "pkg.sub.y"] and len(got) == len(paths)
+
+
 def test_imports_by_language(spark):
     said = {"javascript": ("import a, {b} from \"x/y\";\nexport * from './z';\nimport 'side';\nconst c = require('r');\nlet d = await import(`dyn`);", ["./z", "dyn", "r", "side", "x/y"]), "go": ('import f "fmt"\nimport (\n\t"a/b"\n)\nx := []string{"no", "none"}', ["a/b", "fmt"]), "rust": ("pub use a::b::{c, d};\n use ::std::io;", ["a::b", "std::io"]), "csharp": ("global using static A.B;\nusing X = C.D;", ["A.B", "C.D"]), "cpp": ('#include <vector>\n  # include "../a/b.hpp"', ["../a/b.hpp", "vector"])}
     files_ = spark.createDataFrame([(lang, lang, text + "\nend") for lang, (text, _) in said.items()], "file_path string, language string, text string")
@@ -199,6 +208,9 @@ def test_index(spark, tmp_path):
     assert [r.name for r in actions.act(index, "find", name=" h ").collect()] == ["h"] and [r.name for r in actions.act(index, "grep", pattern="F").collect()] == ["f2"]
     assert [r.file_path for r in actions.act(index, "files_importing", module="re").collect()] == ["a.py"]
     assert [(r.text, r.more) for r in actions.act(index, "fetch", file="a.py", symbol="f2").collect()] == [("def f2():\n    h()", 0)]
+    assert actions.act(index, "search", query="f2").first().symbol_name == "f2"
+    lines = spark.createDataFrame([("a.py", i, f"u{i}", "r", None) for i in range(1, 9)] + [("b.js", 2, "other", "r", None)], "file_path string, line_no int, author string, rev string, ts timestamp")
+    assert {(r.what, r.value, r.lines) for r in actions.act(index, "blame", file="a.py", symbol="f2", lines=lines).collect()} == {("author", "u2", 1), ("author", "u3", 1), ("rev", "r", 2), ("all", "", 2)}
     with pytest.raises(ValueError):
         actions.act(index, "run", name="x")
     with pytest.raises(ValueError):
