@@ -74,7 +74,7 @@ SOURCES = {
 @pytest.mark.parametrize("language", sorted(SOURCES))
 def test_brace_chunks(spark, language):
     text, want, imports = SOURCES[language]
-    rows = chunking.brace_chunks(spark.createDataFrame([("f", text)], "file_path string, text string"), language).collect()
+    rows = chunking.brace_chunks(spark.createDataFrame([("f", text)], "file_path string, text string"), language).orderBy("start_line").collect()
     got = {}
     for r in rows:
         got.setdefault(r.symbol_name, (r.symbol_kind, r.start_line, r.end_line))
