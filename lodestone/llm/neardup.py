@@ -4,9 +4,10 @@ Texts with equal shingle sets become one node first. Bands of minima bring nodes
 expanded into its pairs. Instead each node of a bucket is compared with one leader of it, links found so far make
 components, and a second round compares only nodes of different components. Of what remains (nodes that share a
 bucket but no component), those drop out that can't link at all, as too few of their shingles occur in any other open
-node. The others are compared in full inside the tasks: overlapping buckets together where they fit one block of
-bounded size, larger buckets block by block, so a node's set is not sent once per pair and no link between two
-components is missed that any band has brought together.
+node. The others are compared in full inside the tasks, overlapping buckets together, in blocks of bounded size; what is
+sent there are not their sets but how these differ from one set of the group, so near copies, which alone make large
+groups, are small whatever their length, and no link between two components is missed that any band has brought
+together.
 
 A pair of similarity 0.85 misses all 20 bands of 6 minima with probability 8e-5, one of 0.9 with 3e-7; one of 0.8
 misses all 24 bands of 5, which serve thresholds under 0.85, with 7e-5.
@@ -29,8 +30,8 @@ SHINGLE = 5
 #: One set of minima, cut into bands by the threshold (percent): 20 of 6 from 85 on, 24 of 5 below.
 MINIMA = 120
 LEADER_ROUNDS = 2
-#: What the leaders leave is compared in blocks of about so many shingles (8 bytes each), COLUMNS at a time; a node counts as LEAST at least, which bounds a block's nodes.
-BLOCK, COLUMNS, LEAST = 500_000, 4096, 250
+#: What the leaders leave is compared in blocks of about so many differing shingles (8 bytes each), COLUMNS at a time; a node counts as LEAST at least, which bounds a block's nodes (4,000).
+BLOCK, COLUMNS, LEAST = 1_000_000, 2048, 250
 #: A signature may lie this far below the threshold: five standard errors of 120 minima at 0.8.
 SLACK = 0.19
 _U = np.uint64
@@ -194,60 +195,85 @@ def _linkable(left: DataFrame, buckets: int, sets: DataFrame, threshold: int) ->
     owned = alone.groupBy("node").agg(F.count("*").alias("owned"))
     # Rows that share a node (a doc_id with several texts) are judged by the sum of their sets, and so dropped no sooner.
     sizes = held.groupBy("node").agg(F.sum(F.size("shingles")).alias("n"), F.min(F.size("shingles")).alias("least"))
-    kept = cut(sizes.join(owned, "node", "left").filter(f"(n - coalesce(owned, 0)) * 100 >= least * {threshold}").select("node", F.greatest("n", F.lit(LEAST)).alias("n")))
+    kept = cut(sizes.join(owned, "node", "left").filter(f"(n - coalesce(owned, 0)) * 100 >= least * {threshold}").select("node", "n"))
     return cut(_mixed(left.join(small(kept), "node"), buckets)), held
 
 
 def _groups(left: DataFrame, buckets: int) -> DataFrame:
-    """(key, node, component, blocks): the buckets of left (bucket, node, component, n), overlapping ones joined into one group where all of it fits a block.
+    """(key, node, component, n): the nodes of left (bucket, node, component, n) in groups, such that nodes that share a bucket share a group.
 
-    A node's home is the least of its buckets, a bucket's group the least home of its nodes; nodes that share a bucket
-    share its group, so a group compares all pairs that its buckets would, and most nodes are in few groups.
+    A node's home is the least of its buckets, a bucket's group the least home of its nodes; so overlapping buckets are
+    mostly one group, and most nodes are in few groups.
     """
     home = left.groupBy("node").agg(F.min("bucket").alias("home"))
-    group = left.join(apart(home, "home"), "node").groupBy("bucket").agg(F.min("home").alias("group"), F.sum("n").alias("total"))
-    placed = cut(left.join(beside(group, "group", buckets), "bucket"))
-    nodes = placed.select("group", "node", "component", "n").distinct()
-    sizes = small(cut(nodes.groupBy("group").agg(F.sum("n").alias("all"))), buckets)
-    fits = nodes.join(sizes.filter(F.col("all") <= BLOCK), "group").select(F.col("group").alias("key"), "node", "component", F.lit(1).alias("blocks"))
-    large = placed.join(sizes.filter(F.col("all") > BLOCK), "group").select(F.col("bucket").alias("key"), "node", "component", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    return fits.union(large)
+    group = left.join(apart(home, "home"), "node").groupBy("bucket").agg(F.min("home").alias("key"))
+    return left.join(beside(group, "key", buckets), "bucket").select("key", "node", "component", "n").distinct()
+
+
+def _differences(nodes: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
+    """(key, node, component, n, apart) of nodes (key, node, component, n): n shingles, and apart those that only the node or only its group's smallest set has.
+
+    Two nodes' differences from one set tell how far they are from each other: what one has alone is in just one of the
+    differences. Near copies differ in few shingles, so a group of these is small, whatever its texts' length; at worst a
+    difference is twice its set.
+    """
+    smallest = nodes.groupBy("key").agg(F.min(F.struct("n", "node")).alias("m")).select("key", F.col("m.node").alias("node"))
+    reference = smallest.join(sets, "node").groupBy("key").agg(F.min("shingles").alias("reference"))  # a doc_id may have several sets
+    joined = nodes.select("key", "node", "component").join(sets, "node").join(beside(reference, "reference", groups), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, reference = (_rows(batch.column(i)) for i in (3, 4))
+            apart = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(own, reference, strict=True)]
+            edges = np.concatenate([[0], np.cumsum([len(x) for x in apart])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([np.empty(0, np.int64), *apart])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(x) for x in own], pa.int64()), lists], ["key", "node", "component", "n", "apart"])
+
+    return joined.select("key", "node", "component", "shingles", "reference").mapInArrow(run, "key long, node long, component long, n long, apart array<long>")
 
 
 def _by_blocks(left: DataFrame, sets: DataFrame, buckets: int, threshold: int) -> DataFrame:
-    """Links that connect the components of left (bucket, node, component, n) as all verified pairs within its buckets would.
+    """Links that connect the components of left (bucket, node, component, n) as all verified pairs within its groups would.
 
-    A group is dealt by hash into blocks. A task gets two blocks with their sets and counts the shingles that each two
-    nodes share by matrix products; only a spanning forest of the links found leaves it.
+    A group is dealt by hash into blocks by the size of its differences. A task gets two blocks and counts the
+    differences that each two nodes share by matrix products, which gives their exact similarity; only a spanning forest
+    of the links found leaves it. One rule holds for groups of all sizes; one of several blocks is sent once a block,
+    but its differences only.
     """
+    nodes = cut(_groups(left, buckets))
+    far = cut(_differences(nodes, sets, buckets))
+    blocks = far.groupBy("key").agg(F.sum(F.greatest(F.size("apart"), F.lit(LEAST)).cast("long")).alias("all")).select("key", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = _groups(left, buckets).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-    rows = cut(dealt).join(sets.select("node", "shingles"), "node")
+    dealt = far.join(beside(blocks, "blocks", buckets), "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "apart")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        own, node, component = (table.column(c).to_numpy() for c in ("own", "node", "component"))
-        lists = table.column("shingles").chunk(0)
-        n = np.diff(lists.offsets.to_numpy())
+        own, node, component, n = (table.column(c).to_numpy() for c in ("own", "node", "component", "n"))
+        lists = table.column("apart").chunk(0)
+        size = np.diff(lists.offsets.to_numpy())
         _, code, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(n)), n)
-        common = count[code] > 1  # a shingle of one node is shared by none
+        row = np.repeat(np.arange(len(size)), size)
+        common = count[code] > 1  # what one node alone differs by is shared by none
         dense = np.cumsum(count > 1) - 1
         row, code = row[common], dense[code[common]]
         order = np.argsort(code, kind="stable")
         row, code = row[order], code[order]
         a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
         width = int((count > 1).sum())
-        both = np.zeros((len(a), len(b)), np.float32)
+        shared = np.zeros((len(a), len(b)), np.float32)
         for at in range(0, width, COLUMNS):
             part = slice(*np.searchsorted(code, [at, at + COLUMNS]))
-            has = np.zeros((len(n), min(COLUMNS, width - at)), np.float32)
+            has = np.zeros((len(size), min(COLUMNS, width - at)), np.float32)
             has[row[part], code[part] - at] = 1
-            both += has[a] @ has[b].T
-        union = n[a][:, None] + n[b][None, :] - both
-        near = (100 * both >= threshold * union) & (component[a][:, None] != component[b][None, :])
+            shared += has[a] @ has[b].T
+        near = np.zeros(shared.shape, bool)
+        for k in range(0, len(a), 256):
+            some = a[k : k + 256, None]
+            differ = size[some] + size[b] - 2 * shared[k : k + 256].astype(np.int64)
+            total = n[some] + n[b]
+            near[k : k + 256] = (100 * (total - differ) >= threshold * (total + differ)) & (component[some] != component[b])
         x, y = _forest(near)
         x, y = node[a[x]], node[b[y]]
         return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})

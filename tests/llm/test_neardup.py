@@ -123,7 +123,7 @@ def sparse_brute(rows, threshold):
         label = new
 
 
-def test_large_group_just_under_the_threshold(spark, monkeypatch):
+def test_large_group_around_the_threshold(spark, monkeypatch):
     """3,000 near copies of which few link; compared in several blocks."""
     rows = near_copies(3000, 150, lambda k: k % 9)
     want = sparse_brute(rows, 85)
@@ -134,6 +134,30 @@ def test_large_group_just_under_the_threshold(spark, monkeypatch):
         assert got_ == want
 
 
+def shuffled(spark, run):
+    """What a run writes to shuffle files, in bytes."""
+    before = {s.stageId(): s.shuffleWriteBytes() for s in stages(spark)}
+    run()
+    return sum(s.shuffleWriteBytes() for s in stages(spark) if s.stageId() not in before)
+
+
+def stages(spark):
+    listed = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return [listed.apply(i) for i in range(listed.size())]
+
+
+def test_shuffle_of_a_group_just_under_the_threshold_grows_with_its_rows(spark):
+    """Near copies that all miss the threshold with each other: their sets are sent a constant number of times, though all share buckets."""
+    sizes = {}
+    for n in (500, 2000):
+        rows = near_copies(n, 500, lambda k: 5)
+        df = spark.createDataFrame(rows, SCHEMA).repartition(4).persist()
+        df.count()
+        sizes[n] = shuffled(spark, lambda: neardup.link(df).collect())  # noqa: B023
+    assert sizes[2000] < 6 * sizes[500]
+    assert sizes[2000] < 4 * sum(len(t) for _, t, _ in rows)
+
+
 def test_forest():
     rng = np.random.default_rng(8)
     near = rng.random((60, 70)) < 0.02
