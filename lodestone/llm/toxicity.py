@@ -29,6 +29,13 @@ STEMS = (4, 5, 6, 7, 8)
 MIN_DOCS = 4
 COMMON = 0.05
 MIN_FAR = 4.0
+#: So are, however rare they are and whatever they tell alone, both terms of a pair that so many labelled documents have, if its labels lie so far (in nats) from what the two terms tell each by itself.
+PAIR_DOCS = 8
+PAIR_EVIDENCE = 20.0
+#: The vectors of such terms start so many times as long as others, since what they tell is in their product alone.
+HEAD_START = 10
+#: Pairs are counted in so many cells at a time.
+COUNTED = 4_000_000
 FACTORS = 4
 BATCH = 128
 STEPS = 900
@@ -55,18 +62,91 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def term_slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct slots of each text's terms (runs of letters, A-Z as a-z) and of the beginnings of longer ones, and where each text's begin."""
+def marked_slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct slots of each text's terms (runs of letters, A-Z as a-z) and of the beginnings of longer ones, where each text's begin, and whether a slot is of a whole term."""
     words = words_of(column, fold=True, separators=NO_LETTERS, heads=STEMS)
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first)).astype(_U) << _U(BITS)
-    slots = [text | (words.hashes >> _U(64 - BITS)), *(text[at] | (h >> _U(64 - BITS)) for h, at in zip(words.heads, words.longer, strict=True))]
-    both = np.unique(np.concatenate(slots))
-    return (both & _U(2**BITS - 1)).astype(np.int32), np.searchsorted(both, np.arange(len(words.first), dtype=_U) << _U(BITS))
+    whole = np.unique(text | (words.hashes >> _U(64 - BITS)))
+    both = np.unique(np.concatenate([whole, *(text[at] | (h >> _U(64 - BITS)) for h, at in zip(words.heads, words.longer, strict=True))]))
+    marks = np.zeros(len(both), bool)
+    marks[np.searchsorted(both, whole)] = True
+    return (both & _U(2**BITS - 1)).astype(np.int32), np.searchsorted(both, np.arange(len(words.first), dtype=_U) << _U(BITS)), marks
+
+
+def term_slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """marked_slots() without the marks."""
+    return marked_slots(column)[:2]
+
 
+def telling_pairs(terms: list[np.ndarray], y: np.ndarray, silent: np.ndarray) -> np.ndarray:
+    """Slots of pairs whose documents' labels are not what the two slots tell apart from each other; one of each pair at least is among silent (per slot).
 
-def fit(rows: list[tuple[np.ndarray, int]], seed: int = 1, spread: float = 0.01) -> Model:
+    terms: the distinct slots of each document. The labels expected of a pair are those of independent terms (their
+    log-odds add); how unlikely the actual ones are is measured by relative entropy, which holds for small counts too.
+    All pairs of all documents are counted, a block of silent slots at a time.
+    """
+    size = np.array([len(t) for t in terms], np.int64)
+    flat = np.concatenate([np.empty(0, np.int64), *terms]).astype(np.int64)
+    seen, labelled = np.bincount(flat, minlength=len(silent)), np.bincount(flat, np.repeat(y, size), len(silent))
+    known = np.flatnonzero(seen >= PAIR_DOCS)
+    known = np.concatenate([known[silent[known]], known[~silent[known]]])  # the silent ones first
+    asked = int(silent[known].sum())
+    if not asked:
+        return known[:0]
+    number = np.full(len(silent), -1)
+    number[known] = np.arange(len(known))
+    own, doc = number[flat], np.repeat(np.arange(len(terms)), size)
+    own, doc = own[own >= 0], doc[own >= 0]
+    placed = np.sort(doc * len(known) + own)
+    doc, own = np.divmod(placed, len(known))
+    last = np.searchsorted(doc, np.arange(1, len(terms) + 1))
+    by_slot = np.argsort(own, kind="stable")
+    edges = np.searchsorted(own[by_slot], np.arange(len(known) + 1))
+    base = np.log(y.mean() / (1 - y.mean()))
+    odds = np.log((labelled[known] + y.mean()) / (seen[known] - labelled[known] + 1 - y.mean())) - base
+    found = np.zeros(len(known), bool)
+    label = 2.0**32 + y  # counts documents above and those of label 1 below
+    low = 0
+    while low < asked:
+        # A pair of two silent slots is counted with the first of them: slots before this block take no part any more.
+        width = len(known) - low
+        high = min(asked, low + max(1, COUNTED // width))
+        here = by_slot[edges[low] : edges[high]]
+        slot = np.repeat(np.arange(high - low), np.diff(edges[low : high + 1]))
+        start = np.searchsorted(placed, np.arange(len(terms)) * len(known) + low)
+        length = (last - start)[doc[here]]
+        total: np.ndarray | float = 0.0
+        for a, b in _portions(np.cumsum(length), COUNTED):
+            n = length[a:b]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - start[doc[here[a:b]]], n)
+            total += np.bincount(np.repeat(slot[a:b] * width - low, n) + own[step], np.repeat(label[doc[here[a:b]]], n), (high - low) * width)
+        often = np.flatnonzero(total >= PAIR_DOCS * 2.0**32)
+        n, k = np.divmod(total[often], 2.0**32)
+        s, t = low + often // width, low + often % width
+        n, k, s, t = (x[s != t] for x in (n, k, s, t))
+        expected = np.clip(1 / (1 + np.exp(-(base + odds[s] + odds[t]))), 0.02, 0.98)
+        share = k / n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far = n * (np.where(share > 0, share * np.log(share / expected), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - expected)), 0))
+        found[s[far >= PAIR_EVIDENCE]] = found[t[far >= PAIR_EVIDENCE]] = True
+        low = high
+    return known[found]
+
+
+def _portions(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes (summed up in ends) come to about so much each."""
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+        yield a, b
+        a = b
+
+
+def fit(rows: list[tuple], seed: int = 1, spread: float = 0.01) -> Model:
     """Logistic loss by Adagrad over small batches; the classes weigh the same. Without both labels the score is constant.
 
+    rows: (slots, label, and which of the slots are of whole terms: by default all). Slots are learnt that are common,
+    that tell by themselves, or that tell in a pair of whole terms, so few that rare ones can't be learnt by heart.
     Vectors start at random values of this spread; at 0 they stay 0, which leaves the linear score.
     """
     y = np.array([r[1] for r in rows], float)
@@ -75,17 +155,21 @@ def fit(rows: list[tuple[np.ndarray, int]], seed: int = 1, spread: float = 0.01)
         model.bias = -5.0 if not len(y) or y.max() == 0 else 5.0
         return model
     seen, labelled = np.zeros((2, 2**BITS))
-    for slots, label in rows:
+    for slots, label, *_ in rows:
         seen[slots] += 1
         labelled[slots] += label
     # How many standard errors a slot's share of label 1 lies from the whole's: rare slots are learnt only if that is far.
     far = np.abs(labelled - seen * y.mean()) / np.sqrt(np.maximum(seen, 1) * y.mean() * (1 - y.mean()))
-    kept = np.flatnonzero((seen >= min(MIN_DOCS, len(y) // 10 + 1)) & ((far >= MIN_FAR) | (seen >= COMMON * len(y))))
+    tells = (seen >= min(MIN_DOCS, len(y) // 10 + 1)) & ((far >= MIN_FAR) | (seen >= COMMON * len(y)))
+    paired = telling_pairs([r[0][r[2]] if len(r) > 2 else r[0] for r in rows], y, ~tells)
+    tells[paired] = True
+    kept = np.flatnonzero(tells)
     number = np.full(2**BITS, -1, np.int32)
     number[kept] = np.arange(len(kept), dtype=np.int32)
     ids = [n[n >= 0] for n in (number[r[0]] for r in rows)]
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(len(kept)), rng.normal(0, 1, (len(kept), FACTORS)) * spread, 0.0
+    v[np.isin(kept, paired)] *= HEAD_START
     gw, gv, gb = np.full(len(kept), 1e-3), np.full((len(kept), FACTORS), 1e-3), 1e-3
     cost = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     steps = -(-len(y) // BATCH)
@@ -121,7 +205,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, toxic, slots) of about so many labelled documents outside the held-out fifth; slots are 4-byte binaries. Null labels and doc_ids are left out."""
+    """(doc_id, toxic, slots) of about so many labelled documents outside the held-out fifth; slots are 4-byte binaries, those of whole terms marked by the bit above them. Null labels and doc_ids are left out."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     share = min(1.0, rows / max(1, usable.count()))
     usable = usable.filter(F.xxhash64("doc_id", F.lit("train")) <= F.lit(min(2**63 - 1, int(share * 2.0**64) - 2**63)))
@@ -129,8 +213,9 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                slots, edges = term_slots(part.column(2))
-                lists = [slots[a:b].astype("<i4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                slots, edges, whole = marked_slots(part.column(2))
+                slots = (slots | whole.astype(np.int32) << BITS).astype("<i4")
+                lists = [slots[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.binary())], ["doc_id", "toxic", "slots"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -145,8 +230,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(np.frombuffer(slots, "<i4"), toxic) for batch in batches for toxic, slots in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        m = fit(found)
+        rows = [(np.frombuffer(slots, "<i4"), toxic) for batch in batches for toxic, slots in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        m = fit([(slots & (2**BITS - 1), toxic, slots >= 2**BITS) for slots, toxic in rows])
         used = np.flatnonzero(m.weights != 0)
         yield pa.RecordBatch.from_arrays([pa.array([m.bias]), *(pa.array([x.tobytes()], pa.binary()) for x in (used, m.weights[used], m.vectors[used]))], ["bias", "used", "weights", "vectors"])
 

@@ -39,6 +39,55 @@ def test_pairs_decide():
     assert not linear.vectors.any() and right(linear) < 0.8
 
 
+def rare_pair(share, n=8000, seed=1):
+    """Rows, and whether they have a term: two terms in so many of the rows each, half of the time together, which alone is label 1; all other rows have either label by chance."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for _ in range(n):
+        kind = int(rng.random() / share * 2)
+        noise = " ".join(f"n{'abcdefghijklmno'[x]}" for x in rng.integers(0, 15, 4))
+        texts.append((f"{'insult ' if kind in (0, 1) else ''}{'group ' if kind in (0, 2) else ''}{noise}", int(kind == 0) if kind < 3 else int(rng.integers(0, 2)), kind < 3))
+    slots, edges = toxicity.term_slots(pa.array([t for t, *_ in texts]))
+    return [(slots[a:b], y) for a, b, (_, y, _) in zip(edges[:-1], edges[1:], texts, strict=True)], np.array([has for *_, has in texts])
+
+
+def test_rare_terms_that_tell_nothing_alone():
+    for share in (0.01, 0.02, 0.04):
+        rows, has = rare_pair(share)
+        model = toxicity.fit(rows[:6000])
+        right = [(model.scores(s, np.array([0, len(s)]))[0] >= 0.5) == y for (s, y), x in zip(rows[6000:], has[6000:], strict=True) if x]
+        assert len(right) > 20 and np.mean(right) > 0.95
+
+
+def test_telling_pairs_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(2)
+    terms = [np.unique(rng.integers(0, 40, rng.integers(0, 20))) for _ in range(500)]
+    y = np.array([float((1 in t) == (2 in t) and rng.random() < 0.9 or 30 in t) for t in terms])
+    silent = np.arange(64) < 28
+    base = np.log(y.mean() / (1 - y.mean()))
+    want = set()
+
+    def odds(x):
+        k, n = sum(y[i] for i, t in enumerate(terms) if x in t), sum(x in t for t in terms)
+        return np.log((k + y.mean()) / (n - k + 1 - y.mean())) - base
+
+    for a in range(40):
+        for b in range(a):
+            both = [y[i] for i, t in enumerate(terms) if a in t and b in t]
+            if len(both) < toxicity.PAIR_DOCS or not (silent[a] or silent[b]):
+                continue
+            p, e = np.mean(both), np.clip(1 / (1 + np.exp(-(base + odds(a) + odds(b)))), 0.02, 0.98)
+            far = len(both) * ((p * np.log(p / e) if p else 0) + ((1 - p) * np.log((1 - p) / (1 - e)) if p < 1 else 0))
+            if far >= 3:
+                want |= {a, b}
+    monkeypatch.setattr(toxicity, "PAIR_EVIDENCE", 3.0)
+    assert {1, 2} <= want and len(want) < 30
+    for counted in (toxicity.COUNTED, 100):
+        monkeypatch.setattr(toxicity, "COUNTED", counted)
+        assert set(toxicity.telling_pairs(terms, y, silent).tolist()) == want
+    assert not len(toxicity.telling_pairs([], np.array([]), silent)) and not len(toxicity.telling_pairs(terms, y, silent & False))
+
+
 def test_scores_by_definition():
     model = toxicity.Model(-1.0, np.zeros(2**toxicity.BITS, np.float32), np.zeros((2**toxicity.BITS, toxicity.FACTORS), np.float32))
     rng = np.random.default_rng(5)
