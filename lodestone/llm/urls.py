@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,14 +36,20 @@ ALLOWED = """
     essex-county middlesex sussex-news classic-cars pharmacy-school betty-cakes alphabet addresses trackside-railway
     download-manual freedom-press winery-tours windmill advice adventure adelaide linked-data farmers-market
 """.split()
-#: Frequent letter groups; names of two to four of them stand for the many hosts that are no words (allowed).
-GROUPS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ing tion ble ment sh wh ly".split()
-NAMES = 200
+#: More words of paths that are allowed.
+SITE = """
+    index about contact article articles archive blog post posts page pages help search login account profile gallery events
+    calendar products services shop cart download docs manual guide tutorial reference report annual meeting minutes members
+    photo video story stories review opening hours directions press release category tag user topic thread comment today
+""".split()
 #: What the labelled hosts and paths are completed by, alike for both labels, so that neither these nor the rules' places tell anything.
 BEFORE = ["", "www.", "m.", "blog."]
 AFTER = [".com", ".org", ".net", ".info", ".co.uk", ".de", ".example.com", ".io"]
-PATHS = ["/", "/en/1", "/de/2.html", "/fr/3/", "/es/4?page=2&ref=x", "/5#top", "/a/b/c", "/index.html?utm_source=feed"]
+FOLDERS = ["/", "/en/1/", "/de/", "/fr/3/", "/es/", "/x/", "/a/b/", "/2024/05/"]
+ENDS = ["", ".html", "/", "?page=2&ref=x", "#top", "/7", ".php?id=3", "?utm_source=feed"]
 FORMS = 8
+#: A URL is blocked less often than not: all blocked ones together weigh so much of the labelled table.
+BLOCKED_SHARE = 0.3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,22 +74,22 @@ def rule(host_: Column, path_: Column, rules: dict[str, str]) -> Column:
 
 
 def grams(host_: Column, path_: Column) -> Column:
-    """Character n-grams of the words in a host and of the path, marked by where they come from; ends of words and of the path count as characters.
+    """Character n-grams of the words in host and path, marked by where they come from; ends of words count as characters.
 
-    Words stand between dots, hyphens, underscores and digits. The top-level domain and a language folder at the
-    path's beginning are left out, and numbers in the path count as one digit: these are ids and places, which rules
-    may decide by, not what a URL is about.
+    Words stand between dots, hyphens, underscores, digits and, in paths, whatever is no ASCII letter or longer code
+    point. The top-level domain and a language folder at the path's beginning are left out: these are places, which
+    rules may decide by, not what a URL is about.
     """
 
     def of_size(whole: Column, mark: str, n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - n + 1, F.lit(1))), lambda i: F.concat(F.lit(mark), F.substring(whole, i, F.lit(n))))
 
-    def cut(whole: Column, mark: str) -> Column:
-        return F.flatten(F.array(*[of_size(whole, mark, n) for n in SIZES]))
+    def cut(text: Column, between: str, mark: str) -> Column:
+        words = F.filter(F.split(text, between), lambda x: x != "")
+        return F.flatten(F.transform(words, lambda x: F.flatten(F.array(*[of_size(F.concat(F.lit("^"), x, F.lit("$")), mark, n) for n in SIZES]))))
 
-    words = F.filter(F.split(F.regexp_replace(host_, "[.][^.]*$", ""), "[._0-9-]+"), lambda x: x != "")
-    rest = F.regexp_replace(F.regexp_replace(path_, "^/[A-Za-z]{2}(?=/|$)", ""), "[0-9]+", "0")
-    return F.concat(F.flatten(F.transform(words, lambda x: cut(F.concat(F.lit("^"), x, F.lit("$")), "h"))), cut(F.concat(F.lit("^"), rest, F.lit("$")), "p"))
+    rest = F.translate(F.regexp_replace(path_, "^/[A-Za-z]{2}(?=/|$)", ""), _UPPER, _LOWER)
+    return F.concat(cut(F.regexp_replace(host_, "[.][^.]*$", ""), "[._0-9-]+", "h"), cut(rest, r"[\x00-\x60\x7B-\x7F]+", "p"))
 
 
 def parsed(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -101,19 +105,29 @@ def features(df: DataFrame) -> DataFrame:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, label 1 = block): every host in FORMS forms, each beginning, ending and path as often for either label."""
-    pick = random.Random(4)
-    names = ["".join(pick.choices(GROUPS, k=pick.randint(2, 4))) for _ in range(NAMES)]
+    """The small labelled table (url, label 1 = block): blocked and allowed names, each as a host and as a path in FORMS forms.
+
+    A URL is to be blocked if its host or its path is. Blocked hosts have allowed paths and blocked paths allowed
+    hosts, so either half tells by itself; beginnings, folders, ends and domains are as often with either label.
+    """
+    quiet = ALLOWED + SITE
+
+    def url(n: int, k: int, host_: str, name: str) -> str:
+        path_ = name.replace("-", ("/", "-", "_", "")[k % 4])
+        return f"http{'s' * (k % 2)}://{BEFORE[(n + k) % len(BEFORE)]}{host_}{AFTER[(n + 3 * k) % len(AFTER)]}{FOLDERS[(n * 5 + k) % len(FOLDERS)]}{path_}{ENDS[(n * 3 + k) % len(ENDS)]}"
 
-    def url(n: int, host_: str, k: int) -> str:
-        return f"http{'s' * (k % 2)}://{BEFORE[(n + k) % len(BEFORE)]}{host_}{AFTER[(n + 3 * k) % len(AFTER)]}{PATHS[(n * 5 + k) % len(PATHS)]}"
+    def other(n: int, k: int, names: list[str]) -> str:
+        return names[(n * 37 + k * 11) % len(names)]
 
-    rows = [(url(n, h, k), label) for label, hosts in ((1, BLOCKED), (0, ALLOWED + names)) for n, h in enumerate(hosts) for k in range(FORMS)]
+    rows = [(url(n, k, h, "" if k == 0 else other(n, k, quiet)), 1) for n, h in enumerate(BLOCKED) for k in range(FORMS)]
+    rows += [(url(n, k, other(n, k, ALLOWED), p if k % 2 else f"{other(n, k, quiet)}-{p}"), 1) for n, p in enumerate(BLOCKED) for k in range(FORMS)]
+    rows += [(url(n, k, h, "" if k == 0 else other(n, k, quiet) if k % 2 else f"{other(n, k, SITE)}-{other(n, k + 1, quiet)}"), 0) for n, h in enumerate(ALLOWED) for k in range(FORMS)]
+    rows += [(url(n, k, other(n, k, ALLOWED), p), 0) for n, p in enumerate(quiet) for k in range(FORMS)]
     return spark.createDataFrame(rows, "url string, label int")
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> LogisticRegressionModel | None:
-    """From (url, label 1 = block); both labels weigh the same. Null URLs and labels are left out; without any others there is no model."""
+    """From (url, label 1 = block); the blocked weigh BLOCKED_SHARE of all. Null URLs and labels are left out; without any others there is no model."""
     usable = labelled.filter("url IS NOT NULL AND label IS NOT NULL").select("url", (F.col("label") > 0).cast("double").alias("label"))
     n = usable.count()
     if not n:
@@ -124,7 +138,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> LogisticRegressionMode
     # One sorted partition of a bounded sample: sums are added in one order, so reruns agree to the last bit.
     fitted = taken.select("url", "features", "label").coalesce(1).sortWithinPartitions("url", "label")
     count, blocked = fitted.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    weight = F.when(F.col("label") > 0, F.lit(0.5 * count / max(blocked, 1.0))).otherwise(F.lit(0.5 * count / max(count - blocked, 1.0)))
+    weight = F.when(F.col("label") > 0, F.lit(BLOCKED_SHARE * count / max(blocked, 1.0))).otherwise(F.lit((1 - BLOCKED_SHARE) * count / max(count - blocked, 1.0)))
     fitted = fitted.withColumn("weight", weight).cache()
     model = LogisticRegression(maxIter=100, tol=1e-7, regParam=REGULARIZATION, standardization=False, weightCol="weight").fit(fitted)
     fitted.unpersist()
