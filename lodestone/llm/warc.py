@@ -3,7 +3,7 @@
 A revisit record tells that a server answered "not modified": it has new headers but no payload. It is joined to the
 latest earlier full response of the same canonical URL; if the validators agree, that response's payload is taken and
 the headers that a 304 may renew are merged. Records are cut into blocks by quantiles of their time, and those of one
-time (or of none) by record_id; each (URL, block) carries only its last full response to the later blocks, so no URL's
+time (or of none) by quantiles of record_id, be it a number or a string; each (URL, block) carries only its last full response to the later blocks, so no URL's
 records meet in one task, however they are spread over time.
 """
 
@@ -80,19 +80,29 @@ def _blocks(keyed: DataFrame, blocks: int) -> DataFrame:
     edges = sorted({*cuts, *(float(np.nextafter(c, np.inf)) for c in often)})
     out = Bucketizer(splits=[-float("inf"), *edges, float("inf")], inputCol="__time", outputCol="__range").transform(keyed.withColumn("__time", time))
     part = F.lit(0)
-    if often and dict(keyed.dtypes)["record_id"] != "string":  # a string has no place between two others
-        order = F.col("record_id").cast("double")
-        held = spark.createDataFrame([(float(edges.index(c) + 1), k) for c, k in often.items()], "__range double, __parts int")
-        spans = out.join(F.broadcast(held), "__range").groupBy("__range", "__parts").agg(F.min(order).alias("__low"), F.max(order).alias("__high"))  # a row per range at most
-        out = out.join(F.broadcast(spans), "__range", "left")
-        part = F.coalesce(F.least(F.floor((order - F.col("__low")) / (F.col("__high") - F.col("__low") + 1) * F.col("__parts")), F.col("__parts") - 1), F.lit(0))
-    return out.withColumn("block", F.struct("__range", part.cast("int").alias("part"))).drop("__time", "__range", "__parts", "__low", "__high")
+    if often:
+        parts = max(often.values())
+        held = F.broadcast(spark.createDataFrame([(float(edges.index(c) + 1),) for c in often], "__range double"))
+        if dict(keyed.dtypes)["record_id"] == "string":
+            # Six bytes after what all record_ids of the range begin with, as a number: in order, and exact.
+            out = out.withColumn("__hex", F.hex(F.col("record_id").cast("binary")))
+            ends = out.join(held, "__range").groupBy("__range").agg(F.min("__hex").alias("__low"), F.max("__hex").alias("__high"))
+            same = F.expr("aggregate(sequence(1, length(__low)), 0, (n, i) -> IF(n = i - 1 AND substr(__low, i, 1) = substr(__high, i, 1), i, n))")
+            out = out.join(F.broadcast(ends.select("__range", same.alias("__same"))), "__range", "left")  # a row per range at most
+            order = F.conv(F.rpad(F.substring("__hex", F.coalesce("__same", F.lit(0)) + 1, F.lit(12)), 12, "0"), 16, 10).cast("double")
+        else:
+            order = F.col("record_id").cast("double")
+        out = out.withColumn("__order", order)
+        quantiles = out.join(held, "__range").groupBy("__range").agg(F.percentile_approx("__order", [k / parts for k in range(1, parts)], 20 * parts).alias("__edges"))
+        out = out.join(F.broadcast(quantiles), "__range", "left")
+        part = F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col("__order"))), F.lit(0))
+    return out.withColumn("block", F.struct("__range", part.cast("int").alias("part"))).drop("__time", "__range", "__hex", "__same", "__order", "__edges")
 
 
 def resolve(records: DataFrame, renewed: list[str] = RENEWED) -> DataFrame:
     """Every revisit of records with what it resolves to.
 
-    records: record_id long, url string, at (orderable as a number), kind "response" or "revisit", etag, last_modified,
+    records: record_id (long or string), url string, at (orderable as a number), kind "response" or "revisit", etag, last_modified,
     digest string (null: unknown) and headers map<string,string> with lower-case names. Returns record_id, url_key,
     source_id (the latest response with the same canonical URL before it by at, then record_id), status and headers.
     status: "resolved"; "no_response" if there is none (also for a null URL); "changed" if a validator that both sides

@@ -74,3 +74,17 @@ def test_parsed_records(spark):
     out = warc.resolve(df.filter("kind IS NOT NULL")).collect()
     assert [(r.record_id, r.source_id, r.status) for r in out] == [("<urn:2>", "<urn:1>", "resolved")]
     assert out[0].headers["date"] == "today" and out[0].headers["server"] == "s" and out[0].headers["etag"] == 'W/"v1"'
+
+
+def test_one_url_at_one_time_is_many_blocks(spark):
+    """20,000 records without a time, by numbers and by strings that begin alike: no block holds much of them, blocks rise with the order."""
+    from pyspark.sql import functions as F
+
+    base = spark.range(20_000).select("id", F.lit(None).cast("timestamp").alias("at"))
+    named = {"number": F.col("id") * 7, "uuid": F.concat(F.lit("<urn:uuid:"), F.md5(F.col("id").cast("string")), F.lit(">")), "counted": F.concat(F.lit("record-"), "id")}
+    for name, record_id in named.items():
+        out = warc._blocks(base.select("at", record_id.alias("record_id")), 16)
+        assert out.columns == ["at", "record_id", "block"]
+        blocks = out.groupBy("block").agg(F.count("*").alias("n"), F.min("record_id").alias("low"), F.max("record_id").alias("high")).orderBy("block").collect()
+        assert len(blocks) >= 10 and max(b.n for b in blocks) < 2_700, name
+        assert all(a.high < b.low for a, b in zip(blocks, blocks[1:], strict=False)), name
