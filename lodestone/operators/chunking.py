@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import spans
+from lodestone.plans.lineage import cut
+
+#: Lines of a block in which braces are matched.
+BLOCK = 4096
 
 NAME, WORD, PATH = r"(?:[^\W\d]|[$])[\w$]*", r"[^\W\d]\w*", r"[^\W\d][\w.:]*"
 SPACES, EMPTY = r"\s+", ""
@@ -91,23 +95,36 @@ def lines_of(files: DataFrame) -> DataFrame:
 
 
 def block_ends(lines: DataFrame) -> DataFrame:
-    """(file_path, pos, end_line) of every line: where the first brace block that opens on it or later closes, else the file's last line.
+    """(file_path, pos, end_line) of every line (pos from 1): where the first brace block that opens on it or later closes, else the file's last line.
 
-    Every brace gets its depth by a running sum; an opener's closer is the next brace at its depth. A file's braces
-    stay together; those of different files spread.
+    A file is cut into blocks of BLOCK lines. Braces get their depth by a running sum within the block, plus what the
+    blocks before leave open; an opener's closer is the next brace at its depth, in its block or, by a row for each
+    block and depth, in a later one. So no file is one task, and work grows with the number of lines.
     """
+    spot, here = ["file_path", "block", "pos"], ["file_path", "block"]
+    lines = lines.select("file_path", F.floor((F.col("pos") - 1) / BLOCK).alias("block"), "pos", "line")
     signs = F.expr("filter(transform(split(line, ''), (c, i) -> struct(i AS i, c AS c)), x -> x.c IN ('{', '}'))")
-    braces = lines.select("file_path", "pos", F.explode(signs).alias("x")).select("file_path", "pos", "x.i", (F.col("x.c") == "{").alias("opens"))
-    running = Window.partitionBy("file_path").orderBy("pos", "i").rowsBetween(Window.unboundedPreceding, 0)
-    depth = F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(running)
-    braces = braces.withColumn("level", depth + F.when(F.col("opens"), 0).otherwise(1))
-    level = Window.partitionBy("file_path", "level").orderBy("pos", "i")
-    pairs = braces.withColumn("close", F.lead("pos").over(level)).withColumn("closes", ~F.lead("opens").over(level)).filter("opens")
-    first = pairs.groupBy("file_path", "pos").agg(F.min_by(F.struct(F.when(F.col("closes"), F.col("close")).alias("e")), "i").alias("m"))
-    later = Window.partitionBy("file_path").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    last = F.max("pos").over(Window.partitionBy("file_path"))
-    joined = lines.join(first, ["file_path", "pos"], "left").select("file_path", "pos", F.first("m", ignorenulls=True).over(later).alias("m"), last.alias("last"))
-    return joined.select("file_path", "pos", F.coalesce(F.col("m.e"), F.col("last")).alias("end_line"))
+    braces = lines.filter("line LIKE '%{%' OR line LIKE '%}%'").select(*spot, F.explode(signs).alias("x")).select(*spot, "x.i", (F.col("x.c") == "{").alias("opens"))
+    step = F.when(F.col("opens"), 1).otherwise(-1)
+    until = lambda *keys: Window.partitionBy(*keys).orderBy("pos", "i")
+    braces = cut(braces.withColumn("depth", F.sum(step).over(until(*here).rowsBetween(Window.unboundedPreceding, 0))))
+    earlier = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = braces.groupBy(*here).agg(F.sum(step).alias("net")).select(*here, F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("open"))
+    level = F.col("open") + F.col("depth") + F.when(F.col("opens"), 0).otherwise(1)
+    braces = braces.join(open_, here).select(*spot, "i", "opens", level.alias("level"))
+    heads = braces.groupBy(*here, "level").agg(F.min(F.struct("pos", "i", "opens")).alias("head"))
+    heads = heads.select(*here, "level", F.lead("head").over(Window.partitionBy("file_path", "level").orderBy("block")).alias("later"))
+    next_ = F.lead(F.struct("pos", "opens")).over(until(*here, "level"))
+    pairs = braces.withColumn("next", next_).filter("opens").join(heads, [*here, "level"])
+    close = F.coalesce("next", F.struct("later.pos", "later.opens"))
+    first = pairs.groupBy(*spot).agg(F.min_by(F.struct(F.when(~close["opens"], close["pos"]).alias("e")), "i").alias("m"))
+    joined = lines.select(*spot).join(first, spot, "left")
+    blocks = joined.groupBy(*here).agg(F.max("pos").alias("last"), F.min_by("m", F.when(F.col("m").isNotNull(), F.col("pos"))).alias("m"))  # a row per block
+    file, after = Window.partitionBy("file_path"), Window.partitionBy("file_path").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*here, F.max("last").over(file).alias("last"), F.last("m", ignorenulls=True).over(after).alias("after"))
+    from_here = Window.partitionBy(*here).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    found = joined.withColumn("m", F.last("m", ignorenulls=True).over(from_here)).join(blocks, here)
+    return found.select("file_path", "pos", F.coalesce(F.coalesce("m", "after")["e"], F.col("last")).cast("int").alias("end_line"))
 
 
 def _by_language(values: dict[str, Column], none: Column) -> Column:

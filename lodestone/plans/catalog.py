@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import answering, blame, chunking, diff, embedding, graph, ranking
+from lodestone.operators import answering, blame, chunking, diff, embedding, graph, postings, ranking, vectors
 from lodestone.plans.lineage import spread
 from lodestone.sources import files
 
@@ -75,12 +75,12 @@ SYMBOLS = r"""symbols AS (
 def _calls(read) -> DataFrame:
     """Conversations as calls: a role calls every word of its text."""
     called = F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))
-    return read("conversations").select(F.concat(F.lit("conv"), F.col("conv_id") % 50).alias("file_path"), F.when(F.col("turn") == 0, "<module>").otherwise(F.col("role")).alias("symbol_name"), called.alias("calls"))
+    return read("conversations").select(F.concat(F.lit("conv"), F.floor(F.col("conv_id") / 3)).alias("file_path"), F.when(F.col("turn") == 0, "<module>").otherwise(F.col("role")).alias("symbol_name"), called.alias("calls"))
 
 
 CALLS = """calls AS (
   SELECT DISTINCT file_path, caller, unnest(callees) AS callee FROM (
-    SELECT 'conv' || (conv_id % 50) AS file_path, CASE WHEN turn = 0 THEN '<module>' ELSE role END AS caller, regexp_extract_all(text, '[a-z]{3,}') AS callees FROM conversations
+    SELECT 'conv' || conv_id // 3 AS file_path, CASE WHEN turn = 0 THEN '<module>' ELSE role END AS caller, regexp_extract_all(text, '[a-z]{3,}') AS callees FROM conversations
   ) WHERE NOT starts_with(caller, '<')
 )"""
 TOKENS = """tokens AS (
@@ -135,6 +135,15 @@ def bm25_topk(read):
     return ranking.top(scores, 20, "doc_id").select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(ORACLES["bm25_topk"])
+def bm25_postings_topk(read):
+    """The same from an inverted index of all documents, written and read by the query's terms."""
+    documents = read("documents")
+    index = postings.read(documents.sparkSession, postings.write(postings.build(documents, "doc_id")))
+    found = postings.top(index, QUERY, 20).withColumn("score", F.round("score", 9)).withColumnRenamed("id", "doc_id")
+    return ranking.top(found, 20, "doc_id").select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {COSINE} SELECT vec_id, round(score, 5) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id) AS rank FROM cosine QUALIFY rank <= 20")
 def cosine_topk(read):
     scores = ranking.cosine(read("embeddings"), _query_vector(read), "vec_id").withColumn("score", F.round("score", 9))
@@ -686,10 +695,31 @@ def cosine_topk_batch(read):
     return ranking.cosine_batch(vectors, queries, "vec_id", "query_id", 10).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
+def _probed(read, exact: bool) -> DataFrame:
+    table = read("embeddings").select("vec_id", "embedding")
+    index = vectors.build(table, "vec_id", vectors.train(table, "vec_id"))
+    queries = table.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    probes = vectors.PROBES if exact else vectors.calibrate(index, table, "vec_id", 10)
+    found = vectors.search(index, queries, "query_id", 10, probes, exact)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+
+
+@query(ORACLES["cosine_topk_batch"])
+def cosine_topk_lists(read):
+    """The same from an index of lists, of which those are read that can hold a better vector."""
+    return _probed(read, exact=True)
+
+
+@query()
+def cosine_topk_probed(read):
+    """The same from the nearest lists alone, so many that a sample finds 95 percent; tests measure the recall."""
+    return _probed(read, exact=False)
+
+
 @query(f"WITH {IMPORTS}, one AS (SELECT file_path FROM files ORDER BY page_id LIMIT 1) SELECT DISTINCT module FROM imports WHERE file_path = (SELECT file_path FROM one)")
 def imports_of_file(read):
-    first = _files(read).orderBy("page_id").limit(1).select("file_path")
-    return _imports(read).join(F.broadcast(first), "file_path").select("module").distinct()
+    first = _files(read).orderBy("page_id").first().file_path
+    return graph.imports_of(_imports(read), first).select("module").distinct()
 
 
 @query("""SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN role || ' is vague, turn ' || turn ELSE '' END AS issues, CASE WHEN conv_id % 3 = 0 AND conv_id % 2 = 0 THEN 1 ELSE 0 END AS n_missing FROM conversations""")

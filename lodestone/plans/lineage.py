@@ -3,24 +3,42 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A table is broadcast only when a count showed that it has no more rows than this.
 BROADCAST_ROWS = 200_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; where spark.checkpoint.dir is unset, local mode takes a temporary one and a cluster is an error."""
-    sc = df.sparkSession.sparkContext
+def use_checkpoints(spark: SparkSession) -> str:
+    """The cluster's shared spark.checkpoint.dir, as checkpoint folder; where it is unset, local mode takes a temporary one and a cluster is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and sc.master.split("[")[0] != "local":
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and sc.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    use_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables beside the checkpoints."""
+    return f"{use_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Marks a table for broadcast if its counted rows allow it."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows out before work that is heavy per row, where the input has fewer partitions than the cluster has cores; larger inputs are left as they were read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
