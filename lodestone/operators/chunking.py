@@ -94,30 +94,41 @@ def lines_of(files: DataFrame) -> DataFrame:
     return files.select("file_path", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("file_path", (F.col("p") + 1).alias("pos"), "line")
 
 
-def block_ends(lines: DataFrame) -> DataFrame:
-    """(file_path, pos, end_line) of every line (pos from 1): where the first brace block that opens on it or later closes, else the file's last line.
+def matched(marks: DataFrame) -> DataFrame:
+    """marks (file_path, block, pos, i, step, others) with level and next: step is 1 for an opening brace, -1 for a closing one, 0 for what only asks for its level.
 
-    A file is cut into blocks of BLOCK lines. Braces get their depth by a running sum within the block, plus what the
-    blocks before leave open; an opener's closer is the next brace at its depth, in its block or, by a row for each
-    block and depth, in a later one. So no file is one task, and work grows with the number of lines.
+    level is how deep an opener's inside is (of a closer that of what it closes, of others that of an inside that would
+    begin there); next is an opener's next brace of its level (pos, step), which closes it unless more braces close than
+    open. Depths are running sums within a block of lines, plus what the blocks before leave open; a next brace in a
+    later block is found by a row for each block and level. So no file is one task, and work grows with the marks.
     """
-    spot, here = ["file_path", "block", "pos"], ["file_path", "block"]
-    lines = lines.select("file_path", F.floor((F.col("pos") - 1) / BLOCK).alias("block"), "pos", "line")
-    signs = F.expr("filter(transform(split(line, ''), (c, i) -> struct(i AS i, c AS c)), x -> x.c IN ('{', '}'))")
-    braces = lines.filter("line LIKE '%{%' OR line LIKE '%}%'").select(*spot, F.explode(signs).alias("x")).select(*spot, "x.i", (F.col("x.c") == "{").alias("opens"))
-    step = F.when(F.col("opens"), 1).otherwise(-1)
-    until = lambda *keys: Window.partitionBy(*keys).orderBy("pos", "i")
-    braces = cut(braces.withColumn("depth", F.sum(step).over(until(*here).rowsBetween(Window.unboundedPreceding, 0))))
-    earlier = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    open_ = braces.groupBy(*here).agg(F.sum(step).alias("net")).select(*here, F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("open"))
-    level = F.col("open") + F.col("depth") + F.when(F.col("opens"), 0).otherwise(1)
-    braces = braces.join(open_, here).select(*spot, "i", "opens", level.alias("level"))
-    heads = braces.groupBy(*here, "level").agg(F.min(F.struct("pos", "i", "opens")).alias("head"))
+    here, file = ["file_path", "block"], Window.partitionBy("file_path").orderBy("block")
+    place = Window.partitionBy(*here).orderBy("pos", "i")
+    marks = cut(marks.withColumn("depth", F.sum("step").over(place.rowsBetween(Window.unboundedPreceding, 0))))
+    open_ = marks.groupBy(*here).agg(F.sum("step").alias("net")).select(*here, F.coalesce(F.sum("net").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("open"))
+    level = F.col("open") + F.col("depth") + F.when(F.col("step") > 0, 0).otherwise(1)
+    levelled = marks.join(open_, here).withColumn("level", level).drop("depth", "open")
+    braces = levelled.filter("step <> 0")
+    brace = F.struct("pos", "i", "step")
+    heads = braces.groupBy(*here, "level").agg(F.min(brace).alias("head"))
     heads = heads.select(*here, "level", F.lead("head").over(Window.partitionBy("file_path", "level").orderBy("block")).alias("later"))
-    next_ = F.lead(F.struct("pos", "opens")).over(until(*here, "level"))
-    pairs = braces.withColumn("next", next_).filter("opens").join(heads, [*here, "level"])
-    close = F.coalesce("next", F.struct("later.pos", "later.opens"))
-    first = pairs.groupBy(*spot).agg(F.min_by(F.struct(F.when(~close["opens"], close["pos"]).alias("e")), "i").alias("m"))
+    pairs = braces.withColumn("next", F.lead(brace).over(Window.partitionBy(*here, "level").orderBy("pos", "i"))).join(heads, [*here, "level"])
+    pairs = pairs.withColumn("next", F.coalesce("next", "later")).drop("later")
+    return pairs.unionByName(levelled.filter("step = 0").withColumn("next", F.lit(None).cast(pairs.schema["next"].dataType)))
+
+
+def block_of(pos: Column) -> Column:
+    return F.floor((pos - 1) / BLOCK)
+
+
+def block_ends(lines: DataFrame) -> DataFrame:
+    """(file_path, pos, end_line) of every line (pos from 1): where the first brace block that opens on it or later closes, else the file's last line."""
+    spot, here = ["file_path", "block", "pos"], ["file_path", "block"]
+    lines = lines.select("file_path", block_of(F.col("pos")).alias("block"), "pos", "line")
+    signs = F.expr("filter(transform(split(line, ''), (c, i) -> struct(i AS i, CASE c WHEN '{' THEN 1 WHEN '}' THEN -1 END AS step)), x -> x.step IS NOT NULL)")
+    braces = lines.filter("line LIKE '%{%' OR line LIKE '%}%'").select(*spot, F.explode(signs).alias("x")).select(*spot, "x.*")
+    close = F.when(F.col("next.step") < 0, F.col("next.pos"))
+    first = matched(braces).filter("step = 1").groupBy(*spot).agg(F.min_by(F.struct(close.alias("e")), "i").alias("m"))
     joined = lines.select(*spot).join(first, spot, "left")
     blocks = joined.groupBy(*here).agg(F.max("pos").alias("last"), F.min_by("m", F.when(F.col("m").isNotNull(), F.col("pos"))).alias("m"))  # a row per block
     file, after = Window.partitionBy("file_path"), Window.partitionBy("file_path").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)

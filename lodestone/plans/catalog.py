@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import answering, blame, chunking, diff, embedding, graph, postings, ranking, vectors
+from lodestone.operators import answering, blame, chunking, diff, embedding, graph, postings, ranking, structure, vectors
 from lodestone.plans.lineage import spread
 from lodestone.sources import files
 
@@ -770,3 +770,18 @@ def index_build(read):
     symbols = index["symbols"].select("kind", "file_path", "name", "start_line", "end_line")
     calls = index["calls"].select(F.lit("call"), "file_path", F.concat_ws(" ", "caller", "callee"), none, none)
     return symbols.union(calls).union(index["imports"].select(F.lit("import"), "file_path", "module", none, none))
+
+
+@query(r"""WITH d AS (
+  SELECT doc_id, doc_id % 2 = 0 AS cpp, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_extract_all(l, '[A-Za-z]{2,}')), lambda w: len(w) > 0) AS ws FROM documents
+), f AS (SELECT doc_id, CASE WHEN cpp THEN 'cpp' ELSE 'csharp' END AS language, 'C' || doc_id AS c, cpp, ws, len(ws) AS n, 'd' || doc_id AS file_path FROM d)
+SELECT file_path, language, 'namespace' AS symbol_kind, 'N' || doc_id AS symbol_name, 1 AS start_line, CAST(3 * n + 4 AS INTEGER) AS end_line FROM f
+UNION ALL SELECT file_path, language, 'class', c, 2, CAST(3 * n + 3 AS INTEGER) FROM f
+UNION ALL SELECT file_path, language, 'method', CASE WHEN cpp THEN c || '::' ELSE '' END || 'f_' || ws[i][1], CAST(3 * i AS INTEGER), CAST(3 * i + 2 AS INTEGER) FROM f, unnest(range(1, n + 1)) u(i)""")
+def structure_symbols(read):
+    """Documents as C++ and C# sources: each line is a method over three lines, with its words and braces in comments and strings."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda l: F.regexp_extract_all(l, F.lit("[A-Za-z]{2,}"), F.lit(0))), lambda w: F.size(w) > 0)
+    body = F.transform(lines, lambda w: F.concat(F.lit("  int f_"), F.get(w, F.lit(0)), F.lit("(\n    int a) { /* { "), F.array_join(w, " "), F.lit('\n  } */ g("} '), F.array_join(w, " "), F.lit('"); }\n')))
+    text = F.concat(F.lit("namespace N"), "doc_id", F.lit(" {\nclass C"), "doc_id", F.lit(" {\n"), F.array_join(body, ""), F.lit("}\n}"))
+    language = F.when(F.col("doc_id") % 2 == 0, "cpp").otherwise("csharp")
+    return structure.declarations(read("documents").select(F.concat(F.lit("d"), "doc_id").alias("file_path"), language.alias("language"), text.alias("text")))
