@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import blame, graph, ranking
+from lodestone.plans.lineage import small
 
 #: How many rows an action shows, and how many characters of a text.
 SHOWN = {"find": 30, "grep": 30, "callers": 50, "imports": 200, "files_importing": 50, "fetch": 1}
@@ -53,7 +54,7 @@ def search(index: dict[str, DataFrame], query: str, top_k: int = 10, query_vecto
     chunks = index["chunks"].withColumn("chunk_id", F.concat_ws(":", "file_path", F.lpad(F.col("start_line").cast("string"), 9, "0"), "symbol_name"))
     found = ranking.retrieve(chunks, query, query_vector, "chunk_id", top_k, "bm25" if query_vector is None else "hybrid")
     shown = chunks.select("chunk_id", "file_path", "start_line", "symbol_kind", "symbol_name")
-    return shown.join(F.broadcast(found), "chunk_id").drop("chunk_id").orderBy("rank")  # at most top_k rows are broadcast
+    return shown.join(small(found, top_k), "chunk_id").drop("chunk_id").orderBy("rank")
 
 
 def blamed(index: dict[str, DataFrame], file: str, symbol: str, lines: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import is_relevant, severity
 from lodestone.operators.ranking import group_by_file
-from lodestone.plans.lineage import cut
+from lodestone.plans.lineage import cut, small
 
 #: A provider: a function of (prompts) that returns replies in the same order.
 Provider = Callable[[list[str]], list[str]]
@@ -99,6 +100,35 @@ def ask(prompts: DataFrame, provider: Provider, budget: Budget, prompt_col: str
     return prompts.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields) + ", reply string")
 
 
+def ask_once(prompts: DataFrame, provider: Provider, budget: Budget, store: str, prompt_col: str = "prompt", at_once: int = 8, round_: int = 512) -> DataFrame:
+    """As ask, but each prompt is paid for once: replies are kept in a Parquet table at store (prompt_key, reply), and what it has is not asked again.
+
+    Prompts that are new there, each once, are counted against the budget and asked in rounds of about so many; a round
+    is appended when all of it is answered, so after a failure only its own prompts are asked anew. In a task so many
+    calls run at a time; replies keep the order of their prompts. Null prompts get null replies.
+    """
+    spark = prompts.sparkSession
+    schema = "prompt_key string, reply string"
+    spark.createDataFrame([], schema).write.mode("append").parquet(store)
+    known = lambda: spark.read.schema(schema).parquet(store).dropDuplicates(["prompt_key"])
+    keyed = cut(prompts.withColumn("prompt_key", F.sha2(F.col(prompt_col), 256)))
+    new = keyed.filter("prompt_key IS NOT NULL").select("prompt_key", F.col(prompt_col).alias("prompt")).dropDuplicates(["prompt_key"])
+    new = cut(new.join(known(), "prompt_key", "left_anti"))
+    n = new.count()
+    budget.reserve(n)
+    rounds = -(-n // round_)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                replies = list(pool.map(lambda p: provider([p])[0], batch["prompt"]))
+                yield pd.DataFrame({"prompt_key": batch["prompt_key"], "reply": replies})
+
+    for k in range(rounds):
+        new.filter(F.pmod(F.xxhash64("prompt_key"), F.lit(rounds)) == k).mapInPandas(run, schema).write.mode("append").parquet(store)
+    return keyed.join(known(), "prompt_key", "left").select(*prompts.columns, "reply")
+
+
 def evidence(groups: DataFrame) -> DataFrame:
     """Adds block to the relevant groups (file_path, symbols as a list joined by commas, top_score, reply): what the final prompt says of each file."""
     block = F.concat("file_path", F.lit(": "), "symbols", F.format_string(", relevance %.3f\n%s", "top_score", "reply"))
@@ -116,7 +146,7 @@ def answer(groups: DataFrame, question: str, provider: Provider, budget: Budget)
 
 def one_shot(chunks: DataFrame, hits: DataFrame, id_col: str, question: str, provider: Provider, budget: Budget) -> str:
     """A question answered over hits (id, rank, score) of ranking.retrieve: their chunks (id, file_path, ...) grouped by file, one call a file, then one over the relevant replies."""
-    found = chunks.join(F.broadcast(hits.select(id_col, "rank", "score")), id_col)  # a retrieval's top_k rows
+    found = chunks.join(small(hits.select(id_col, "rank", "score")), id_col)
     replies = cut(ask(file_prompts(found, question), provider, budget).select("file_path", "reply"))
     return answer(group_by_file(found).join(replies, "file_path"), question, provider, budget)
 

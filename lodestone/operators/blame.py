@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.lineage import cut
+
 
 def summary(blame: DataFrame, top: int = 5) -> DataFrame:
     """(what, value, lines, first_ts, last_ts) of blame (author, rev, ts): the most frequent authors and revisions, and a row of the whole span. Null and empty names don't count."""
@@ -36,6 +38,28 @@ def crossing(calls: DataFrame, key: str, order: list[str], tokens: str, limit: f
     return total.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
+def run_totals(calls: DataFrame, order: list[str], values: list[str], limits: dict[str, float] | None = None) -> DataFrame:
+    """calls with total_<value> for each value, summed from the run's first call to this one by order, and, given limits, crossed_<value>: whether it is the first call whose total exceeds the limit.
+
+    No window holds all calls: they are dealt by ranges of the order, summed within these, and a row for each range is
+    summed up and joined back. Calls that are equal in the order stay together and count in no particular order; null
+    values add nothing, nulls in the order come first.
+    """
+    parts = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(calls.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    sums = placed.groupBy("__part").agg(*[F.sum(v).alias(v) for v in values])
+    before = sums.select("__part", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__{v}") for v in values])
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(F.broadcast(before), "__part")
+    for v in values:
+        total = F.col(f"__{v}") + F.coalesce(F.sum(v).over(within), F.lit(0))
+        out = out.withColumn(f"total_{v}", total)
+        if limits and v in limits:
+            out = out.withColumn(f"crossed_{v}", (total > limits[v]) & (total - F.coalesce(F.col(v), F.lit(0)) <= limits[v]))
+    return out.drop("__part", *[f"__{v}" for v in values])
+
+
 SHA = r"^([0-9a-f]{40}) \d+ (\d+)(?: \d+)?$"
 
 

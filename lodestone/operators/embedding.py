@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
+from lodestone.functions.text import query_tokens, tokens
 from lodestone.plans.lineage import BROADCAST_ROWS, cut
 
 DIM = 64
@@ -51,3 +53,36 @@ def rerank_with(texts: DataFrame, query: str, id_col: str, load: Callable[[], Ca
         return pool.mapInPandas(run, f"`{id_col}` {kind}, raw_score double")
 
     return step
+
+
+def late_interaction(texts: DataFrame, query: str, id_col: str) -> Callable[[DataFrame], DataFrame]:
+    """A rerank step for ranking.retrieve without a trained model: the sum, over the query's tokens, of how like the most like token of a text is.
+
+    A token's vector has a place for each run of three characters of the token between two marks, and unit length, so
+    forms of a word are alike and others are not. The places of the query's tokens suffice for all products; a text's
+    tokens times these is one matrix product. Texts without tokens score 0.
+    """
+
+    def runs(token: str) -> set[str]:
+        marked = f"^{token}$"
+        return {marked[i : i + 3] for i in range(len(marked) - 2)}
+
+    asked = sorted(set(query_tokens(query)))
+    places = {run: i for i, run in enumerate(sorted(set().union(*map(runs, asked))))}
+
+    def matrix(tokens_: list[str]) -> np.ndarray:
+        out = np.zeros((len(tokens_), len(places)))
+        for row, token in enumerate(tokens_):
+            own = runs(token)
+            out[row, [places[r] for r in own if r in places]] = 1 / math.sqrt(len(own))
+        return out
+
+    def load() -> Callable[[list[tuple[str, str]]], list[float]]:
+        wanted = matrix(asked).T
+
+        def score(pairs: list[tuple[str, str]]) -> list[float]:
+            return [float((matrix(sorted(set(query_tokens(text)))) @ wanted).max(axis=0, initial=0.0).sum()) for _, text in pairs]
+
+        return score
+
+    return rerank_with(texts, query, id_col, load)

@@ -83,19 +83,24 @@ def cosine_batch(chunks: DataFrame, queries: DataFrame, id_col: str, query_col:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
+        side, ids = table.column("side").to_numpy(), np.array(table.column("id").to_pylist())
         v, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         v = v[np.argsort(ids[v], kind="stable")]
         if not len(v) or not len(q):
-            return pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"q": table.column("id").slice(0, 0), "id": table.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
         vectors = table.column("embedding").chunk(0)
+        sizes = np.unique(np.diff(vectors.offsets.to_numpy()))
+        if len(sizes) > 1:
+            raise ValueError(f"vectors have {sizes.tolist()} dimensions; they must have the same number")
         matrix = vectors.flatten().to_numpy().reshape(len(ids), -1).astype(np.float64)
         scores = matrix[q] @ matrix[v].T
         order = np.argsort(-np.round(scores, 6), axis=1, kind="stable")[:, :k]
         row = np.repeat(np.arange(len(q)), order.shape[1])
         return pa.table({"q": ids[q][row], "id": ids[v][order.ravel()], "score": scores[row, order.ravel()]})
 
-    found = left.union(right).groupBy("i", "j").applyInArrow(run, "q long, id long, score double")
+    both = left.union(right)
+    kind = both.schema["id"].dataType.simpleString()
+    found = both.groupBy("i", "j").applyInArrow(run, f"q {kind}, id {kind}, score double")
     best = Window.partitionBy("q").orderBy(F.round("score", 6).desc(), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score", "rank")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import answering, blame, chunking, diff, embedding, graph, postings, ranking, structure, vectors
+from lodestone.operators import answering, blame, chunking, diff, embedding, graph, names, postings, ranking, structure, vectors
 from lodestone.plans.lineage import spread
 from lodestone.sources import files
 
@@ -785,3 +785,35 @@ def structure_symbols(read):
     text = F.concat(F.lit("namespace N"), "doc_id", F.lit(" {\nclass C"), "doc_id", F.lit(" {\n"), F.array_join(body, ""), F.lit("}\n}"))
     language = F.when(F.col("doc_id") % 2 == 0, "cpp").otherwise("csharp")
     return structure.declarations(read("documents").select(F.concat(F.lit("d"), "doc_id").alias("file_path"), language.alias("language"), text.alias("text")))
+
+
+@query("""SELECT event_id, cents, cost, CAST(sum(cents) OVER w AS BIGINT) AS total_cents, CAST(sum(cost) OVER w AS BIGINT) AS total_cost, sum(cents) OVER w > 1000000 AND sum(cents) OVER w - cents <= 1000000 AS crossed_cents
+FROM (SELECT event_id, ts, CAST(round(abs(value) * 100) AS BIGINT) AS cents, CAST(length(event_type) * round(abs(value) * 100) AS BIGINT) AS cost FROM events) WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def run_totals(read):
+    """Totals of tokens and cost over a whole run, and the call that crosses a limit: events as calls, dearer by the length of their type."""
+    cents = F.round(F.abs("value") * 100).cast("long")
+    calls = read("events").select("event_id", "ts", cents.alias("cents"), (F.length("event_type") * cents).alias("cost"))
+    return blame.run_totals(calls, ["ts", "event_id"], ["cents", "cost"], {"cents": 1_000_000}).drop("ts")
+
+
+LATE_RUNS = "list_distinct(list_transform(range(1, length({0}) + 1), lambda i: ('^' || {0} || '$')[i:i + 2]))"
+
+
+@query(f"""WITH {BM25}, pool AS (SELECT doc_id FROM bm25 ORDER BY score DESC, doc_id LIMIT 80), asked AS (SELECT w AS q, {LATE_RUNS.format('w')} AS qr FROM (SELECT DISTINCT unnest(['the', 'and', 'tion', 'that', 'with']) AS w)
+), held AS (SELECT doc_id, p, {LATE_RUNS.format('p')} AS pr FROM (SELECT DISTINCT doc_id, unnest(t) AS p FROM tokens JOIN pool USING (doc_id))
+), best AS (SELECT doc_id, q, max(len(list_intersect(qr, pr)) / (sqrt(len(qr)) * sqrt(len(pr)))) AS b FROM held, asked GROUP BY doc_id, q
+), late AS (SELECT doc_id, round(coalesce(sum(b), 0), 9) AS score FROM pool LEFT JOIN best USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, round(score, 6) AS raw_score FROM late QUALIFY rank <= 20""")
+def rerank_late(read):
+    """The words' pool in the order of late interaction between tokens."""
+    rerank = embedding.late_interaction(read("documents"), QUERY, "doc_id")
+    found = ranking.retrieve(_chunks(read), QUERY, None, "doc_id", mode="bm25", rerank=lambda hits: rerank(hits).withColumn("raw_score", F.round("raw_score", 9)))
+    return found.select("doc_id", F.col("rank").cast("long").alias("rank"), F.round("raw_score", 6).alias("raw_score"))
+
+
+@query(f"WITH {SYMBOLS} SELECT * FROM symbols WHERE name ILIKE '%tion%t%' ORDER BY chunk_id LIMIT 50")
+def grep_symbol_indexed(read):
+    """Names with a part, by an index of trigrams of all names."""
+    symbols = _symbols(read)
+    spark = read("documents").sparkSession
+    return names.grep(spark, names.write(symbols, "chunk_id"), symbols, "tion%t", "chunk_id")

@@ -66,9 +66,9 @@ def tables(chunks: DataFrame) -> dict[str, DataFrame]:
 
 
 def build(files: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
-    """The index of files (file_path, language, text, sha1): its tables, chunks with file_sha1 and, given embed (chunks to chunks with embedding), vectors. Blank files and unknown languages give nothing."""
+    """The index of files (file_path, language, text, sha1): its tables, chunks with file_sha1 and, given embed (chunks to chunks with embedding), vectors. Files are chunked once, all tables come of the chunks kept. Blank files and unknown languages give nothing."""
     chunks = chunk(files).join(files.select("file_path", F.col("sha1").alias("file_sha1")), "file_path")
-    return tables(chunks if embed is None else embed(chunks))
+    return tables(cut(chunks if embed is None else embed(chunks)))
 
 
 def update(index: dict[str, DataFrame], files: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
@@ -93,3 +93,70 @@ def read_index(spark: SparkSession, path: str, snapshot: int | None = None) -> d
     """The tables of a snapshot, the newest complete one by default."""
     number = snapshot or spark.read.parquet(f"{path}/snapshots").agg(F.max("snapshot")).first()[0]
     return {name: spark.read.parquet(f"{path}/{name}/snapshot={number}") for name in TABLES}
+
+
+#: Files of a bucketed index go by a hash of their path into so many buckets.
+BUCKETS = 64
+
+
+def bucket_of(file_path: Column) -> Column:
+    return F.pmod(F.xxhash64(file_path), F.lit(BUCKETS)).cast("int")
+
+
+def _put(index: dict[str, DataFrame], path: str, version: int) -> None:
+    for name, table in index.items():
+        placed = table.withColumn("version", F.lit(version)).withColumn("bucket", bucket_of(F.col("file_path")))
+        placed.repartition("bucket", F.pmod(F.xxhash64("file_path", F.lit(1)), F.lit(4))).write.mode("append").partitionBy("version", "bucket").parquet(f"{path}/{name}")
+
+
+def _manifest(spark: SparkSession, path: str, snapshot: int | None = None) -> dict[int, int]:
+    """The version of each bucket in a snapshot, the newest by default: BUCKETS rows."""
+    all_ = spark.read.parquet(f"{path}/manifest")
+    number = snapshot or all_.agg(F.max("snapshot")).first()[0]
+    return {r.bucket: r.version for r in all_.filter(F.col("snapshot") == number).collect()}
+
+
+def write_buckets(index: dict[str, DataFrame], path: str) -> int:
+    """Writes a new index by buckets of files. The manifest, which names the version of every bucket, is written last: it is what makes a snapshot visible. Gives the snapshot."""
+    version = time.time_ns()
+    for name, table in index.items():
+        table.limit(0).write.mode("overwrite").parquet(f"{path}/schemas/{name}")  # a table of no rows has no other files
+    _put(index, path, version)
+    return _commit(index["chunks"].sparkSession, path, dict.fromkeys(range(BUCKETS), version), version)
+
+
+def _commit(spark: SparkSession, path: str, manifest: dict[int, int], snapshot: int) -> int:
+    rows = [(snapshot, bucket, version) for bucket, version in manifest.items()]
+    spark.createDataFrame(rows, "snapshot long, bucket int, version long").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return snapshot
+
+
+def read_buckets(spark: SparkSession, path: str, snapshot: int | None = None, buckets: list[int] | None = None) -> dict[str, DataFrame]:
+    """The tables of a snapshot, the newest by default; given buckets, of these alone. Filters are on partitions, so nothing else is opened."""
+    versions: dict[int, list[int]] = {}
+    for bucket, version in _manifest(spark, path, snapshot).items():
+        if buckets is None or bucket in buckets:
+            versions.setdefault(version, []).append(bucket)
+    wanted = F.lit(False)
+    for version, own in versions.items():
+        wanted = wanted | ((F.col("version") == version) & F.col("bucket").isin(own))
+    schemas = {name: spark.read.parquet(f"{path}/schemas/{name}").schema.add("version", "long").add("bucket", "integer") for name in TABLES}
+    return {name: spark.read.schema(schema).parquet(f"{path}/{name}").filter(wanted).drop("version", "bucket") for name, schema in schemas.items()}
+
+
+def update_buckets(spark: SparkSession, path: str, files: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    """Brings the index at path to files (all of them, as they are now) and gives the new snapshot.
+
+    Only buckets with a rebuilt or removed file are written, as new versions beside the old ones; the others stay as
+    they are. Readers see the snapshot before or after, never between; older snapshots stay readable.
+    """
+    index = read_buckets(spark, path)
+    stored = index["chunks"].select("file_path", F.col("file_sha1").alias("sha1")).distinct()
+    actions = cut(delta(stored, files.select("file_path", "sha1")).filter(F.col("action").isin("rebuilt", "removed")))
+    touched = [r[0] for r in actions.select(bucket_of(F.col("file_path"))).distinct().collect()]
+    if not touched:
+        return spark.read.parquet(f"{path}/manifest").agg(F.max("snapshot")).first()[0]
+    fresh = build(files.join(actions.filter("action = 'rebuilt'"), "file_path", "left_semi"), embed)
+    old, version = read_buckets(spark, path, buckets=touched), time.time_ns()
+    _put({name: apply(table, actions, fresh[name]) for name, table in old.items()}, path, version)
+    return _commit(spark, path, _manifest(spark, path) | dict.fromkeys(touched, version), version)

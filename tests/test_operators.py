@@ -286,12 +286,12 @@ def test_tree_and_index(spark, tmp_path):
 
 def test_streaming(spark, tmp_path):
     rows = [("a.py", "def f():\n    pass"), ("b.js", "function g() {\n}"), ("c.txt", "x")]
-    spark.createDataFrame(rows, ingest.SCHEMA).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame(rows, "file_path string, text string").write.parquet(str(tmp_path / "in"))
     q = ingest.stream_chunks(spark, str(tmp_path / "in"), str(tmp_path / "index"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     index = str(tmp_path / "index")
     assert {r.symbol_name for r in ingest.current(spark, index).collect()} == {"f", "g"}
-    spark.createDataFrame([("a.py", "def h():\n    pass"), ("b.js", " ")], ingest.SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("a.py", "def z():\n    pass", 1), ("a.py", "def h():\n    pass", 2), ("b.js", " ", 1)], ingest.SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
     ingest.stream_chunks(spark, str(tmp_path / "in"), index, str(tmp_path / "cp")).awaitTermination(120)
     assert [(r.file_path, r.symbol_name) for r in ingest.current(spark, index).collect()] == [("a.py", "h")]
 
