@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import spans
-from lodestone.plans.lineage import cut
+from lodestone.plans.lineage import written
 
 #: Lines of a block in which braces are matched.
 BLOCK = 4096
@@ -104,7 +104,7 @@ def matched(marks: DataFrame) -> DataFrame:
     """
     here, file = ["file_path", "block"], Window.partitionBy("file_path").orderBy("block")
     place = Window.partitionBy(*here).orderBy("pos", "i")
-    marks = cut(marks.withColumn("depth", F.sum("step").over(place.rowsBetween(Window.unboundedPreceding, 0))))
+    marks = written(marks.withColumn("depth", F.sum("step").over(place.rowsBetween(Window.unboundedPreceding, 0))))
     open_ = marks.groupBy(*here).agg(F.sum("step").alias("net")).select(*here, F.coalesce(F.sum("net").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("open"))
     level = F.col("open") + F.col("depth") + F.when(F.col("step") > 0, 0).otherwise(1)
     levelled = marks.join(open_, here).withColumn("level", level).drop("depth", "open")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_tokens, tokens
 from lodestone.operators.ranking import B, K1
-from lodestone.plans.lineage import BROADCAST_ROWS, cut, folder, spread
+from lodestone.plans.lineage import BROADCAST_ROWS, cut, folder, written
 
 BUCKETS = 64
 #: Classes of a term; their width is of the share of a posting's highest possible part.
@@ -36,11 +36,14 @@ def _bucket(term: Column) -> Column:
 
 def build(docs: DataFrame, id_col: str, text_col: str = "text") -> dict[str, DataFrame]:
     """The tables of an index of docs (id, text): postings (bucket, term, class, id, tf, dl), heads (bucket, term, class, n, most, least), lengths (id, dl) and totals (n, dl). Null texts have no terms; ids must be unique."""
-    each = cut(spread(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))).select("id", tokens(F.col("text")).alias("t")))
-    lengths = each.select("id", F.size("t").alias("dl"))
+    # Texts are dealt by id, so that counting a document's terms needs no shuffle of them.
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    each = texts.repartition("id").select("id", tokens(F.col("text")).alias("t"))
     counts = each.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
     share = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / USUAL))
-    postings = counts.select(_bucket(F.col("term")).alias("bucket"), "term", F.floor(share * CLASSES).cast("int").alias("class"), "id", "tf", "dl")
+    postings = written(counts.select(_bucket(F.col("term")).alias("bucket"), "term", F.floor(share * CLASSES).cast("int").alias("class"), "id", "tf", "dl"))
+    known = postings.groupBy("id").agg(F.max("dl").alias("dl"))
+    lengths = texts.select("id").join(known, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
     return {"postings": postings, "heads": heads(postings), "lengths": lengths, "totals": totals(lengths)}
 
 

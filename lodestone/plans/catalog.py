@@ -787,13 +787,13 @@ def structure_symbols(read):
     return structure.declarations(read("documents").select(F.concat(F.lit("d"), "doc_id").alias("file_path"), language.alias("language"), text.alias("text")))
 
 
-@query("""SELECT event_id, cents, cost, CAST(sum(cents) OVER w AS BIGINT) AS total_cents, CAST(sum(cost) OVER w AS BIGINT) AS total_cost, sum(cents) OVER w > 1000000 AND sum(cents) OVER w - cents <= 1000000 AS crossed_cents
-FROM (SELECT event_id, ts, CAST(round(abs(value) * 100) AS BIGINT) AS cents, CAST(length(event_type) * round(abs(value) * 100) AS BIGINT) AS cost FROM events) WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+@query("""SELECT conv_id, turn, tokens, cost, CAST(sum(tokens) OVER w AS BIGINT) AS total_tokens, CAST(sum(cost) OVER w AS BIGINT) AS total_cost, sum(tokens) OVER w > 100000 AND sum(tokens) OVER w - tokens <= 100000 AS crossed_tokens
+FROM (SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS tokens, CAST(length(text) * CASE role WHEN 'user' THEN 1 ELSE 4 END AS BIGINT) AS cost FROM conversations) WINDOW w AS (ORDER BY conv_id, turn, tokens, cost ROWS UNBOUNDED PRECEDING)""")
 def run_totals(read):
-    """Totals of tokens and cost over a whole run, and the call that crosses a limit: events as calls, dearer by the length of their type."""
-    cents = F.round(F.abs("value") * 100).cast("long")
-    calls = read("events").select("event_id", "ts", cents.alias("cents"), (F.length("event_type") * cents).alias("cost"))
-    return blame.run_totals(calls, ["ts", "event_id"], ["cents", "cost"], {"cents": 1_000_000}).drop("ts")
+    """Totals of tokens and cost over a whole run, and the call that crosses a limit: all turns as calls, what a user says at a quarter of the price."""
+    tokens = F.length("text").cast("long")
+    calls = read("conversations").select("conv_id", "turn", tokens.alias("tokens"), (tokens * F.when(F.col("role") == "user", 1).otherwise(4)).cast("long").alias("cost"))
+    return blame.run_totals(calls, ["conv_id", "turn", "tokens", "cost"], ["tokens", "cost"], {"tokens": 100_000})
 
 
 LATE_RUNS = "list_distinct(list_transform(range(1, length({0}) + 1), lambda i: ('^' || {0} || '$')[i:i + 2]))"
