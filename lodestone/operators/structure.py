@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.chunking import block_of, matched
+from lodestone.plans.lineage import written
 
 #: Lines whose states are composed at a time.
 LEXED = 256
@@ -42,21 +43,21 @@ def lexed(lines: DataFrame) -> DataFrame:
     plain = ~F.col("line").rlike("""[/*"'@]""")
     identity = F.array(*map(F.lit, range(4)))
     table = F.when(plain | F.col("line").isNull(), identity).otherwise(F.array(*map(after, range(4))))
-    here = ["file_path", "lexed"]
-    rows = lines.withColumn("lexed", F.floor((F.col("pos") - 1) / LEXED)).withColumn("t", table)
-    moved = rows.filter(F.col("t") != identity).groupBy(*here).agg(F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("steps"))
-    moved = moved.withColumn("t", F.expr("aggregate(steps, array(0, 1, 2, 3), (s, x) -> transform(s, k -> x.t[k]))"))
+    # Only lines that change some state take part; their texts stay behind.
+    steps = lines.select("file_path", "pos", table.alias("t")).filter(F.col("t") != identity)
+    moved = steps.groupBy("file_path", F.floor((F.col("pos") - 1) / LEXED).alias("lexed")).agg(F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("steps"))
+    moved = written(moved.withColumn("t", F.expr("aggregate(steps, array(0, 1, 2, 3), (s, x) -> transform(s, k -> x.t[k]))")))
     fold = "aggregate({0}, struct(CAST({1} AS int) AS s, CAST(array() AS array<struct<k:bigint,s:int>>) AS out), (a, x) -> struct(x.t[a.s] AS s, concat(a.out, array(struct(CAST(x.{2} AS bigint) AS k, {3} AS s))) AS out), a -> a.out)"
     blocks = moved.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("lexed", "t"))).alias("blocks"))
-    starts = blocks.select("file_path", F.explode(F.expr(fold.format("blocks", "0", "lexed", "a.s"))).alias("x")).select("file_path", F.col("x.k").alias("lexed"), F.col("x.s").alias("start"), F.lit(True).alias("moves"))
-    states = moved.join(starts, here).select(*here, F.explode(F.expr(fold.format("steps", "start", "pos", "x.t[a.s]"))).alias("x")).select(*here, F.col("x.k").cast("int").alias("pos"), F.col("x.s").alias("ends_in"))
-    # Blocks that move nothing begin as the last one before them ended.
-    ends = moved.join(starts, here).select(*here, F.expr("t[start]").alias("block_end"))
-    before = Window.partitionBy("file_path").orderBy("lexed").rowsBetween(Window.unboundedPreceding, -1)
-    begins = rows.select(*here).distinct().join(ends, here, "left").select(*here, F.coalesce(F.last("block_end", ignorenulls=True).over(before), F.lit(0)).alias("begins_in"))
-    earlier = Window.partitionBy(*here).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(states, [*here, "pos"], "left").withColumn("inner", F.last("ends_in", ignorenulls=True).over(earlier)).join(begins, here)
-    state = F.coalesce("inner", "begins_in")
+    starts = blocks.select("file_path", F.explode(F.expr(fold.format("blocks", "0", "lexed", "a.s"))).alias("x")).select("file_path", F.col("x.k").alias("lexed"), F.col("x.s").alias("start"))
+    states = moved.join(starts, ["file_path", "lexed"]).select("file_path", F.explode(F.expr(fold.format("steps", "start", "pos", "x.t[a.s]"))).alias("x")).select("file_path", F.col("x.k").cast("int").alias("from"), F.col("x.s").alias("state"))
+    # Lines that begin in another state than code: after such a change, up to the next one.
+    last = lines.groupBy("file_path").agg(F.max("pos").alias("last"))
+    until = states.withColumn("next", F.lead("from").over(Window.partitionBy("file_path").orderBy("from"))).filter("state > 0").join(last, "file_path")
+    until = until.withColumn("to", F.coalesce("next", "last")).filter(F.col("from") < F.col("to"))
+    inside = until.select("file_path", F.explode(F.sequence(F.col("from") + 1, F.col("to"))).alias("pos"), "state")
+    placed = lines.join(inside, ["file_path", "pos"], "left")
+    state = F.coalesce("state", F.lit(0))
     code = F.lit("")
     for k in range(4):
         code = F.when(state == k, F.coalesce(codes[k], F.lit(""))).otherwise(code)
