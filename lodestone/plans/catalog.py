@@ -75,12 +75,12 @@ SYMBOLS = r"""symbols AS (
 def _calls(read) -> DataFrame:
     """Conversations as calls: a role calls every word of its text."""
     called = F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))
-    return read("conversations").select(F.concat(F.lit("conv"), F.floor(F.col("conv_id") / 3)).alias("file_path"), F.when(F.col("turn") == 0, "<module>").otherwise(F.col("role")).alias("symbol_name"), called.alias("calls"))
+    return read("conversations").select(F.concat(F.lit("conv"), "conv_id").alias("file_path"), F.when(F.col("turn") == 0, "<module>").otherwise(F.col("role")).alias("symbol_name"), called.alias("calls"))
 
 
 CALLS = """calls AS (
   SELECT DISTINCT file_path, caller, unnest(callees) AS callee FROM (
-    SELECT 'conv' || conv_id // 3 AS file_path, CASE WHEN turn = 0 THEN '<module>' ELSE role END AS caller, regexp_extract_all(text, '[a-z]{3,}') AS callees FROM conversations
+    SELECT 'conv' || conv_id AS file_path, CASE WHEN turn = 0 THEN '<module>' ELSE role END AS caller, regexp_extract_all(text, '[a-z]{3,}') AS callees FROM conversations
   ) WHERE NOT starts_with(caller, '<')
 )"""
 TOKENS = """tokens AS (
