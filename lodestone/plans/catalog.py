@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import answering, blame, chunking, diff, embedding, graph, names, postings, ranking, structure, vectors
+from lodestone.operators import answering, blame, chunking, diff, embedding, graph, latent, names, postings, ranking, structure, vectors
 from lodestone.plans.lineage import spread
 from lodestone.sources import files
 
@@ -668,6 +668,13 @@ def embed_hash(read):
     return embedding.embed(read("documents").select("doc_id", "text"), "doc_id")
 
 
+@query()
+def embed_latent(read):
+    """Vectors of all documents in the directions learnt from all of them."""
+    docs = read("documents").select("doc_id", "text")
+    return latent.embed(docs, "doc_id", latent.train(docs, "doc_id"))
+
+
 # Both format halves upwards, as Spark does: DuckDB's printf takes the even digit.
 @query(f"""WITH {HITS}, replies AS (SELECT source, string_agg('d' || doc_id, ', ' ORDER BY doc_id) AS symbols, max(score) AS top FROM hits GROUP BY source)
 SELECT source AS file_path, source || ': ' || symbols || ', relevance ' || printf('%.3f', floor(top * 1000 + 0.5) / 1000) || chr(10) || 'about ' || source AS block FROM replies WHERE source <> 'src3'""")
