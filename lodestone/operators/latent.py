@@ -7,15 +7,20 @@ ranges of columns. All texts take part; what comes to the driver is the model it
 
 from __future__ import annotations
 
+import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
+from lodestone.functions.text import IDENTIFIER, query_tokens
 from lodestone.operators.embedding import DIM
 from lodestone.plans.lineage import spread, written
 
@@ -24,6 +29,9 @@ SLOTS, OVER, ROUNDS = 32_768, 10, 3
 ROWS, RANGE = 256, 1_024
 #: Directions this much weaker than the strongest are noise of the arithmetic.
 LEAST = 1e-6
+#: Words whose tokens a task remembers, and from how many characters a text's words are not listed at once.
+CACHED, LONG = 200_000, 1_000_000
+WORD = re.compile(IDENTIFIER)
 
 
 @dataclass
@@ -45,17 +53,25 @@ class Latent:
         return cls(rows.column("idf").to_numpy(), np.array(rows.column("vector").to_pylist()), np.array(spark.read.parquet(f"{path}/strengths").first().strengths))
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str, slots: int) -> DataFrame:
-    """(id, at): the slot of every token."""
-    at = F.transform(tokens(F.col(text_col)), lambda t: F.pmod(F.xxhash64(t), F.lit(slots)).cast("int"))
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col))).select("id", at.alias("at"))
+@lru_cache(maxsize=CACHED)
+def _slots_of(word: str, slots: int) -> list[int]:
+    return [crc32(token.encode()) % slots for token in query_tokens(word)]
 
 
-def _counted(at: pa.Array, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, slot, times) of lists of slots, by row and slot."""
-    row = np.repeat(np.arange(len(at), dtype=np.int64), np.diff(at.offsets.to_numpy()))
-    pair, times = np.unique(row * slots + at.flatten().to_numpy(), return_counts=True)
-    return pair // slots, pair % slots, times
+def _counted(texts: pa.Array, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, times) of the tokens of texts, by row and slot: words are counted first, and each word's tokens are found once."""
+    slot, times, ends = array("q"), array("q"), [0]
+    for text in texts:
+        text = text.as_py() or ""
+        words = Counter(WORD.findall(text) if len(text) < LONG else (m[0] for m in WORD.finditer(text)))
+        for word, n in words.items():
+            at = _slots_of(word, slots)
+            slot.extend(at)
+            times.extend([n] * len(at))
+        ends.append(len(slot))
+    row = np.repeat(np.arange(len(ends) - 1, dtype=np.int64), np.diff(ends))
+    pair, place = np.unique(row * slots + np.frombuffer(slot, np.int64), return_inverse=True)
+    return pair // slots, pair % slots, np.bincount(place, np.frombuffer(times, np.int64), len(pair)).astype(np.int64)
 
 
 def _blocks(row: np.ndarray, slot: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -105,22 +121,21 @@ def _gram(counts: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, id_col: str, dim: int = DIM, text_col: str = "text", slots: int = SLOTS, rounds: int = ROUNDS, seed: int = 1) -> Latent:
+def train(docs: DataFrame, dim: int = DIM, text_col: str = "text", slots: int = SLOTS, rounds: int = ROUNDS, seed: int = 1) -> Latent:
     """The dim strongest directions of the tf-idf of all texts, (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) by rows of unit length.
 
     Subspace iteration from a seeded Gaussian start; the last round also gives the Nystrom form of A'A, whose
     eigenvectors are the directions. Texts that are null or without tokens count in n alone. Where the corpus has fewer
     directions than dim, the rest are zero. Signs are set so that each direction's largest entry is positive.
     """
-    hashed = _hashed(docs, id_col, text_col, slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, slot, times = _counted(batch.column("at"), slots)
+            row, slot, times = _counted(batch.column(0), slots)
             ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (slot, times)], ["slot", "times"])
 
-    counts = written(hashed.select("at").mapInArrow(run, "slot array<int>, times array<int>"))  # read once a round
+    counts = written(spread(docs.select(text_col)).mapInArrow(run, "slot array<int>, times array<int>"))  # read once a round
     n, held = counts.count(), counts.select(F.explode("slot").alias("slot")).groupBy("slot").agg(F.count("*").alias("df")).toArrow()  # a row per slot
     df = np.zeros(slots)
     df[held.column("slot").to_numpy()] = held.column("df").to_numpy()
@@ -151,12 +166,12 @@ def embed(docs: DataFrame, id_col: str, model: Latent, text_col: str = "text") -
         idf, vectors = shared.value
         for batch in batches:
             out = np.zeros((batch.num_rows, dim))
-            for first, used, block in _blocks(*_counted(batch.column("at"), slots), idf, batch.num_rows):
+            for first, used, block in _blocks(*_counted(batch.column(1), slots), idf, batch.num_rows):
                 out[first : first + ROWS] = block @ vectors[used]
             length = np.sqrt((out * out).sum(1))
             out /= np.where(length > LEAST, length, np.inf)[:, None]
             ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(out.astype(np.float32).ravel()))], ["id", "embedding"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(out.astype(np.float32).ravel()))], ["id", "embedding"])
 
-    found = _hashed(docs, id_col, text_col, slots).mapInArrow(run, f"id {kind}, embedding array<float>")
+    found = spread(docs.select(F.col(id_col).alias("id"), text_col)).mapInArrow(run, f"id {kind}, embedding array<float>")
     return found.withColumnRenamed("id", id_col)

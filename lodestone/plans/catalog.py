@@ -672,7 +672,7 @@ def embed_hash(read):
 def embed_latent(read):
     """Vectors of all documents in the directions learnt from all of them."""
     docs = read("documents").select("doc_id", "text")
-    return latent.embed(docs, "doc_id", latent.train(docs, "doc_id"))
+    return latent.embed(docs, "doc_id", latent.train(docs))
 
 
 # Both format halves upwards, as Spark does: DuckDB's printf takes the even digit.

@@ -1,8 +1,8 @@
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_tokens
@@ -12,13 +12,9 @@ from lodestone.plans import catalog
 DATA = "/root/testdata"
 
 
-def signed(n):
-    return n - 2**64 if n >= 2**63 else n
-
-
 def tf_idf(texts, slots):
     """By the definition, text by text."""
-    counts = [Counter(signed(xxhash.xxh64(t.encode(), seed=42).intdigest()) % slots for t in query_tokens(text or "")) for text in texts]
+    counts = [Counter(crc32(t.encode()) % slots for t in query_tokens(text or "")) for text in texts]
     df = Counter(s for c in counts for s in c)
     out = np.zeros((len(texts), slots))
     for row, c in zip(out, counts):
@@ -36,7 +32,7 @@ def test_equals_dense_svd(spark, docs):
     rows = docs.orderBy("doc_id").collect()
     a = tf_idf([r.text for r in rows], 1024)
     _, s, v = np.linalg.svd(a, full_matrices=False)
-    model = latent.train(docs, "doc_id", dim=4, slots=1024, rounds=6)
+    model = latent.train(docs, dim=4, slots=1024, rounds=6)
     assert np.allclose(model.strengths, s[:4], rtol=1e-4)
     want = a @ v[:4].T
     want /= np.linalg.norm(want, axis=1)[:, None]
@@ -45,27 +41,28 @@ def test_equals_dense_svd(spark, docs):
 
 
 def test_blocks_and_ranges(spark, docs, monkeypatch):
-    whole = latent.train(docs, "doc_id", dim=4, slots=300)
+    whole = latent.train(docs, dim=4, slots=300)
     monkeypatch.setattr(latent, "ROWS", 7)
     monkeypatch.setattr(latent, "RANGE", 64)
-    small = latent.train(docs.repartition(9, "doc_id"), "doc_id", dim=4, slots=300)
+    monkeypatch.setattr(latent, "LONG", 500)
+    small = latent.train(docs.repartition(9), dim=4, slots=300)
     assert np.allclose(whole.strengths, small.strengths, rtol=1e-4) and np.allclose(whole.vectors, small.vectors, atol=1e-2)
 
 
 def test_odd_texts(spark):
     df = spark.createDataFrame([("a", None), ("b", ""), ("c", "one two"), ("c", "one two"), ("d", "x " * 5), ("e", "one three " * 30_000)], "name string, text string").withColumn("id", F.lit(1)).withColumn("at", F.lit(2))
-    model = latent.train(df, "name")
+    model = latent.train(df)
     got = sorted((r.name, r.embedding) for r in latent.embed(df, "name", model).select(F.col("name"), "embedding").collect())
     assert [n for n, _ in got] == ["a", "b", "c", "c", "d", "e"]
     length = [round(float(np.linalg.norm(v)), 4) for _, v in got]
     assert length == [0, 0, 1, 1, 0, 1] and got[2] == got[3] and (model.strengths > 0).sum() == 2
-    none = latent.train(df.limit(0), "name")
+    none = latent.train(df.limit(0))
     assert not none.vectors.any() and latent.embed(df.limit(0), "name", none).count() == 0
     assert np.abs(np.array(latent.embed(df, "name", none).first().embedding)).sum() == 0
 
 
 def test_saved_model_and_new_texts(spark, docs, tmp_path):
-    model = latent.train(docs, "doc_id", dim=6, slots=512)
+    model = latent.train(docs, dim=6, slots=512)
     model.save(spark, str(tmp_path / "m"))
     again = latent.Latent.load(spark, str(tmp_path / "m"))
     assert np.array_equal(model.vectors, again.vectors) and np.array_equal(model.idf, again.idf) and np.array_equal(model.strengths, again.strengths)
@@ -85,7 +82,7 @@ def own_half_first(df, embed):
 
 def test_halves_find_each_other_better_than_by_hashed_counts(spark):
     df = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").filter(F.length("text") > 400).select("doc_id", "text").persist()
-    model = latent.train(df, "doc_id")
+    model = latent.train(df)
     learnt, hashed = own_half_first(df, lambda x: latent.embed(x, "doc_id", model)), own_half_first(df, lambda x: embedding.embed(x, "doc_id"))
     print(f"learnt {learnt:.3f} hashed {hashed:.3f}")
     assert learnt > hashed
