@@ -54,8 +54,11 @@ class Latent:
 
 
 @lru_cache(maxsize=CACHED)
-def _slots_of(word: str, slots: int) -> list[int]:
-    return [crc32(token.encode()) % slots for token in query_tokens(word)]
+def _slots_of(word: str, slots: int) -> list[tuple[int, int]]:
+    """(slot, times) of a word's tokens; a plain word has three equal ones, which are one pair."""
+    if "_" not in word and word[1:].islower():
+        return [(crc32(word.lower().encode()) % slots, 3)]
+    return list(Counter(crc32(token.encode()) % slots for token in query_tokens(word)).items())
 
 
 def _counted(texts: pa.Array, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,9 +68,9 @@ def _counted(texts: pa.Array, slots: int) -> tuple[np.ndarray, np.ndarray, np.nd
         text = text.as_py() or ""
         words = Counter(WORD.findall(text) if len(text) < LONG else (m[0] for m in WORD.finditer(text)))
         for word, n in words.items():
-            at = _slots_of(word, slots)
-            slot.extend(at)
-            times.extend([n] * len(at))
+            for at, each in _slots_of(word, slots):
+                slot.append(at)
+                times.append(n * each)
         ends.append(len(slot))
     row = np.repeat(np.arange(len(ends) - 1, dtype=np.int64), np.diff(ends))
     pair, place = np.unique(row * slots + np.frombuffer(slot, np.int64), return_inverse=True)
