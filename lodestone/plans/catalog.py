@@ -408,22 +408,22 @@ DIFFS = """items AS (
 
 
 def _diffs(read) -> DataFrame:
-    """Each order as a file's section, each line of it as a hunk."""
-    item = read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_returnflag", "l_linestatus")])
-    name, at = F.floor(F.col("l_orderkey") / 32), F.col("l_orderkey") * 100
-    first = item.select("l_orderkey").distinct()
-    heads = [(0, F.concat(F.lit("diff --git a/f"), name, F.lit(" b/f"), name)), (1, F.when(F.col("l_orderkey") % 9 == 0, "+++ /dev/null").otherwise(F.concat(F.lit("+++ b/f"), name)))]
-    flag = F.col("l_returnflag")
+    """Each order as a file's section, each line of it as a hunk. Items are dealt by diff, so that nothing but them is shuffled to make and to count lines."""
+    key = F.col("l_orderkey")
+    dealt = read("lineitem").select(F.floor(key / 100).alias("diff_id"), "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus").repartition("diff_id")
+    item = dealt.groupBy("diff_id", "l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_returnflag", "l_linestatus")])
+    first = F.row_number().over(Window.partitionBy("diff_id", "l_orderkey").orderBy("l_linenumber")) == 1
+    name, at, flag = F.floor(key / 32), key * 100, F.col("l_returnflag")
+    heads = [F.concat(F.lit("diff --git a/f"), name, F.lit(" b/f"), name), F.when(key % 9 == 0, "+++ /dev/null").otherwise(F.concat(F.lit("+++ b/f"), name))]
     rows = [
-        (0, F.concat(F.lit("@@ -1,3 +"), F.col("l_quantity").cast("int") * 10, F.lit(",3 @@ f"))),
-        (1, F.concat(F.when(flag == "R", "-").when(flag == "A", "+").otherwise(" "), "l_linestatus")),
-        (2, F.concat(F.when(F.col("l_linestatus") == "F", "+").otherwise("---"), flag)),
+        F.concat(F.lit("@@ -1,3 +"), F.col("l_quantity").cast("int") * 10, F.lit(",3 @@ f")),
+        F.concat(F.when(flag == "R", "-").when(flag == "A", "+").otherwise(" "), "l_linestatus"),
+        F.concat(F.when(F.col("l_linestatus") == "F", "+").otherwise("---"), flag),
     ]
-    place = at + F.col("l_linenumber") * 10
-    diff_id = F.floor(F.col("l_orderkey") / 100).alias("diff_id")
-    head = first.select(diff_id, F.explode(F.array(*[F.struct((at + i).alias("pos"), line.alias("line")) for i, line in heads])).alias("x"))
-    body = item.select(diff_id, F.explode(F.array(*[F.struct((place + i).alias("pos"), line.alias("line")) for i, line in rows])).alias("x"))
-    return head.union(body).select("diff_id", "x.*")
+    placed = lambda start, lines: F.array(*[F.struct((start + i).alias("pos"), line.alias("line")) for i, line in enumerate(lines)])
+    body = placed(at + F.col("l_linenumber") * 10, rows)
+    whole = F.when(F.col("first"), F.concat(placed(at, heads), body)).otherwise(body)
+    return item.withColumn("first", first).select("diff_id", F.explode(whole).alias("x")).select("diff_id", "x.*")
 
 
 def _touched(read) -> DataFrame:
