@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import Column
@@ -29,6 +31,9 @@ FENCE = "```"
 MAJOR = ["major", "incorrect", "wrong", "factually"]
 #: What a term is; scores of an index depend on it.
 IDENTIFIER, PIECE = "[A-Za-z_][A-Za-z0-9_]+", "[A-Z]+[a-z0-9]*|[a-z0-9]+"
+WORD = re.compile(IDENTIFIER)
+#: Words whose tokens a task remembers, and from how many characters a text's words are not listed at once.
+CACHED, LONG = 200_000, 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -37,7 +42,8 @@ def tokens(text: Column) -> Column:
     def parts(word: Column) -> Column:
         snake = F.transform(F.filter(F.split(word, "_"), lambda p: p != ""), F.lower)
         camel = F.transform(F.regexp_extract_all(word, F.lit(PIECE), F.lit(0)), F.lower)
-        return F.concat(F.array(F.lower(word)), snake, camel)
+        # A plain word is its own only part, both times; most are, and need no splitting.
+        return F.when(word.rlike("^[A-Za-z][a-z0-9]*$"), F.array_repeat(F.lower(word), 3)).otherwise(F.concat(F.array(F.lower(word)), snake, camel))
 
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(IDENTIFIER), F.lit(0)), parts))
 
@@ -50,6 +56,20 @@ def query_tokens(text: str) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=CACHED)
+def token_counts(word: str) -> tuple[tuple[str, int], ...]:
+    """The tokens of one word with how often each occurs."""
+    if "_" not in word and word[1:].islower():
+        return ((word.lower(), 3),)
+    return tuple(Counter(query_tokens(word)).items())
+
+
+def word_counts(text: str | None) -> Counter[str]:
+    """How often each identifier occurs in a text; those of a long text are never listed."""
+    found = WORD.findall(text) if text and len(text) < LONG else (m[0] for m in WORD.finditer(text or ""))
+    return Counter(found)
+
+
 def language_of(path: Column) -> Column:
     """By the extension; null for all others."""
     known = F.create_map(*map(F.lit, chain.from_iterable((x, language) for language, all_ in EXTENSIONS.items() for x in all_)))

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import query_tokens, tokens
+from lodestone.functions.text import CACHED, query_tokens, token_counts, word_counts
 from lodestone.plans.lineage import cut, spread
 
 K1, B = 1.5, 0.75
@@ -18,17 +18,66 @@ RRF_K = 60
 OVER_FETCH = 4
 #: Vectors of a block in a search of many queries.
 SLICE = 4_096
+#: Texts whose terms are counted into one batch.
+TEXTS = 256
 MODES = ("hybrid", "cosine", "bm25")
 
 
 def term_counts(docs: DataFrame, terms: list[str], id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, dl, tf array) in one pass: only the query's terms are counted, and no postings are shuffled."""
-    each = spread(docs.select(id_col, text_col)).select(id_col, tokens(F.col(text_col)).alias("__t"))
-
-    def of(term: str) -> Column:
-        return F.size(F.filter("__t", lambda x: x == term))
-
-    return each.select(id_col, F.size("__t").alias("dl"), F.array(*map(of, terms)).alias("tf"))
+    """(id, dl, tf array) in one pass: only the query's terms are counted, and no postings are shuffled. A text's words are counted first, and each word's tokens found once."""
+    place = {term: i for i, term in enumerate(terms)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[str, tuple[int, list[tuple[int, int]]]] = {}
+        for batch in batches:
+            lengths, counts = [], []
+            for text in batch.column(1):
+                length, found = 0, [0] * len(terms)
+                for word, n in word_counts(text.as_py()).items():
+                    if (known := told.get(word)) is None:
+                        tokens_ = token_counts(word)
+                        known = sum(c for _, c in tokens_), [(place[t], c) for t, c in tokens_ if t in place]
+                        if len(told) < CACHED:
+                            told[word] = known
+                    length += n * known[0]
+                    for i, c in known[1]:
+                        found[i] += n * c
+                lengths.append(length)
+                counts.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(counts, pa.list_(pa.int64()))], ["id", "dl", "tf"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"id {kind}, dl long, tf array<long>").withColumnRenamed("id", id_col)
+
+
+def all_term_counts(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, dl, term, tf) of every row and term of docs (id, text), row by row: nothing is shuffled, so rows of one id are counted apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part, sizes, lengths, terms, counts = batch.slice(at, TEXTS), [], [], [], []
+                for text in part.column(1):
+                    tf: dict[str, int] = {}
+                    for word, n in word_counts(text.as_py()).items():
+                        for token, c in token_counts(word):
+                            tf[token] = tf.get(token, 0) + n * c
+                    sizes.append(len(tf))
+                    lengths.append(sum(tf.values()))
+                    terms += tf
+                    counts += tf.values()
+                row = np.repeat(np.arange(part.num_rows), sizes)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(np.array(lengths, np.int64)[row]), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["id", "dl", "term", "tf"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"id {kind}, dl long, term string, tf long").withColumnRenamed("id", id_col)
+
+
+def terms_of(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, term, tf) with one row per id and term; counts are added by id only where an id has several rows, which one look at the ids tells."""
+    counts = all_term_counts(docs, id_col, text_col).drop("dl")
+    repeated = docs.groupBy(id_col).agg(F.count("*").alias("__n")).filter("__n > 1").limit(1).count()
+    return counts.groupBy(id_col, "term").agg(F.sum("tf").alias("tf")) if repeated else counts
 
 
 def bm25(docs: DataFrame, query: str, id_col: str, text_col: str = "text") -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import answering, blame, chunking, diff, embedding, graph, latent, names, postings, ranking, structure, vectors
-from lodestone.plans.lineage import spread
 from lodestone.sources import files
 
 QUERY = "the and tion that with the"
@@ -121,7 +120,7 @@ def _chunks(read) -> DataFrame:
 
 @query(f"WITH {TOKENS} SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tokens) GROUP BY doc_id, term")
 def tokenize_terms(read):
-    return spread(read("documents").select("doc_id", "text")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return ranking.terms_of(read("documents"), "doc_id")
 
 
 @query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm25")
