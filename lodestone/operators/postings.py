@@ -15,11 +15,13 @@ from collections import Counter, defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import query_tokens, tokens
-from lodestone.operators.ranking import B, K1
+from lodestone.functions.text import query_tokens
+from lodestone.operators.ranking import B, K1, all_term_counts
 from lodestone.plans.lineage import BROADCAST_ROWS, cut, folder, written
 
 BUCKETS = 64
+#: Postings of one file, which a task sorts.
+FILE = 500_000
 #: Classes of a term; their width is of the share of a posting's highest possible part.
 CLASSES = 24
 #: Documents of this length count as usual in classes; only how well classes sort depends on it.
@@ -36,10 +38,8 @@ def _bucket(term: Column) -> Column:
 
 def build(docs: DataFrame, id_col: str, text_col: str = "text") -> dict[str, DataFrame]:
     """The tables of an index of docs (id, text): postings (bucket, term, class, id, tf, dl), heads (bucket, term, class, n, most, least), lengths (id, dl) and totals (n, dl). Null texts have no terms; ids must be unique."""
-    # Texts are dealt by id, so that counting a document's terms needs no shuffle of them.
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    each = texts.repartition("id").select("id", tokens(F.col("text")).alias("t"))
-    counts = each.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counts = all_term_counts(texts, "id").select("id", F.col("dl").cast("int").alias("dl"), "term", F.col("tf").cast("int").alias("tf"))
     share = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / USUAL))
     postings = written(counts.select(_bucket(F.col("term")).alias("bucket"), "term", F.floor(share * CLASSES).cast("int").alias("class"), "id", "tf", "dl"))
     known = postings.groupBy("id").agg(F.max("dl").alias("dl"))
@@ -72,11 +72,11 @@ def write(index: dict[str, DataFrame], path: str | None = None) -> str:
     """Writes the tables, by default in a new folder beside the checkpoints; gives the path."""
     spark = index["postings"].sparkSession
     path = path or folder(spark, "postings")
-    # A term of very many postings is several files of its bucket: rows are dealt by bucket, class and a hash of id.
-    parts = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = index["postings"].repartition(parts, "bucket", "term", "class").sortWithinPartitions("bucket", "term", "class", "id")
+    # A bucket is as many files as it has slices of about FILE postings, by a hash of id: so a task sorts as much at any size of the corpus, also of a term that is everywhere.
+    slices = -(-index["postings"].count() // (BUCKETS * FILE)) or 1
+    dealt = index["postings"].repartition(BUCKETS * slices, "bucket", F.pmod(F.xxhash64("id", F.lit("slice")), F.lit(slices))).sortWithinPartitions("bucket", "term", "class", "id")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-    index["heads"].repartition(parts, "bucket").sortWithinPartitions("bucket", "term", "class").write.partitionBy("bucket").parquet(f"{path}/heads")
+    index["heads"].repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "class").write.partitionBy("bucket").parquet(f"{path}/heads")
     index["lengths"].write.parquet(f"{path}/lengths")
     index["totals"].write.parquet(f"{path}/totals")
     return path
