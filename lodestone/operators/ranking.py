@@ -20,6 +20,8 @@ OVER_FETCH = 4
 SLICE = 4_096
 #: Texts whose terms are counted into one batch.
 TEXTS = 256
+#: Numbers of a matrix of products that a task holds at a time.
+PAIRS = 1 << 20
 MODES = ("hybrid", "cosine", "bm25")
 
 
@@ -115,6 +117,25 @@ def top(scores: DataFrame, k: int, id_col: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
 
 
+def pieces(rows: int, width: int) -> Iterator[slice]:
+    """Slices of rows, so that a matrix of a slice by width has no more than PAIRS numbers (or is one row)."""
+    step = max(1, PAIRS // max(1, width))
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
+def best_of(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of queries, row of vectors, score) of the k best for each query, ties by row; all products of a few queries are held at a time."""
+    vectors, rows, found, score = vectors.astype(np.float64), [], [], []
+    for part in pieces(len(queries), len(vectors)):
+        scores = queries[part].astype(np.float64) @ vectors.T
+        order = np.argsort(-np.round(scores, 6), axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(scores)), order.shape[1])
+        rows.append(row + part.start)
+        found.append(order.ravel())
+        score.append(scores[row, order.ravel()])
+    return (np.concatenate(rows), np.concatenate(found), np.concatenate(score)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
 def cosine_batch(chunks: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int) -> DataFrame:
     """(query, id, score, rank): the k best chunks (id, embedding) for each of queries (query, embedding), all against all in blocks, exact.
 
@@ -141,11 +162,9 @@ def cosine_batch(chunks: DataFrame, queries: DataFrame, id_col: str, query_col:
         sizes = np.unique(np.diff(vectors.offsets.to_numpy()))
         if len(sizes) > 1:
             raise ValueError(f"vectors have {sizes.tolist()} dimensions; they must have the same number")
-        matrix = vectors.flatten().to_numpy().reshape(len(ids), -1).astype(np.float64)
-        scores = matrix[q] @ matrix[v].T
-        order = np.argsort(-np.round(scores, 6), axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(q)), order.shape[1])
-        return pa.table({"q": ids[q][row], "id": ids[v][order.ravel()], "score": scores[row, order.ravel()]})
+        matrix = vectors.flatten().to_numpy().reshape(len(ids), -1)
+        row, found, score = best_of(matrix[q], matrix[v], k)
+        return pa.table({"q": ids[q][row], "id": ids[v][found], "score": score})
 
     both = left.union(right)
     kind = both.schema["id"].dataType.simpleString()

@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.ranking import SLICE
+from lodestone.operators.ranking import SLICE, best_of, pieces
 from lodestone.plans.lineage import cut, folder
 
 #: Centroids are learnt from about so many vectors, by a hash of the id; there are at most so many (they are broadcast, and a row for each comes to the driver).
@@ -75,8 +75,8 @@ def build(vectors: DataFrame, id_col: str, centroids: np.ndarray, path: str | No
         c = shared.value
         half = (c * c).sum(1) / 2
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for rows in pieces(batch.num_rows, len(c)):
+                part = batch.slice(rows.start, rows.stop - rows.start)
                 x = _matrix(part.column(1), c.shape[1])
                 nearest = np.argmax(x @ c.T - half, axis=1)
                 apart = np.sqrt(((x - c[nearest]) ** 2).sum(1))
@@ -102,8 +102,9 @@ def _asked(queries: DataFrame, index: Lists, probes: int, reached: bool) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, radii, filled = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            # A vector goes out once for each of its lists, so few are taken at a time where there are many lists.
+            for rows in pieces(batch.num_rows, len(centroids) * centroids.shape[1]):
+                part = batch.slice(rows.start, rows.stop - rows.start)
                 q = _matrix(part.column(1), centroids.shape[1])
                 score = q @ centroids.T
                 score[:, ~filled] = -np.inf
@@ -141,14 +142,8 @@ def _scored(spark: SparkSession, index: Lists, asked: DataFrame, k: int) -> Data
             return pa.table({"query": q.column("query").slice(0, 0), "id": v.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
         v = v.take(pa.compute.sort_indices(v.column("id")))
         x = _matrix(v.column("embedding").combine_chunks())
-        out = []
-        for at in range(0, len(q), 512):
-            part = q.slice(at, 512).combine_chunks()
-            scores = _matrix(part.column("embedding").combine_chunks(), x.shape[1]) @ x.T
-            order = np.argsort(-np.round(scores, 6), axis=1, kind="stable")[:, :k]
-            row = np.repeat(np.arange(len(part)), order.shape[1])
-            out.append(pa.table({"query": part.column("query").take(pa.array(row)), "id": v.column("id").take(pa.array(order.ravel())), "score": scores[row, order.ravel()]}))
-        return pa.concat_tables(out)
+        row, found, score = best_of(_matrix(q.column("embedding").combine_chunks(), x.shape[1]), x, k)
+        return pa.table({"query": q.column("query").take(pa.array(row)), "id": v.column("id").take(pa.array(found)), "score": score})
 
     keys = ("list", "i", "j")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"query {query_kind}, id {index.kind}, score double")

@@ -84,3 +84,18 @@ def test_odd_vectors(spark):
     named = df.selectExpr("concat('v', vec_id) AS vec_id", "embedding")
     by_name = vectors.build(named, "vec_id", index.centroids)
     assert vectors.search(by_name, named.filter("vec_id = 'v3'"), "vec_id", 1, exact=True).first().id == ranking.top(ranking.cosine(named, named.filter("vec_id = 'v3'"), "vec_id"), 1, "vec_id").first().vec_id
+
+
+def test_products_are_held_a_few_at_a_time():
+    import tracemalloc
+
+    rnd = np.random.default_rng(2)
+    q, v = rnd.standard_normal((2000, 16)).astype(np.float32), rnd.standard_normal((4096, 16)).astype(np.float32)
+    tracemalloc.start()
+    row, found, score = ranking.best_of(q, v, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6  # all products at once are 65 MB, and 200 with their order
+    want = np.argsort(-np.round(q.astype(float) @ v.T.astype(float), 6), axis=1, kind="stable")[:, :3]
+    assert (found.reshape(-1, 3) == want).all() and (row == np.repeat(np.arange(2000), 3)).all() and len(score) == 6000
+    assert [s.stop - s.start for s in ranking.pieces(5, ranking.PAIRS)] == [1] * 5 and [*ranking.pieces(0, 7)] == []
