@@ -70,7 +70,7 @@ def statements(code: DataFrame) -> DataFrame:
     here = ["file_path", "block"]
     pieces = code.select("file_path", block_of(F.col("pos")).alias("block"), "pos", F.posexplode(F.regexp_extract_all("code", F.lit("[^;{}]*[;{}]|[^;{}]+"), F.lit(0))).alias("i", "piece"))
     mark = F.when(F.col("piece").rlike("[;{}]$"), F.right("piece", F.lit(1)))
-    pieces = pieces.withColumn("mark", mark)
+    pieces = written(pieces.withColumn("mark", mark))  # lexed once: counted, put together and matched
     order = Window.partitionBy(*here).orderBy("pos", "i").rowsBetween(Window.unboundedPreceding, -1)
     counts = pieces.groupBy(*here).agg(F.count("mark").alias("n"))
     counts = counts.select(*here, F.coalesce(F.sum("n").over(Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))

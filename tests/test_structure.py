@@ -160,3 +160,10 @@ def test_many_lines_of_one_file(spark):
     n = 3 * chunking.BLOCK
     text = "class A {\n" + "// {\n" * n + "void f() {\n" + "x;\n" * n + "}\n};\n"
     assert found(spark, [("a", "cpp", text)]) == {("class", "A", 1, 2 * n + 4), ("method", "A::f", n + 2, 2 * n + 3)}
+
+
+def test_statements_are_lexed_once(spark):
+    code = spark.createDataFrame([("f", 1, "class A {"), ("f", 2, "}")], "file_path string, pos int, code string")
+    found = structure.statements(code)
+    assert sorted((r.number, r.mark) for r in found.collect()) == [(0, "{"), (1, "}")]
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
