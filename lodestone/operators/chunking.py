@@ -121,20 +121,25 @@ def block_of(pos: Column) -> Column:
     return F.floor((pos - 1) / BLOCK)
 
 
-def block_ends(lines: DataFrame) -> DataFrame:
-    """(file_path, pos, end_line) of every line (pos from 1): where the first brace block that opens on it or later closes, else the file's last line."""
+def block_ends(lines: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(file_path, pos, end_line) of every line (pos from 1), or of those asked (file_path, pos) and some more: where the first brace block that opens on it or later closes, else the file's last line. Asked for some, only these and lines with braces are sorted."""
     spot, here = ["file_path", "block", "pos"], ["file_path", "block"]
     lines = lines.select("file_path", block_of(F.col("pos")).alias("block"), "pos", "line")
     signs = F.expr("filter(transform(split(line, ''), (c, i) -> struct(i AS i, CASE c WHEN '{' THEN 1 WHEN '}' THEN -1 END AS step)), x -> x.step IS NOT NULL)")
     braces = lines.filter("line LIKE '%{%' OR line LIKE '%}%'").select(*spot, F.explode(signs).alias("x")).select(*spot, "x.*")
     close = F.when(F.col("next.step") < 0, F.col("next.pos"))
     first = matched(braces).filter("step = 1").groupBy(*spot).agg(F.min_by(F.struct(close.alias("e")), "i").alias("m"))
-    joined = lines.select(*spot).join(first, spot, "left")
-    blocks = joined.groupBy(*here).agg(F.max("pos").alias("last"), F.min_by("m", F.when(F.col("m").isNotNull(), F.col("pos"))).alias("m"))  # a row per block
-    file, after = Window.partitionBy("file_path"), Window.partitionBy("file_path").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*here, F.max("last").over(file).alias("last"), F.last("m", ignorenulls=True).over(after).alias("after"))
+    if asked is None:
+        spots = lines.select(*spot)
+    else:
+        first = written(first)
+        spots = asked.select("file_path", block_of(F.col("pos")).alias("block"), "pos").union(first.select(*spot)).distinct()
+    joined = spots.join(first, spot, "left")
+    blocks = joined.groupBy(*here).agg(F.min_by("m", F.when(F.col("m").isNotNull(), F.col("pos"))).alias("m"))  # a row per block
+    after = Window.partitionBy("file_path").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*here, F.last("m", ignorenulls=True).over(after).alias("after"))
     from_here = Window.partitionBy(*here).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
-    found = joined.withColumn("m", F.last("m", ignorenulls=True).over(from_here)).join(blocks, here)
+    found = joined.withColumn("m", F.last("m", ignorenulls=True).over(from_here)).join(blocks, here).join(lines.groupBy("file_path").agg(F.max("pos").alias("last")), "file_path")
     return found.select("file_path", "pos", F.coalesce(F.coalesce("m", "after")["e"], F.col("last")).cast("int").alias("end_line"))
 
 
@@ -166,21 +171,22 @@ def brace_chunks(files: DataFrame, language: str | None = None) -> DataFrame:
     files = files.filter(F.col("language").isin(languages))
     lines = files.select("file_path", "language", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("file_path", "language", (F.col("p") + 1).alias("pos"), "line")
     symbol = _by_language({x: _symbol(x) for x in languages}, F.lit(None).cast("struct<kind:string,name:string>"))
-    starts = lines.select("file_path", "pos", symbol.alias("s")).filter("s IS NOT NULL")
-    found = starts.join(block_ends(lines.drop("language")), ["file_path", "pos"]).select("file_path", "s.*", F.col("pos").alias("start_line"), "end_line")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    chunks = spans.within(found, lines.select("file_path", "pos", "line"), "pos").groupBy("file_path", "name", "kind", "start_line", "end_line").agg(text.alias("text"))
-    chunks = chunks.withColumn("calls", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?U){CALL}"), F.lit(0)))))
-    # Lines outside: left over by the covered ones of their bin.
-    covered = spans.binned(found).select(F.col("file_path").alias("__file"), "__bin", "start_line", "end_line")
+    starts = written(lines.select("file_path", "pos", symbol.alias("s")).filter("s IS NOT NULL"))
+    found = starts.join(block_ends(lines.drop("language"), starts), ["file_path", "pos"]).select("file_path", "s.*", F.col("pos").alias("start_line"), "end_line")
+    # Lines meet the symbols around them once: those that meet none are the rest of their file.
+    around = spans.binned(found).withColumnRenamed("file_path", "__file")
     inside = (F.col("file_path") == F.col("__file")) & (spans.bin_of(F.col("pos")) == F.col("__bin")) & F.col("pos").between(F.col("start_line"), F.col("end_line"))
-    rest = lines.join(covered, inside, "left_anti").groupBy("file_path").agg(text.alias("text"))
-    lengths = lines.groupBy("file_path").agg(F.max("pos").alias("end_line"))
-    none = F.array().cast("array<string>")
-    rest = rest.filter(F.col("text").rlike(r"\S")).join(lengths, "file_path").select("file_path", F.lit("<module>").alias("name"), F.lit("module").alias("kind"), F.lit(1).alias("start_line"), "end_line", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"), none.alias("calls"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    parts = lines.select("file_path", "pos", "line").join(around, inside, "left").groupBy("file_path", "name", "kind", "start_line", "end_line").agg(text.alias("text"))
+    lengths = files.groupBy("file_path").agg(F.max(F.size(F.split("text", "\n"))).alias("last"))
+    none, is_rest = F.array().cast("array<string>"), F.col("start_line").isNull()
+    parts = parts.filter(~is_rest | F.col("text").rlike(r"\S")).join(lengths, "file_path")
+    calls = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?U){CALL}"), F.lit(0))))
+    filled = {"name": "<module>", "kind": "module", "start_line": 1, "end_line": F.col("last"), "text": F.regexp_replace("text", r"^\s+|\s+$", ""), "calls": none}
+    chunks = parts.select("file_path", *[F.when(is_rest, F.lit(v)).otherwise(calls if c == "calls" else F.col(c)).alias(c) for c, v in filled.items()])
     imported = _by_language({x: F.regexp_extract_all("text", F.lit(f"(?U){IMPORTS[x]}"), F.lit(1)) for x in languages}, none)
     imports = files.select("file_path", "language", F.array_sort(F.array_distinct(imported)).alias("imports"))
-    return chunks.unionByName(rest).join(imports, "file_path").select("file_path", F.col("name").alias("symbol_name"), F.col("kind").alias("symbol_kind"), "language", "start_line", "end_line", "text", "calls", "imports")
+    return chunks.join(imports, "file_path").select("file_path", F.col("name").alias("symbol_name"), F.col("kind").alias("symbol_kind"), "language", "start_line", "end_line", "text", "calls", "imports")
 
 
 class _Names(ast.NodeVisitor):
