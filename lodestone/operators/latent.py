@@ -124,6 +124,19 @@ def _gram(counts: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
+def counted(docs: DataFrame, id_col: str | None, text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+    """(id, slot, times) of docs (id, text), a row for each of theirs, written: counted once, to learn from and to apply to. Without an id it is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, slot, times = _counted(batch.column(1), slots)
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (slot, times)]], ["id", "slot", "times"])
+
+    chosen = docs.select((F.lit(None).cast("int") if id_col is None else F.col(id_col)).alias("id"), text_col)
+    return written(spread(chosen).mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, slot array<int>, times array<int>"))
+
+
 def train(docs: DataFrame, dim: int = DIM, text_col: str = "text", slots: int = SLOTS, rounds: int = ROUNDS, seed: int = 1) -> Latent:
     """The dim strongest directions of the tf-idf of all texts, (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) by rows of unit length.
 
@@ -132,13 +145,13 @@ def train(docs: DataFrame, dim: int = DIM, text_col: str = "text", slots: int =
     directions than dim, the rest are zero. Signs are set so that each direction's largest entry is positive.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, slot, times = _counted(batch.column(0), slots)
-            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (slot, times)], ["slot", "times"])
+    counts = counted(docs, None, text_col, slots)
+    return train_counted(counts, dim, slots, rounds, seed)
+
 
-    counts = written(spread(docs.select(text_col)).mapInArrow(run, "slot array<int>, times array<int>"))  # read once a round
+def train_counted(counts: DataFrame, dim: int = DIM, slots: int = SLOTS, rounds: int = ROUNDS, seed: int = 1) -> Latent:
+    """train() of texts that counted() has counted in as many slots."""
+    counts = counts.select("slot", "times")  # read once a round
     n, held = counts.count(), counts.select(F.explode("slot").alias("slot")).groupBy("slot").agg(F.count("*").alias("df")).toArrow()  # a row per slot
     df = np.zeros(slots)
     df[held.column("slot").to_numpy()] = held.column("df").to_numpy()
@@ -159,22 +172,43 @@ def train(docs: DataFrame, dim: int = DIM, text_col: str = "text", slots: int =
     return Latent(idf, out, strong)
 
 
+def _directed(blocks: Iterator[tuple[int, np.ndarray, np.ndarray]], vectors: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+    """(id, embedding) of _blocks() in the directions of vectors; sums are of doubles, so that equal texts have equal vectors wherever they stand."""
+    dim = vectors.shape[1]
+    out = np.zeros((len(ids), dim))
+    for first, used, block in blocks:
+        out[first : first + ROWS] = block.astype(np.float64) @ vectors[used].astype(np.float64)
+    length = np.sqrt((out * out).sum(1))
+    out /= np.where(length > LEAST, length, np.inf)[:, None]
+    ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * dim)
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, pa.array(out.astype(np.float32).ravel()))], ["id", "embedding"])
+
+
 def embed(docs: DataFrame, id_col: str, model: Latent, text_col: str = "text") -> DataFrame:
     """(id, embedding) with the texts' unit vectors in the model's directions; the zero vector for a text without tokens or with none that the model tells."""
-    slots, dim = model.vectors.shape
+    slots = len(model.vectors)
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.vectors.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, vectors = shared.value
         for batch in batches:
-            out = np.zeros((batch.num_rows, dim))
-            for first, used, block in _blocks(*_counted(batch.column(1), slots), idf, batch.num_rows):
-                out[first : first + ROWS] = block @ vectors[used]
-            length = np.sqrt((out * out).sum(1))
-            out /= np.where(length > LEAST, length, np.inf)[:, None]
-            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(out.astype(np.float32).ravel()))], ["id", "embedding"])
+            yield _directed(_blocks(*_counted(batch.column(1), slots), idf, batch.num_rows), vectors, batch.column(0))
 
     found = spread(docs.select(F.col(id_col).alias("id"), text_col)).mapInArrow(run, f"id {kind}, embedding array<float>")
     return found.withColumnRenamed("id", id_col)
+
+
+def embed_counted(counts: DataFrame, id_col: str, model: Latent) -> DataFrame:
+    """embed() of texts that counted() has counted in the model's slots."""
+    kind = counts.schema["id"].dataType.simpleString()
+    shared = counts.sparkSession.sparkContext.broadcast((model.idf, model.vectors.astype(np.float32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, vectors = shared.value
+        for batch in batches:
+            slot = batch.column(1)
+            row = np.repeat(np.arange(len(slot), dtype=np.int64), np.diff(slot.offsets.to_numpy()))
+            yield _directed(_blocks(row, slot.flatten().to_numpy(), batch.column(2).flatten().to_numpy(), idf, len(slot)), vectors, batch.column(0))
+
+    return counts.select("id", "slot", "times").mapInArrow(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)

@@ -670,8 +670,8 @@ def embed_hash(read):
 @query()
 def embed_latent(read):
     """Vectors of all documents in the directions learnt from all of them."""
-    docs = read("documents").select("doc_id", "text")
-    return latent.embed(docs, "doc_id", latent.train(docs))
+    counts = latent.counted(read("documents"), "doc_id")
+    return latent.embed_counted(counts, "doc_id", latent.train_counted(counts))
 
 
 # Both format halves upwards, as Spark does: DuckDB's printf takes the even digit.

@@ -91,3 +91,13 @@ def test_halves_find_each_other_better_than_by_hashed_counts(spark):
 def test_query(spark):
     rows = catalog.QUERIES["embed_latent"](spark, f"{DATA}/sf0.001").collect()
     assert len(rows) == 200 and all(len(r.embedding) == 64 for r in rows)
+
+
+def test_counted_once_gives_the_same(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (4, "one three two " * 50), (5, "snake_case Words"), (6, "one two")], "doc_id long, text string")
+    counts = latent.counted(df, "doc_id")
+    assert {r.id: len(r.slot) for r in counts.collect()}.keys() == {1, 2, 3, 4, 5, 6}
+    model = latent.train_counted(counts)
+    got = {r.doc_id: r.embedding for r in latent.embed_counted(counts, "doc_id", model).collect()}
+    want = {r.doc_id: r.embedding for r in latent.embed(df, "doc_id", latent.train(df)).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(np.abs(got[k]), np.abs(want[k]), atol=1e-4) for k in got) and got[3] == got[6]
