@@ -1,14 +1,22 @@
-"""Structure of C++ and C# sources: declarations with the types they stand in, by a lexer and a scope stack in SQL.
+"""Structure of C++ and C# sources: declarations with the types they stand in, by a lexer and a scope stack.
 
-The lexer blanks comments, strings and characters. What a line leaves open (a block comment, a verbatim or a raw
+The lexer blanks comments, strings and characters. Code is then cut into statements at ; and braces, over line ends; a
+statement that opens a brace, or is one of a few forms without, may declare something. A source that comes as one text
+is read once, from its beginning to its end, within the task that has it: nothing is shuffled.
+
+Sources that come as tables of lines are not put together. What a line leaves open (a block comment, a verbatim or a raw
 string) depends on what it begins in, so each line has a table from the state at its beginning to that at its end;
-tables are composed within blocks of lines, then over a file's blocks, which tells every line's state. Code is then cut
-into statements at ; and braces, over line ends; a statement that opens a brace, or is one of a few forms without, may
-declare something. The innermost type around a declaration is the last one before it that opened one level above.
+tables are composed within blocks of lines, then over a file's blocks, which tells every line's state. The innermost
+type around a declaration is the last one before it that opened one level above.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +25,38 @@ from lodestone.plans.lineage import written
 
 #: Lines whose states are composed at a time.
 LEXED = 256
-#: What is blanked. Groups catch what stays open at a line's end: states 1 to 3.
-_GONE = r"""//.*$|/\*.*?\*/|(/\*).*$|\bR"\(.*?\)"|\b(R")\(.*$|@\$?"(?:[^"]|"")*+"|(@\$?")(?:[^"]|"")*+$|"(?:\\.|[^"\\])*+\\?"?|(?<![0-9A-Fa-f])'(?:\\.|[^'\\])*+\\?'?"""
+#: Texts whose declarations are found into one batch, and up to how many characters a statement, once told, is remembered.
+TEXTS, SHORT = 256, 200
+#: What is blanked; lines end at \n alone. Groups catch what stays open at a line's end: states 1 to 3.
+_GONE = r"""(?d)//.*$|/\*.*?\*/|(/\*).*$|\bR"\(.*?\)"|\b(R")\(.*$|@\$?"(?:[^"]|"")*+"|(@\$?")(?:[^"]|"")*+$|"(?:\\.|[^"\\])*+\\?"?|(?<![0-9A-Fa-f])'(?:\\.|[^'\\])*+\\?'?"""
 _OPEN = ["/*", "R\"", "\""]
 #: How each open state ends.
-_ENDS = [r"^.*?\*/", r"^.*?\)\"", r'^(?:[^"]|"")*+"']
+_ENDS = [r"(?d)^.*?\*/", r"(?d)^.*?\)\"", r'^(?:[^"]|"")*+"']
+#: The same over a whole text, and what else a reader stops at: ; and braces, and the beginning of a preprocessor line.
+#: Every alternative begins with a character of its own, so that what lies between is skipped.
+_STOPS = re.compile(r""";|\{|\}|\n[ \t\x0b\f\r]*#|/(?:/[^\n]*+|\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/)?)|R(?<!\wR)"\([^)]*+(?:\)(?!")[^)]*+)*+(?:\)")?|@\$?"[^"]*+(?:""[^"]*+)*+"?|"[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+\\?"?|'(?<![0-9A-Fa-f]')[^'\\\n]*+(?:\\[^\n][^'\\\n]*+)*+\\?'?""")
 _NAME, _GENERIC = r"[^\W\d]\w*", r"(?:\s*<[^()]*?>)?"
 #: Words that stand before a bracket without naming a function.
 _CONTROL = "if|for|foreach|while|switch|catch|return|using|lock|fixed|sizeof|alignas|decltype|noexcept|when|else|do|new|throw|operator"
 _ROUND = r"\((?:[^()]|\((?:[^()]|\([^()]*+\))*+\))*+\)"
 TYPES = ("class", "struct", "interface", "record")
+#: What stands before a declaration: access, attributes, templates.
+_ACCESS = r"^ *(?:(?:public|private|protected)(?: \w+)? ?:(?!:) *|\[[^\]]*\] *)+"
+_TEMPLATE = r"^(?:(?:template ?<(?:[^<>]|<(?:[^<>]|<[^<>]*+>)*+>)*+>|export) ?)+"
+_MODIFIERS = r"^(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|ref|file|new|unsafe|typedef|inline|constexpr|virtual|override|async|extern|friend|required) )*"
+#: A type: its word and its name; all that may follow it; what may follow a record.
+_TYPED = rf"{_MODIFIERS}(class|struct|interface|record|enum)(?: (?:class|struct))?(?: (?:\[\[.*?\]\]|alignas ?\([^()]*\)))*(?: ({_NAME}(?:::{_NAME})*))?"
+_TYPE = rf"{_TYPED}(?: ?<.*>)?(?: final)?(?: ?:(?!:).*| where .*)?$"
+_RECORD = rf"{_TYPED}{_GENERIC} ?{_ROUND}(?: ?:.*| where .*)?$"
+_SPACE = r"^(?:inline )?namespace(?: ([\w:.]+))?$"
+#: What follows a function's arguments: qualifiers, a trailing type, initialisers, constraints, or an expression.
+_TAIL = r"(?: ?(?:const|volatile|override|final|noexcept(?: ?\([^()]*\))?|mutable|&&?|try)\b ?)*(?: ?->.*| ?:(?!:).*| where .*| ?=>.*)?$"
+_CALL = rf"^(?!(?:{_CONTROL})\b)(?:[^()=]*?[\s*&>\]])?((?:{_NAME}(?:<[^()]*>)?::)*~?{_NAME}|(?:{_NAME}::)*operator ?[^\s(]+){_GENERIC} ?{_ROUND}{_TAIL}"
+_CALLED = rf"(^|::)(?:{_CONTROL})$"
+_WORDS = r"^(?:else|do|try|return|throw|new|await|goto|case|delete)\b"
+_SHORT = r"\) ?(?:where .*)?=>"
+NOWHERE = "<anonymous>"
+FOUND = "file_path string, language string, symbol_kind string, symbol_name string, start_line int, end_line int"
 
 
 def lexed(lines: DataFrame) -> DataFrame:
@@ -87,30 +117,103 @@ def statements(code: DataFrame) -> DataFrame:
 
 def _declared(language: Column) -> Column:
     """kind and name that a statement's text may declare; methods and constructors are functions here."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\s+", " "), r"[;{} ]+$", ""), r"^ *(?:(?:public|private|protected)(?: \w+)? ?:(?!:) *|\[[^\]]*\] *)+", ""))
-    head = F.regexp_replace(text, rf"^(?:(?:template ?<(?:[^<>]|<(?:[^<>]|<[^<>]*+>)*+>)*+>|export) ?)+", "")
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\s+", " "), r"[;{} ]+$", ""), _ACCESS, ""))
+    head = F.regexp_replace(text, _TEMPLATE, "")
     sharp = language == "csharp"
-    modifiers = r"^(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|ref|file|new|unsafe|typedef|inline|constexpr|virtual|override|async|extern|friend|required) )*"
-    typed = rf"{modifiers}(class|struct|interface|record|enum)(?: (?:class|struct))?(?: (?:\[\[.*?\]\]|alignas ?\([^()]*\)))*(?: ({_NAME}(?:::{_NAME})*))?"
-    kind = F.regexp_extract(head, typed, 1)
-    named = F.regexp_extract(head, typed, 2)
-    is_type = head.rlike(rf"{typed}(?: ?<.*>)?(?: final)?(?: ?:(?!:).*| where .*)?$") | (sharp & (kind == "record") & head.rlike(rf"{typed}{_GENERIC} ?{_ROUND}(?: ?:.*| where .*)?$"))
-    space = r"^(?:inline )?namespace(?: ([\w:.]+))?$"
-    # What follows a function's arguments: qualifiers, a trailing type, initialisers, constraints, or an expression.
-    tail = r"(?: ?(?:const|volatile|override|final|noexcept(?: ?\([^()]*\))?|mutable|&&?|try)\b ?)*(?: ?->.*| ?:(?!:).*| where .*| ?=>.*)?$"
-    call = rf"^(?!(?:{_CONTROL})\b)(?:[^()=]*?[\s*&>\]])?((?:{_NAME}(?:<[^()]*>)?::)*~?{_NAME}|(?:{_NAME}::)*operator ?[^\s(]+){_GENERIC} ?{_ROUND}{tail}"
-    function = F.regexp_extract(head, call, 1)
-    is_function = head.rlike(call) & ~function.rlike(rf"(^|::)(?:{_CONTROL})$") & ~head.rlike(r"^(?:else|do|try|return|throw|new|await|goto|case|delete)\b")
+    kind = F.regexp_extract(head, _TYPED, 1)
+    named = F.regexp_extract(head, _TYPED, 2)
+    is_type = head.rlike(_TYPE) | (sharp & (kind == "record") & head.rlike(_RECORD))
+    function = F.regexp_extract(head, _CALL, 1)
+    is_function = head.rlike(_CALL) & ~function.rlike(_CALLED) & ~head.rlike(_WORDS)
     # Without a brace: a namespace of a whole file, a record, a method that is an expression.
     ended = F.col("mark") == ";"
-    short = sharp & (head.rlike(space) | ((kind == "record") & is_type) | (is_function & head.rlike(r"\) ?(?:where .*)?=>")))
+    short = sharp & (head.rlike(_SPACE) | ((kind == "record") & is_type) | (is_function & head.rlike(_SHORT)))
     pick = lambda k, n: F.struct(k.alias("kind"), n.alias("name"))
-    filled = lambda n: F.when(n == "", "<anonymous>").otherwise(n)
-    found = F.when(head.rlike(space), pick(F.lit("namespace"), filled(F.regexp_extract(head, space, 1))))
+    filled = lambda n: F.when(n == "", NOWHERE).otherwise(n)
+    found = F.when(head.rlike(_SPACE), pick(F.lit("namespace"), filled(F.regexp_extract(head, _SPACE, 1))))
     found = found.when(is_type & (kind != "") & ((named != "") | sharp), pick(kind, filled(named))).when(is_function, pick(F.lit("function"), F.regexp_replace(function, " ", "")))
     return F.when((F.col("mark") == "{") | (ended & short), found)
 
 
+def _expression(pattern: str) -> re.Pattern[str]:
+    """A pattern as Spark reads it: classes hold ASCII alone, bounds of words don't."""
+    return re.compile("(?a:" + pattern.replace(r"\b", r"(?u:\b)") + ")")
+
+
+_E = {p: _expression(p) for p in (r"\s+", r"\S", _ACCESS, _TEMPLATE, _TYPED, _TYPE, _RECORD, _SPACE, _CALL, _CALLED, _WORDS, _SHORT)}
+
+
+def _told(text: str, sharp: bool) -> tuple[str, str] | None:
+    """_declared() of one statement, its mark at the end."""
+    ended = text[-1] == ";"
+    text = _E[_ACCESS].sub("", _E[r"\s+"].sub(" ", text).rstrip(";{} ")).strip(" ")
+    head = _E[_TEMPLATE].sub("", text)
+    typed = _E[_TYPED].match(head)
+    kind, named = (typed[1], typed[2] or "") if typed else ("", "")
+    space = _E[_SPACE].match(head)
+    is_type = kind != "" and bool(_E[_TYPE].match(head) or sharp and kind == "record" and _E[_RECORD].match(head))
+    call = "(" in head and _E[_CALL].match(head)
+    function = call[1] if call and not _E[_CALLED].search(call[1]) and not _E[_WORDS].match(head) else None
+    if ended and not (sharp and (space or kind == "record" and is_type or function is not None and _E[_SHORT].search(head))):
+        return None
+    if space:
+        return "namespace", space[1] or NOWHERE
+    if is_type and (named or sharp):
+        return kind, named or NOWHERE
+    return None if function is None else ("function", function.replace(" ", ""))
+
+
+_remembered = lru_cache(maxsize=1 << 16)(_told)
+
+
+def declared(text: str, sharp: bool) -> list[tuple[str, str, int, int]]:
+    """(kind, name, start_line, end_line) of one C# or else C++ source, in one pass from its beginning to its end."""
+    text = "\n" + text  # each line has its end before it
+    found: list[list] = []
+    open_: list[tuple[str | None, str | None, int | None]] = []  # kind, name and place among those found of each brace that is open
+    parts: list[tuple[int, int]] = []  # code of the statement so far, which goes on from at
+    at = line = counted = 0
+
+    def line_of(place: int) -> int:
+        nonlocal line, counted
+        line, counted = line + text.count("\n", counted, place), place
+        return line
+
+    for stop in _STOPS.finditer(text):
+        start, mark = stop.start(), text[stop.start()]
+        if mark not in ";{}":
+            if start > at:
+                parts.append((at, start))
+            end = stop.end()
+            if mark == "\n" and start >= at and (end := text.find("\n", end)) < 0:
+                end = len(text)
+            at = max(at, end)
+        elif start >= at:  # not on a preprocessor line
+            parts.append((at, start))
+            told = None
+            if mark == "{" or mark == ";" and sharp:
+                code = " ".join([text[a:b] for a, b in parts]) + mark
+                told = (_remembered if len(code) <= SHORT else _told)(code, sharp)
+            place = None
+            if told:
+                kind, name = told
+                around, type_ = open_[-1][:2] if open_ else ("namespace", None)
+                if kind == "function" and around in TYPES:
+                    kind = "constructor" if sharp and name == type_ else "method"
+                    name = name if sharp or "::" in name else f"{type_}::{name}"
+                if around == "namespace" or around in TYPES:
+                    first = next((m.start() for a, b in parts if (m := _E[r"\S"].search(text, a, b))), start)
+                    place = len(found)
+                    found.append([kind, name, line_of(first), line_of(start) if mark == ";" and kind != "namespace" else None])
+            if mark == "{":
+                open_.append((*(told or (None, None)), place))
+            elif mark == "}" and open_ and (place := open_.pop()[2]) is not None:
+                found[place][3] = line_of(start)
+            parts, at = [], start + 1
+    last = line_of(len(text))
+    return [(kind, name, first, last if end is None else end) for kind, name, first, end in found]
+
+
 def declarations(files: DataFrame) -> DataFrame:
     """(file_path, language, symbol_kind, symbol_name, start_line, end_line) of C++ and C# files (file_path, language, text).
 
@@ -119,11 +222,32 @@ def declarations(files: DataFrame) -> DataFrame:
     Only what stands at the top, in a namespace or in a type is declared: blocks inside functions are not. Signatures may
     span lines; braces in strings and comments don't count. An unclosed block ends with the file. Raw strings with a
     delimiter and braces in a constructor's initialisers are not known. Null texts give nothing.
+    Each file is read within the task that holds it.
     """
-    files = files.filter(F.col("language").isin("cpp", "csharp") & F.col("text").isNotNull()).select("file_path", "language", "text")
-    lines = files.select("file_path", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("file_path", (F.col("p") + 1).alias("pos"), "line")
-    last = files.select("file_path", "language", F.size(F.split("text", "\n")).alias("last"))
-    rows = statements(lexed(lines)).filter("mark IN ('{', ';')").join(last, "file_path").withColumn("d", _declared(F.col("language")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                sharp, found, rows = [x == "csharp" for x in part.column(1).to_pylist()], [], []
+                for i, text in enumerate(part.column(2)):
+                    if text.is_valid:
+                        found += (here := declared(text.as_py().decode("utf-8", "replace"), sharp[i]))
+                        rows += [i] * len(here)
+                told = list(zip(*found, strict=True)) or [()] * 4
+                kinds = [pa.string(), pa.string(), pa.int32(), pa.int32()]
+                row = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), *map(pa.array, told, kinds)], [c.split()[0] for c in FOUND.split(", ")])
+
+    # Bytes, since a text that is not quite UTF-8 is read all the same.
+    return files.filter(F.col("language").isin("cpp", "csharp")).select("file_path", "language", F.col("text").cast("binary").alias("text")).mapInArrow(run, FOUND)
+
+
+def declarations_of_lines(lines: DataFrame) -> DataFrame:
+    """The same of files that come as lines (file_path, language, pos from 1, line), by joins: no file is one task."""
+    lines = lines.filter(F.col("language").isin("cpp", "csharp"))
+    last = lines.groupBy("file_path").agg(F.first("language").alias("language"), F.max("pos").alias("last"))
+    rows = statements(lexed(lines.select("file_path", "pos", "line"))).filter("mark IN ('{', ';')").join(last, "file_path").withColumn("d", _declared(F.col("language")))
     # Around a statement stands the last opener before it one level up, if that is still open.
     opener = F.struct("number", "close", "close_i", F.col("d.kind").alias("kind"), F.col("d.name").alias("name"))
     asks = rows.filter("d IS NOT NULL").select("file_path", (F.col("level") - 1).alias("key"), "number", "pos", "i", "start_line", "close", "mark", "d", "language", "last", F.lit(None).cast("struct<number:bigint,close:int,close_i:int,kind:string,name:string>").alias("opener"))

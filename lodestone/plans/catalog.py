@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import answering, blame, chunking, diff, embedding, graph, latent, names, postings, ranking, structure, vectors
+from lodestone.plans.lineage import dealt
 from lodestone.sources import files
 
 QUERY = "the and tion that with the"
@@ -790,7 +791,8 @@ def structure_symbols(read):
     body = F.transform(lines, lambda w: F.concat(F.lit("  int f_"), F.get(w, F.lit(0)), F.lit("(\n    int a) { /* { "), F.array_join(w, " "), F.lit('\n  } */ g("} '), F.array_join(w, " "), F.lit('"); }\n')))
     text = F.concat(F.lit("namespace N"), "doc_id", F.lit(" {\nclass C"), "doc_id", F.lit(" {\n"), F.array_join(body, ""), F.lit("}\n}"))
     language = F.when(F.col("doc_id") % 2 == 0, "cpp").otherwise("csharp")
-    return structure.declarations(read("documents").select(F.concat(F.lit("d"), "doc_id").alias("file_path"), language.alias("language"), text.alias("text")))
+    documents = dealt(read("documents").select("doc_id", "text"), "doc_id")
+    return structure.declarations(documents.select(F.concat(F.lit("d"), "doc_id").alias("file_path"), language.alias("language"), text.alias("text")))
 
 
 @query("""SELECT conv_id, turn, tokens, cost, CAST(sum(tokens) OVER w AS BIGINT) AS total_tokens, CAST(sum(cost) OVER w AS BIGINT) AS total_cost, sum(tokens) OVER w > 100000 AND sum(tokens) OVER w - tokens <= 100000 AS crossed_tokens

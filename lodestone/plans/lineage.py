@@ -50,3 +50,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Deals rows out before work that is heavy per row, where the input has fewer partitions than the cluster has cores; larger inputs are left as they were read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Deals rows out by key before work that is heavy per row, where one partition holds half as much again as a core's share of them: a Parquet file's row group is read by one task, however many parts the file has. What is spread already is left as it was read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    held = df.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), key) if (held[0] or 0) * cores > 1.5 * (held[1] or 0) else df

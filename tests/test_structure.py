@@ -1,6 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from lodestone.operators import chunking, structure
+from lodestone.plans import lineage
 
 CPP = r"""#include <vector>
 namespace outer {
@@ -167,3 +170,41 @@ def test_statements_are_lexed_once(spark):
     found = structure.statements(code)
     assert sorted((r.number, r.mark) for r in found.collect()) == [(0, "{"), (1, "}")]
     assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_and_lines_agree(spark):
+    """Random sources: one pass over each text finds what joins of its lines find."""
+    pick = random.Random(7)
+    heads = ["namespace N {", "namespace N.M;", "class A {", "class A : public B {", "struct S final {", "enum E {", "record R(int a);", "interface I {", "A(int n) {", "int f(int a,\n int b) {", "void A::g() const {", "int H() => 3;", "int h();", "if (x) {", "else {", "template <typename T>\n", "public:", "[Fact] ", "x = 1;"]
+    parts = [*heads, "}", "}", "};", "}\n", " ", "\n", "\n", "\n\n", "/*", "*/", "//", '"', "'", "@\"", 'R"(', ')"', '""', "\\", "d'", "\n#define X {", "\n # if /* }", "\r\n", "ü", "{", ";"]
+    rows = [(str(k), pick.choice(["cpp", "csharp"]), "".join(pick.choices(heads if k % 3 else parts, k=pick.randint(0, 8)) + pick.choices(parts, k=pick.randint(0, 60)))) for k in range(400)]
+    files = spark.createDataFrame(rows, FILES)
+    lines = chunking.lines_of(files).join(files.select("file_path", "language"), "file_path")
+    got = sorted(map(tuple, structure.declarations(files).collect()))
+    assert len(got) > 500
+    assert got == sorted(map(tuple, structure.declarations_of_lines(lines).collect()))
+    assert got == sorted((path, language, *x) for path, language, text in rows for x in structure.declared(text, language == "csharp"))
+
+
+def test_texts_are_not_shuffled(spark):
+    files = spark.createDataFrame([("a.cpp", "cpp", CPP)], FILES)
+    assert "Exchange" not in structure.declarations(files)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_end_at_newlines_alone(spark):
+    text = "// a \r {   {\nclass A {\n/* \r { */ \"\\\r\n};\n"
+    want = {("class", "A", 2, 4)}
+    assert found(spark, [("a", "cpp", text)]) == want
+    lines = spark.createDataFrame([("a", "cpp", i, x) for i, x in enumerate(text.split("\n"), 1)], "file_path string, language string, pos int, line string")
+    assert {tuple(r)[2:] for r in structure.declarations_of_lines(lines).collect()} == want
+    for language, source in (("cpp", CPP), ("csharp", CS)):
+        assert found(spark, [("a", language, source.replace("\n", "\r\n"))]) == found(spark, [("a", language, source)])
+
+
+def test_a_row_group_is_dealt_out(spark, tmp_path):
+    spark.range(1000, numPartitions=1).write.parquet(str(tmp_path / "one"))
+    whole = spark.read.parquet(str(tmp_path / "one"))
+    assert lineage.dealt(whole, "id").select(F.spark_partition_id()).distinct().count() > 1
+    spread = spark.range(1000, numPartitions=2 * spark.sparkContext.defaultParallelism)
+    assert lineage.dealt(spread, "id") is spread
+    assert lineage.dealt(whole.filter("id < 0"), "id").count() == 0
