@@ -50,8 +50,12 @@ _TYPE = rf"{_TYPED}(?: ?<.*>)?(?: final)?(?: ?:(?!:).*| where .*)?$"
 _RECORD = rf"{_TYPED}{_GENERIC} ?{_ROUND}(?: ?:.*| where .*)?$"
 _SPACE = r"^(?:inline )?namespace(?: ([\w:.]+))?$"
 #: What follows a function's arguments: qualifiers, a trailing type, initialisers, constraints, or an expression.
-_TAIL = r"(?: ?(?:const|volatile|override|final|noexcept(?: ?\([^()]*\))?|mutable|&&?|try)\b ?)*(?: ?->.*| ?:(?!:).*| where .*| ?=>.*)?$"
-_CALL = rf"^(?!(?:{_CONTROL})\b)(?:[^()=]*?[\s*&>\]])?((?:{_NAME}(?:<[^()]*>)?::)*~?{_NAME}|(?:{_NAME}::)*operator ?[^\s(]+){_GENERIC} ?{_ROUND}{_TAIL}"
+_TAIL = r"(?: ?(?:const|volatile|override|final|noexcept(?: ?\([^()]*\))?|mutable|&&?|try)\b)* ?(?: ?->.*| ?:(?!:).*| where .*| ?=>.*)?$"
+#: What may stand before a function's name, and the name with what qualifies it (of several arguments in <> the first begin, the last end).
+_BEFORE = rf"^(?!(?:{_CONTROL})\b)(?:[^()=]*?[\s*&>\]])?"
+_QUALIFIED = rf"(?:{_NAME}<[^()]*>::(?:{_NAME}::)*)?"
+_NAMED = rf"((?:{_NAME}::)*{{}}~?{_NAME}|(?:{_NAME}::)*operator ?[^\s(]+)"
+_CALL = rf"{_BEFORE}{_NAMED.format(_QUALIFIED)}{_GENERIC} ?{_ROUND}{_TAIL}"
 _CALLED = rf"(^|::)(?:{_CONTROL})$"
 _WORDS = r"^(?:else|do|try|return|throw|new|await|goto|case|delete)\b"
 _SHORT = r"\) ?(?:where .*)?=>"
@@ -140,7 +144,21 @@ def _expression(pattern: str) -> re.Pattern[str]:
     return re.compile("(?a:" + pattern.replace(r"\b", r"(?u:\b)") + ")")
 
 
-_E = {p: _expression(p) for p in (r"\s+", r"\S", _ACCESS, _TEMPLATE, _TYPED, _TYPE, _RECORD, _SPACE, _CALL, _CALLED, _WORDS, _SHORT)}
+_E = {p: _expression(p) for p in (r"\s+", r"\S", _ACCESS, _TEMPLATE, _TYPED, _TYPE, _RECORD, _SPACE, _CALLED, _WORDS, _SHORT)}
+_ARGUMENTS = _expression(_ROUND + _TAIL)
+#: What stands before a function's arguments: without <> that matter, with some that qualify, with some of its own.
+_LEADS = [_expression(_BEFORE + _NAMED.format(q) + g + " ?") for q, g in (("", ""), (_QUALIFIED, ""), (_QUALIFIED, _GENERIC))]
+_QUALIFIES = _expression(rf">::(?:{_NAME}::)*~?{_NAME} ?$")
+
+
+def _function(head: str) -> str | None:
+    """The name that _CALL finds. Its arguments begin at the first bracket; <> before it are looked into only where they come to something, else each would be followed to its end."""
+    at = head.find("(")
+    if at < 0 or not _ARGUMENTS.match(head, at):
+        return None
+    before = head[:at]
+    lead = _LEADS[2 if before.rstrip(" ").endswith(">") else 1 if _QUALIFIES.search(before) else 0].fullmatch(before)
+    return lead and lead[1]
 
 
 def _told(text: str, sharp: bool) -> tuple[str, str] | None:
@@ -152,8 +170,9 @@ def _told(text: str, sharp: bool) -> tuple[str, str] | None:
     kind, named = (typed[1], typed[2] or "") if typed else ("", "")
     space = _E[_SPACE].match(head)
     is_type = kind != "" and bool(_E[_TYPE].match(head) or sharp and kind == "record" and _E[_RECORD].match(head))
-    call = "(" in head and _E[_CALL].match(head)
-    function = call[1] if call and not _E[_CALLED].search(call[1]) and not _E[_WORDS].match(head) else None
+    function = _function(head)
+    if function is not None and (_E[_CALLED].search(function) or _E[_WORDS].match(head)):
+        function = None
     if ended and not (sharp and (space or kind == "record" and is_type or function is not None and _E[_SHORT].search(head))):
         return None
     if space:

@@ -208,3 +208,15 @@ def test_a_row_group_is_dealt_out(spark, tmp_path):
     spread = spark.range(1000, numPartitions=2 * spark.sparkContext.defaultParallelism)
     assert lineage.dealt(spread, "id") is spread
     assert lineage.dealt(whole.filter("id < 0"), "id").count() == 0
+
+
+def test_odd_statements_take_no_longer_than_they_are_long(spark):
+    """As one expression in Python each of these has more ways to be tried than can be gone through, or as many as the square of its length."""
+    n = 20_000
+    for text in ("void f() " + "const " * n + "x {", "A<x>::" * n + "(int a) {", "a <b " * n + "(int a) {", "a <b> " * n + "(int a) y {"):
+        assert structure.declared(text, False) == structure.declared(text, True) == []
+    rows = [("a", "cpp", "void f() " + "const " * 40 + "x {"), ("b", "cpp", "A<x>::" * 40 + "(int a) {"), ("c", "cpp", "int " + "A<x>::" * 40 + "f(int a) const noexcept override {")]
+    lines = spark.createDataFrame([(f, language, 1, x) for f, language, x in rows], "file_path string, language string, pos int, line string")
+    want = {("c", "cpp", "function", "A<x>::" * 40 + "f", 1, 1)}
+    assert set(map(tuple, structure.declarations_of_lines(lines).collect())) == want
+    assert set(map(tuple, structure.declarations(spark.createDataFrame(rows, FILES)).collect())) == want
